@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from passages.plans import chunk_queries, text_queries  # noqa: F401
+from passages.plans import chunk_queries, evaluation_queries, sequence_queries, text_queries  # noqa: F401
 from passages.plans.registry import ORACLES, QUERIES  # noqa: F401
