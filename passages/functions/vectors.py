@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,16 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def each(v: Column, stats: dict[str, Column], entry: Callable[[Column, Column], Column]) -> Column:
+    """Transform the entries of ``v`` with values that are worked out once per array: a
+    lambda would work them out again for each entry."""
+    bound = F.array(F.struct(v.alias("v"), *[c.alias(n) for n, c in stats.items()]))
+    return F.get(F.transform(bound, lambda b: F.transform(b["v"], lambda x: entry(x, b))), F.lit(0))
+
+
 def l2_normalise(v: Column | str) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    return each(doubles(v), {"n": norm(v)}, lambda x, b: F.when(b["n"] > 0, x / b["n"]).otherwise(F.lit(0.0)))
 
 
 def mean_of(v: Column | str) -> Column:
@@ -30,15 +38,18 @@ def mean_of(v: Column | str) -> Column:
 
 def std_of(v: Column | str) -> Column:
     """Population standard deviation of an array."""
-    m = mean_of(v)
-    return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
+    squares = each(doubles(v), {"m": mean_of(v)}, lambda x, b: (x - b["m"]) * (x - b["m"]))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.size(v))
 
 
 def z_scores(v: Column | str, guard: float = 0.0) -> Column:
     """(x - mean) / std per entry, 0 where the entries are all equal; ``guard`` is added to
     the deviation."""
-    m, s = mean_of(v), std_of(v) + guard
-    return F.transform(doubles(v), lambda x: F.when(s > 0, (x - m) / s).otherwise(F.lit(0.0)))
+    return each(
+        doubles(v),
+        {"m": mean_of(v), "s": std_of(v) + guard},
+        lambda x, b: F.when(b["s"] > 0, (x - b["m"]) / b["s"]).otherwise(F.lit(0.0)),
+    )
 
 
 def gains(v: str) -> Column:

@@ -1,10 +1,241 @@
-"""Matching items against a label catalogue."""
+"""Matching items against a label catalogue, by text and by detection rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passages.functions import text as T
+from passages.operators.chunk import density_windows
+
+MAX_ENTRIES = 20_000
+_HITS = "array<struct<label:int,start:int,end:int,score:double,density:double,confidence:double,method:string>>"
+
+
+# ---- shared word n-grams -------------------------------------------------------------
+
+
+def word_ngrams(s: Column, n: int) -> Column:
+    """Distinct n-grams of the folded words."""
+    words = F.filter(F.split(T.fold_text(s), " "), lambda w: w != "")
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+
+def shared_ngrams(items: DataFrame, catalogue: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, label, shared, size): distinct n-grams an item and an entry have in common.
+
+    Each item lists a gram once, so a gram that a third of all items contain is still one
+    row per item. Spark sends the entries' grams to all tasks if they are small and joins
+    by shuffle, splitting frequent grams, if they are not."""
+    entry = catalogue.select("label", F.explode(word_ngrams(F.col("text"), n)).alias("gram"))
+    sizes = entry.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    grams = items.select(key, F.explode(word_ngrams(F.col("text"), n)).alias("gram"))
+    shared = grams.join(entry, "gram").groupBy(key, "label").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.join(sizes, "label").select(key, "label", "shared", "size")
+
+
+def ngram_match(
+    items: DataFrame, catalogue: DataFrame, key: str = "doc_id", n: int = 5, threshold: float = 0.9
+) -> DataFrame:
+    """(key, label, score): share of an entry's word n-grams found in the item."""
+    score = F.col("shared") / F.col("size")
+    return shared_ngrams(items, catalogue, key, n).select(key, "label", score.alias("score")).filter(
+        F.col("score") >= threshold
+    )
+
+
+# ---- fuzzy scores --------------------------------------------------------------------
+
+
+def _lcs(masks: dict[str, int], m: int, text: str) -> int:
+    """Length of the longest common subsequence, one bit per character of the pattern."""
+    full = (1 << m) - 1
+    s = full
+    for ch in text:
+        u = s & masks.get(ch, 0)
+        s = ((s + u) | (s - u)) & full
+    return m - s.bit_count()
+
+
+def _best_window(short: str, long: str, cutoff: float) -> float:
+    """Best 2 * lcs / (lengths) of ``short`` against the windows of ``long``; windows are
+    tried from the best letter-count bound down, until no bound can win."""
+    m, n = len(short), len(long)
+    letters, need = np.unique(np.frombuffer(short.encode("utf-32-le"), dtype=np.uint32), return_counts=True)
+    codes = np.frombuffer(long.encode("utf-32-le"), dtype=np.uint32)
+    # windows may stick out at either end, where they are shorter
+    first = np.clip(np.arange(1 - m, n), 0, n)
+    last = np.clip(np.arange(1 - m, n) + m, 0, n)
+    overlap = np.zeros(len(first), dtype=np.int64)
+    for c, k in zip(letters, need, strict=True):
+        seen = np.concatenate([[0], np.cumsum(codes == c)])
+        overlap += np.minimum(seen[last] - seen[first], k)
+    bound = 2 * overlap / (m + last - first)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    best = 0.0
+    for w in np.argsort(-bound, kind="stable"):
+        if bound[w] <= best or bound[w] < cutoff:
+            break
+        piece = long[first[w] : last[w]]
+        best = max(best, 2 * _lcs(masks, m, piece) / (m + len(piece)))
+    return best
+
+
+def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
+    """Similarity 0..1 of the shorter text to the best window of the longer one; values
+    under ``cutoff`` may come out as anything under it."""
+    if not a or not b:
+        return float(not a and not b)
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if short in long:
+        return 1.0
+    best = _best_window(short, long, cutoff)
+    return max(best, _best_window(long, short, cutoff)) if len(a) == len(b) else best
+
+
+def fuzzy_candidates(
+    items: DataFrame, catalogue: DataFrame, key: str, threshold: float, n: int = 3, min_shared: int = 2
+) -> DataFrame:
+    """(key, label, score) for the pairs that share ``min_shared`` word n-grams, scored on
+    the folded texts. The n-grams keep the scorer off unrelated pairs; noisy hits need a
+    smaller ``n`` or ``min_shared``, or ``fuzzy_matrix``."""
+    pairs = shared_ngrams(items, catalogue, key, n).filter(F.col("shared") >= min_shared).select(key, "label")
+    hay = items.select(key, T.fold_text(F.col("text")).alias("__hay"))
+    entries = catalogue.select("label", T.fold_text(F.col("text")).alias("__entry"))
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([partial_ratio(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    joined = pairs.join(entries, "label").join(hay, key)
+    return joined.select(key, "label", score("__entry", "__hay").alias("score")).filter(F.col("score") >= threshold)
+
+
+def entries_of(catalogue: DataFrame) -> list[tuple[int, str]]:
+    """The catalogue on the driver, checked to be small."""
+    rows = catalogue.select("label", "text").orderBy("label").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError("too many catalogue entries to send to the tasks; use fuzzy_candidates")
+    return [(int(r["label"]), r["text"]) for r in rows]
+
+
+def fuzzy_matrix(items: DataFrame, catalogue: DataFrame, text: str = "text", name: str = "string") -> DataFrame:
+    """``items`` plus an array with the score of every entry, in label order: the
+    exhaustive form, for a small catalogue of short texts."""
+    entries = entries_of(catalogue)
+
+    @F.pandas_udf("array<double>")
+    def scores(hay: pd.Series) -> pd.Series:
+        return hay.map(lambda h: [partial_ratio(t, h) if h else 0.0 for _, t in entries])
+
+    return items.withColumn(name, scores(text))
+
+
+def best_anchor(anchors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The label with the top score per item, the lowest one on ties."""
+    return anchors.groupBy(key).agg(
+        F.max_by("label", F.struct("score", -F.col("label"))).alias("label"), F.max("score").alias("score")
+    )
+
+
+def two_pass_anchors(
+    docs: DataFrame, catalogue: DataFrame, density: Callable[[Column], Column], min_density: float = 0.12,
+    threshold: float = 0.55, spelling: Callable[[str], str] = lambda s: "".join(s.split()), text: str = "text",
+) -> DataFrame:
+    """``docs`` plus ``hits``: dense stretches matched against the catalogue, then the
+    places where an entry's first word stands; one hit per label and text.
+
+    Stretches over 200 characters are scanned in pieces of 150 every 40. A piece that
+    begins with an entry's first word within three words tries that entry first."""
+    entries = [(label, t, spelling(t)) for label, t in entries_of(catalogue)]
+    first_words = {t.split()[0]: i for i, (_, t, _) in enumerate(entries) if t.split()}
+
+    def match(candidate: str) -> tuple[int, float] | None:
+        folded = spelling(candidate)
+        for w in candidate.split()[:3]:
+            if w in first_words:
+                i = first_words[w]
+                score = partial_ratio(folded, entries[i][2], threshold)
+                if score >= threshold:
+                    return i, score
+        best, at = 0.0, None
+        for i, (_, _, e) in enumerate(entries):
+            score = partial_ratio(folded, e, max(best, threshold))
+            if score >= threshold and score > best:
+                best, at = score, i
+        return None if at is None else (at, best)
+
+    def one(t: str, stretches) -> list[tuple]:
+        hits: dict[int, tuple] = {}
+
+        def keep(i: int, start: int, end: int, score: float, dense: float, confidence: float, method: str) -> None:
+            label = entries[i][0]
+            if label not in hits:
+                hits[label] = (label, start, end, score, dense, min(1.0, confidence), method)
+
+        for s in stretches:
+            start, end, dense = s["start"], s["end"], s["density"]
+            if end - start > 200:
+                spans = [(a, min(a + 150, len(t)), "subscan") for a in range(start, end - 60, 40)]
+            else:
+                spans = [(max(0, start - 20), min(len(t), end + 40), "stretch")]
+            for a, b, method in spans:
+                found = match(t[a:b])
+                if found:
+                    keep(found[0], a, b, found[1], dense, found[1] * 0.7 + dense * 0.3, method)
+        at = 0
+        for w in t.split():
+            at = t.index(w, at)
+            if w in first_words:
+                i = first_words[w]
+                score = partial_ratio(spelling(t[at : at + 150]), entries[i][2], threshold)
+                if score >= threshold:
+                    keep(i, at, min(at + 150, len(t)), score, 0.0, score * 0.6 + 0.2, "first word")
+            at += len(w)
+        return sorted(hits.values(), key=lambda h: (h[1], h[0]))
+
+    @F.pandas_udf(_HITS)
+    def find(texts: pd.Series, stretches: pd.Series) -> pd.Series:
+        return pd.Series([one(t or "", s) for t, s in zip(texts, stretches, strict=True)])
+
+    dense = density_windows(F.col(text), density, threshold=min_density)
+    return docs.withColumn("hits", find(F.col(text), dense))
+
+
+def near_cues(hits: str = "hits", cues: str = "cues", within: int = 500) -> Column:
+    """``hits`` with the types of the cues near each and the section it stands in: arrays
+    of struct<start, ...> and struct<pos, end, type> in text order."""
+    cue = F.col(cues)
+
+    def section(start: Column) -> Column:
+        intro = F.filter(cue, lambda c: (c["type"] == "intro_marker") & (c["pos"] < start))
+        closing = F.filter(cue, lambda c: (c["type"] == "closing_marker") & (c["pos"] > start))
+        since = start - F.get(intro, F.size(intro) - 1)["pos"]
+        until = F.get(closing, F.lit(0))["pos"] - start
+        return (
+            F.when(since < 1000, "near_introduction").when(until < 500, "near_closing").otherwise("explanation_body")
+        )
+
+    return F.transform(
+        hits,
+        lambda h: F.struct(
+            h["start"].alias("start"),
+            h["label"].alias("label"),
+            F.transform(F.filter(cue, lambda c: F.abs(c["pos"] - h["start"]) < within), lambda c: c["type"]).alias("cues"),
+            section(h["start"]).alias("section"),
+        ),
+    )
+
+
+# ---- rules on detections -------------------------------------------------------------
+
 
 def domain_density(items: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """Share of an item's ``tokens`` that occur in ``vocab.word``.
@@ -18,3 +249,24 @@ def domain_density(items: DataFrame, vocab: DataFrame, key: str = "doc_id") -> D
     return items.join(known, key, "left").select(
         key, (F.coalesce("known", F.lit(0)) / F.greatest(F.size("tokens"), F.lit(1))).alias("density")
     )
+
+
+def vote_filter(detections: DataFrame, min_votes: int = 2, keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """Labels found in at least ``min_votes`` segments of a sequence."""
+    votes = detections.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("votes"))
+    return votes.filter(F.col("votes") >= min_votes)
+
+
+def position_weight(
+    hits: DataFrame, stop: DataFrame, early: float = 0.2, weight: float = 0.9, threshold: float = 0.0
+) -> DataFrame:
+    """Scores in the first part of a sequence count less; then the threshold, and labels
+    that attract wrong matches go."""
+    sizes = hits.groupBy("seq").agg(F.count(F.lit(1)).alias("__n"))
+    share = F.col("pos") / F.col("__n")
+    rows = hits.join(sizes, "seq").withColumn(
+        "score", F.col("score") * F.when(share < early, F.lit(weight)).otherwise(F.lit(1.0))
+    )
+    return rows.filter(F.col("score") >= threshold).join(stop, "label", "left_anti").select(*hits.columns)
+
+

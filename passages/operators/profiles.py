@@ -115,8 +115,9 @@ def meaning_scores(
 
     blocks = items.select(*keys, "pos", F.col(vector).alias("__v"), block_of("pos", block_rows).alias("__block"))
     extent = blocks.groupBy(*keys).agg(F.max("__block").alias("__last"))
+    mine_keys = [f"__{k}" for k in keys]
     own = sums.join(extent, keys).select(
-        *keys, "label", "total", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last"))).alias("__block")
+        *[F.col(k).alias(f"__{k}") for k in keys], "label", "total", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last"))).alias("__block")
     )
 
     def score(pdf: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +137,7 @@ def meaning_scores(
 
     arrays = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("cos", "z", "gain")]
     schema = T.StructType([items.schema[k] for k in keys] + [items.schema["pos"], *arrays])
-    return blocks.groupBy(*keys, "__block").cogroup(own.groupBy(*keys, "__block")).applyInPandas(score, schema)
+    return blocks.groupBy(*keys, "__block").cogroup(own.groupBy(*mine_keys, "__block")).applyInPandas(score, schema)
 
 
 def adjacent_cosine(

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passages.functions.vectors import each
 from passages.operators.scan import BLOCK_ROWS, Running, block_of, neighbours, running
 
 KEYS = ("seq",)
@@ -287,11 +288,16 @@ def transition_matrix_resume(counts: DataFrame, n_labels: int) -> DataFrame:
 def emissions(probs: str, p_off: str, beta: float = 0.0, decouple: bool = True) -> Column:
     """Log emission per label and, last, for the off state (plus ``beta``)."""
     clip = lambda x: F.ln(F.least(F.lit(1.0), F.greatest(F.lit(1e-12), x)))
-    total = F.aggregate(probs, F.lit(0.0), lambda s, p: s + p)
-    share = F.transform(probs, lambda p: (1 - F.col(p_off)) * p / total) if decouple else F.col(probs)
+    share = shares(probs, 1 - F.col(p_off)) if decouple else F.col(probs)
     return F.concat(F.transform(share, clip), F.array(clip(F.col(p_off)) + beta))
 
 
+def shares(probs: str, mass: Column) -> Column:
+    """The entries scaled to add up to ``mass``."""
+    total = F.aggregate(probs, F.lit(0.0), lambda s, p: s + p)
+    return each(F.col(probs), {"f": mass / total}, lambda p, b: p * b["f"])
+
+
 def adapt_counts(
     items: DataFrame, counts: DataFrame, kappa: float | None, anchors: str = "anchors", p_off: str = "p_off",
     keys: Sequence[str] = KEYS, block_rows: int = BLOCK_ROWS,

@@ -1,4 +1,12 @@
 """Imports every query module, so that the registry is complete."""
 
-from passages.plans import chunk_queries, evaluation_queries, sequence_queries, text_queries  # noqa: F401
+from passages.plans import (  # noqa: F401
+    chunk_queries,
+    decode_queries,
+    evaluation_queries,
+    retrieval_queries,
+    sequence_queries,
+    text_queries,
+    vector_queries,
+)
 from passages.plans.registry import ORACLES, QUERIES  # noqa: F401
