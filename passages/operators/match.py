@@ -22,8 +22,13 @@ _HITS = "array<struct<label:int,start:int,end:int,score:double,density:double,co
 def word_ngrams(s: Column, n: int) -> Column:
     """Distinct n-grams of the folded words."""
     words = F.filter(F.split(T.fold_text(s), " "), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(ws: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))
+        return F.when(F.size(ws) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    # bound by an outer transform: named in the inner lambda, the words would be split again for each n-gram
+    return F.get(F.transform(F.array(words), grams), F.lit(0))
 
 
 def shared_ngrams(items: DataFrame, catalogue: DataFrame, key: str, n: int) -> DataFrame:

@@ -19,8 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from passages.session import checkpoint_dir
+
 BLOCK_ROWS = 100_000
 SPLITS = 256
+LONGEST = "longest"
 _BLOCK = "__block"
 
 
@@ -39,6 +42,11 @@ def block_of(pos: str, block_rows: int) -> Column:
     return F.floor(F.col(pos) / F.lit(block_rows)).cast("long")
 
 
+def one_block(df: DataFrame, pos: str, block_rows: int) -> bool:
+    """Whether the position column is known to stay inside the first block."""
+    return df.schema[pos].metadata.get(LONGEST, block_rows + 1) <= block_rows
+
+
 def _local(agg: Running, tmp: str, window: WindowSpec) -> Column:
     edge = 1 if agg.strict else 0
     value = F.col(tmp)
@@ -89,11 +97,17 @@ def running(
 ) -> DataFrame:
     """``df`` plus one column per running value, in ``pos`` order inside ``keys``.
 
-    Rows shuffle once by (keys, block); the second shuffle carries one row per block. A
+    Where all sequences fit one block, this is a window per sequence, and several such
+    calls share one shuffle. Otherwise rows shuffle once by (keys, block); the second shuffle carries one row per block. A
     block is ``pos div block_rows`` unless the caller names another one that grows with
     ``pos``. ``keys`` may be empty: then the whole table is one sequence.
     """
     keys = list(keys)
+    if keys and block is None and one_block(df, pos, block_rows):
+        whole = Window.partitionBy(*keys).orderBy(pos)
+        tmp = {agg.name: f"__v{i}" for i, agg in enumerate(aggs)}
+        rows = df.withColumns({tmp[agg.name]: agg.value for agg in aggs})
+        return rows.withColumns({agg.name: _local(agg, tmp[agg.name], whole) for agg in aggs}).drop(*tmp.values())
     tmp = {agg.name: f"__v{i}" for i, agg in enumerate(aggs)}
     rows = df.withColumns(
         {_BLOCK: block_of(pos, block_rows) if block is None else block}
@@ -139,6 +153,8 @@ def neighbours(
     """
     if before >= block_rows or after >= block_rows:
         raise ValueError("a block must be longer than the neighbourhood")
+    if keys and one_block(df, pos, block_rows):
+        return df.withColumns(columns(Window.partitionBy(*keys).orderBy(pos)))
     own = block_of(pos, block_rows)
     offset = F.col(pos) % block_rows
     copies = F.array(
@@ -151,23 +167,21 @@ def neighbours(
     return spread.withColumns(columns(window)).filter(F.col(_BLOCK) == own).drop(_BLOCK)
 
 
-def _blocks_by_value(df: DataFrame, keys: list[str], lead: str, block_rows: int) -> DataFrame:
-    """Add a block id that grows with ``lead``; only long sequences get more than one."""
-    is_time = dict(df.dtypes)[lead].startswith("timestamp")
-    order_value = F.unix_micros(F.col(lead).cast("timestamp")) if is_time else F.col(lead)
-    rows = df.withColumn("__lead", order_value)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    long_ones = sizes.filter(F.col("__n") > block_rows).drop("__n")
+def _split_points(rows: DataFrame, keys: list[str], sizes: DataFrame, block_rows: int) -> DataFrame:
+    """(keys, __cuts): quantiles of the order value for the sequences over ``block_rows``.
+
+    The table is small and used twice, so it is written to the checkpoint folder instead of
+    being worked out again."""
     marks = [i / SPLITS for i in range(1, SPLITS)]
-    cuts = rows.select(*keys, "__lead").join(long_ones, keys).groupBy(*keys).agg(
-        F.percentile_approx("__lead", F.array(*map(F.lit, marks)), F.lit(SPLITS * 20)).alias("__cuts")
-    )
-    block = F.size(F.filter("__cuts", lambda c: c <= F.col("__lead"))).cast("long")
-    return (
-        rows.join(cuts, keys, "left")
-        .withColumn(_BLOCK, F.when(F.col("__cuts").isNull(), F.lit(0).cast("long")).otherwise(block))
-        .drop("__cuts", "__lead")
+    long_ones = sizes.filter(F.col("__n") > block_rows).drop("__n")
+    cuts = (
+        rows.select(*keys, "__lead")
+        .join(long_ones, keys)
+        .groupBy(*keys)
+        .agg(F.percentile_approx("__lead", F.array(*map(F.lit, marks)), F.lit(SPLITS * 20)).alias("__cuts"))
     )
+    checkpoint_dir(rows.sparkSession)
+    return cuts.checkpoint()
 
 
 def ordinal(
@@ -179,24 +193,41 @@ def ordinal(
 ) -> DataFrame:
     """Dense 0-based position of each row in its sequence, in the order of ``order``.
 
-    Sequences longer than ``block_rows`` are cut at quantiles of the first order column
-    (a number or a time that few rows share); the others stay whole.
+    The sequences are counted first (one pass over the keys). If all fit a block, one
+    window does it; otherwise the long ones are cut at quantiles of the first order column
+    (a number or a time that few rows share) and numbered block by block. The length of
+    the longest sequence goes along as metadata of the position column, and spares
+    ``running`` and ``neighbours`` their blocks where there is only one.
     """
     if not keys:
         return ordinal(df.withColumn("__all", F.lit(0)), ["__all"], order, name, block_rows).drop("__all")
     keys = list(keys)
-    blocked = _blocks_by_value(df, keys, order[0], block_rows)
-    counts = blocked.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__n"))
-    before = (
-        Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    longest = int(sizes.agg(F.max("__n")).first()[0] or 0)
+    if longest <= block_rows:
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        return df.withColumn(name, position.cast("long").alias(name, metadata={LONGEST: longest}))
+
+    lead = order[0]
+    is_time = dict(df.dtypes)[lead].startswith("timestamp")
+    rows = df.withColumn("__lead", F.unix_micros(F.col(lead).cast("timestamp")) if is_time else F.col(lead))
+    cuts = _split_points(rows, keys, sizes, block_rows)
+    block = F.size(F.filter("__cuts", lambda c: c <= F.col("__lead"))).cast("long")
+    blocked = (
+        rows.join(cuts, keys, "left")
+        .withColumn(_BLOCK, F.when(F.col("__cuts").isNull(), F.lit(0).cast("long")).otherwise(block))
+        .drop("__cuts", "__lead")
     )
+    counts = blocked.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         counts.withColumn("__start", F.sum("__n").over(before)).filter(F.col("__start").isNotNull()).drop("__n")
     )
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    position = F.coalesce(F.col("__start"), F.lit(0)) + F.col("__r") - 1
     return (
         blocked.withColumn("__r", F.row_number().over(inside))
         .join(starts, [*keys, _BLOCK], "left")
-        .withColumn(name, F.coalesce(F.col("__start"), F.lit(0)) + F.col("__r") - 1)
+        .withColumn(name, position.cast("long").alias(name, metadata={LONGEST: longest}))
         .drop(_BLOCK, "__r", "__start")
     )

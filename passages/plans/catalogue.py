@@ -4,6 +4,7 @@ from passages.plans import (  # noqa: F401
     chunk_queries,
     decode_queries,
     evaluation_queries,
+    learning_queries,
     retrieval_queries,
     sequence_queries,
     text_queries,

@@ -63,8 +63,8 @@ def fuzzy_candidates(spark, d):
 @query("fuzzy_matrix")
 def fuzzy_matrix(spark, d):
     parts = table(spark, d, "part")
-    names = parts.select("p_name").distinct()
-    catalogue = names.select(F.abs(F.hash("p_name")).alias("label"), F.reverse("p_name").alias("text"))
+    kinds = parts.select("p_type").distinct()
+    catalogue = kinds.select(F.ascii("p_type").alias("label"), F.lower("p_type").alias("text"))
     items = parts.select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
     rows = M.fuzzy_matrix(items, catalogue)
     return rows.select("p_partkey", F.round(F.array_max("string"), 6).alias("best"), F.size("string").alias("entries"))
@@ -75,14 +75,11 @@ def two_pass_anchors(spark, d):
     def density(s):
         return T.foreign_density(s, "th|er|on|en", ["que", "und"])
 
-    out = M.two_pass_anchors(docs(spark, d), benchmark(spark, d), density, min_density=0.2, threshold=0.9)
+    out = M.two_pass_anchors(docs(spark, d), benchmark(spark, d), density, min_density=0.25, threshold=0.9)
     hits = out.select("doc_id", F.inline("hits"))
     return hits.select("doc_id", "label", "start", "end", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "method")
 
 
-CUE_SQL = """hp AS (SELECT doc_id, list_sort(list({s: pos, l: pos % 72 + 1})) AS hits FROM pos_on GROUP BY doc_id)"""
-
-
 def positions_sql(name, pattern, kind):
     return f"""{name}_m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS hit, unnest(list_slice(regexp_split_to_array(text, '{pattern}'), 1, len(regexp_extract_all(text, '{pattern}')))) AS piece,
            generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS i FROM documents),
@@ -93,8 +90,8 @@ def positions_sql(name, pattern, kind):
     "near_cues",
     f"""WITH {positions_sql('h', ' that ', 'hit')}, {positions_sql('ci', ' on the ', 'intro_marker')}, {positions_sql('cc', ' and ', 'closing_marker')},
         c AS (SELECT * FROM ci UNION ALL SELECT * FROM cc),
-        n AS (SELECT h.doc_id, h.pos, count(c.pos) FILTER (WHERE abs(c.pos - h.pos) < 500) AS near, max(c.pos) FILTER (WHERE type = 'intro_marker' AND c.pos < h.pos) AS ip,
-                min(c.pos) FILTER (WHERE type = 'closing_marker' AND c.pos > h.pos) AS cp FROM h LEFT JOIN c ON c.doc_id = h.doc_id GROUP BY h.doc_id, h.pos)
+        n AS (SELECT h.doc_id, h.pos, count(c.pos) FILTER (WHERE abs(c.pos - h.pos) < 500) AS near, max(c.pos) FILTER (WHERE c.type = 'intro_marker' AND c.pos < h.pos) AS ip,
+                min(c.pos) FILTER (WHERE c.type = 'closing_marker' AND c.pos > h.pos) AS cp FROM h LEFT JOIN c ON c.doc_id = h.doc_id GROUP BY h.doc_id, h.pos)
         SELECT doc_id, pos AS start, near AS cues, CASE WHEN pos - ip < 1000 THEN 'near_introduction' WHEN cp - pos < 500 THEN 'near_closing' ELSE 'explanation_body' END AS section FROM n""",
 )
 def near_cues(spark, d):
@@ -331,7 +328,7 @@ def route_then_search(spark, d):
 
 def routes(q):
     picks = F.expr("array(query % 10, (query + 4) % 10, query % 17)")
-    return q.select("query", F.explode(picks).cast("int").alias("label")).distinct()
+    return q.select("query", F.explode(picks.cast("array<int>")).alias("label")).distinct()
 
 
 @query(
