@@ -47,6 +47,10 @@ def one_block(df: DataFrame, pos: str, block_rows: int) -> bool:
     return df.schema[pos].metadata.get(LONGEST, block_rows + 1) <= block_rows
 
 
+def _whole(keys: Sequence[str], pos: str) -> WindowSpec:
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(pos)
+
+
 def _local(agg: Running, tmp: str, window: WindowSpec) -> Column:
     edge = 1 if agg.strict else 0
     value = F.col(tmp)
@@ -103,8 +107,8 @@ def running(
     ``pos``. ``keys`` may be empty: then the whole table is one sequence.
     """
     keys = list(keys)
-    if keys and block is None and one_block(df, pos, block_rows):
-        whole = Window.partitionBy(*keys).orderBy(pos)
+    if block is None and one_block(df, pos, block_rows):
+        whole = _whole(keys, pos)
         tmp = {agg.name: f"__v{i}" for i, agg in enumerate(aggs)}
         rows = df.withColumns({tmp[agg.name]: agg.value for agg in aggs})
         return rows.withColumns({agg.name: _local(agg, tmp[agg.name], whole) for agg in aggs}).drop(*tmp.values())
@@ -153,8 +157,8 @@ def neighbours(
     """
     if before >= block_rows or after >= block_rows:
         raise ValueError("a block must be longer than the neighbourhood")
-    if keys and one_block(df, pos, block_rows):
-        return df.withColumns(columns(Window.partitionBy(*keys).orderBy(pos)))
+    if one_block(df, pos, block_rows):
+        return df.withColumns(columns(_whole(keys, pos)))
     own = block_of(pos, block_rows)
     offset = F.col(pos) % block_rows
     copies = F.array(

@@ -7,6 +7,7 @@ from passages.plans import (  # noqa: F401
     learning_queries,
     retrieval_queries,
     sequence_queries,
+    table_queries,
     text_queries,
     vector_queries,
 )
