@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passages.operators.scan import block_of
+from passages.operators.scan import block_of, one_block
 
 BLOCK_ROWS = 20_000
 NEG = -np.inf
@@ -154,6 +154,8 @@ def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows):
             out["__behind"] = behind[::-1]
         return out
 
+    if one_block(items, "pos", block_rows):
+        return rows, None, prepare
     long_ones = rows.filter("__block > 0").select(*keys).distinct()
     mats = rows.join(long_ones, keys, "left_semi").groupBy(*keys, "__block").applyInPandas(
         transfer, T.StructType([*key_fields, block_field, T.StructField("__m", doubles)])
@@ -169,6 +171,8 @@ def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows):
 
 def _finish(rows, edges, keys, fields, fn):
     schema = T.StructType([*fields])
+    if edges is None:
+        return rows.groupBy(*keys, "__block").applyInPandas(lambda pdf: fn(pdf, pdf.iloc[:0]), schema)
     return (
         rows.groupBy(*keys, "__block").cogroup(edges.groupBy(*keys, "__block")).applyInPandas(fn, schema)
     )

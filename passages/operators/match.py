@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from passages.functions import text as T
 from passages.operators.chunk import density_windows
 
-MAX_ENTRIES = 20_000
+MAX_ENTRY_CHARS = 20_000_000
 _HITS = "array<struct<label:int,start:int,end:int,score:double,density:double,confidence:double,method:string>>"
 
 
@@ -125,9 +125,10 @@ def fuzzy_candidates(
 
 def entries_of(catalogue: DataFrame) -> list[tuple[int, str]]:
     """The catalogue on the driver, checked to be small."""
-    rows = catalogue.select("label", "text").orderBy("label").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError("too many catalogue entries to send to the tasks; use fuzzy_candidates")
+    size = catalogue.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MAX_ENTRY_CHARS:
+        raise ValueError("the catalogue is too large to send to the tasks; use fuzzy_candidates")
+    rows = catalogue.select("label", "text").orderBy("label").collect()
     return [(int(r["label"]), r["text"]) for r in rows]
 
 

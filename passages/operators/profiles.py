@@ -103,10 +103,10 @@ def meaning_scores(
     The catalogue (labels x dimensions) is checked to be small and goes to the tasks; a
     sequence's own sums meet its items block by block, so a long sequence stays split."""
     keys = list(keys)
-    catalogue = texts.join(corpus_totals(sums), "label", "left").orderBy("label").limit(100_001).toPandas()
-    dim = len(catalogue["text_vector"].iloc[0])
-    if len(catalogue) * dim > MAX_CELLS:
+    dim = texts.select(F.size("text_vector")).first()[0]
+    if texts.count() * dim > MAX_CELLS:
         raise ValueError("the label catalogue is too large to send to the tasks")
+    catalogue = texts.join(corpus_totals(sums), "label", "left").orderBy("label").toPandas()
     labels = {int(v): i for i, v in enumerate(catalogue["label"])}
     stack = lambda c: np.stack([np.asarray(x, dtype=float) for x in catalogue[c]])
     text, fallback = stack("text_vector"), stack("fallback")

@@ -84,14 +84,20 @@ def topk_cosine(
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def entry_matrix(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and vectors of a catalogue, counted before they come to the driver."""
+    first = entries.select(F.size("vector")).first()
+    if entries.count() * (first[0] if first else 0) > MAX_ENTRY_CELLS:
+        raise ValueError("the label catalogue is too large to send to the tasks; match it in slices")
+    table = entries.select("label", "vector").orderBy("label").toPandas()
+    return table["label"].to_numpy(), _matrix(table["vector"])
+
+
 def label_scores(rows: DataFrame, entries: DataFrame, vector: str = "vector", name: str = "scores") -> DataFrame:
     """``rows`` plus the best similarity to each label's entry vectors, an array in label
     order; ``entries(label, vector)`` may hold several vectors per label."""
-    table = entries.select("label", "vector").orderBy("label").limit(1_000_001).toPandas()
-    m = _matrix(table["vector"])
-    if m.size > MAX_ENTRY_CELLS:
-        raise ValueError("the label catalogue is too large to send to the tasks")
-    _, starts = np.unique(table["label"].to_numpy(), return_index=True)
+    labels, m = entry_matrix(entries)
+    _, starts = np.unique(labels, return_index=True)
 
     @F.pandas_udf("array<double>")
     def score(vs: pd.Series) -> pd.Series:
@@ -102,18 +108,32 @@ def label_scores(rows: DataFrame, entries: DataFrame, vector: str = "vector", na
 
 
 def vector_match(
-    rows: DataFrame, entries: DataFrame, threshold: float, k: int, key: str = "item", vector: str = "vector"
-) -> DataFrame:
-    """(key, label, score, rank): the best labels of an item at or above the threshold."""
-    labels = [r["label"] for r in entries.select("label").distinct().orderBy("label").collect()]
-    scored = label_scores(rows, entries, vector, "__s")
-    table = F.array(*map(F.lit, labels))
-    ranked = F.array_sort(
-        F.transform("__s", lambda s, i: F.struct((-F.round(s, 10)).alias("s"), F.get(table, i).alias("label")))
-    )
-    top = F.filter(F.slice(ranked, 1, k), lambda r: -r["s"] >= threshold)
-    out = scored.select(key, F.posexplode(top).alias("rank", "r"))
-    return out.select(key, F.col("r.label").alias("label"), (-F.col("r.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+    rows: DataFrame, entries: DataFrame, threshold: float, k: int, key: str = "item", vector: str = "vector",
+    slice_labels: int = 10_000,
+) -> DataFrame:
+    """(key, label, score, rank): the best labels of an item at or above the threshold.
+
+    The labels go through in slices that fit the tasks; each slice keeps its best k per
+    item, so the result is that of the whole catalogue."""
+    n = max(1, ceil(entries.select("label").distinct().count() / slice_labels))
+    found = None
+    for i in range(n):
+        part = entries if n == 1 else entries.filter(F.pmod(F.xxhash64("label"), F.lit(n)) == i)
+        labels, m = entry_matrix(part)
+        names, starts = np.unique(labels, return_index=True)
+
+        @F.pandas_udf("array<struct<label:int,score:double>>")
+        def best(vs: pd.Series, names=names, starts=starts, m=m) -> pd.Series:
+            sims = np.round(np.maximum.reduceat(_matrix(vs) @ m.T, starts, axis=1), 10)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            return pd.Series(
+                [[(int(names[j]), float(s[j])) for j in o if s[j] >= threshold] for s, o in zip(sims, order, strict=True)]
+            )
+
+        one = rows.select(key, F.inline(best(vector)))
+        found = one if found is None else found.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "label"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 # ---- text ranking --------------------------------------------------------------------

@@ -229,9 +229,11 @@ def ordinal(
     )
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     position = F.coalesce(F.col("__start"), F.lit(0)) + F.col("__r") - 1
-    return (
+    placed = (
         blocked.withColumn("__r", F.row_number().over(inside))
         .join(starts, [*keys, _BLOCK], "left")
         .withColumn(name, position.cast("long").alias(name, metadata={LONGEST: longest}))
         .drop(_BLOCK, "__r", "__start")
     )
+    # what follows reads long sequences twice per running value: from here, not from the source
+    return placed.checkpoint()

@@ -152,6 +152,20 @@ def topk_cosine(spark, d):
     return out.select("query", "item", F.round("sim", 4).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "context_block",
+    f"""WITH {SIM}, t AS (SELECT query, item, prim, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) AS rank FROM sm QUALIFY rank <= 5)
+        SELECT query, string_agg('[Source ' || rank || ' | Label: ' || prim || ']' || chr(10) || 'item ' || item, chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY query""",
+)
+def context_block(spark, d):
+    """The few retrieved items of each query as one text."""
+    ix = index(spark, d)
+    hits = R.topk_cosine(queries(spark, d), ix, 5).join(ix.select("item", "primary"), "item")
+    header = F.format_string("[Source %d | Label: %d]", "rank", "primary")
+    body = F.concat(F.lit("item "), F.col("item").cast("string"))
+    return hits.groupBy("query").agg(T.context_block(header, body, F.col("rank")).alias("context"))
+
+
 @query(
     "topk_per_group",
     f"WITH {SIM} SELECT query, tradition, item, round(sim, 4) AS sim, row_number() OVER (PARTITION BY query, tradition ORDER BY sim DESC, item) AS rank FROM sm QUALIFY rank <= 3",

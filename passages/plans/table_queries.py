@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passages.operators import annotations as A
+from passages.plans.chunk_queries import timed
 from passages.plans.evaluation_queries import LOG, gold_sql, log, view_sql
 from passages.plans.registry import query, table
 from passages.plans.retrieval_queries import benchmark
@@ -24,49 +25,34 @@ def read_table(spark, d):
     return out.select("p_partkey", "p_name", "p_brand", "p_size", F.round("p_retailprice", 2).alias("p_retailprice"))
 
 
-@query(
-    "read_transcripts",
-    """SELECT conv_id::VARCHAR AS conv, md5(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY turn) || chr(10)) AS text FROM conversations GROUP BY conv_id""",
-)
-def read_transcripts(spark, d):
-    """Each conversation becomes one text file; a file is one row again."""
+def text_files(spark, d):
+    """Every catalogue entry as a text file of its own."""
     path = S.scratch(spark, "texts")
-    c = table(spark, d, "conversations")
-    lines = c.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    lines.select("conv_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.partitionBy("conv_id").text(path)
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.col("conv_id").cast("string").alias("conv"), F.md5("value").alias("text"))
+    table(spark, d, "benchmark").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(path)
+    return path
 
 
-@query(
-    "read_transcripts_files",
-    "SELECT count(DISTINCT conv_id) AS files, sum(length(text) + 1)::BIGINT AS chars FROM conversations",
-)
-def read_transcripts_files(spark, d):
-    path = S.scratch(spark, "texts")
-    c = table(spark, d, "conversations").repartition("conv_id")
-    c.select("conv_id", F.col("text").alias("value")).write.partitionBy("conv_id").text(path)
-    rows = S.read_transcripts(spark, path)
-    return rows.agg(F.count_distinct("file", "text").alias("files"), F.sum(F.length("text")).alias("chars"))
+@query("read_transcripts", "SELECT md5(text || chr(10)) AS text, length(text) + 1 AS chars FROM benchmark")
+def read_transcripts(spark, d):
+    rows = S.read_transcripts(spark, text_files(spark, d))
+    return rows.select(F.md5("text").alias("text"), F.length("text").alias("chars"))
 
 
 @query(
     "read_segment_json",
-    """SELECT conv_id, md5(CASE conv_id % 3 WHEN 0 THEN any_value('text of ' || conv_id) WHEN 1 THEN any_value('whole ' || conv_id)
-         ELSE string_agg(trim(text), ' ' ORDER BY turn) END) AS text FROM conversations GROUP BY conv_id""",
+    """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN 'text of ' || doc_id WHEN 1 THEN 'whole ' || doc_id
+         ELSE array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') END) AS text FROM documents""",
 )
 def read_segment_json(spark, d):
     path = S.scratch(spark, "json")
-    c = table(spark, d, "conversations")
-    part = F.struct((F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 10).alias("end"), "text")
-    one = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("s")))), lambda x: x["s"]).alias("segments"))
-    one.select(
-        "conv_id",
-        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("text of "), F.col("conv_id").cast("string"))).alias("text"),
-        F.when(F.col("conv_id") % 3 == 1, F.concat(F.lit("whole "), F.col("conv_id").cast("string"))).alias("full_transcript"),
+    number = F.col("doc_id").cast("string")
+    timed(spark, d).select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("text of "), number)).alias("text"),
+        F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("whole "), number)).alias("full_transcript"),
         "segments",
     ).write.json(path)
-    return S.read_segment_json(spark, path, False, "conv_id bigint").select("conv_id", F.md5("text").alias("text"))
+    return S.read_segment_json(spark, path, False, "doc_id bigint").select("doc_id", F.md5("text").alias("text"))
 
 
 @query("jsonl_chunks", "SELECT doc_id, md5(text) AS text, lang FROM documents")

@@ -280,17 +280,6 @@ def compose_text(spark, d):
     )
 
 
-@query(
-    "context_block",
-    """SELECT conv_id, md5(string_agg('[' || turn || ' | ' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS context
-       FROM conversations GROUP BY conv_id""",
-)
-def context_block(spark, d):
-    header = F.concat(F.lit("["), "turn", F.lit(" | "), "role", F.lit("]"))
-    c = table(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.md5(T.context_block(header, F.col("text"), F.col("turn"))).alias("context"))
-
-
 @query(
     "label_reply",
     """WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '2.' || (event_id % 90) || ', 2.' || (event_id % 71)
