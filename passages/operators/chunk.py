@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions import text as T
+from passages.functions.batch import batch_udf
 
 _SPANS = "array<struct<char_start:int,char_end:int,n_words:int>>"
 _TIMED = "array<struct<start:double,end:double,text:string>>"
@@ -50,7 +51,7 @@ def pack_sentences(
     a last passage; sentences over ``longest`` words are cut hard. Offsets refer to the
     trimmed text."""
 
-    @F.pandas_udf(_SPANS)
+    @batch_udf(_SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         def one(t: str | None):
             sentences = _sentence_spans(t or "", longest, target)
@@ -84,7 +85,7 @@ def pack_segments(docs: DataFrame, segments: str = "segments", target: int = 100
         lambda s: s["text"] != "",
     )
 
-    @F.pandas_udf("array<struct<first:int,last:int,char_start:int,char_end:int,n_words:int>>")
+    @batch_udf("array<struct<first:int,last:int,char_start:int,char_end:int,n_words:int>>")
     def groups(lengths: pd.Series, weights: pd.Series) -> pd.Series:
         def one(ls, ws):
             starts, at = [], 0
@@ -152,7 +153,7 @@ def time_merge(
     """Timed segments joined until the next one would reach ``target`` seconds; a chunk
     under ``shortest`` seconds goes to the one before it."""
 
-    @F.pandas_udf("array<struct<first:int,last:int>>")
+    @batch_udf("array<struct<first:int,last:int>>")
     def groups(starts: pd.Series, ends: pd.Series) -> pd.Series:
         def one(ss, es):
             raw, first = [], 0
@@ -240,7 +241,7 @@ def boundary_chunks(
                 out.append(("label", start, 0, [label], body))
         return out
 
-    @F.pandas_udf("array<struct<kind:string,char_start:int,part:int,labels:array<int>,text:string>>")
+    @batch_udf("array<struct<kind:string,char_start:int,part:int,labels:array<int>,text:string>>")
     def chunks(texts: pd.Series, marks: pd.Series) -> pd.Series:
         return pd.Series(
             [one(t or "", [(m["pos"], m["label"]) for m in ms]) for t, ms in zip(texts, marks, strict=True)]
@@ -254,7 +255,7 @@ def pos_to_time(points: Column, segments: Column) -> Column:
     """Seconds at each character position: linear inside its segment; between or after the
     segments the last end. Segments are joined by one space."""
 
-    @F.pandas_udf("array<double>")
+    @batch_udf("array<double>")
     def at(ps: pd.Series, lengths: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         def one(p, n, s, e):
             if not len(n):

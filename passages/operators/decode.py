@@ -154,6 +154,10 @@ def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows):
             out["__behind"] = behind[::-1]
         return out
 
+    # Python work per group is heavy and its rows are small: keep as many tasks as the session
+    # has shuffle partitions, where coalescing by bytes would leave a few
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *keys, "__block")
     if one_block(items, "pos", block_rows):
         return rows, None, prepare
     long_ones = rows.filter("__block > 0").select(*keys).distinct()

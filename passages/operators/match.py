@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions import text as T
+from passages.functions.batch import batch_udf
 from passages.operators.chunk import density_windows
 
 MAX_ENTRY_CHARS = 20_000_000
@@ -37,9 +38,10 @@ def shared_ngrams(items: DataFrame, catalogue: DataFrame, key: str, n: int) -> D
     Each item lists a gram once, so a gram that a third of all items contain is still one
     row per item. Spark sends the entries' grams to all tasks if they are small and joins
     by shuffle, splitting frequent grams, if they are not."""
-    entry = catalogue.select("label", F.explode(word_ngrams(F.col("text"), n)).alias("gram"))
-    sizes = entry.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    grams = items.select(key, F.explode(word_ngrams(F.col("text"), n)).alias("gram"))
+    entry = catalogue.select("label", F.explode_outer(word_ngrams(F.col("text"), n)).alias("gram"))
+    sizes = entry.groupBy("label").agg(F.count("gram").alias("size"))
+    # outer, because a plain explode adds a filter on the array and works it out twice; the join drops the nulls
+    grams = items.select(key, F.explode_outer(word_ngrams(F.col("text"), n)).alias("gram"))
     shared = grams.join(entry, "gram").groupBy(key, "label").agg(F.count(F.lit(1)).alias("shared"))
     return shared.join(sizes, "label").select(key, "label", "shared", "size")
 
@@ -115,7 +117,7 @@ def fuzzy_candidates(
     hay = items.select(key, T.fold_text(F.col("text")).alias("__hay"))
     entries = catalogue.select("label", T.fold_text(F.col("text")).alias("__entry"))
 
-    @F.pandas_udf("double")
+    @batch_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([partial_ratio(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=float)
 
@@ -137,7 +139,7 @@ def fuzzy_matrix(items: DataFrame, catalogue: DataFrame, text: str = "text", nam
     exhaustive form, for a small catalogue of short texts."""
     entries = entries_of(catalogue)
 
-    @F.pandas_udf("array<double>")
+    @batch_udf("array<double>")
     def scores(hay: pd.Series) -> pd.Series:
         return hay.map(lambda h: [partial_ratio(t, h) if h else 0.0 for _, t in entries])
 
@@ -207,7 +209,7 @@ def two_pass_anchors(
             at += len(w)
         return sorted(hits.values(), key=lambda h: (h[1], h[0]))
 
-    @F.pandas_udf(_HITS)
+    @batch_udf(_HITS)
     def find(texts: pd.Series, stretches: pd.Series) -> pd.Series:
         return pd.Series([one(t or "", s) for t, s in zip(texts, stretches, strict=True)])
 
@@ -249,7 +251,7 @@ def domain_density(items: DataFrame, vocab: DataFrame, key: str = "doc_id") -> D
     Tokens are counted per item before they meet the vocabulary, so a word repeated a
     million times is one row, and a join on a frequent word can be split by Spark."""
     counted = (
-        items.select(key, F.explode("tokens").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+        items.select(key, F.explode_outer("tokens").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     )
     known = counted.join(vocab, "word", "left_semi").groupBy(key).agg(F.sum("n").alias("known"))
     return items.join(known, key, "left").select(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.functions import text as text_functions
+from passages.functions.batch import batch_udf
 
 OFF = -1
 SLICE_ROWS = 4096
@@ -99,7 +100,7 @@ def label_scores(rows: DataFrame, entries: DataFrame, vector: str = "vector", na
     labels, m = entry_matrix(entries)
     _, starts = np.unique(labels, return_index=True)
 
-    @F.pandas_udf("array<double>")
+    @batch_udf("array<double>")
     def score(vs: pd.Series) -> pd.Series:
         sims = _matrix(vs) @ m.T
         return pd.Series(list(np.maximum.reduceat(sims, starts, axis=1)))
@@ -107,6 +108,21 @@ def label_scores(rows: DataFrame, entries: DataFrame, vector: str = "vector", na
     return rows.withColumn(name, score(vector))
 
 
+def _best_labels(vectors: Column, entries: DataFrame, threshold: float, k: int) -> Column:
+    labels, m = entry_matrix(entries)
+    names, starts = np.unique(labels, return_index=True)
+
+    @batch_udf("array<struct<label:int,score:double>>")
+    def best(vs: pd.Series) -> pd.Series:
+        sims = np.round(np.maximum.reduceat(_matrix(vs) @ m.T, starts, axis=1), 10)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        return pd.Series(
+            [[(int(names[j]), float(s[j])) for j in o if s[j] >= threshold] for s, o in zip(sims, order, strict=True)]
+        )
+
+    return best(vectors)
+
+
 def vector_match(
     rows: DataFrame, entries: DataFrame, threshold: float, k: int, key: str = "item", vector: str = "vector",
     slice_labels: int = 10_000,
@@ -119,18 +135,7 @@ def vector_match(
     found = None
     for i in range(n):
         part = entries if n == 1 else entries.filter(F.pmod(F.xxhash64("label"), F.lit(n)) == i)
-        labels, m = entry_matrix(part)
-        names, starts = np.unique(labels, return_index=True)
-
-        @F.pandas_udf("array<struct<label:int,score:double>>")
-        def best(vs: pd.Series, names=names, starts=starts, m=m) -> pd.Series:
-            sims = np.round(np.maximum.reduceat(_matrix(vs) @ m.T, starts, axis=1), 10)
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            return pd.Series(
-                [[(int(names[j]), float(s[j])) for j in o if s[j] >= threshold] for s, o in zip(sims, order, strict=True)]
-            )
-
-        one = rows.select(key, F.inline(best(vector)))
+        one = rows.select(key, F.inline(_best_labels(F.col(vector), part, threshold, k)))
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "label"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -146,7 +151,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     Query terms are counted per query first. The document side has one row per (term,
     label) and is small for a catalogue; should it be shuffled, the query rows of each
     term are spread over ``salts`` parts, so that a frequent term is not one task."""
-    terms = docs.select("label", F.explode("tokens").alias("term")).groupBy("label", "term").agg(
+    terms = docs.select("label", F.explode_outer("tokens").alias("term")).groupBy("label", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
     lengths = docs.select("label", F.size("tokens").alias("len"))
@@ -159,7 +164,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     asked = (
-        queries.select("query", F.explode("tokens").alias("term"))
+        queries.select("query", F.explode_outer("tokens").alias("term"))
         .groupBy("query", "term")
         .agg(F.count(F.lit(1)).alias("times"))
         .withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(salts)).cast("int"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from passages.functions import text as T
 from passages.operators import chunk as C
 from passages.operators.replies import parse_answer_lines
-from passages.plans.registry import query, table
+from passages.plans.registry import documents, query, table
 from passages.plans.text_queries import MENTIONED, WORDS_SQL
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return documents(spark, d, "doc_id", "text")
 
 
 def timed(spark, d, seconds=20.0):
@@ -90,7 +90,7 @@ def time_merge(spark, d):
 
 
 def mentioned(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.expr(MENTIONED).alias("text"))
+    t = documents(spark, d).select("doc_id", F.expr(MENTIONED).alias("text"))
     return t.withColumn("mentions", T.mentions(F.col("text")))
 
 
@@ -139,8 +139,8 @@ def density_windows(spark, d):
     def density(s):
         return T.foreign_density(s, "th|er", ["que", "und"])
 
-    out = docs(spark, d).select("doc_id", F.inline(C.density_windows(F.col("text"), density, threshold=0.11)))
-    return out.withColumn("density", F.round("density", 6))
+    out = docs(spark, d).select("doc_id", F.inline_outer(C.density_windows(F.col("text"), density, threshold=0.11)))
+    return out.filter("start IS NOT NULL").withColumn("density", F.round("density", 6))
 
 
 CUES = {"intro_marker": (" on the ",), "closing_marker": (" and ",), "shloka_marker": (" of ", r"\bque ")}

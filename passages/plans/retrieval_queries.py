@@ -12,7 +12,7 @@ from passages.operators import profiles as P
 from passages.operators import retrieve as R
 from passages.operators import sequence as S
 from passages.plans import vector_queries as VQ
-from passages.plans.registry import query, table
+from passages.plans.registry import documents, query, table
 from passages.plans.text_queries import FOLD_SQL, STOP, STOP_SQL
 
 # ---- text matching -----------------------------------------------------------------------
@@ -23,7 +23,7 @@ def benchmark(spark, d):
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return documents(spark, d, "doc_id", "text")
 
 
 def grams_sql(name, source, key, n):
@@ -487,8 +487,7 @@ def coverage_end_to_end(spark, d):
     """Documents of a source are its items: match, carry over three items, segment, roll up."""
     from passages.operators.scan import ordinal
 
-    documents = table(spark, d, "documents")
-    placed = ordinal(documents.select("source", "doc_id", "n_chars"), ["source"], ["doc_id"])
+    placed = ordinal(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"])
     anchors = M.best_anchor(M.ngram_match(docs(spark, d), benchmark(spark, d)))
     items = placed.join(anchors, "doc_id", "left").select(
         F.col("source").alias("seq"), "pos", F.col("doc_id").alias("unit"), F.col("n_chars").alias("n_words"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passages.functions import text as T
-from passages.plans.registry import query, table
+from passages.plans.registry import documents, query, table
 
 STOP = "the of and to in is for that on with as was at by it from are this be an".split()
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
@@ -21,7 +21,7 @@ FOLD_SQL = "trim(regexp_replace(strip_accents(replace(lower({0}), 'ß', ' ')), '
 )
 def norm_key(spark, d):
     name = F.concat("source", F.lit(" Part "), "doc_id", F.lit(".TXT "))
-    return table(spark, d, "documents").select("doc_id", T.norm_key(name).alias("key"))
+    return documents(spark, d).select("doc_id", T.norm_key(name).alias("key"))
 
 
 @query(
@@ -30,12 +30,12 @@ def norm_key(spark, d):
        FROM documents""",
 )
 def spelling_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.spelling_key("text")).alias("key"))
+    return documents(spark, d).select("doc_id", F.md5(T.spelling_key("text")).alias("key"))
 
 
 @query("fold_text", f"SELECT doc_id, md5({FOLD_SQL.format('text')}) AS folded FROM documents")
 def fold_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.fold_text(F.col("text"))).alias("folded"))
+    return documents(spark, d).select("doc_id", F.md5(T.fold_text(F.col("text"))).alias("folded"))
 
 
 @query(
@@ -49,7 +49,7 @@ def fold_text(spark, d):
     + ") AS loose FROM documents",
 )
 def loosen(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.loosen(F.col("text"))).alias("loose"))
+    return documents(spark, d).select("doc_id", F.md5(T.loosen(F.col("text"))).alias("loose"))
 
 
 @query(
@@ -59,7 +59,7 @@ def loosen(spark, d):
        FROM documents""",
 )
 def script_of(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.script_of(F.col("text")).alias("script"))
+    return documents(spark, d).select("doc_id", T.script_of(F.col("text")).alias("script"))
 
 
 @query(
@@ -98,7 +98,7 @@ REFERRED = "replace(replace(text, ' the ', ' 2.' || (doc_id % 80) || ' '), ' of
         FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""",
 )
 def explicit_refs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.expr(REFERRED.replace("||", "||")).alias("text"))
+    docs = documents(spark, d).select("doc_id", F.expr(REFERRED).alias("text"))
     return docs.select("doc_id", F.array_join(T.explicit_refs(F.col("text")), ",").alias("refs"))
 
 
@@ -125,7 +125,7 @@ MENTIONED = "replace(replace(text, ' the ', ' verse ' || (doc_id % 80) || ' '),
         SELECT doc_id, pos::INT AS pos, label FROM k WHERE keep""",
 )
 def mentions(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.expr(MENTIONED).alias("text"))
+    docs = documents(spark, d).select("doc_id", F.expr(MENTIONED).alias("text"))
     return docs.select("doc_id", F.inline(T.mentions(F.col("text"))))
 
 
@@ -136,7 +136,7 @@ def mentions(spark, d):
                + 1.5 * len(regexp_extract_all(text, '್'))) / length(text))) END, 6) AS density FROM documents""",
 )
 def quotation_density(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", F.round(T.quotation_density(F.col("text")), 6).alias("density")
     )
 
@@ -150,7 +150,7 @@ def quotation_density(spark, d):
 def keep_tokens(spark, d):
     kept = T.keep_tokens(F.col("text"), STOP)
     return (
-        table(spark, d, "documents")
+        documents(spark, d)
         .select("doc_id", kept.alias("k"))
         .select("doc_id", F.size("k").alias("n"), F.md5(F.array_join("k", " ")).alias("tokens"))
     )
@@ -168,8 +168,9 @@ SENT_SQL = """s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.
 )
 def sentences(spark, d):
     return (
-        table(spark, d, "documents")
-        .select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+        documents(spark, d)
+        .select("doc_id", F.explode_outer(T.sentences(F.col("text"))).alias("s"))
+        .filter("s IS NOT NULL")
         .select("doc_id", F.md5("s").alias("sentence"), T.n_words(F.col("s")).alias("n_words"))
     )
 
@@ -188,7 +189,7 @@ def sentences(spark, d):
 def domain_density(spark, d):
     from passages.operators.match import domain_density as op
 
-    docs = table(spark, d, "documents").select("doc_id", T.keep_tokens(F.col("text"), STOP).alias("tokens"))
+    docs = documents(spark, d).select("doc_id", T.keep_tokens(F.col("text"), STOP).alias("tokens"))
     vocab = table(spark, d, "benchmark").select(F.explode(T.keep_tokens(F.col("text"), STOP)).alias("word")).distinct()
     return op(docs, vocab).select("doc_id", F.round("density", 6).alias("density"))
 
@@ -208,7 +209,7 @@ def narrative_features(spark, d):
     known = F.array(*map(F.lit, STOP))
     f = T.narrative_features(F.col("text"), known)
     story = r"(?i)(?:once|there was|there were|one day|story|anecdote)"
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id",
         F.round(f["past"], 6).alias("past"),
         F.round(f["capitals"], 6).alias("capitals"),
@@ -223,7 +224,7 @@ def narrative_features(spark, d):
               + contains(lower(text), 'tion')::INT) >= 2 AS kept FROM documents""",
 )
 def has_keywords(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", T.has_keywords(F.col("text"), ["that", "erent", "license", "tion"]).alias("kept")
     )
 
