@@ -283,8 +283,24 @@ def density_windows(
     starts = F.when(
         F.length(s) > size, F.sequence(F.lit(0), F.length(s) - size - 1, F.lit(stride))
     ).otherwise(F.array().cast("array<int>"))
+
+    def pieces(bound: Column) -> Column:
+        """The windows' texts, each cut out once; strides make that linear in the text."""
+        if size % stride:
+            cut = lambda i: bound["text"].substr(i + 1, F.lit(size))
+        else:
+            cut = lambda i: F.array_join(
+                F.slice(bound["strides"], (i / stride).cast("int") + 1, F.lit(size // stride)), ""
+            )
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), cut(i).alias("piece")))
+
+    strides = F.regexp_extract_all(s, F.lit(f"(?s)(.{{1,{stride}}})"), F.lit(1))
+    windows = F.get(F.transform(F.array(F.struct(s.alias("text"), strides.alias("strides"))), pieces), F.lit(0))
     scored = F.transform(
-        starts, lambda i: F.struct(i.alias("start"), (i + size).alias("end"), density(s.substr(i + 1, F.lit(size))).alias("density"))
+        windows,
+        lambda w: F.struct(
+            w["start"].alias("start"), (w["start"] + size).alias("end"), density(w["piece"]).alias("density")
+        ),
     )
     hits = F.filter(scored, lambda w: w["density"] >= threshold)
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,density:double>>")

@@ -16,7 +16,7 @@ from passages.functions import vectors as V
 from passages.operators.scan import BLOCK_ROWS, block_of, neighbours
 
 KEYS = ("seq",)
-MAX_CELLS = 20_000_000
+MAX_ENTRIES = 20_000
 
 
 def vector_sum(v: str) -> Column:
@@ -103,10 +103,11 @@ def meaning_scores(
     The catalogue (labels x dimensions) is checked to be small and goes to the tasks; a
     sequence's own sums meet its items block by block, so a long sequence stays split."""
     keys = list(keys)
-    dim = texts.select(F.size("text_vector")).first()[0]
-    if texts.count() * dim > MAX_CELLS:
+    catalogue = texts.join(corpus_totals(sums), "label", "left").limit(MAX_ENTRIES + 1).toPandas()
+    if len(catalogue) > MAX_ENTRIES:
         raise ValueError("the label catalogue is too large to send to the tasks")
-    catalogue = texts.join(corpus_totals(sums), "label", "left").orderBy("label").toPandas()
+    catalogue = catalogue.sort_values("label")
+    dim = len(catalogue["text_vector"].iloc[0])
     labels = {int(v): i for i, v in enumerate(catalogue["label"])}
     stack = lambda c: np.stack([np.asarray(x, dtype=float) for x in catalogue[c]])
     text, fallback = stack("text_vector"), stack("fallback")

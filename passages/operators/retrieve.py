@@ -22,14 +22,19 @@ from passages.functions.batch import batch_udf
 
 OFF = -1
 SLICE_ROWS = 4096
-MAX_ENTRY_CELLS = 20_000_000
+MAX_ENTRIES = 20_000
 
 
 def _slices(queries: DataFrame, slice_rows: int) -> Iterator[pd.DataFrame]:
-    n = max(1, ceil(queries.count() / slice_rows))
+    """The queries in parts of about ``slice_rows``; a batch that fits comes in one job."""
+    rows = queries.select("query", "vector")
+    whole = rows.limit(slice_rows + 1).toPandas()
+    if len(whole) <= slice_rows:
+        yield whole
+        return
+    n = ceil(rows.count() / slice_rows)
     for i in range(n):
-        part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == i)
-        yield part.select("query", "vector").toPandas()
+        yield rows.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == i).toPandas()
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -86,26 +91,27 @@ def topk_cosine(
 
 
 def entry_matrix(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and vectors of a catalogue, counted before they come to the driver."""
-    first = entries.select(F.size("vector")).first()
-    if entries.count() * (first[0] if first else 0) > MAX_ENTRY_CELLS:
+    """Labels and vectors of a catalogue of at most ``MAX_ENTRIES`` vectors."""
+    table = entries.select("label", "vector").limit(MAX_ENTRIES + 1).toPandas().sort_values("label", kind="stable")
+    if len(table) > MAX_ENTRIES:
         raise ValueError("the label catalogue is too large to send to the tasks; match it in slices")
-    table = entries.select("label", "vector").orderBy("label").toPandas()
     return table["label"].to_numpy(), _matrix(table["vector"])
 
 
-def label_scores(rows: DataFrame, entries: DataFrame, vector: str = "vector", name: str = "scores") -> DataFrame:
-    """``rows`` plus the best similarity to each label's entry vectors, an array in label
-    order; ``entries(label, vector)`` may hold several vectors per label."""
+def label_scores(
+    rows: DataFrame, entries: DataFrame, vector: str = "vector", name: str = "scores"
+) -> tuple[DataFrame, list[int]]:
+    """``rows`` plus the best similarity to each label's entry vectors, and the labels in the
+    order of that array; ``entries(label, vector)`` may hold several vectors per label."""
     labels, m = entry_matrix(entries)
-    _, starts = np.unique(labels, return_index=True)
+    names, starts = np.unique(labels, return_index=True)
 
     @batch_udf("array<double>")
     def score(vs: pd.Series) -> pd.Series:
         sims = _matrix(vs) @ m.T
         return pd.Series(list(np.maximum.reduceat(sims, starts, axis=1)))
 
-    return rows.withColumn(name, score(vector))
+    return rows.withColumn(name, score(vector)), [int(v) for v in names]
 
 
 def _best_labels(vectors: Column, entries: DataFrame, threshold: float, k: int) -> Column:
@@ -216,9 +222,8 @@ def rank_labels(
     matched = matches.join(long_enough, "query", "left_semi").select(
         "query", "label", F.lit(1).alias("source"), (-F.col("score")).alias("ord")
     )
-    labels = [r["label"] for r in profiles.select("label").distinct().orderBy("label").collect()]
+    scored, labels = label_scores(queries.select("query", "vector"), profiles.withColumnRenamed("profile", "vector"))
     table = F.array(*map(F.lit, labels))
-    scored = label_scores(queries.select("query", "vector"), profiles.withColumnRenamed("profile", "vector"))
     by_profile = scored.select("query", F.posexplode("scores").alias("i", "s")).select(
         "query", F.get(table, F.col("i")).alias("label"), F.lit(2).alias("source"), (-F.round("s", 10)).alias("ord")
     )

@@ -242,8 +242,11 @@ def profiles(spark, d):
 def z_fusion(spark, d):
     q, ix = queries(spark, d), index(spark, d)
     pf = profiles(spark, d)
-    scored = R.label_scores(q.select("query", "vector"), pf.withColumnRenamed("profile", "vector"))
-    grid = scored.select("query", F.posexplode("scores").alias("label", "profile"))
+    scored, labels = R.label_scores(q.select("query", "vector"), pf.withColumnRenamed("profile", "vector"))
+    place = F.array(*map(F.lit, labels))
+    grid = scored.select("query", F.posexplode("scores").alias("i", "profile")).select(
+        "query", F.get(place, F.col("i")).alias("label"), "profile"
+    )
     words = R.bm25(q.select("query", tokens().alias("tokens")), benchmark(spark, d).select("label", tokens().alias("tokens")))
     grid = grid.join(words.withColumnRenamed("score", "bm25"), ["query", "label"], "left")
     grid = grid.join(R.vote(q, ix).withColumnRenamed("score", "vote"), ["query", "label"], "left").fillna(0.0, ["bm25", "vote"])
