@@ -11,7 +11,8 @@ def batch_udf(returns: str) -> Callable:
     """``pandas_udf`` that the optimiser neither repeats nor moves.
 
     A filter on the result, or the 'array is not empty' filter Spark infers for an explode,
-    would otherwise be pushed below and call the function a second time."""
+    would otherwise be pushed below and call the function a second time. Arguments should
+    be columns or fields, not expressions with lambdas."""
 
     def wrap(fn: Callable):
         return F.pandas_udf(fn, returns).asNondeterministic()

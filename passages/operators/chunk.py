@@ -14,7 +14,6 @@ from passages.functions import text as T
 from passages.functions.batch import batch_udf
 
 _SPANS = "array<struct<char_start:int,char_end:int,n_words:int>>"
-_TIMED = "array<struct<start:double,end:double,text:string>>"
 
 
 def _sentence_spans(text: str, limit: int, pack: int) -> list[tuple[int, int, int]]:
@@ -78,45 +77,42 @@ def pack_sentences(
     )
 
 
+def _spoken(segments: Column) -> Column:
+    """Trimmed texts of the segments that have one, joined."""
+    texts = F.filter(F.transform(segments, lambda s: F.trim(s["text"])), lambda t: t != "")
+    return F.array_join(texts, " ")
+
+
 def pack_segments(docs: DataFrame, segments: str = "segments", target: int = 100) -> DataFrame:
-    """The same packing over timed segments: first start, last end, offsets in the joined text."""
-    kept = F.filter(
-        F.transform(segments, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.trim(s["text"]).alias("text"))),
-        lambda s: s["text"] != "",
-    )
+    """The same packing over timed segments: first start, last end, offsets in the joined text.
+    Blank segments do not count."""
 
     @batch_udf("array<struct<first:int,last:int,char_start:int,char_end:int,n_words:int>>")
-    def groups(lengths: pd.Series, weights: pd.Series) -> pd.Series:
-        def one(ls, ws):
-            starts, at = [], 0
-            for n in ls:
-                starts.append(at)
-                at += n + 1
+    def groups(texts: pd.Series) -> pd.Series:
+        def one(ts) -> list[tuple]:
+            kept = [(i, t.strip()) for i, t in enumerate([] if ts is None else ts) if t and t.strip()]
+            weights = [len(t.split()) for _, t in kept]
+            starts = np.cumsum([0] + [len(t) + 1 for _, t in kept])
             return [
-                (a, b - 1, starts[a], starts[b - 1] + ls[b - 1], int(sum(ws[a:b])))
-                for a, b in _pack(list(ws), target)
+                (kept[a][0], kept[b - 1][0], int(starts[a]), int(starts[b]) - 1, sum(weights[a:b]))
+                for a, b in _pack(weights, target)
             ]
 
-        return pd.Series([one(a, b) for a, b in zip(lengths, weights, strict=True)])
+        return texts.map(one)
 
-    rows = docs.withColumn("__kept", kept).withColumn(
-        "__groups",
-        groups(
-            F.transform("__kept", lambda s: F.length(s["text"])), F.transform("__kept", lambda s: T.n_words(s["text"]))
-        ),
-    )
+    rows = docs.withColumn("__groups", groups(F.col(segments)["text"]))
     out = rows.select("*", F.posexplode("__groups").alias("pos", "__g"))
-    part = F.slice("__kept", F.col("__g.first") + 1, F.col("__g.last") - F.col("__g.first") + 1)
+    part = F.slice(segments, F.col("__g.first") + 1, F.col("__g.last") - F.col("__g.first") + 1)
     return out.withColumns(
         {
-            "text": F.array_join(F.transform(part, lambda s: s["text"]), " "),
+            "text": _spoken(part),
             "char_start": F.col("__g.char_start"),
             "char_end": F.col("__g.char_end"),
-            "time_start": F.element_at(part, 1)["start"],
-            "time_end": F.element_at(part, -1)["end"],
+            "time_start": F.get(part, F.lit(0))["start"],
+            "time_end": F.get(part, F.size(part) - 1)["end"],
             "n_words": F.col("__g.n_words"),
         }
-    ).drop("__kept", "__groups", "__g", segments)
+    ).drop("__groups", "__g", segments)
 
 
 def word_windows(
@@ -151,44 +147,41 @@ def time_merge(
     docs: DataFrame, segments: str = "segments", target: float = 90.0, shortest: float = 30.0
 ) -> DataFrame:
     """Timed segments joined until the next one would reach ``target`` seconds; a chunk
-    under ``shortest`` seconds goes to the one before it."""
+    under ``shortest`` seconds goes to the one before it. Blank segments do not count."""
 
     @batch_udf("array<struct<first:int,last:int>>")
-    def groups(starts: pd.Series, ends: pd.Series) -> pd.Series:
-        def one(ss, es):
-            raw, first = [], 0
-            for i in range(1, len(ss)):
-                if es[i] - ss[first] >= target:
-                    raw.append((first, i - 1))
-                    first = i
-            if len(ss):
-                raw.append((first, len(ss) - 1))
+    def groups(starts: pd.Series, ends: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(ss, es, ts) -> list[tuple[int, int]]:
+            kept = [i for i, t in enumerate([] if ts is None else ts) if t and t.strip()]
+            chunks: list[tuple[int, int]] = []
+            for i in kept:
+                if chunks and es[i] - ss[chunks[-1][0]] < target:
+                    chunks[-1] = (chunks[-1][0], i)
+                else:
+                    chunks.append((i, i))
             merged: list[tuple[int, int]] = []
-            for a, b in raw:
+            for a, b in chunks:
                 if merged and es[b] - ss[a] < shortest:
                     merged[-1] = (merged[-1][0], b)
                 else:
                     merged.append((a, b))
             return merged
 
-        return pd.Series([one(list(a), list(b)) for a, b in zip(starts, ends, strict=True)])
+        return pd.Series([one(*row) for row in zip(starts, ends, texts, strict=True)])
 
-    kept = F.filter(segments, lambda s: F.trim(s["text"]) != "")
-    rows = docs.withColumn("__kept", kept).withColumn(
-        "__groups",
-        groups(F.transform("__kept", lambda s: s["start"]), F.transform("__kept", lambda s: s["end"])),
-    )
-    part = F.slice("__kept", F.col("__g.first") + 1, F.col("__g.last") - F.col("__g.first") + 1)
+    s = F.col(segments)
+    rows = docs.withColumn("__groups", groups(s["start"], s["end"], s["text"]))
+    part = F.slice(segments, F.col("__g.first") + 1, F.col("__g.last") - F.col("__g.first") + 1)
     return (
         rows.select("*", F.posexplode("__groups").alias("pos", "__g"))
         .withColumns(
             {
-                "start": F.element_at(part, 1)["start"],
-                "end": F.element_at(part, -1)["end"],
-                "text": F.array_join(F.transform(part, lambda s: F.trim(s["text"])), " "),
+                "start": F.get(part, F.lit(0))["start"],
+                "end": F.get(part, F.size(part) - 1)["end"],
+                "text": _spoken(part),
             }
         )
-        .drop("__kept", "__groups", "__g", segments)
+        .drop("__groups", "__g", segments)
     )
 
 
@@ -256,8 +249,9 @@ def pos_to_time(points: Column, segments: Column) -> Column:
     segments the last end. Segments are joined by one space."""
 
     @batch_udf("array<double>")
-    def at(ps: pd.Series, lengths: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        def one(p, n, s, e):
+    def at(ps: pd.Series, texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        def one(p, t, s, e):
+            n = np.array([len(x) for x in t], dtype=int)
             if not len(n):
                 return np.zeros(len(p))
             first = np.concatenate([[0], np.cumsum(np.asarray(n) + 1)[:-1]])
@@ -265,14 +259,9 @@ def pos_to_time(points: Column, segments: Column) -> Column:
             share = (p - first[i]) / np.maximum(1, n[i])
             return np.where((p >= first[i]) & (p < first[i] + n[i]), s[i] + share * (e[i] - s[i]), e[-1])
 
-        return pd.Series([one(*map(np.asarray, row)) for row in zip(ps, lengths, starts, ends, strict=True)])
+        return pd.Series([one(*map(np.asarray, row)) for row in zip(ps, texts, starts, ends, strict=True)])
 
-    return at(
-        points,
-        F.transform(segments, lambda s: F.length(s["text"])),
-        F.transform(segments, lambda s: s["start"].cast("double")),
-        F.transform(segments, lambda s: s["end"].cast("double")),
-    )
+    return at(points, segments["text"], segments["start"], segments["end"])
 
 
 def density_windows(

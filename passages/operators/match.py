@@ -213,8 +213,11 @@ def two_pass_anchors(
     def find(texts: pd.Series, stretches: pd.Series) -> pd.Series:
         return pd.Series([one(t or "", s) for t, s in zip(texts, stretches, strict=True)])
 
+    # an explode of one element keeps the two steps apart: merged into one projection, the
+    # lambdas inside the argument keep Spark from taking the function out
     dense = density_windows(F.col(text), density, threshold=min_density)
-    return docs.withColumn("hits", find(F.col(text), dense))
+    rows = docs.select("*", F.explode(F.array(dense)).alias("__dense"))
+    return rows.withColumn("hits", find(F.col(text), F.col("__dense"))).drop("__dense")
 
 
 def near_cues(hits: str = "hits", cues: str = "cues", within: int = 500) -> Column:

@@ -23,7 +23,7 @@ def timed(spark, d, seconds=20.0):
             (i * F.lit(seconds)).alias("start"), ((i + 1) * F.lit(seconds)).alias("end"), F.trim(x).alias("text")
         ),
     )
-    return docs(spark, d).select("doc_id", segments.alias("segments"))
+    return docs(spark, d).select("doc_id", F.explode(F.array(segments)).alias("segments"))
 
 
 LINES_SQL = """l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls
@@ -119,7 +119,7 @@ def pos_to_time(spark, d):
     t = timed(spark, d).filter(F.size("segments") > 0)
     total = F.length(F.array_join(F.transform("segments", lambda s: s["text"]), " "))
     points = F.sequence(F.lit(0), F.floor((total + 499) / 500).cast("int") * 500, F.lit(500))
-    out = t.select("doc_id", points.alias("points"), "segments")
+    out = t.select("doc_id", F.explode(F.array(points)).alias("points"), "segments")
     out = out.withColumn("seconds", C.pos_to_time(F.col("points"), F.col("segments")))
     out = out.select("doc_id", F.explode(F.arrays_zip("points", "seconds")).alias("z"))
     return out.select("doc_id", F.col("z.points").alias("point"), F.round("z.seconds", 6).alias("seconds"))
