@@ -95,7 +95,7 @@ def entry_matrix(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = entries.select("label", "vector").limit(MAX_ENTRIES + 1).toPandas().sort_values("label", kind="stable")
     if len(table) > MAX_ENTRIES:
         raise ValueError("the label catalogue is too large to send to the tasks; match it in slices")
-    return table["label"].to_numpy(), _matrix(table["vector"])
+    return table["label"].to_numpy(), _matrix(table["vector"]) if len(table) else np.zeros((0, 0))
 
 
 def label_scores(
@@ -114,8 +114,7 @@ def label_scores(
     return rows.withColumn(name, score(vector)), [int(v) for v in names]
 
 
-def _best_labels(vectors: Column, entries: DataFrame, threshold: float, k: int) -> Column:
-    labels, m = entry_matrix(entries)
+def _best_labels(vectors: Column, labels: np.ndarray, m: np.ndarray, threshold: float, k: int) -> Column:
     names, starts = np.unique(labels, return_index=True)
 
     @batch_udf("array<struct<label:int,score:double>>")
@@ -131,18 +130,23 @@ def _best_labels(vectors: Column, entries: DataFrame, threshold: float, k: int)
 
 def vector_match(
     rows: DataFrame, entries: DataFrame, threshold: float, k: int, key: str = "item", vector: str = "vector",
-    slice_labels: int = 10_000,
+    slice_rows: int = 10_000,
 ) -> DataFrame:
     """(key, label, score, rank): the best labels of an item at or above the threshold.
 
     The labels go through in slices that fit the tasks; each slice keeps its best k per
     item, so the result is that of the whole catalogue."""
-    n = max(1, ceil(entries.select("label").distinct().count() / slice_labels))
+    n = max(1, ceil(entries.count() / slice_rows))
     found = None
     for i in range(n):
         part = entries if n == 1 else entries.filter(F.pmod(F.xxhash64("label"), F.lit(n)) == i)
-        one = rows.select(key, F.inline(_best_labels(F.col(vector), part, threshold, k)))
+        labels, m = entry_matrix(part)
+        if not len(labels):
+            continue
+        one = rows.select(key, F.inline(_best_labels(F.col(vector), labels, m, threshold, k)))
         found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("the catalogue is empty")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "label"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -378,6 +382,18 @@ def coverage(index: DataFrame, segments: DataFrame, by: Sequence[str] = ("speake
     return deep.join(passing, ["label", *by], "full_outer").fillna(0, ["segments", "items", "passing"])
 
 
+def ordered_coverage(
+    cover: DataFrame, order: Sequence[str], keep: Sequence[str] | None = None, group: str = "tradition", speaker: str = "speaker"
+) -> DataFrame:
+    """Coverage for display: groups in a fixed order, unknown ones after them by name, and in
+    a group the speaker with the deepest segment first. ``keep`` only hides groups."""
+    names = F.array(*map(F.lit, order))
+    place = F.when(F.array_contains(names, F.col(group)), F.array_position(names, F.col(group))).otherwise(len(order) + 1)
+    shown = cover if keep is None else cover.filter(F.col(group).isin(*keep))
+    placed = shown.withColumn("place", place.cast("int"))
+    return placed.orderBy("label", "place", group, F.desc(F.coalesce("deepest", F.lit(0.0))), speaker)
+
+
 def segment_items(index: DataFrame, segments: DataFrame) -> DataFrame:
     """Items of each segment, by the run number both sides carry."""
     return index.select("seq", "run", "pos", "item").join(segments.select("seq", "run", "first_unit", "dwell"), ["seq", "run"])

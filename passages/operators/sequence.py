@@ -312,7 +312,7 @@ def adapt_counts(
         F.count(F.lit(1)).alias("n"), F.sum(p_off).alias("off_sum"), F.count_if(change).alias("changes")
     )
     names = counts.columns
-    out = per.join(counts.withColumn("__one", F.lit(1)), F.lit(True))
+    out = per.join(F.broadcast(counts))  # a single row
     if kappa is None:
         return out.select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
     c = {name: F.col(name).cast("double") for name in names}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passages.operators import decode as D
 from passages.operators import ensemble as N
+from passages.operators import evaluate as E
 from passages.operators import learn as L
 from passages.operators import sequence as S
 from passages.plans.evaluation_queries import GOLD_SQL, LB, labelled, rounded
@@ -42,6 +43,18 @@ def cascade(spark, d):
     return out.select("unit", "layer", F.array_join("out", ";").alias("out"))
 
 
+@query(
+    "layer_report",
+    f"""WITH {SY}, r AS (SELECT CASE WHEN len(anchor) > 0 THEN 'anchors' WHEN conf >= 0.9 THEN 'confident' ELSE 'fallback' END AS layer, CASE WHEN len(gold) = 0 THEN 'OFF' ELSE 'T' || (1 + unit % 5) END AS tier,
+             CASE WHEN len(anchor) > 0 THEN oc WHEN conf >= 0.9 THEN oa ELSE ob END AS r, ob FROM ok)
+        SELECT layer, tier, count(*) AS accepted, count(*) FILTER (WHERE r) AS "right", count(*) FILTER (WHERE ob) AS fallback_right FROM r GROUP BY ROLLUP (layer, tier)""",
+)
+def layer_report(spark, d):
+    out = N.override_cascade(systems(spark, d), layers(), "b")
+    tier = F.when(F.size("gold") == 0, "OFF").otherwise(F.get("tiers", F.lit(0))["tier"])
+    return E.layer_report(out.withColumn("tier", tier), fallback="b")
+
+
 KEEP = """SELECT {by} sum(oc::INT - ob::INT) FILTER (WHERE len(anchor) > 0) AS d1, sum(oa::INT - ob::INT) FILTER (WHERE conf >= 0.9) AS d2,
    sum(oa::INT - ob::INT) FILTER (WHERE conf >= 0.9 AND len(anchor) = 0) AS d21 FROM ok {group}"""
 

@@ -414,6 +414,18 @@ def coverage(spark, d):
     return out.withColumn("deepest", F.round("deepest", 6))
 
 
+@query(
+    "coverage_ordered",
+    f"""WITH {SEG}, dp AS (SELECT prim AS label, speaker, tradition, max(ed) AS deepest FROM sg WHERE prim <> -1 GROUP BY ALL),
+        pa AS (SELECT DISTINCT label, speaker, tradition FROM (SELECT speaker, tradition, prim, unnest(secondary) AS label FROM ix) WHERE prim <> label)
+        SELECT label, speaker, tradition, round(deepest, 6) AS deepest, CASE tradition WHEN 't2' THEN 1 ELSE 2 END AS place FROM dp FULL JOIN pa USING (label, speaker, tradition) WHERE tradition IN ('t2', 't0')""",
+)
+def coverage_ordered(spark, d):
+    cover = R.coverage(index(spark, d), indexed_segments(spark, d))
+    out = R.ordered_coverage(cover, ["t2"], keep=["t2", "t0"])
+    return out.select("label", "speaker", "tradition", F.round("deepest", 6).alias("deepest"), "place")
+
+
 @query("segment_items", f"WITH {SEG} SELECT rn.seq, rn.run::BIGINT AS run, rn.pos, rn.item, sg.first_unit, sg.dwell FROM rn JOIN sg ON sg.seq = rn.seq AND sg.run = rn.run")
 def segment_items(spark, d):
     rows = index(spark, d).withColumns({"n_words": F.lit(1), "unit": F.col("item")})

@@ -54,13 +54,13 @@ def test_topk_per_group_with_weight(index, queries):
             assert [got[i, g][k] for k in (1, 2, 3)] == [r[0] for r in want]
 
 
-@pytest.mark.parametrize("slice_labels", [2, 100])
-def test_vector_match_in_slices(spark, index, slice_labels):
+@pytest.mark.parametrize("slice_rows", [2, 100])
+def test_vector_match_in_slices(spark, index, slice_rows):
     v, _, items = index
     e = unit(np.random.default_rng(2), 10)
     entries = spark.createDataFrame([(i // 2, [float(x) for x in e[i]]) for i in range(10)], "label int, vector array<double>")
     got = {}
-    for r in R.vector_match(items, entries, 0.1, 2, slice_labels=slice_labels).collect():
+    for r in R.vector_match(items, entries, 0.1, 2, slice_rows=slice_rows).collect():
         got.setdefault(r["item"], {})[r["rank"]] = r["label"]
     best = np.round((v @ e.T).reshape(120, 5, 2).max(axis=2), 10)
     for i in range(120):
