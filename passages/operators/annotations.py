@@ -47,15 +47,11 @@ def gold(view: DataFrame) -> DataFrame:
     """One row per reviewed item: ``labels`` array<struct<label, tier>> with the most
     faithful tier of each label, empty for a reviewed item without one."""
     rank = fidelity(F.col("tier"))
-    best = (
-        view.filter(~F.col("label").isin("", "NONE"))
-        .groupBy("item", "label")
-        .agg(F.min_by(F.upper(F.trim("tier")), F.struct(rank, "created_at", "row_no")).alias("tier"))
+    best = view.groupBy("item", "label").agg(
+        F.min_by(F.upper(F.trim("tier")), F.struct(rank, "created_at", "row_no")).alias("tier")
     )
-    labelled = best.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("label", "tier"))).alias("labels"))
-    reviewed = view.select("item").distinct()
-    empty = F.array().cast("array<struct<label:string,tier:string>>")
-    return reviewed.join(labelled, "item", "left").withColumn("labels", F.coalesce("labels", empty))
+    real = F.when(~F.col("label").isin("", "NONE"), F.struct("label", "tier"))
+    return best.groupBy("item").agg(F.array_sort(F.collect_list(real)).alias("labels"))
 
 
 def malformed_tiers(view: DataFrame) -> DataFrame:
