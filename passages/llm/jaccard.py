@@ -39,9 +39,7 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 def sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of a batch with the sorted shingle hashes of each row."""
     for part in slices(batch):
-        words = Words(part.column("text"), fold=True)
-        h, first = words.hashes(), words.first
-        yield part, [shingles(h[first[i] : first[i + 1]], width) for i in range(len(words))]
+        yield part, shingles(Words(part.column("text"), fold=True), width)
 
 
 def set_ids(rows: list[np.ndarray]) -> pa.Array:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.words import Words, mix, ngrams, signed, slices
+from passages.llm.words import Words, distinct, mix, ngrams, signed, slices
 from passages.session import checkpoint_dir
 
 INNER = 5
@@ -38,12 +38,13 @@ CELL_BITS = 16
 
 
 def _windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix hashes and anchors of the windows of one document."""
+    """Prefix hashes and anchors of the windows that start at each word; the last ``length - 1`` starts have none."""
     inner = ngrams(hashes, min(INNER, length))
-    anchors = inner[: len(hashes) - length + 1].copy()
+    size = max(0, len(hashes) - length + 1)
+    anchors = inner[:size].copy()
     for k in range(1, length - min(INNER, length) + 1):
-        np.minimum(anchors, inner[k : k + len(anchors)], out=anchors)
-    return inner[: len(anchors)], anchors
+        np.minimum(anchors, inner[k : k + size], out=anchors)
+    return inner[:size], anchors
 
 
 def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,8 +74,9 @@ def _ask_anchors(length: int):
                 h, first = words.hashes(), words.first
                 ids = part.column("doc_id").to_numpy()
                 keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                every = _windows(h, length)[1]
                 for i in np.flatnonzero(words.counts() >= length):
-                    anchors = np.unique(_windows(h[first[i] : first[i + 1]], length)[1])
+                    anchors = distinct(every[first[i] : first[i + 1] - length + 1])
                     keys.append(anchors)
                     docs.append(np.full(len(anchors), ids[i], np.int64))
                 key, doc, run_, head = _distinct(np.concatenate(keys), np.concatenate(docs))
@@ -129,17 +131,17 @@ def _ask_windows(length: int, frequent: np.ndarray):
                 h, first = words.hashes(), words.first
                 ids = part.column("doc_id").to_numpy()
                 keys, docs, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                prefixes, anchors = _windows(h, length)
+                wholes = ngrams(h, length)
                 for i, shared in enumerate(_listed(part, "anchors")):
-                    mine = h[first[i] : first[i + 1]]
-                    if len(mine) < length:
+                    if first[i + 1] - first[i] < length:
                         continue
-                    prefix, anchors = _windows(mine, length)
-                    some = np.isin(anchors, shared)
-                    often = frequent[(anchors >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                    whole = ngrams(mine, length)
-                    keys.append(whole[some])
-                    docs.append(np.full(some.sum(), ids[i], np.int64))
-                    ats.append(np.where(often, mix(whole), prefix)[some])
+                    at = np.arange(first[i], first[i + 1] - length + 1)
+                    at = at[np.isin(anchors[at], shared)]
+                    often = frequent[(anchors[at] >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    keys.append(wholes[at])
+                    docs.append(np.full(len(at), ids[i], np.int64))
+                    ats.append(np.where(often, mix(wholes[at]), prefixes[at]))
                 key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
                 order = np.lexsort((doc, key))
                 key, doc, at = key[order], doc[order], at[order]
@@ -174,13 +176,13 @@ def _cut(length: int):
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"))
-                h, first = words.hashes(), words.first
+                wholes, first = ngrams(words.hashes(), length), words.first
                 total, gone, kept, digest, spans = [], [], [], [], []
                 for i, marks in enumerate(_listed(part, "marks")):
                     a, b = first[i], first[i + 1]
                     edge = np.zeros(b - a + 1, np.int32)
                     if len(marks) and b - a >= length:
-                        hit = np.flatnonzero(np.isin(ngrams(h[a:b], length), marks))
+                        hit = np.flatnonzero(np.isin(wholes[a : b - length + 1], marks))
                         np.add.at(edge, hit, 1)
                         np.add.at(edge, hit + length, -1)
                     covered = np.cumsum(edge[:-1]) > 0

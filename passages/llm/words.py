@@ -92,11 +92,19 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct n-grams; fewer than n words count as one, no words as none."""
-    if len(hashes) == 0:
-        return np.zeros(0, np.uint64)
-    return np.unique(ngrams(hashes, n) if len(hashes) >= n else ngrams(hashes, len(hashes)))
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def shingles(words: Words, n: int) -> list[np.ndarray]:
+    """Sorted distinct n-grams of every row; fewer than n words count as one, no words as none."""
+    h, first = words.hashes(), words.first
+    grams = ngrams(h, n)
+    return [
+        distinct(grams[a : b - n + 1]) if b - a >= n else ngrams(h[a:b], b - a) if b > a else h[:0] for a, b in zip(first[:-1], first[1:])
+    ]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
