@@ -59,11 +59,12 @@ def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _dealt(key, doc, known, at):
     return pa.RecordBatch.from_arrays(
-        [pa.array(signed(at)), pa.array(signed(key)), pa.array(doc), pa.array(known)], ["at", "key", "doc_id", "known"]
+        [pa.array((at >> np.uint64(40)).astype(np.int32)), pa.array(signed(key)), pa.array(doc), pa.array(known)],
+        ["at", "key", "doc_id", "known"],
     )
 
 
-DEALT = "at long, key long, doc_id long, known boolean"
+DEALT = "at int, key long, doc_id long, known boolean"
 
 
 def _ask_anchors(length: int):
@@ -233,7 +234,9 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     asked = texts.join(wanted, "doc_id").mapInArrow(_ask_windows(length, frequent), DEALT)
     found = asked.repartition(groups, "at").mapInArrow(_answer_windows, "doc_id long, key long")
     marks = found.groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
-    joined = docs.join(marks, "doc_id", "left")
+    # the same shuffled texts serve both joins; rows without an id have nothing to join
+    joined = docs.filter("doc_id IS NOT NULL").join(marks, "doc_id", "left")
+    joined = joined.unionByName(docs.filter("doc_id IS NULL").withColumn("marks", F.lit(None).cast("array<long>")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("marks").schema)
     new = "n_words long, n_removed long, kept string, kept_sha256 string, spans array<struct<start:long,end:long>>"
     return joined.mapInArrow(_cut(length), f"{kinds}, {new}")
