@@ -10,7 +10,7 @@ the group has qualified. All steps are exact: the bounds lose no pair that reach
   shares with the union of a group can only be larger.
 * The group of a set is its first token in that order: near copies mostly agree in it, and passages that many
   documents share do not decide it.
-* Qualified groups are opened at their pivot first. Where pivots have joined the classes of a set and of all members,
+* A set's own group qualifies; other groups do by their hits. Qualified groups are opened at their pivot first. Where pivots have joined the classes of a set and of all members,
   nothing is left to look up; the rest are compared one by one through the tokens they share.
 """
 
@@ -135,45 +135,36 @@ def _shown_tokens(docs: DataFrame, ranks: np.ndarray, width: int, percent: int)
 
 
 def _meetings(batches):
-    """Rows sorted by token in; (set, group, hits) out, added up over the tokens of a stretch of rows."""
-
-    def count(token, sid, n, group):
-        order = np.lexsort((sid, group, token))
-        token, sid, n, group = token[order], sid[order], n[order], group[order]
-        new = np.r_[True, token[1:] != token[:-1]]
-        run = np.cumsum(new) - 1
-        several = np.bincount(run)[run] > 1
-        token, sid, n, group = token[several], sid[several], n[several], group[several]
-        if not len(token):
-            return None
-        cell_new = np.r_[True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])]
-        at = np.flatnonzero(cell_new)
-        cell_token, cell_group, cell_size = token[at], group[at], np.diff(np.r_[at, len(token)])
+    """Rows sorted by token in; (set, other group, hits) out, added up over the tokens of a stretch of rows."""
+
+    def count(token, sid, group):
+        order = np.lexsort((group, token))
+        token, sid, group = token[order], sid[order], group[order]
+        at = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
+        cell_token, cell_group = token[at], group[at]
         cell_first = np.searchsorted(cell_token, token, "left")
         cells = np.searchsorted(cell_token, token, "right") - cell_first
-        out = []
-        # one cell per row and step, so that the arrays stay as long as the rows
+        out, size = [], 0
+        # one cell of the matrix per row and step, so that the arrays stay as long as the rows
         for k in range(int(cells.max())):
-            some = np.flatnonzero(cells > k)
+            some = np.flatnonzero(cells > max(k, 1))
             cell = cell_first[some] + k
-            keep = (cell_group[cell] != group[some]) | (cell_size[cell] > 1)
-            some, cell = some[keep], cell[keep]
-            out.append(np.stack([sid[some], cell_group[cell], n[some].astype(np.int64)]))
-            if sum(x.shape[1] for x in out) > 1 << 20:
+            keep = cell_group[cell] != group[some]
+            out.append(np.stack([sid[some[keep]], cell_group[cell[keep]]]))
+            size += keep.sum()
+            if size > 1 << 20:
                 yield added(out)
-                out = []
-        if out:
+                out, size = [], 0
+        if size:
             yield added(out)
 
     def added(out):
-        sid, group, n = np.concatenate(out, axis=1)
+        sid, group = np.concatenate(out, axis=1)
         order = np.lexsort((group, sid))
-        sid, group, n = sid[order], group[order], n[order]
-        at = np.flatnonzero(np.r_[True, (sid[1:] != sid[:-1]) | (group[1:] != group[:-1])]) if len(sid) else np.zeros(0, int)
+        sid, group = sid[order], group[order]
+        at = np.flatnonzero(np.r_[True, (sid[1:] != sid[:-1]) | (group[1:] != group[:-1])])
         hits = np.diff(np.r_[at, len(sid)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(sid[at]), pa.array(n[at].astype(np.int32)), pa.array(group[at]), pa.array(hits.astype(np.int64))], ["id", "n", "grp", "hits"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(group[at]), pa.array(hits.astype(np.int64))], ["id", "grp", "hits"])
 
     held = []
     for batch in batches:
@@ -185,12 +176,12 @@ def _meetings(batches):
         cut = int(np.searchsorted(tokens, tokens[-1], "left"))
         if cut:
             done = table.slice(0, cut)
-            yield from count(*(done.column(c).to_numpy() for c in ("token", "id", "n", "grp")))
+            yield from count(*(done.column(c).to_numpy() for c in ("token", "id", "grp")))
             held = table.slice(cut).combine_chunks().to_batches()
     if held:
         table = pa.Table.from_batches(held)
         if table.num_rows:
-            yield from count(*(table.column(c).to_numpy() for c in ("token", "id", "n", "grp")))
+            yield from count(*(table.column(c).to_numpy() for c in ("token", "id", "grp")))
 
 
 def _id_filter(ids: DataFrame, column: str, bits: int = 22) -> np.ndarray:
@@ -277,12 +268,13 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     kept = first.select(F.col("id").alias("doc_id"), F.col("sid").alias("s"))
     seen = _shown_tokens(docs, ranks, width, percent).join(kept, "doc_id").filter("sid = s")
     table = seen.select(F.col("doc_id").alias("id"), "n", "sid", F.element_at("tokens", 1).alias("grp"), "tokens").checkpoint()
-    flat = table.select("id", "n", "grp", F.explode_outer("tokens").alias("token"))
-    hits = flat.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings, "id long, n int, grp long, hits long")
-    need = F.ceil(F.col("n") * percent / F.lit(100))
-    fits = hits.groupBy("id", "n", "grp").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= 1 + F.floor(need / PER_EXTRA)).checkpoint()
-
+    flat = table.select("id", "grp", F.explode_outer("tokens").alias("token"))
+    hits = flat.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings, "id long, grp long, hits long")
     members = table.select("id", "n", "grp")
+    need = F.ceil(F.col("n") * percent / F.lit(100))
+    met = hits.groupBy("id", "grp").agg(F.sum("hits").alias("hits")).join(members.select("id", "n"), "id")
+    # a set's own group holds all its tokens; another has to show enough of them
+    fits = met.filter(F.col("hits") >= 1 + F.floor(need / PER_EXTRA)).select("id", "n", "grp").unionByName(members).checkpoint()
     pivots = members.groupBy("grp").agg(F.min(F.struct("id", "n")).alias("p")).select("grp", F.col("p.id").alias("b"), F.col("p.n").alias("m"))
     near = fits.join(pivots, "grp").filter("id <> b").filter(_sizes("n", "m", percent))
     links = _verified(docs, table, near.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")), width, percent)
@@ -309,10 +301,12 @@ def _rest(table: DataFrame, fits: DataFrame, found: DataFrame, percent: int) ->
     open_ = mine.alias("m").join(kinds.alias("k"), F.col("m.grp") == F.col("k.grp")).filter(F.col("m.c") != F.col("k.c")).filter(sized)
     open_ = open_.select("m.id", "m.n", "m.c", F.col("k.grp").alias("grp"), F.col("k.c").alias("other")).checkpoint()
     seek = open_.select("id", F.col("c").alias("c1"), F.col("grp").alias("to"), F.col("other").alias("c2"))
-    tokens = table.select("id", "n", "grp", F.explode_outer("tokens").alias("token"))
-    left = seek.join(tokens.select("id", "n", "token"), "id")
     there = open_.select("grp", F.col("other").alias("c")).distinct()
-    right = tokens.join(label.select(F.col("id"), "c"), "id").join(there, ["grp", "c"], "left_semi")
+    wanted = label.join(there, ["grp", "c"], "left_semi").select("id", "c")
+    ids = wanted.select("id").union(seek.select("id")).distinct()
+    part = table.join(ids, "id", "left_semi").select("id", "n", "grp", "tokens").checkpoint()
+    left = part.select("id", "n", "tokens").join(seek, "id").select("id", "n", "to", "c2", F.explode_outer("tokens").alias("token"))
+    right = part.join(wanted, "id").select("id", "n", "grp", "c", F.explode_outer("tokens").alias("token"))
     met = left.alias("l").join(
         right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.to") == F.col("r.grp")) & (F.col("l.c2") == F.col("r.c"))
     ).filter((F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent))
