@@ -28,6 +28,7 @@ class Stream:
         self.v = vocabulary
         self.text = ""
         self.at = 0
+        self.mark = 4 * vocabulary.longest
         self.best: list[int | None] = [0]
         self.back: list[tuple[int, tuple[int, ...]] | None] = [None]
 
@@ -41,7 +42,7 @@ class Stream:
 
     def _extend(self, stop: int) -> Iterator[tuple[int, ...]]:
         text, best, back, forward = self.text, self.best, self.back, self.v.forward
-        i, size, mark = self.at, len(text), self.at + 4 * self.v.longest
+        i, size = self.at, len(text)
         while i < stop:
             score = best[i]
             if score is not None:
@@ -59,12 +60,12 @@ class Stream:
                     ids = self.v.spelled(text[i])
                     self._reach(i + 1, score + self.v.byte_score * len(ids), i, ids)
             i += 1
-            if i >= mark:
+            if i >= self.mark:
                 self.at = i
                 yield from self._commit(self._meeting(i))
                 text, best, back, size = self.text, self.best, self.back, len(self.text)
                 stop -= i - self.at
-                i, mark = self.at, self.at + 4 * self.v.longest
+                i, self.mark = self.at, self.at + 4 * self.v.longest
         self.at = i
 
     def _reach(self, j: int, score: int, i: int, ids) -> None:

@@ -186,8 +186,9 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         marks = np.r_[0, np.cumsum(_quotes(words.data))]
         in_row, a, b = row[hits], words.first[row[hits]], words.first[row[hits] + 1]
         before = marks[words.start[hits]] - marks[words.offsets[in_row]]
-        close_to = np.minimum(hits + QUOTE_WORDS, b) - 1
-        after = marks[words.end[close_to]] - marks[words.end[hits]]
+        last = np.minimum(hits + QUOTE_WORDS, b)
+        until = np.where(last < b, words.start[np.minimum(last, len(h) - 1)], words.offsets[in_row + 1])
+        after = marks[until] - marks[words.end[hits]]
         saying = np.r_[0, np.cumsum(np.isin(h, _hashes_of(SAYING)))]
         address = np.r_[0, np.cumsum(np.isin(h, _hashes_of(ADDRESS)))]
         said = saying[hits] - saying[np.maximum(hits - NEAR, a)] > 0
