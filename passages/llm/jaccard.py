@@ -4,14 +4,15 @@ Sets of word shingles are put into groups of similar sets; the matrix holds the
 set is compared with a group only if enough of its tokens are in the union, and with the members of a group only after
 the group has qualified. All steps are exact: the bounds lose no pair that reaches the threshold.
 
-* Tokens have one global order: rare ones first (by a fixed-size histogram of all tokens), then by hash. A set of n
-  tokens that needs ``need = ceil(t n)`` common ones shows its first ``n - need + extra`` tokens, where ``extra`` is
-  ``1 + n // 32``. Two sets over the threshold then share at least ``1 + need // 32`` shown tokens; the number a set
-  shares with the union of a group can only be larger.
-* The group of a set is its first token in that order: near copies mostly agree in it, and passages that many
-  documents share do not decide it.
-* A set's own group qualifies; other groups do by their hits. Qualified groups are opened at their pivot first. Where pivots have joined the classes of a set and of all members,
-  nothing is left to look up; the rest are compared one by one through the tokens they share.
+* Tokens have one global order: rare ones first (by a fixed-size histogram of all tokens), then by hash. Two linked sets
+  of n >= m tokens share at least ``need = ceil(t (n + m) / (1 + t))``, which is no less than ``t n`` and ``2 t m / (1 + t)``.
+  The larger shows its first ``n - ceil(t n) + extra`` tokens, the smaller puts its first ``m - ceil(2 t m / (1 + t)) +
+  extra`` into the matrix, with ``extra = 1 + size // 32``. Shared tokens in either part are the first shared ones in the
+  order, so the parts have at least ``need`` minus the larger unseen rest in common; ``1 + ceil(t n) // 32`` at least.
+* Groups come first: sets that share one of a few minimum hashes are compared with the smallest set of that hash, and
+  what is linked is one group. Most near copies meet here, with one comparison each.
+* The matrix then only matters between groups. A set's own group is done; another qualifies by its hits, and its
+  members are compared with the set through the tokens they share, unless their sizes rule a link out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from passages.session import checkpoint_dir
 CELL_BITS = 20
 PARTS = 16
 PER_EXTRA = 32
+BINS = 16
+BANDS = 8
+ALIKE = 9
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -48,6 +52,14 @@ def set_ids(rows: list[np.ndarray]) -> pa.Array:
     return pa.array(signed(mix(total ^ np.array([len(t) for t in rows], np.uint64))))
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """BINS minimum hashes from one: the first token in each of BINS equal ranges of hashes, or after it."""
+    if not len(tokens):
+        return np.zeros(BINS, np.int32)
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(60)
+    return (tokens[np.searchsorted(tokens, edges) % len(tokens)] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
 def shown(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
     need = -(-percent * n // 100)
@@ -124,38 +136,40 @@ def _shown_tokens(docs: DataFrame, ranks: np.ndarray, width: int, percent: int)
                         part.column("doc_id"),
                         pa.array(n.astype(np.int32)),
                         set_ids(rows),
+                        pa.array([signature(t) for t in rows], pa.list_(pa.int32())),
                         lists(signed(np.concatenate([*take, np.zeros(0, np.uint64)])), [len(t) for t in take], pa.int64()),
                     ],
-                    ["doc_id", "n", "sid", "tokens"],
+                    ["doc_id", "n", "sid", "sig", "tokens"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n int, sid long, tokens array<long>"
+        run, "doc_id long, n int, sid long, sig array<int>, tokens array<long>"
     )
 
 
 def _meetings(batches):
     """Rows sorted by token in; (set, other group, hits) out, added up over the tokens of a stretch of rows."""
 
-    def count(token, sid, group):
-        order = np.lexsort((group, token))
-        token, sid, group = token[order], sid[order], group[order]
-        at = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-        cell_token, cell_group = token[at], group[at]
+    def count(token, sid, group, size):
+        # the matrix: groups by token, with the smallest set that shows the token early
+        early = np.flatnonzero(size > 0)
+        early = early[np.lexsort((size[early], group[early], token[early]))]
+        at = early[np.flatnonzero(np.r_[True, (token[early][1:] != token[early][:-1]) | (group[early][1:] != group[early][:-1])])] if len(early) else early
+        cell_token, cell_group, cell_low = token[at], group[at], size[at]
         cell_first = np.searchsorted(cell_token, token, "left")
         cells = np.searchsorted(cell_token, token, "right") - cell_first
-        out, size = [], 0
-        # one cell of the matrix per row and step, so that the arrays stay as long as the rows
-        for k in range(int(cells.max())):
-            some = np.flatnonzero(cells > max(k, 1))
+        out, rows = [], 0
+        # one cell per row and step, so that the arrays stay as long as the rows
+        for k in range(int(cells.max(initial=0))):
+            some = np.flatnonzero(cells > k)
             cell = cell_first[some] + k
-            keep = cell_group[cell] != group[some]
+            keep = (cell_group[cell] != group[some]) & (cell_low[cell] <= np.abs(size[some]))
             out.append(np.stack([sid[some[keep]], cell_group[cell[keep]]]))
-            size += keep.sum()
-            if size > 1 << 20:
+            rows += keep.sum()
+            if rows > 1 << 20:
                 yield added(out)
-                out, size = [], 0
-        if size:
+                out, rows = [], 0
+        if rows:
             yield added(out)
 
     def added(out):
@@ -176,12 +190,12 @@ def _meetings(batches):
         cut = int(np.searchsorted(tokens, tokens[-1], "left"))
         if cut:
             done = table.slice(0, cut)
-            yield from count(*(done.column(c).to_numpy() for c in ("token", "id", "grp")))
+            yield from count(*(done.column(c).to_numpy() for c in ("token", "id", "grp", "size")))
             held = table.slice(cut).combine_chunks().to_batches()
     if held:
         table = pa.Table.from_batches(held)
         if table.num_rows:
-            yield from count(*(table.column(c).to_numpy() for c in ("token", "id", "grp")))
+            yield from count(*(table.column(c).to_numpy() for c in ("token", "id", "grp", "size")))
 
 
 def _id_filter(ids: DataFrame, column: str, bits: int = 22) -> np.ndarray:
@@ -267,19 +281,17 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = sizes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("id"))
     kept = first.select(F.col("id").alias("doc_id"), F.col("sid").alias("s"))
     seen = _shown_tokens(docs, ranks, width, percent).join(kept, "doc_id").filter("sid = s")
-    table = seen.select(F.col("doc_id").alias("id"), "n", "sid", F.element_at("tokens", 1).alias("grp"), "tokens").checkpoint()
-    flat = table.select("id", "grp", F.explode_outer("tokens").alias("token"))
+    table = seen.select(F.col("doc_id").alias("id"), "n", "sid", "sig", "tokens").dropDuplicates(["id"]).checkpoint()
+    links = _verified(docs, table, _alike(table, percent), width, percent)
+    label = table.select("id", "n").join(components(links).toDF("id", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id")).checkpoint()
+    flat = table.select("id", "n", "tokens").join(label.select("id", "grp"), "id")
+    flat = flat.select("id", "grp", "n", F.posexplode_outer("tokens").alias("pos", "token"))
+    flat = flat.select("id", "grp", F.when(F.col("pos") < _early("n", percent), F.col("n")).otherwise(-F.col("n")).cast("int").alias("size"), "token")
     hits = flat.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings, "id long, grp long, hits long")
-    members = table.select("id", "n", "grp")
     need = F.ceil(F.col("n") * percent / F.lit(100))
-    met = hits.groupBy("id", "grp").agg(F.sum("hits").alias("hits")).join(members.select("id", "n"), "id")
-    # a set's own group holds all its tokens; another has to show enough of them
-    fits = met.filter(F.col("hits") >= 1 + F.floor(need / PER_EXTRA)).select("id", "n", "grp").unionByName(members).checkpoint()
-    pivots = members.groupBy("grp").agg(F.min(F.struct("id", "n")).alias("p")).select("grp", F.col("p.id").alias("b"), F.col("p.n").alias("m"))
-    near = fits.join(pivots, "grp").filter("id <> b").filter(_sizes("n", "m", percent))
-    links = _verified(docs, table, near.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")), width, percent)
-    found = components(links)
-    links = links.unionByName(_verified(docs, table, _rest(table, fits, found, percent), width, percent))
+    met = hits.groupBy("id", "grp").agg(F.sum("hits").alias("hits")).join(label.select("id", "n"), "id")
+    fits = met.filter(F.col("hits") >= 1 + F.floor(need / PER_EXTRA)).select("id", "n", "grp").checkpoint()
+    links = links.unionByName(_verified(docs, table, _between(table, label, fits, percent), width, percent))
     joined = components(links)
     classes = first.join(joined.toDF("id", "component_id"), "id", "left").select("sid", F.coalesce("component_id", "id").alias("component_id"))
     return (
@@ -292,25 +304,40 @@ def _sizes(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _rest(table: DataFrame, fits: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs in qualified groups whose classes the pivots have not joined, and which share enough shown tokens."""
-    label = table.select("id", "n", "grp").join(found.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")).checkpoint()
-    kinds = label.groupBy("grp", "c").agg(F.max("n").alias("top"), F.min("n").alias("low"))
-    mine = fits.select("id", "n", "grp").join(label.select("id", "c"), "id")
-    sized = (F.col("k.top") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("k.low") * percent)
-    open_ = mine.alias("m").join(kinds.alias("k"), F.col("m.grp") == F.col("k.grp")).filter(F.col("m.c") != F.col("k.c")).filter(sized)
-    open_ = open_.select("m.id", "m.n", "m.c", F.col("k.grp").alias("grp"), F.col("k.c").alias("other")).checkpoint()
-    seek = open_.select("id", F.col("c").alias("c1"), F.col("grp").alias("to"), F.col("other").alias("c2"))
-    there = open_.select("grp", F.col("other").alias("c")).distinct()
-    wanted = label.join(there, ["grp", "c"], "left_semi").select("id", "c")
-    ids = wanted.select("id").union(seek.select("id")).distinct()
-    part = table.join(ids, "id", "left_semi").select("id", "n", "grp", "tokens").checkpoint()
-    left = part.select("id", "n", "tokens").join(seek, "id").select("id", "n", "to", "c2", F.explode_outer("tokens").alias("token"))
-    right = part.join(wanted, "id").select("id", "n", "grp", "c", F.explode_outer("tokens").alias("token"))
-    met = left.alias("l").join(
-        right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.to") == F.col("r.grp")) & (F.col("l.c2") == F.col("r.c"))
-    ).filter((F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent))
-    low = F.ceil(F.col("n") * percent / F.lit(100))
-    shared = met.groupBy(F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("r.id").alias("m")).agg(F.count("*").alias("hits"))
-    shared = shared.filter(F.col("hits") >= 1 + F.floor(low / PER_EXTRA))
-    return shared.select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b"))
+def _shown(n: str, percent: int):
+    """How many tokens a set shows: enough to meet every smaller set it links with."""
+    return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * percent / F.lit(100)) + 1 + F.floor(F.col(n) / PER_EXTRA))
+
+
+def _early(n: str, percent: int):
+    """How many of them the matrix holds: enough to meet every larger set it links with."""
+    return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * 2 * percent / F.lit(100 + percent)) + 1 + F.floor(F.col(n) / PER_EXTRA))
+
+
+def _alike(table: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a set and the smallest one with the same minimum hash, if ALIKE of BINS hashes agree."""
+    bands = F.array([F.get("sig", F.lit(k * BINS // BANDS)) for k in range(BANDS)])
+    keyed = table.select("id", "n", "sig", F.posexplode(bands).alias("band", "key"))
+    pivots = keyed.groupBy("band", "key").agg(F.min(F.struct("id", "n", "sig")).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    near = keyed.join(pivots.select("band", "key", F.col("p.id").alias("b"), F.col("p.n").alias("m"), F.col("p.sig").alias("other")), ["band", "key"])
+    agree = F.size(F.filter(F.zip_with("sig", "other", lambda x, y: x == y), lambda same: same))
+    near = near.filter("id <> b").filter(_sizes("n", "m", percent)).filter(agree >= ALIKE)
+    return near.select(F.col("b").alias("a"), F.col("id").alias("b"))
+
+
+def _between(table: DataFrame, label: DataFrame, fits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a set and a member of a qualified group that share enough shown tokens and differ little in size."""
+    kinds = label.groupBy("grp").agg(F.max("n").alias("top"), F.min("n").alias("low"))
+    sized = (F.col("top") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
+    open_ = fits.join(kinds, "grp").filter(sized).select("id", "n", "grp").checkpoint()
+    wanted = label.join(open_.select("grp").distinct(), "grp", "left_semi").select("id", "grp")
+    ids = wanted.select("id").union(open_.select("id")).distinct()
+    part = table.join(ids, "id", "left_semi").select("id", "n", "tokens").checkpoint()
+    early = F.slice("tokens", F.lit(1), _early("n", percent).cast("int"))
+    left = part.select("id", "tokens").join(open_, "id").select("id", "n", "grp", F.explode_outer("tokens").alias("token"))
+    right = part.join(wanted, "id").select(F.col("id").alias("other"), F.col("n").alias("m"), "grp", F.explode_outer(early).alias("token"))
+    met = left.join(right, ["token", "grp"]).filter(F.col("m") <= F.col("n")).filter(_sizes("n", "m", percent))
+    both = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
+    unseen = F.greatest(F.col("n") - _shown("n", percent), F.col("m") - _early("m", percent))
+    shared = met.groupBy("id", "n", "other", "m").agg(F.count("*").alias("hits")).filter(F.col("hits") >= F.greatest(F.lit(1), both - unseen))
+    return shared.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
