@@ -19,7 +19,7 @@ LOWER[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 
