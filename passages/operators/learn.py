@@ -320,7 +320,7 @@ def training_pairs(
 
 def target_grid(items: DataFrame, n_labels: int, gold: str = "gold") -> DataFrame:
     """(unit, label, y) for every label, in label order."""
-    return items.select("unit", "gold", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))).alias("label")).select(
+    return items.select("unit", gold, F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))).alias("label")).select(
         "unit", "label", F.array_contains(gold, F.col("label")).cast("int").alias("y")
     )
 

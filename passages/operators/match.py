@@ -269,13 +269,12 @@ def vote_filter(detections: DataFrame, min_votes: int = 2, keys: Sequence[str] =
 
 
 def position_weight(
-    hits: DataFrame, stop: DataFrame, early: float = 0.2, weight: float = 0.9, threshold: float = 0.0
+    hits: DataFrame, sizes: DataFrame, stop: DataFrame, early: float = 0.2, weight: float = 0.9, threshold: float = 0.0
 ) -> DataFrame:
     """Scores in the first part of a sequence count less; then the threshold, and labels
-    that attract wrong matches go."""
-    sizes = hits.groupBy("seq").agg(F.count(F.lit(1)).alias("__n"))
+    that attract wrong matches go. ``sizes(seq, items)`` has the length of every whole sequence."""
     share = F.col("pos") / F.col("__n")
-    rows = hits.join(sizes, "seq").withColumn(
+    rows = hits.join(sizes.select("seq", F.col("items").alias("__n")), "seq").withColumn(
         "score", F.col("score") * F.when(share < early, F.lit(weight)).otherwise(F.lit(1.0))
     )
     return rows.filter(F.col("score") >= threshold).join(stop, "label", "left_anti").select(*hits.columns)

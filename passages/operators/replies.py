@@ -13,7 +13,7 @@ def parse_answer_lines(replies: DataFrame, ids: DataFrame, last: int = 72) -> tu
     empty for NONE), and per reply the counts of unparsed lines, unanswered items and
     labels out of range. The first line of an item counts."""
     line = F.regexp_replace(F.col("line"), r"^[\s`]+|[\s`]+$", "")
-    pattern = r"^(P\d{3})[\t |:]+(.+)$"
+    pattern = r"^(P\d{3,})[\t |:]+(.+)$"
     lines = (
         replies.select("reply_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
         .withColumn("line", line)
@@ -27,7 +27,7 @@ def parse_answer_lines(replies: DataFrame, ids: DataFrame, last: int = 72) -> tu
         matched.filter("expected").groupBy("reply_id", "item").agg(F.min_by("body", "no").alias("body"))
     )
     tokens = F.filter(F.split("body", r"[;,\s]+"), lambda x: (x != "") & (F.upper(x) != "NONE"))
-    numbers = F.transform("tokens", lambda x: F.regexp_extract(x, r"^2\.(\d{1,2})$", 1).try_cast("int"))
+    numbers = F.transform("tokens", lambda x: F.regexp_extract(x, r"^2\.(\d+)$", 1).try_cast("int"))
     parsed = (
         first.withColumn("tokens", tokens)
         .withColumn("labels", F.filter(numbers, lambda n: (n >= 1) & (n <= last)))

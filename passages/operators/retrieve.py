@@ -211,7 +211,7 @@ def rank_labels(
     min_letters: int = 15, first: int = 1, last: int = 72,
 ) -> DataFrame:
     """(query, label, how, rank) over all labels: references in the text, then text
-    matches, then profile similarity.
+    matches, then profile similarity. Labels without a profile are left out.
 
     ``matches(query, label, score)`` come from a text matcher; a query that has fewer than
     ``min_letters`` letters beside its references is not matched."""
@@ -232,7 +232,7 @@ def rank_labels(
         "query", F.get(table, F.col("i")).alias("label"), F.lit(2).alias("source"), (-F.round("s", 10)).alias("ord")
     )
     known = F.col("label").isin(*labels)
-    every = refs.filter(known).unionByName(matched).unionByName(by_profile)
+    every = refs.unionByName(matched).filter(known).unionByName(by_profile)
     best = every.groupBy("query", "label").agg(F.min(F.struct("source", "ord")).alias("b"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("b.source", "b.ord", "label"))
     how = F.when(F.col("b.source") == 0, "reference").when(F.col("b.source") == 1, "match").otherwise("profile")

@@ -488,8 +488,9 @@ def masked_sequence(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """The sequence in order with resolved items' texts replaced by a tag: one row per
-    ``part_rows`` items, so a long sequence never becomes one string."""
-    line = F.concat(F.lit("P"), (F.col("pos") + 1).cast("string"), F.lit(": "), F.when(F.col(skip), tag).otherwise(F.col(text)))
+    ``part_rows`` items, so a long sequence never becomes one string. Items are called P001, P002, ...,
+    as ``parse_answer_lines`` reads them."""
+    line = F.concat(F.format_string("P%03d: ", F.col("pos") + 1), F.when(F.col(skip), tag).otherwise(F.col(text)))
     parts = items.select(*keys, block_of("pos", part_rows).alias("part"), F.struct("pos", line.alias("line")).alias("l"))
     return parts.groupBy(*keys, "part").agg(
         F.count(F.lit(1)).alias("items"),

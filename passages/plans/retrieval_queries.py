@@ -270,7 +270,7 @@ FULL = SIM + ", " + PF + ", " + RK
 def ranked(spark, d):
     q, pf = queries(spark, d), profiles(spark, d)
     items = q.select("query", "text")
-    matches = M.ngram_match(items, benchmark(spark, d), "query").filter("label <= 9")
+    matches = M.ngram_match(items, benchmark(spark, d), "query")
     return R.rank_labels(q, pf, matches)
 
 

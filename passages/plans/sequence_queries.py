@@ -433,7 +433,7 @@ def reference_context(spark, d):
 @query(
     "masked_sequence",
     """SELECT conv_id AS seq, turn // 4 AS part, count(*) AS items,
-              md5(string_agg('P' || (turn + 1) || ': ' || CASE WHEN role = 'user' THEN '[resolved]' ELSE text END, chr(10) || chr(10) ORDER BY turn)) AS body
+              md5(string_agg(printf('P%03d: ', turn + 1) || CASE WHEN role = 'user' THEN '[resolved]' ELSE text END, chr(10) || chr(10) ORDER BY turn)) AS body
        FROM conversations GROUP BY ALL""",
 )
 def masked_sequence(spark, d):

@@ -187,7 +187,8 @@ def position_weights(spark, d):
 
     rows = items(spark, d).withColumn("score", F.abs(F.get("vector", F.lit(0))))
     stop = spark.createDataFrame([(3,), (7,)], "label int")
-    out = position_weight(rows, stop, threshold=0.05)
+    sizes = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("items"))
+    out = position_weight(rows.filter("score >= 0.05"), sizes, stop, threshold=0.05)
     return out.select("seq", "pos", "label", F.round("score", 6).alias("score"))
 
 
