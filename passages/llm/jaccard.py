@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passages.llm.batches import small_batches
 from passages.llm.graph import components
 from passages.llm.words import Words, lists, mix, shingles, signed, slices
 from passages.session import checkpoint_dir
@@ -180,22 +181,24 @@ def _meetings(batches):
         hits = np.diff(np.r_[at, len(sid)])
         return pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(group[at]), pa.array(hits.astype(np.int64))], ["id", "grp", "hits"])
 
-    held = []
+    held, rows, enough = [], 0, 200_000
     for batch in batches:
         held.append(batch)
-        table = pa.Table.from_batches(held)
-        if table.num_rows < 200_000:
+        rows += batch.num_rows
+        if rows < enough:
             continue
+        table = pa.Table.from_batches(held)
         tokens = table.column("token").to_numpy()
         cut = int(np.searchsorted(tokens, tokens[-1], "left"))
         if cut:
             done = table.slice(0, cut)
             yield from count(*(done.column(c).to_numpy() for c in ("token", "id", "grp", "size")))
             held = table.slice(cut).combine_chunks().to_batches()
-    if held:
+            rows = sum(b.num_rows for b in held)
+        enough = max(200_000, 2 * rows)
+    if rows:
         table = pa.Table.from_batches(held)
-        if table.num_rows:
-            yield from count(*(table.column(c).to_numpy() for c in ("token", "id", "grp", "size")))
+        yield from count(*(table.column(c).to_numpy() for c in ("token", "id", "grp", "size")))
 
 
 def _id_filter(ids: DataFrame, column: str, bits: int = 22) -> np.ndarray:
@@ -272,9 +275,12 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     any. Null texts count as empty, rows with a null doc_id are left out, and of rows that repeat a doc_id the one with
     the largest set counts. Sets with the same tokens are one set from the start, so copies cost nothing later. An empty table gives
     an empty result."""
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
-    docs = docs.filter("doc_id IS NOT NULL")
+    checkpoint_dir(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _classes(docs.filter("doc_id IS NOT NULL"), width, percent)
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     profile = _profile(docs, width).checkpoint()
     ranks = token_ranks(profile)
     sizes = profile.filter("part IS NULL").groupBy("doc_id").agg(F.max(F.struct("n", "sid")).alias("s")).select("doc_id", "s.n", "s.sid")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from passages.llm.vocabulary import Vocabulary
 from passages.llm.words import lists, slices
 
-CACHE = 300_000
+CACHE = 150_000
 SHORT = 64
 
 

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passages.llm.batches import small_batches
 from passages.llm.words import Words, distinct, mix, ngrams, signed, slices
 from passages.session import checkpoint_dir
 
@@ -225,7 +226,8 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     docs = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "spans", "marks").withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     anchors = texts.mapInArrow(_ask_anchors(length), DEALT).repartition("at").mapInArrow(_answer_anchors, "doc_id long, key long")
-    wanted = anchors.groupBy("doc_id").agg(F.collect_set("key").alias("anchors")).checkpoint()
+    with small_batches(spark):
+        wanted = anchors.groupBy("doc_id").agg(F.collect_set("key").alias("anchors")).checkpoint()
     cells = wanted.select(F.explode_outer("anchors").alias("key")).groupBy(F.shiftrightunsigned("key", 64 - CELL_BITS).alias("cell")).count().collect()
     frequent = np.zeros(1 << CELL_BITS, bool)
     frequent[[r["cell"] for r in cells if r["count"] > FREQUENT]] = True

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from passages.llm.vocabulary import Vocabulary
 from passages.llm.words import slices
 
-CACHE = 400_000
+CACHE = 150_000
 
 
 class Trie:
@@ -27,7 +27,7 @@ class Trie:
     Terminals are kept in two generations of about CACHE: those in use outlive a change, others are counted anew."""
 
     def __init__(self, model: bytes):
-        self.v = Vocabulary(model)
+        self.v = Vocabulary(model, backward=True)
         self.counts: dict[str, int] = {}
         self.older: dict[str, int] = {}
 

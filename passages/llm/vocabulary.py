@@ -44,7 +44,7 @@ class Vocabulary:
     ``-ln(2 + place)``, in whole millionths so that equal paths are equal in any order of adding. A character outside the vocabulary (a literal space sign too) is spelled in bytes, each 10 below
     the lowest piece."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, backward: bool = False):
         pieces = []
         for field, value in _fields(model):
             if field == 1:
@@ -62,10 +62,14 @@ class Vocabulary:
         self.forward: dict = {}
         self.backward: dict = {}
         for i in normal:
-            for node, letters in ((self.forward, self.text[i]), (self.backward, reversed(self.text[i]))):
-                for c in letters:
-                    node = node.setdefault(c, {})
-                node[None] = (i, self.score[i])
+            self._add(self.forward, self.text[i], i)
+            if backward:
+                self._add(self.backward, self.text[i][::-1], i)
+
+    def _add(self, node: dict, letters: str, i: int) -> None:
+        for c in letters:
+            node = node.setdefault(c, {})
+        node[None] = (i, self.score[i])
 
     def spelled(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in c.encode())
