@@ -34,19 +34,14 @@ TESTS = _tests()
 
 
 def draw_images(vectors: np.ndarray, side: int = SIDE) -> np.ndarray:
-    """Grey images of vectors: every component is a block of the brightness it says, at a place its index says.
-
-    Later blocks lie over earlier ones, so the picture has corners where blocks meet. Values are bytes."""
-    n, d = vectors.shape
-    draw = np.random.default_rng(5)
-    images = np.full((n, side, side), 128.0, np.float32)
-    spread = np.abs(vectors).max(1, keepdims=True) + 1e-9
-    level = 128 + 120 * vectors / spread
-    for k in range(d):
-        x, y = draw.integers(0, side - 6, 2)
-        w, h = draw.integers(5, 14, 2)
-        images[:, y : y + h, x : x + w] = level[:, k, None, None]
-    return np.round(images).astype(np.uint8)
+    """Grey images of vectors: every component weighs a smooth random pattern of its own, the same on every machine.
+
+    Different vectors give different textures, near ones near textures. Values are bytes."""
+    d = vectors.shape[1]
+    noise = np.random.default_rng(5).normal(0, 1, (d, side, side)).astype(np.float32)
+    pattern = _box(noise, 1).reshape(d, -1) / 3
+    scaled = vectors / (np.sqrt((vectors**2).sum(1, keepdims=True)) + 1e-9)
+    return np.clip(np.round(128 + 45 * (scaled.astype(np.float32) @ pattern)), 0, 255).astype(np.uint8).reshape(-1, side, side)
 
 
 def edited(images: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
