@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     asked = texts.join(wanted, "doc_id").mapInArrow(_ask_windows(length, frequent), DEALT)
     found = asked.repartition(groups, "at").mapInArrow(_answer_windows, "doc_id long, key long")
     marks = found.groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
-    # the same shuffled texts serve both joins; rows without an id have nothing to join
+    # rows without an id have nothing to join
     joined = docs.filter("doc_id IS NOT NULL").join(marks, "doc_id", "left")
     joined = joined.unionByName(docs.filter("doc_id IS NULL").withColumn("marks", F.lit(None).cast("array<long>")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("marks").schema)
