@@ -223,7 +223,10 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     one document. An empty table gives an empty result."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    docs = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "spans", "marks").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.drop("n_words", "n_removed", "kept", "kept_sha256", "spans", "marks")
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        # only then: a renamed column would keep Spark from seeing that both joins below shuffle the same rows
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     anchors = texts.mapInArrow(_ask_anchors(length), DEALT).repartition("at").mapInArrow(_answer_anchors, "doc_id long, key long")
     with small_batches(spark):
