@@ -14,6 +14,7 @@ from passages.functions.batch import batch_udf
 from passages.operators.chunk import density_windows
 
 MAX_ENTRY_CHARS = 20_000_000
+PACK_BITS = 16_384
 _HITS = "array<struct<label:int,start:int,end:int,score:double,density:double,confidence:double,method:string>>"
 
 
@@ -107,29 +108,148 @@ def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
     return max(best, _best_window(long, short, cutoff)) if len(a) == len(b) else best
 
 
-def fuzzy_candidates(
-    items: DataFrame, catalogue: DataFrame, key: str, threshold: float, n: int = 3, min_shared: int = 2
-) -> DataFrame:
-    """(key, label, score) for the pairs that share ``min_shared`` word n-grams, scored on
-    the folded texts. The n-grams keep the scorer off unrelated pairs; noisy hits need a
-    smaller ``n`` or ``min_shared``, or ``fuzzy_matrix``."""
-    pairs = shared_ngrams(items, catalogue, key, n).filter(F.col("shared") >= min_shared).select(key, "label")
-    hay = items.select(key, T.fold_text(F.col("text")).alias("__hay"))
-    entries = catalogue.select("label", T.fold_text(F.col("text")).alias("__entry"))
+class Pack:
+    """Texts of similar length side by side in one integer, so that a step of the scan for the
+    longest common subsequence serves all of them. The clear bit after each takes its carry."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.sizes = [len(t) for t in texts]
+        self.starts = [0]
+        for n in self.sizes:
+            self.starts.append(self.starts[-1] + n + 1)
+        spots: dict[str, list[int]] = {}
+        for at, t in zip(self.starts, texts):
+            for i, ch in enumerate(t):
+                spots.setdefault(ch, []).append(at + i)
+        self.masks = {ch: _bits(at) for ch, at in spots.items()}
+        self.full = _bits([at + i for at, n in zip(self.starts, self.sizes) for i in range(n)])
+
+    def scan(self, text: str, every: int) -> list[tuple[int, int]]:
+        """(letters read, state) after every ``every`` letters of ``text`` and at its end."""
+        out, s = [], self.full
+        for k, ch in enumerate(text, 1):
+            u = s & self.masks.get(ch, 0)
+            s = ((s + u) | (s - u)) & self.full
+            if k % every == 0 or k == len(text):
+                out.append((k, s))
+        return out
+
+    def common(self, state: int, i: int, first: int | None = None) -> int:
+        """Longest common subsequence of text i, or of its ``first`` letters, and the letters read."""
+        n = self.sizes[i] if first is None else min(first, self.sizes[i])
+        return n - ((state >> self.starts[i]) & ((1 << n) - 1)).bit_count()
+
+
+def _bits(places: Sequence[int]) -> int:
+    out = bytearray(max(places, default=0) // 8 + 1)
+    for p in places:
+        out[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(out, "little")
+
+
+class Scorer:
+    """``partial_ratio`` of a text with each of many entries, for the scores of at least ``threshold``.
+
+    Every pair is covered. A pair is scored only where an upper bound allows it: a window of
+    the longer text lies in one of the overlapping blocks, and windows that stick out at
+    either end are read off scans from both ends. The scans take whole packs of entries."""
+
+    def __init__(self, entries: Sequence[tuple[int, str]], threshold: float):
+        self.threshold = threshold
+        self.packs = []
+        rows = sorted((e for e in entries if e[1]), key=lambda e: len(e[1]))
+        while rows:
+            low, bits, n = len(rows[0][1]), 0, 0
+            while n < len(rows) and len(rows[n][1]) <= low * 5 // 4 and bits <= PACK_BITS:
+                bits += len(rows[n][1]) + 1
+                n += 1
+            texts = [t for _, t in rows[:n]]
+            self.packs.append((rows[:n], Pack(texts), Pack([t[::-1] for t in texts])))
+            rows = rows[n:]
+
+    def bounds(self, pack: Pack, back: Pack, text: str) -> list[float]:
+        n, low, top = len(text), min(pack.sizes), max(pack.sizes)
+        step = max(1, top // 8)
+        best = [0.0] * len(pack.sizes)
+        if low <= n:
+            for at in range(0, n - low + 1, step):
+                _, state = pack.scan(text[at : at + top + step], top + step)[-1]
+                for i, m in enumerate(pack.sizes):
+                    best[i] = max(best[i], pack.common(state, i) / m)
+            for side, t in ((pack, text), (back, text[::-1])):
+                before = 0
+                for k, state in side.scan(t[:top], step):
+                    for i, m in enumerate(pack.sizes):
+                        best[i] = max(best[i], 2 * side.common(state, i) / (m + before + 1))
+                    before = k
+        if top >= n:
+            for side, t in ((pack, text), (back, text[::-1])):
+                _, state = side.scan(t, n)[-1]
+                for i, m in enumerate(pack.sizes):
+                    if m < n:
+                        continue
+                    best[i] = max(best[i], side.common(state, i) / n)
+                    for before in range(0, n, step):
+                        best[i] = max(best[i], 2 * side.common(state, i, min(n, before + step)) / (n + before + 1))
+        return best
+
+    def __call__(self, text: str | None) -> list[tuple[int, float]]:
+        out = []
+        if text:
+            for rows, pack, back in self.packs:
+                for (label, entry), bound in zip(rows, self.bounds(pack, back, text), strict=True):
+                    if bound >= self.threshold:
+                        score = partial_ratio(entry, text, self.threshold)
+                        if score >= self.threshold:
+                            out.append((label, score))
+        return out
 
-    @batch_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    joined = pairs.join(entries, "label").join(hay, key)
-    return joined.select(key, "label", score("__entry", "__hay").alias("score")).filter(F.col("score") >= threshold)
+def fuzzy_candidates(
+    items: DataFrame, catalogue: DataFrame, key: str, threshold: float, by: str | None = None,
+    spellings: Sequence[Callable[[Column], Column]] = (T.fold_text,),
+) -> DataFrame:
+    """(key, label, score) for all pairs that score ``threshold`` or more; of several
+    ``spellings`` of the texts the best one counts. ``by`` names a column of both tables, such
+    as the language: an item is compared with the entries of its own value only.
+
+    The catalogue goes to the tasks, after a size check; ``Scorer`` keeps the costly part off
+    unrelated pairs. Texts without letters match nothing."""
+    own = (F.lit("") if by is None else F.col(by).cast("string")).alias("__by")
+    keyed = [f(F.col("text")).alias(f"__text{i}") for i, f in enumerate(spellings)]
+    check_entries(catalogue)
+    groups: dict[str, list] = {}
+    for r in catalogue.select("label", own, *keyed).orderBy("label").collect():
+        groups.setdefault(r["__by"], []).append(r)
+    scorers = {
+        (value, i): Scorer([(int(r["label"]), r[f"__text{i}"]) for r in rows], threshold)
+        for value, rows in groups.items()
+        for i in range(len(spellings))
+    }
+
+    def best(value: str | None, texts: Sequence[str | None]) -> list[tuple[int, float]]:
+        found: dict[int, float] = {}
+        for i, text in enumerate(texts):
+            for label, score in scorers[value, i](text) if (value, i) in scorers else ():
+                found[label] = max(score, found.get(label, 0.0))
+        return sorted(found.items())
+
+    @batch_udf("array<struct<label:int,score:double>>")
+    def score(value: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([best(v, t) for v, t in zip(value, texts, strict=True)])
+
+    rows = items.select(key, own, F.array(*keyed).alias("__texts"))
+    return rows.select(key, F.inline(score("__by", "__texts")))
+
+
+def check_entries(catalogue: DataFrame) -> None:
+    if (catalogue.agg(F.sum(F.length("text"))).first()[0] or 0) > MAX_ENTRY_CHARS:
+        raise ValueError("the catalogue is too large to send to the tasks")
 
 
 def entries_of(catalogue: DataFrame) -> list[tuple[int, str]]:
     """The catalogue on the driver, checked to be small."""
-    size = catalogue.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_ENTRY_CHARS:
-        raise ValueError("the catalogue is too large to send to the tasks; use fuzzy_candidates")
+    check_entries(catalogue)
     rows = catalogue.select("label", "text").orderBy("label").collect()
     return [(int(r["label"]), r["text"]) for r in rows]
 

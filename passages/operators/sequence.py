@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passages.functions.vectors import each
-from passages.operators.scan import BLOCK_ROWS, Running, block_of, neighbours, running
+from passages.operators.scan import BLOCK_ROWS, Running, block_of, neighbours, one_block, running
+from passages.session import checkpoint_dir
 
 KEYS = ("seq",)
 SURVIVAL_STEPS = (1, 2, 3, 4, 5, 6, 8, 10, 15, 20, 30, 40, 50)
@@ -36,15 +40,22 @@ def carry(
     """``items`` plus ``held`` (labels in force) and ``anchor_pos`` (where they were set).
 
     An item with anchors sets the active labels; silent items repeat them, at most
-    ``max_gap`` items long. ``monotonic`` ignores anchors below the active maximum.
-    ``gate`` names an array of the labels an item accepts: a label that fails is withheld
-    on that item (``resume``) or for the rest of its run.
+    ``max_gap`` items long. ``monotonic`` ignores anchors below the highest label still
+    active; an item with nothing else counts as silent. ``gate`` names an array of the labels
+    an item accepts: a label that fails is withheld on that item (``resume``) or for the rest
+    of its run.
     """
     keys = list(keys)
-    if monotonic and max_gap is not None:
-        raise ValueError("a monotonic carry has no gap limit")
     columns = items.columns
     hits = F.col(anchors)
+    dropping = gate is not None and not resume
+    if monotonic and (max_gap is not None or dropping):
+        # labels that end lower the floor again, so it is no running maximum
+        rows = _chained(items, anchors, keys, max_gap, gate if dropping else None, block_rows)
+        held = F.col("__active")
+        if gate is not None and resume:
+            held = F.when(F.col("pos") > F.col("anchor_pos"), F.array_intersect("__active", gate)).otherwise(held)
+        return rows.select(*columns, held.alias("held"), "anchor_pos")
     if monotonic:
         floor = Running("__floor", F.array_max(hits), "max", strict=True)
         items = running(items, keys, "pos", [floor], block_rows)
@@ -76,6 +87,108 @@ def carry(
     return rows.select(*columns, held.alias("held"), "anchor_pos")
 
 
+Entry = tuple[int | None, list[int]]
+
+
+def spans_of_anchors(
+    anchors: Sequence[Sequence[int] | None], start: int, entry: Entry, max_gap: int | None = None,
+    monotonic: bool = False, gates: Sequence[Sequence[int] | None] | None = None,
+) -> tuple[list[int | None], list[list[int]], Entry]:
+    """For consecutive items from position ``start``: where the labels in force were set, and
+    these labels; and the state they leave behind. ``entry`` is the state left by earlier items.
+
+    Goes from one anchor that counts to the next. Each of its labels has an end, the first
+    item that it does not reach: the gap limit, or the first closed gate. An anchor under a
+    label that has not ended before it does not count."""
+    n = len(anchors)
+    marked = [i for i in range(n) if anchors[i]]
+    closed: dict[int, np.ndarray] = {}
+
+    def end(label: int, after: int, limit: int) -> int:
+        if gates is None:
+            return limit
+        if label not in closed:
+            closed[label] = np.array([i for i, g in enumerate(gates) if label not in (g or ())], np.int64)
+        k = int(np.searchsorted(closed[label], after))
+        return min(limit, int(closed[label][k])) if k < len(closed[label]) else limit
+
+    set_at: list[int | None] = [None] * n
+    held: list[list[int]] = [[]] * n
+    (at, labels), here, k = entry, 0, 0
+    while True:
+        limit = n if max_gap is None or at is None else min(n, max(at - start + max_gap + 1, here))
+        # what the entry brings along may end at the first item; an anchor's own item is not gated
+        fresh = here < n and at == start + here
+        ends = {v: end(v, here + fresh, limit) for v in labels}
+        while k < len(marked) and (marked[k] < here + fresh):
+            k += 1
+        follow = n
+        while k < len(marked):
+            floor = max((v for v in labels if ends[v] >= marked[k]), default=None) if monotonic else None
+            if floor is None or max(anchors[marked[k]]) >= floor:
+                follow = marked[k]
+                break
+            k += 1
+        cuts = sorted({here, follow, *(min(max(e, here), follow) for e in ends.values())})
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            still = [v for v in labels if ends[v] > a]
+            held[a:b] = [still] * (b - a)
+        set_at[here:follow] = [at] * (follow - here)
+        if follow == n:
+            # an end at n is the limit of these items or a gap that runs out right after them
+            over = max_gap is not None and at is not None and start + n > at + max_gap + 1
+            return set_at, held, (at, [] if over else [v for v in labels if ends[v] >= n])
+        labels = [int(v) for v in anchors[follow] if floor is None or v >= floor]
+        at, here = start + follow, follow
+
+
+def _chained(
+    items: DataFrame, anchors: str, keys: list[str], max_gap: int | None, gate: str | None, block_rows: int
+) -> DataFrame:
+    """``items`` plus ``anchor_pos`` and ``__active`` of a monotonic carry whose labels can end.
+
+    Which anchors count depends on the state before them, so a block needs the state of the
+    one before. All blocks start from nothing at first; blocks whose entry turns out to be
+    another are done again until no entry changes, which is soon, as the state is only what
+    the last anchor left. What goes from block to block is one row per block."""
+
+    columns, by_block = items.columns, [*keys, "__block"]
+
+    def spans(table: pa.Table) -> tuple[pa.Table, list, list, Entry]:
+        table = table.sort_by("pos")
+        entry = (table.column("__at")[0].as_py(), table.column("__labels")[0].as_py() or []) if "__at" in table.column_names else (None, [])
+        gates = None if gate is None else table.column(gate).to_pylist()
+        start = table.column("pos")[0].as_py()
+        return (table, *spans_of_anchors(table.column(anchors).to_pylist(), start, entry, max_gap, True, gates))
+
+    def fill(table: pa.Table) -> pa.Table:
+        table, set_at, held, _ = spans(table)
+        out = table.select(columns).append_column("anchor_pos", pa.array(set_at, pa.int64()))
+        return out.append_column("__active", pa.array(held, pa.list_(pa.int32())))
+
+    def leave(table: pa.Table) -> pa.Table:
+        table, _, _, (at, labels) = spans(table)
+        out = table.slice(0, 1).select(by_block)
+        return out.append_column("__at", pa.array([at], pa.int64())).append_column("__labels", pa.array([labels], pa.list_(pa.int32())))
+
+    filled = StructType([*items.schema.fields, *StructType.fromDDL("anchor_pos long, __active array<int>").fields])
+    if one_block(items, "pos", block_rows):
+        return items.groupBy(*keys).applyInArrow(fill, filled)
+    rows = items.withColumn("__block", block_of("pos", block_rows))
+    lean = rows.select(*by_block, "pos", anchors, *([gate] if gate else []))
+    left = StructType([*lean.select(*by_block).schema.fields, *StructType.fromDDL("__at long, __labels array<int>").fields])
+    checkpoint_dir(items.sparkSession)
+    known = None
+    while True:
+        begun = lean if known is None else lean.join(known, by_block, "left")
+        exits = begun.groupBy(*by_block).applyInArrow(leave, left)
+        entries = exits.withColumn("__block", F.col("__block") + 1).filter("__at IS NOT NULL").checkpoint()
+        changed = entries if known is None else entries.exceptAll(known)
+        if changed.isEmpty():
+            return rows.join(entries, by_block, "left").groupBy(*by_block).applyInArrow(fill, filled)
+        known = entries
+
+
 def memory_features(
     items: DataFrame, labels: Sequence[int], anchors: str = "anchors", keys: Sequence[str] = KEYS,
     block_rows: int = BLOCK_ROWS,

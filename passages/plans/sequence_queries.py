@@ -104,6 +104,32 @@ def carry_gate_drop(spark, d):
     return S.carry(events(spark, d), gate="gate").select("seq", "unit", shown("held"))
 
 
+# item by item in SQL: the recursion holds the labels in force and how many items ago they were set
+def rules_sql(gap, gate):
+    reach = "true" if gap is None else f"s.gap < {gap}"
+    stay = "s.active" if gate is None else f"list_filter(s.active, lambda l: list_contains(e.{gate}, l))"
+    return f"""WITH RECURSIVE {EV}, s AS (
+          SELECT seq, unit, pos, anchors AS active, 0 AS gap FROM ev WHERE pos = 0
+          UNION ALL
+          SELECT e.seq, e.unit, e.pos,
+                 CASE WHEN len(list_filter(e.anchors, lambda v: v >= coalesce(list_max(s.active), v))) > 0
+                      THEN list_filter(e.anchors, lambda v: v >= coalesce(list_max(s.active), v))
+                      WHEN {reach} THEN {stay} ELSE []::INT[] END,
+                 CASE WHEN len(list_filter(e.anchors, lambda v: v >= coalesce(list_max(s.active), v))) > 0 THEN 0 ELSE s.gap + 1 END
+          FROM s JOIN ev e ON e.seq = s.seq AND e.pos = s.pos + 1)
+        SELECT seq, unit, array_to_string(active, ';') AS held FROM s"""
+
+
+@query("carry_monotonic_gap", rules_sql(4, None))
+def carry_monotonic_gap(spark, d):
+    return S.carry(events(spark, d), monotonic=True, max_gap=4).select("seq", "unit", shown("held"))
+
+
+@query("carry_monotonic_gate", rules_sql(None, "gate"))
+def carry_monotonic_gate(spark, d):
+    return S.carry(events(spark, d), monotonic=True, gate="gate").select("seq", "unit", shown("held"))
+
+
 @query(
     "carry_gate_resume",
     f"""WITH {CARRIED} SELECT seq, unit, array_to_string(CASE WHEN len(anchors) > 0 THEN active

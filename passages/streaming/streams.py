@@ -12,49 +12,47 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from passages.operators import annotations as A
 from passages.operators import chunk as C
 from passages.operators import match as M
+from passages.operators.sequence import spans_of_anchors
 
-UNBOUNDED = 1 << 31
 
-
-def stream_carry(items: DataFrame, max_gap: int | None = None, resume: bool = True) -> DataFrame:
+def stream_carry(
+    items: DataFrame, max_gap: int | None = None, resume: bool = True, monotonic: bool = False
+) -> DataFrame:
     """``carry`` on a stream of (seq, order, unit, anchors[, gate]); ``order`` is a number that
     grows inside a sequence.
 
-    The state per sequence is the active labels, the gap and the last order value. Rows that
-    come after a later one has been handled are left out; ``dropped`` counts them so far."""
-    limit = UNBOUNDED if max_gap is None else max_gap
+    The state per sequence is the last anchor that counts with the labels still in force, how
+    many items there were, and the last order value. Rows that come after a later one has been
+    handled are left out; ``dropped`` counts them so far, in a row without ``unit`` where a
+    trigger brings a sequence nothing else. The rows of a sequence in one trigger are one
+    group: bound them with ``maxFilesPerTrigger``."""
     gated = "gate" in items.columns
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, gap, last, dropped = state.get if state.exists else ([], 0, -(1 << 62), 0)
-        active = list(active)
+        at, labels, count, last, late = state.get if state.exists else (None, [], 0, None, 0)
         # the rows of one trigger may come in any order
-        pdf = pd.concat(list(batches)).sort_values(["order", "unit"], kind="stable")
-        out = []
-        gates = pdf["gate"] if gated else [None] * len(pdf)
-        for order, unit, anchors, gate in zip(pdf["order"], pdf["unit"], pdf["anchors"], gates, strict=True):
-            if order < last:
-                dropped += 1
-                continue
-            last = int(order)
-            hits = [int(v) for v in anchors]
-            if hits:
-                active, gap, emit = hits, 0, hits
-            elif active and gap < limit:
-                gap += 1
-                emit = active if gate is None else [v for v in active if v in set(gate)]
-                if gate is not None and not resume:
-                    active = emit
-            else:
-                active = emit = []
-            out.append((key[0], int(order), int(unit), list(emit), dropped))
-        state.update((active, gap, last, dropped))
-        yield pd.DataFrame(out, columns=["seq", "order", "unit", "held", "dropped"])
+        rows = pd.concat(list(batches)).sort_values(["order", "unit"], kind="stable")
+        fresh = rows if last is None else rows[rows["order"] >= last]
+        late += len(rows) - len(fresh)
+        if fresh.empty:
+            state.update((at, labels, count, last, late))
+            yield pd.DataFrame({"seq": [key[0]], "order": [None], "unit": [None], "held": [None], "dropped": [late]})
+            return
+        gates = [() if g is None else list(g) for g in fresh["gate"]] if gated else None
+        set_at, held, (at, labels) = spans_of_anchors(
+            fresh["anchors"].map(list).tolist(), count, (at, list(labels)), max_gap, monotonic, None if resume else gates
+        )
+        if gated and resume:
+            # an anchor's own item shows its labels whatever the gate says
+            own = [a == count + i for i, a in enumerate(set_at)]
+            held = [h if o else [v for v in h if v in g] for h, o, g in zip(held, own, gates, strict=True)]
+        state.update((at, labels, count + len(fresh), int(fresh["order"].iloc[-1]), late))
+        yield pd.DataFrame({"seq": key[0], "order": fresh["order"].array, "unit": fresh["unit"].array, "held": held, "dropped": late})
 
     return items.groupBy("seq").applyInPandasWithState(
         step,
         outputStructType="seq long, order long, unit long, held array<int>, dropped int",
-        stateStructType="active array<int>, gap int, last long, dropped int",
+        stateStructType="at long, labels array<int>, count long, last long, dropped int",
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )

@@ -114,6 +114,35 @@ def test_late_rows_are_dropped_and_counted(spark):
     }
 
 
+def test_streamed_carry_over_triggers_is_the_batch_carry(spark):
+    from passages.operators import sequence as Q
+
+    rnd = np.random.default_rng(8)
+    schema = "seq long, order long, unit long, anchors array<int>, gate array<int>"
+    pick = lambda n: [int(v) for v in rnd.permutation(6)[:n]]
+    rows = [(i % 3, i, i, pick(2) if rnd.random() < 0.3 else [], pick(4)) for i in range(60)]
+    whole = spark.createDataFrame([(s, i // 3, *r) for s, i, *r in rows], schema.replace("order", "pos"))
+    for options in ({"max_gap": 2}, {"resume": False}, {"monotonic": True, "resume": False, "max_gap": 3}):
+        source, out, state = (S.scratch(spark, n) for n in ("src", "out", "state"))
+        for part in (rows[:25], rows[25:31], rows[31:]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        K.run_to_folder(K.stream_carry(stream, **options), out, state)
+        want = Q.carry(whole, gate="gate", **{"resume": True, **options})
+        got = spark.read.parquet(out)
+        assert got.select("batch").distinct().count() == 3
+        assert sorted((r["unit"], list(r["held"])) for r in got.collect()) == sorted((r["unit"], list(r["held"])) for r in want.collect())
+
+
+def test_late_rows_are_counted_without_others(spark):
+    source, out, state = (S.scratch(spark, n) for n in ("src", "out", "state"))
+    schema = "seq long, order long, unit long, anchors array<int>"
+    for rows in ([(1, 5, 1, [2])], [(1, 3, 2, [4])]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        K.run_to_folder(K.stream_carry(spark.readStream.schema(schema).parquet(source)), out, state)
+    assert sorted((r["unit"] or 0, r["dropped"]) for r in spark.read.parquet(out).collect()) == [(0, 1), (1, 0)]
+
+
 def test_streamed_log_equals_the_batch_view(spark):
     source, out, state = (S.scratch(spark, n) for n in ("src", "out", "state"))
     rnd = np.random.default_rng(5)

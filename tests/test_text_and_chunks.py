@@ -143,15 +143,39 @@ def test_partial_ratio_is_the_best_window():
     assert M.partial_ratio("abc", "xxabcxx") == 1.0
 
 
-def test_blocked_scores_agree_with_the_exhaustive_ones(spark):
+@pytest.mark.parametrize("threshold", [0.3, 0.65, 0.9])
+def test_scorer_loses_no_pair(threshold):
+    rnd = random.Random(5)
+    for _ in range(80):
+        letters = "abcdefgh "[: rnd.randint(2, 9)]
+        entries = [(i, "".join(rnd.choices(letters, k=rnd.randint(0, 40)))) for i in range(10)]
+        noisy = [rnd.choice(letters) if rnd.random() < 0.2 else ch for ch in entries[0][1]]
+        text = "".join(rnd.choices(letters, k=rnd.randint(0, 30))) + "".join(noisy) + "".join(rnd.choices(letters, k=rnd.randint(0, 30)))
+        every = {label: M.partial_ratio(entry, text) for label, entry in entries if entry and text}
+        got = dict(M.Scorer(entries, threshold)(text))
+        assert got == pytest.approx({label: v for label, v in every.items() if v >= threshold})
+
+
+def test_candidates_are_the_exhaustive_scores(spark):
     entries = spark.createDataFrame(
-        [(1, "the quick brown fox jumps over the lazy dog"), (2, "a stitch in time saves nine they say")], "label int, text string"
+        [(1, "the quick brown fox jumps over the lazy dog"), (2, "a stitch in time saves nine they say"), (3, "")], "label int, text string"
     )
-    items = docs(spark, "he said the quick brown fax jumps over the lazy dog today", "nothing of the kind", "in time saves nine they say a stitch")
+    # every other word misspelt: no two words in a row are left
+    items = docs(spark, "the quikc brown fxo jumps ovre the lzay dog", "nothing of the kind", "in time saves nine they say a stitch", "", None)
     fast = {(r["doc_id"], r["label"]): r["score"] for r in M.fuzzy_candidates(items, entries, "doc_id", 0.6).collect()}
-    full = M.fuzzy_matrix(items.withColumn("text", T.fold_text(F.col("text"))), entries).collect()
-    slow = {(r["doc_id"], i + 1): v for r in full for i, v in enumerate(r["string"]) if v >= 0.6}
-    assert {k: v for k, v in fast.items() if v >= 0.75} == pytest.approx({k: v for k, v in slow.items() if v >= 0.75})
+    full = M.fuzzy_matrix(items.withColumn("text", T.fold_text(F.col("text"))), entries.filter("label < 3")).collect()
+    assert fast == pytest.approx({(r["doc_id"], i + 1): v for r in full for i, v in enumerate(r["string"]) if v >= 0.6})
+    assert (0, 1) in fast
+
+
+def test_candidates_keep_to_their_language(spark):
+    schema = "label int, text string, lang string"
+    entries = spark.createDataFrame([(1, "kuru kshetre", "xx"), (1, "field of kuru", "en"), (2, "field of kuru", "xx")], schema)
+    items = spark.createDataFrame([(0, "on the field of kuru", "en"), (1, "on the field of kuru", "xx"), (2, "x", None)], "doc_id long, text string, lang string")
+    plain = lambda c: F.lower(c)
+    joined = lambda c: F.regexp_replace(F.lower(c), " ", "")
+    got = M.fuzzy_candidates(items, entries, "doc_id", 0.9, "lang", [plain, joined]).collect()
+    assert sorted((r["doc_id"], r["label"], r["score"]) for r in got) == [(0, 1, 1.0), (1, 2, 1.0)]
 
 
 def test_ngram_match_counts_distinct_grams(spark):
