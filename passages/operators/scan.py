@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from passages.session import checkpoint_dir
 
 BLOCK_ROWS = 100_000
-SPLITS = 256
 LONGEST = "longest"
 _BLOCK = "__block"
 
@@ -171,23 +170,6 @@ def neighbours(
     return spread.withColumns(columns(window)).filter(F.col(_BLOCK) == own).drop(_BLOCK)
 
 
-def _split_points(rows: DataFrame, keys: list[str], sizes: DataFrame, block_rows: int) -> DataFrame:
-    """(keys, __cuts): quantiles of the order value for the sequences over ``block_rows``.
-
-    The table is small and used twice, so it is written to the checkpoint folder instead of
-    being worked out again."""
-    marks = [i / SPLITS for i in range(1, SPLITS)]
-    long_ones = sizes.filter(F.col("__n") > block_rows).drop("__n")
-    cuts = (
-        rows.select(*keys, "__lead")
-        .join(long_ones, keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx("__lead", F.array(*map(F.lit, marks)), F.lit(SPLITS * 20)).alias("__cuts"))
-    )
-    checkpoint_dir(rows.sparkSession)
-    return cuts.checkpoint()
-
-
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],
@@ -197,11 +179,12 @@ def ordinal(
 ) -> DataFrame:
     """Dense 0-based position of each row in its sequence, in the order of ``order``.
 
-    The sequences are counted first (one pass over the keys). If all fit a block, one
-    window does it; otherwise the long ones are cut at quantiles of the first order column
-    (a number or a time that few rows share) and numbered block by block. The length of
-    the longest sequence goes along as metadata of the position column, and spares
-    ``running`` and ``neighbours`` their blocks where there is only one.
+    The sequences are counted first (one pass over the keys). If all fit a block, one window
+    does it. Otherwise the table is dealt in the order of the keys and all order columns, of
+    any type, into parts of about a block, and numbered part by part; which part a row is in
+    comes from a sample, so it is written to the checkpoint folder. The length of the longest
+    sequence goes along as metadata of the position column, and spares ``running`` and
+    ``neighbours`` their blocks where there is only one.
     """
     if not keys:
         return ordinal(df.withColumn("__all", F.lit(0)), ["__all"], order, name, block_rows).drop("__all")
@@ -212,16 +195,12 @@ def ordinal(
         position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
         return df.withColumn(name, position.cast("long").alias(name, metadata={LONGEST: longest}))
 
-    lead = order[0]
-    is_time = dict(df.dtypes)[lead].startswith("timestamp")
-    rows = df.withColumn("__lead", F.unix_micros(F.col(lead).cast("timestamp")) if is_time else F.col(lead))
-    cuts = _split_points(rows, keys, sizes, block_rows)
-    block = F.size(F.filter("__cuts", lambda c: c <= F.col("__lead"))).cast("long")
-    blocked = (
-        rows.join(cuts, keys, "left")
-        .withColumn(_BLOCK, F.when(F.col("__cuts").isNull(), F.lit(0).cast("long")).otherwise(block))
-        .drop("__cuts", "__lead")
-    )
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    total = int(sizes.agg(F.sum("__n")).first()[0])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_rows))
+    dealt = df.repartitionByRange(parts, *keys, *order)
+    blocked = dealt.withColumn(_BLOCK, F.spark_partition_id().cast("long")).checkpoint()
     counts = blocked.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = (

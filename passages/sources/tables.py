@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 
 from passages.session import checkpoint_dir
 
-ITEM_SCHEMA = (
-    "unit_id string, video_file string, language string, tradition string, unit_index int, text string, "
-    "char_start int, char_end int, time_start double, time_end double, n_words int"
-)
-LOG_SCHEMA = (
-    "unit_id string, video_file string, annotator string, verse_ref string, mention_type string, "
-    "has_explicit_ref int, uncertain int, notes string, created_at timestamp_ntz"
-)
 SEGMENT_SCHEMA = "text string, full_transcript string, segments array<struct<start:double,end:double,text:string>>"
 
 

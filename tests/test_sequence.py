@@ -111,6 +111,14 @@ def test_positions_of_a_hot_sequence(spark):
         assert [got[u] for _, u in order] == list(range(len(order)))
 
 
+def test_positions_by_text_and_by_shared_values(spark):
+    rows = [(i % 2, f"name {i * 37 % 101:03d}", 7, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, name string, same long, unit long")
+    for order in (["name", "unit"], ["same", "unit"]):
+        short, long = (ordinal(df, ["seq"], order, block_rows=n) for n in (20, 1000))
+        assert sorted(map(tuple, short.select("unit", "pos").collect())) == sorted(map(tuple, long.select("unit", "pos").collect()))
+
+
 def test_position_knows_the_longest_sequence(spark):
     df = spark.createDataFrame([(0, i) for i in range(9)] + [(1, 0)], "seq long, t long")
     assert ordinal(df, ["seq"], ["t"]).schema["pos"].metadata == {"longest": 9}
