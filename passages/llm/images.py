@@ -4,14 +4,14 @@ Images are columns of grey values. Corners are found at several scales by the sm
 around each, pairs of smoothed pixels are compared along the direction of its intensity centroid (a 128-bit string).
 Strings are joined through tables of 32-bit parts: two strings of which at least one part is equal meet, which covers
 every pair within Hamming distance 3. Meetings of one query and one image vote for the offset between them, and
-images with enough votes for one offset match. Equal images are one class from the start.
+images with enough distinct corners that vote for one offset match. Equal images are one class from the start.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIDE = 64
@@ -164,11 +164,11 @@ def copies(images: DataFrame, every: int = 20, votes: int = 5) -> DataFrame:
     asked = _descriptors(firsts.filter("is_query"), True).toDF("query", "scale", "qx", "qy", "part", "value")
     met = asked.join(index, ["part", "value", "scale"])
     cell = [F.floor((F.col(a) - F.col(b)) / CELL).alias(c) for a, b, c in (("x", "qx", "dx"), ("y", "qy", "dy"))]
-    seen = met.select("query", "id", "qx", "qy", "scale", *cell).distinct()
-    # the offset of a match lies in one cell or in two neighbours
-    cells = seen.groupBy("query", "id", "dx", "dy").agg(F.count("*").alias("n"))
-    near = Window.partitionBy("query", "id").orderBy("dx").rangeBetween(0, 1)
-    agreed = cells.groupBy("query", "id", "dx").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(near))
+    met = met.groupBy("query", "id").agg(F.collect_set(F.struct(F.struct("qx", "qy", "scale").alias("corner"), *cell)).alias("met"))
+    met = met.filter(F.size("met") >= votes).select("query", "id", F.inline("met"))
+    # the offset of a match lies in one cell or in up to four neighbours: a corner of the query counts once in every block of 2 x 2 cells
+    blocks = F.array(*(F.struct((F.col("dx") - i).alias("bx"), (F.col("dy") - j).alias("by")) for i in (0, 1) for j in (0, 1)))
+    agreed = met.select("query", "id", "corner", F.inline(blocks)).groupBy("query", "id", "bx", "by").agg(F.size(F.collect_set("corner")).cast("long").alias("n"))
     found = agreed.groupBy("query", "id").agg(F.max("n").alias("votes")).filter(F.col("votes") >= votes)
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("class_id"), "votes"))).alias("matches"))
     out = members.join(lists, F.col("class_id") == F.col("query"), "left")

@@ -201,3 +201,16 @@ def test_cropped_copies_are_found(spark):
     asked = [r for r in got.values() if r["is_query"]]
     assert np.mean([any(m["class_id"] == r["class_id"] for m in r["matches"]) for r in asked]) >= 0.9
     assert images.copies(images.rendered(spark.createDataFrame([], "vec_id long, embedding array<float>"))).collect() == []
+
+
+def test_offsets_agree_in_both_directions(spark, monkeypatch):
+    """Image 1 agrees with the query in x alone, image 2 in one corner met many times, image 3 in one offset across cells."""
+    corners = [(1, 10 * k, 10 * k, 0, k) for k in range(6)]
+    index = [(1, 1, 10 * k, 10 * k + 4 * k * k, 0, k) for k in range(6)] + [(2, 1, 3 * k, 0, 0, 0) for k in range(9)]
+    index += [(3, 1, 10 * k + 5 + k % 2, 10 * k - 4 + k % 2, 0, k) for k in range(6)]
+    schema = "id long, scale int, x int, y int, part int, value long"
+    made = {True: [(0, *c) for c in corners], False: index}
+    monkeypatch.setattr(images, "_descriptors", lambda rows, edit: spark.createDataFrame(made[edit], schema))
+    pictures = spark.createDataFrame([(i, bytearray([i]) * images.SIDE**2) for i in range(4)], "id long, image binary")
+    got = {r["id"]: r["matches"] for r in images.copies(pictures, every=20).collect()}
+    assert [tuple(m) for m in got[0]] == [(3, 6)]
