@@ -1,6 +1,6 @@
 """Toxicity scores: Levenshtein automata over a trie of learned terms, weighed by the words around each hit.
 
-A lexicon of whole words and of word beginnings is learned from labelled texts. For every distinct word of a batch the
+A lexicon of whole words and of word beginnings is learned from all labelled texts. For every distinct word of a batch the
 trie of the whole words is intersected with the Levenshtein automaton of ``distance`` edits, as one table that all words
 run through together; beginnings run through their plain trie. A hit counts as quoted if quotation marks enclose it
 or a verb of saying stands just before it, and as addressed if a word for "you" is near. Counts by kind and context
@@ -246,21 +246,19 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def learn_lexicon(docs: DataFrame, share: float = 0.01, precision: float = 0.7, most: int = 400) -> Lexicon:
-    """Terms of labelled texts that occur in ``share`` of the toxic ones (five at least) and, smoothed by half as many
-    clean ones, are toxic with ``precision``; the ``most`` most frequent.
+def learn_lexicon(docs: DataFrame, support: int = 5, precision: float = 0.7) -> Lexicon:
+    """All terms that occur in ``support`` labelled texts and, smoothed by half as many clean ones, are toxic with ``precision``.
 
     A beginning is kept only without a shorter one that is kept; whole words of five letters and more may be misspelt."""
-    least = max(5.0, share * docs.filter("label = 1").count())
-    good = _term_counts(docs).filter((F.col("n") >= least) & (F.col("toxic") >= precision * (F.col("n") + least / 2)))
-    rows = good.orderBy(F.desc("toxic"), "term", "stem").limit(20 * most).collect()
+    good = _term_counts(docs).filter((F.col("n") >= support) & (F.col("toxic") >= precision * (F.col("n") + support / 2)))
+    rows = sorted(good.collect(), key=lambda r: (r["term"], r["stem"]))
     odds = {(r["term"], r["stem"]): float(np.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5))) for r in rows}
     words = {t: w for (t, stem), w in odds.items() if not stem and len(t) >= 5}
     stems: dict[str, float] = {}
     for (t, stem), w in sorted(odds.items(), key=lambda x: len(x[0][0])):
         if (stem or len(t) < 5) and not any(t[:k] in stems for k in range(1, len(t))):
             stems[t] = w
-    return Lexicon(dict(list(words.items())[:most]), dict(list(stems.items())[:most]))
+    return Lexicon(words, stems)
 
 
 class Model:
@@ -273,9 +271,10 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
-    """Fit the lexicon and the weights on about ``sample`` rows of ``labels`` (doc_id, label 0 or 1) and their texts."""
+    """Learn the lexicon from all rows of ``labels`` (doc_id, label 0 or 1) and their texts, fit the weights on about ``sample`` of them."""
+    known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label")
+    lexicon = learn_lexicon(docs.filter("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id"))
     rows = labelled(docs, labels, sample)
-    lexicon = learn_lexicon(rows)
 
     def run(batches):
         for batch in batches:

@@ -214,3 +214,15 @@ def test_offsets_agree_in_both_directions(spark, monkeypatch):
     pictures = spark.createDataFrame([(i, bytearray([i]) * images.SIDE**2) for i in range(4)], "id long, image binary")
     got = {r["id"]: r["matches"] for r in images.copies(pictures, every=20).collect()}
     assert [tuple(m) for m in got[0]] == [(3, 6)]
+
+
+def test_lexicon_is_learned_from_all_labels(spark):
+    """One term in 0.6 % of the toxic texts, and 450 terms in six texts each, with weights from a small sample."""
+    draw = np.random.default_rng(4)
+    many = sorted({"".join(draw.choice(list("bcdfghjklmnpqrstvwz"), 7)) for _ in range(450)})
+    texts = [("you idiot" + (" zorgleflux" if i < 6 else "") + (" " + " ".join(many) if i < 6 else ""), 1) for i in range(1000)] + [("you fine day", 0)] * 1000
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "label"), sample=200)
+    assert {"idiot", "zorgleflux", *many} <= set(model.lexicon.words)
+    assert model.score(pa.array(["you zorgleflux", "you fine"])).round().tolist() == [1, 0]
