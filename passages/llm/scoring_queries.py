@@ -27,8 +27,7 @@ def op3_warc(spark, sf_dir):
 @query("op6_quality")
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("path"))
-    labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").filter(~language.held_out(F.col("doc_id"), 4, 2))
-    labels = labels.select("doc_id", F.col("quality").alias("label"))
+    labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").select("doc_id", F.col("quality").alias("label"))
     known = docs.select("doc_id", "source", "path").join(labels, "doc_id")
     return quality.score(docs, known, quality.train(docs, labels), "source", "path")
 

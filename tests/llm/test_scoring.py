@@ -226,3 +226,26 @@ def test_lexicon_is_learned_from_all_labels(spark):
     model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "label"), sample=200)
     assert {"idiot", "zorgleflux", *many} <= set(model.lexicon.words)
     assert model.score(pa.array(["you zorgleflux", "you fine"])).round().tolist() == [1, 0]
+
+
+def test_quality_posteriors_know_every_label(spark, tmp_path):
+    """A site whose only labels have ids that used to be held out."""
+    held = [r["i"] for r in spark.range(2000).withColumnRenamed("id", "i").filter(language.held_out(F.col("i"), 4, 2)).limit(20).collect()]
+    rows = [(i, f"text of number {i}", "rare" if i in held else f"s{i % 2}", "en", int(i in held or i % 2 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality int")
+    docs.drop("quality").write.parquet(str(tmp_path / "documents.parquet"))
+    docs.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r["host_posterior"] for r in entry.queries()["op6_quality"](spark, str(tmp_path)).collect()}
+    share = sum(r[4] for r in rows) / len(rows)
+    assert len(got) == 120 and got[held[0]] > (1 + share) / 2 and got[1 if 1 not in held else 3] < share
+
+
+def test_quality_of_texts_without_their_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("path"))
+    every = spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL").select("doc_id", F.col("quality").alias("label"))
+    held = language.held_out(F.col("doc_id"), 4, 2)
+    labels = every.filter(~held)
+    known = docs.select("doc_id", "source", "path").join(labels, "doc_id")
+    rows = quality.score(docs.filter(held), known, quality.train(docs, labels), "source", "path").join(every, "doc_id")
+    assert rows.agg(F.avg((F.col("keep").cast("int") == F.col("label")).cast("int"))).first()[0] > 0.97
