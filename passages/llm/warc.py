@@ -20,8 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the namespace of URLs in RFC 4122
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<[^>]*>|[^<]+|<", re.S | re.I)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+INSIDE = r"""(?>=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""  # of a tag: quoted values whole, as a ">" in them does not end it
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(script|style|noscript)\b{INSIDE}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9]*)({INSIDE})>"
+    r"|<[/!?][^>]*>|[^<]+|<",
+    re.S | re.I,
+)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 BLOCK = frozenset("address article aside blockquote br div dl dt dd fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split())
 LINKS = {"a": "href", "area": "href", "img": "src", "link": "href", "iframe": "src", "source": "src", "form": "action"}
 
@@ -55,21 +62,23 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def visible(page: str) -> tuple[str, str, list[dict[str, str]]]:
-    """(title, text, links) of a page: text line by line at block tags, white space runs made one space."""
+    """(title, text, links) of a page: text line by line at block tags, white space runs made one space.
+
+    A "<" that begins no tag is text. A title without an end stops at the next tag of a block, the head or the body."""
     lines, line, title, links, in_title, anchor = [], [], [], [], False, None
     for m in TOKEN.finditer(page):
         name = m[3]
         if name is None:
-            if m[1] is None and not m[0].startswith("<"):
+            if m[1] is None and (m[0] == "<" or not m[0].startswith("<")):
                 text = html.unescape(m[0])
                 (title if in_title else line).append(text)
                 if anchor is not None:
                     anchor.append(text)
             continue
         name = name.lower()
-        if name == "title":
-            in_title = not m[2]
-        elif name in BLOCK:
+        if name in BLOCK or name in ("head", "body"):
+            in_title = name == "title" and not m[2]
+        if name in BLOCK and name != "title":
             lines.append("".join(line))
             line = []
         if name == "a" and m[2]:

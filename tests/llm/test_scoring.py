@@ -249,3 +249,27 @@ def test_quality_of_texts_without_their_labels(spark):
     known = docs.select("doc_id", "source", "path").join(labels, "doc_id")
     rows = quality.score(docs.filter(held), known, quality.train(docs, labels), "source", "path").join(every, "doc_id")
     assert rows.agg(F.avg((F.col("keep").cast("int") == F.col("label")).cast("int"))).first()[0] > 0.97
+
+
+@pytest.mark.parametrize(
+    "page, title, text, urls",
+    [
+        ('if a < b then <a href="/x">y</a>', "", "if a < b then y", ["/x"]),
+        ("I <3 you<br>1<2, 2 <= 3 <", "", "I <3 you\n1<2, 2 <= 3 <", []),
+        ("""<a title="a > b" href="/y">z</a><img alt='>' src=i.png>end""", "", "zend", ["/y", "i.png"]),
+        ("""<a data-1="href='no'" href="/yes">it's</a><p title=it's>one's</p>""", "", "it's\none's", ["/yes"]),
+        ("""<script data-a="x>y">var a = "<p>";</script>seen <!--> this <!-- not --!> too""", "", "seen this too", []),
+        ("<!DOCTYPE html><title>T &amp; U<body>seen <b>all</b><p>more", "T & U", "seen all\nmore", []),
+        ("<head><title>T<h1>Head</h1>rest", "T", "Head\nrest", []),
+        ("<title>T</head>seen", "T", "seen", []),
+        ("<?xml version='1.0'?></ >a<a href='/x", "", "a<a href='/x", []),
+    ],
+)
+def test_visible_text_of_rough_pages(page, title, text, urls):
+    got = warc.visible(page)
+    assert (got[0], got[1], [x["url"] for x in got[2]]) == (title, text, urls)
+
+
+def test_rough_pages_stay_linear():
+    page = "<a b='" + "=\"x\" " * 20_000
+    assert warc.visible(page)[2] == []
