@@ -304,7 +304,7 @@ def soft_label_fit(spark, d):
 
 @query("choose_c")
 def choose_c(spark, d):
-    return rounded(L.choose_c(fit_rows(spark, d), ["value", "hint"], "p", "fold", [0.001, 1.0])[1], "loss")
+    return rounded(L.choose_c(fit_rows(spark, d), ["value", "hint"], "p", "fold", [1e-5, 1e-4, 1e-3, 1e-2, 0.1, 1.0])[1], "loss")
 
 
 @query("out_of_fold")
@@ -323,7 +323,7 @@ def platt(spark, d):
 @query("learning_curve")
 def learning_curve(spark, d):
     rows = fit_rows(spark, d).withColumn("grp", F.col("unit") % 20)
-    return rounded(L.learning_curve(rows, rows, ["value", "hint"], "p", "grp", [2, 10], 1), "auc")
+    return rounded(L.learning_curve(rows, rows, ["value", "hint"], "p", "grp", [2, 5, 10, 15, 20], 3), "auc")
 
 
 @query("ablation")
@@ -348,7 +348,7 @@ def annotator_reliability(spark, d):
     items = items.select("seq", "pos", "labels")
     counts = S.transition_counts(items.withColumn("state", S.state_of("labels", OFF)), OFF)
     log_a = D.matrix_of(S.transition_matrix(counts, N_LABELS), N_LABELS + 1)
-    p_on, p_off, _ = L.annotator_reliability(items, log_a, N_LABELS, rounds=4)
+    p_on, p_off, _ = L.annotator_reliability(items, log_a, N_LABELS)
     names = ["correct", "next to it", "other", "none", "off: none", "off: some"]
     rows = [(n, round(v, 6)) for n, v in zip(names, [*p_on, *p_off], strict=True)]
     return spark.createDataFrame(rows, "bucket string, share double")

@@ -75,7 +75,7 @@ def two_pass_anchors(spark, d):
     def density(s):
         return T.foreign_density(s, "th|er|on|en", ["que", "und"])
 
-    out = M.two_pass_anchors(docs(spark, d), benchmark(spark, d), density, min_density=0.25, threshold=0.9)
+    out = M.two_pass_anchors(docs(spark, d), benchmark(spark, d), density)
     hits = out.select("doc_id", F.inline("hits"))
     return hits.select("doc_id", "label", "start", "end", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "method")
 
