@@ -1,16 +1,16 @@
-"""Removal of word passages that an earlier document has too, by suffix subtrees of shared prefixes.
+"""Removal of word passages that an earlier document has too, by a hash join of their windows.
 
-A suffix is a position in a document with the words that follow it. Only the top of the suffix tree matters for a
-passage of ``length`` words, so suffixes are cut off there. Three steps, each with its own bound on memory:
+A passage is a window of ``length`` words, compared by a 64-bit hash; no suffixes are sorted and no tree is built. Three
+steps, each with its own bound on memory:
 
 * **Anchors.** Every window of ``length`` words names one of its inner ``INNER``-grams, the one with the smallest hash.
   Equal windows name equal anchors, so a window whose anchor occurs in one document only has no second occurrence.
   About one anchor for five words is shuffled instead of every window.
-* **Prefix groups.** The windows left are dealt by the prefix of their suffix: its first ``INNER`` words, or all
+* **Prefix groups.** The windows left are dealt by a prefix: their first ``INNER`` words, or all
   ``length`` words where its anchor is frequent (by a table of counts with 65,536 cells). Groups are packed into as many
-  partitions as the counted suffixes need at ``GROUP_ROWS`` each.
-* **Subtrees.** Within a group, sorted suffixes put the leaves below an internal node of depth ``length`` next to each
-  other; a node with leaves of several documents is a repeat, and its smallest doc_id is the one that keeps it.
+  partitions as the counted windows need at ``GROUP_ROWS`` each.
+* **Groups of equal windows.** Within a partition, sorted hashes put equal windows next to each other; a window of several
+  documents is a repeat, and the smallest doc_id is the one that keeps it.
 
 Before both shuffles a task settles what it can see alone: of the documents in one slice that share an anchor or a
 window only one asks the others, so a passage that a third of all documents have is asked for once per slice.
