@@ -1,7 +1,8 @@
 """Queries on the lines of texts, on conversations and on phrases, each with its SQL."""
 
 from passages.llm.line_rules import BOILERPLATE, CLOSERS, clean_lines
-from passages.llm.overlap_queries import SPLIT
+from passages.llm.overlap_queries import FOLDED, SPLIT
+from passages.llm.phrases import collocations
 from passages.llm.registry import query, table
 
 _WORDS = SPLIT.format(text="{0}")
@@ -42,3 +43,35 @@ FROM joined
 def op12_quality_rules(spark, sf_dir):
     rows = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+PHRASES_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex({FOLDED}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM words, unnest([1, 2, 3, 4]) AS s(k), unnest(range(1, len(w) + 1)) AS r(i) WHERE i + k - 1 <= len(w)),
+often AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+  FROM cand c, unnest(range(1, c.k)) AS x(j)
+  JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, j), ' ')
+  JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, j + 1, c.k), ' ')),
+best AS (SELECT lang, phrase, any_value(a) AS a, min({{'score': score, 'j': j, 'l': l, 'r': r}}) AS cut FROM cuts GROUP BY lang, phrase),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS f
+  FROM cand, unnest(range(2, k)) AS y(m), unnest(range(1, k - m + 2)) AS z(i) GROUP BY 1, 2),
+kept AS (
+  SELECT b.lang, b.phrase, a, cut.l AS l, cut.r AS r, cut.score AS score FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE f IS NULL OR 100 * f::HUGEINT < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrases", PHRASES_SQL)
+def op13_phrases(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
