@@ -1,5 +1,8 @@
 """Queries on the lines of texts, on conversations and on phrases, each with its SQL."""
 
+from pyspark.sql import functions as F
+
+from passages.llm.conversations import summaries
 from passages.llm.line_rules import BOILERPLATE, CLOSERS, clean_lines
 from passages.llm.overlap_queries import FOLDED, SPLIT
 from passages.llm.phrases import collocations
@@ -75,3 +78,75 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 @query("op13_phrases", PHRASES_SQL)
 def op13_phrases(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+_CRC = """xor(list_reduce(list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT),
+  lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+REPAIR_SQL = f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+base AS (SELECT *, {_CRC.format("name")} % 20 AS d FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text
+  FROM base, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(c)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged)),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    substr(role, 1, 1) AS i, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS h FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE h || i NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+moves(p, c, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS (
+  SELECT conv_id, pos, p, p AS q, 2 AS cost, 'D' AS audit, []::VARCHAR[] AS told FROM judged, unnest([0, 1, 2, 3]) AS s(p)
+  UNION ALL
+  SELECT conv_id, pos, p, q, CASE fault WHEN '' THEN 0 ELSE 5 END, 'K', [role || ':' || text] FROM judged JOIN moves ON c = i WHERE fault IN ('', 'truncated')
+  UNION ALL
+  SELECT conv_id, pos, p, q, CASE fault WHEN '' THEN 1 ELSE 6 END, 'R', [CASE c WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+  FROM judged, moves WHERE c <> 's' AND fault IN ('', 'truncated')),
+gap(p, q, cost, audit, told) AS (VALUES
+  (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']),
+  (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+reach AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS q, {{'cost': 0, 'audit': '', 'told': []::VARCHAR[]}} AS b FROM conversations
+  UNION ALL
+  SELECT r.conv_id, e.pos, e.q, min({{'cost': (b).cost + g.cost + e.cost, 'audit': (b).audit || g.audit || e.audit, 'told': (b).told || g.told || e.told}})
+  FROM reach r JOIN gap g ON g.p = r.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.pos = r.pos + 1 AND e.p = g.q
+  GROUP BY r.conv_id, e.pos, e.q),
+ends AS (
+  SELECT r.conv_id, min({{'cost': (b).cost + g.cost, 'audit': (b).audit || g.audit, 'told': (b).told || g.told}}) AS b
+  FROM reach r JOIN gap g ON g.p = r.q LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+  WHERE g.q IN (0, 3) AND r.pos = coalesce(c.n, 0) GROUP BY r.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, (b).cost::BIGINT AS cost, (b).audit AS audit,
+  sha256(array_to_string((b).told, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def damaged(conversations):
+    """Rows of (conv_id, turn, role, text) with the faults that a digest of conversation and turn deals out; nulls count as one space."""
+    space = F.lit(" ")
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(name) % 20).alias("deal"))
+    text = F.when(F.col("deal") == 1, "").when(F.col("deal") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat("turn", F.when(F.col("deal") == 0, 0).when(F.col("deal") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", copies.alias("turn"), F.when(F.col("deal") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+@query("op11_conversations", REPAIR_SQL)
+def op11_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    found = summaries(damaged(rows)).withColumnRenamed("conv_id", "found")
+    ids = rows.select("conv_id").distinct()
+    out = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left").drop("found")
+    out = out.fillna(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).fillna("", ["audit"])
+    return out.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
