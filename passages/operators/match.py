@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from passages.functions import text as T
 from passages.functions.batch import batch_udf
+from passages.functions.likeness import ratios, ratios_of_pairs
 from passages.operators.chunk import density_windows
 
 MAX_ENTRY_CHARS = 20_000_000
 PACK_BITS = 16_384
-_HITS = "array<struct<label:int,start:int,end:int,score:double,density:double,confidence:double,method:string>>"
+SLICE_CHARS = 1_000_000
 
 
 # ---- shared word n-grams -------------------------------------------------------------
@@ -247,23 +248,53 @@ def check_entries(catalogue: DataFrame) -> None:
         raise ValueError("the catalogue is too large to send to the tasks")
 
 
-def entries_of(catalogue: DataFrame) -> list[tuple[int, str]]:
-    """The catalogue on the driver, checked to be small."""
-    check_entries(catalogue)
-    rows = catalogue.select("label", "text").orderBy("label").collect()
-    return [(int(r["label"]), r["text"]) for r in rows]
-
+def entry_slices(catalogue: DataFrame, columns: Sequence[str], most: int = SLICE_CHARS) -> Iterator[list[Row]]:
+    """The catalogue in label order, in parts of about ``most`` letters of its last column, so that none is large."""
+    part, chars = [], 0
+    for r in catalogue.select(*columns).orderBy("label").toLocalIterator():
+        part.append(r)
+        chars += len(r[columns[-1]] or "")
+        if chars >= most:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
 
-def fuzzy_matrix(items: DataFrame, catalogue: DataFrame, text: str = "text", name: str = "string") -> DataFrame:
-    """``items`` plus an array with the score of every entry, in label order: the
-    exhaustive form, for a small catalogue of short texts."""
-    entries = entries_of(catalogue)
 
+def _matrix_scorer(entries: dict[str, list[str]], n: int) -> Callable:
     @batch_udf("array<double>")
-    def scores(hay: pd.Series) -> pd.Series:
-        return hay.map(lambda h: [partial_ratio(t, h) if h else 0.0 for _, t in entries])
+    def scores(own: pd.Series, hay: pd.Series) -> pd.Series:
+        result = np.zeros((len(hay), n))
+        for c, texts in entries.items():
+            at = np.flatnonzero((own == c) & hay.notna() & (hay != ""))
+            if len(at):
+                distinct, back = np.unique(hay.to_numpy(dtype=object)[at].astype(str), return_inverse=True)
+                result[at] = ratios(distinct.tolist(), texts)[back]
+        return pd.Series(list(result))
 
-    return items.withColumn(name, scores(text))
+    return scores
+
+
+def fuzzy_matrix(
+    items: DataFrame, catalogue: DataFrame, text: str = "text", name: str = "string", by: str | None = None,
+    spelling: Callable[[Column], Column] = lambda s: s, names: Sequence[str] | None = None,
+) -> DataFrame:
+    """``items`` plus an array with the score of every entry, in label order: the exhaustive form.
+
+    With ``by``, a column of ``items`` with values out of ``names`` (the language, say), the catalogue has one column of texts
+    per name, and an item is compared with the column of its own value: that column is the second half of its key
+    pair, ``spelling`` of both texts the first. Null texts score 0 and values without a column a row of zeros."""
+    columns = ["text"] if by is None else list(names or ())
+    spelt = catalogue.select("label", *[spelling(F.col(c)).alias(c) for c in columns])
+    value = F.lit("text") if by is None else F.col(by).cast("string")
+    out = items.withColumn("__hay", spelling(F.col(text)))
+    parts = []
+    for k, rows in enumerate(entry_slices(spelt, ["label", *columns])):
+        entries = {c: [r[c] or "" for r in rows] for c in columns}
+        out = out.withColumn(f"__part{k}", _matrix_scorer(entries, len(rows))(value, F.col("__hay")))
+        parts.append(F.col(f"__part{k}"))
+    every = F.concat(*parts) if parts else F.array().cast("array<double>")
+    return out.withColumn(name, every).drop("__hay", *[f"__part{k}" for k in range(len(parts))])
 
 
 def best_anchor(anchors: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -273,71 +304,129 @@ def best_anchor(anchors: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def _best_entry(texts: list[str], labels: list[int], first: dict[str, int], threshold: float) -> Callable:
+    """The entry a piece is taken for: (0 to 2, -score, label) by one of its first three words, (3, -score, label) as the best."""
+
+    @batch_udf("struct<rank:int,worse:double,label:int>")
+    def best(opening: pd.Series, spelt: pd.Series) -> pd.DataFrame:
+        distinct, back = np.unique(spelt.to_numpy(dtype=object).astype(str), return_inverse=True)
+        scores = ratios(distinct.tolist(), texts)
+        top = scores.argmax(1)
+        out = []
+        for words, row in zip(opening, back, strict=True):
+            ways = [(n, first[w]) for n, w in enumerate(words) if w in first and scores[row, first[w]] >= threshold]
+            rank, i = ways[0] if ways else (3, int(top[row]))
+            out.append((rank, -scores[row, i], labels[i]) if scores[row, i] >= threshold else (None, None, None))
+        return pd.DataFrame(out, columns=["rank", "worse", "label"])
+
+    return best
+
+
+def _pair_ratio(piece: pd.Series, entry: pd.Series) -> pd.Series:
+    return pd.Series(ratios_of_pairs(piece.tolist(), entry.tolist()))
+
+
+GRID = 20
+WORD = r"[^ \t\n\x0B\f\r]+"
+
+
+def _cells(text: Column) -> Column:
+    """The text in cells of ``GRID`` letters: pieces are cut out of a few cells, not out of a long text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{GRID}}})"), F.lit(1))
+
+
+def _cut(cells: Column, start: Column, size: Column) -> Column:
+    first = F.floor(start / GRID).cast("int")
+    near = F.array_join(F.slice(cells, first + 1, F.ceil(size / GRID).cast("int") + 1), "")
+    return near.substr(start - first * GRID + 1, size)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+
+
+def candidate_spans(docs: DataFrame, key: str, text: str, density: Callable[[Column], Column], min_density: float) -> DataFrame:
+    """(key, turn, start, end, density, method, piece): the stretches of a text that are dense enough, with some letters around
+    them; of those over 200 letters, pieces of 150 every 40. ``turn`` counts them in text order."""
+    size = F.length("__text")
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = rows.withColumn("__dense", density_windows(F.col("__text"), density, threshold=min_density))
+    rows = rows.withColumn("__cells", _cells(F.col("__text")))
+
+    def span(start: Column, end: Column, dense: Column, method: str) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), dense.alias("density"), F.lit(method).alias("method"))
+
+    def spans(s: Column) -> Column:
+        scanned = F.sequence(s["start"], s["end"] - 61, F.lit(40))
+        parts = F.transform(scanned, lambda a: span(a, F.least(a + 150, size), s["density"], "subscan"))
+        whole = span(F.greatest(F.lit(0), s["start"] - 20), F.least(size, s["end"] + 40), s["density"], "stretch")
+        return F.when(s["end"] - s["start"] > 200, parts).otherwise(F.array(whole))
+
+    rows = rows.withColumn("__spans", F.flatten(F.transform("__dense", spans)))
+
+    def with_piece(s: Column) -> Column:
+        return s.withField("piece", _cut(F.col("__cells"), s["start"], s["end"] - s["start"]))
+
+    rows = rows.select(key, F.posexplode(F.transform("__spans", with_piece)).alias("turn", "__span"))
+    return rows.select(key, "turn", "__span.*")
+
+
 def two_pass_anchors(
-    docs: DataFrame, catalogue: DataFrame, density: Callable[[Column], Column], min_density: float = 0.12,
-    threshold: float = 0.55, spelling: Callable[[str], str] = lambda s: "".join(s.split()), text: str = "text",
+    docs: DataFrame, catalogue: DataFrame, density: Callable[[Column], Column], min_density: float = 0.12, threshold: float = 0.55,
+    spelling: Callable[[Column], Column] = lambda s: F.regexp_replace(s, r"\s+", ""), text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
-    """``docs`` plus ``hits``: dense stretches matched against the catalogue, then the
-    places where an entry's first word stands; one hit per label and text.
-
-    Stretches over 200 characters are scanned in pieces of 150 every 40. A piece that
-    begins with an entry's first word within three words tries that entry first."""
-    entries = [(label, t, spelling(t)) for label, t in entries_of(catalogue)]
-    first_words = {t.split()[0]: i for i, (_, t, _) in enumerate(entries) if t.split()}
-
-    def match(candidate: str) -> tuple[int, float] | None:
-        folded = spelling(candidate)
-        for w in candidate.split()[:3]:
-            if w in first_words:
-                i = first_words[w]
-                score = partial_ratio(folded, entries[i][2], threshold)
-                if score >= threshold:
-                    return i, score
-        best, at = 0.0, None
-        for i, (_, _, e) in enumerate(entries):
-            score = partial_ratio(folded, e, max(best, threshold))
-            if score >= threshold and score > best:
-                best, at = score, i
-        return None if at is None else (at, best)
-
-    def one(t: str, stretches) -> list[tuple]:
-        hits: dict[int, tuple] = {}
-
-        def keep(i: int, start: int, end: int, score: float, dense: float, confidence: float, method: str) -> None:
-            label = entries[i][0]
-            if label not in hits:
-                hits[label] = (label, start, end, score, dense, min(1.0, confidence), method)
-
-        for s in stretches:
-            start, end, dense = s["start"], s["end"], s["density"]
-            if end - start > 200:
-                spans = [(a, min(a + 150, len(t)), "subscan") for a in range(start, end - 60, 40)]
-            else:
-                spans = [(max(0, start - 20), min(len(t), end + 40), "stretch")]
-            for a, b, method in spans:
-                found = match(t[a:b])
-                if found:
-                    keep(found[0], a, b, found[1], dense, found[1] * 0.7 + dense * 0.3, method)
-        at = 0
-        for w in t.split():
-            at = t.index(w, at)
-            if w in first_words:
-                i = first_words[w]
-                score = partial_ratio(spelling(t[at : at + 150]), entries[i][2], threshold)
-                if score >= threshold:
-                    keep(i, at, min(at + 150, len(t)), score, 0.0, score * 0.6 + 0.2, "first word")
-            at += len(w)
-        return sorted(hits.values(), key=lambda h: (h[1], h[0]))
-
-    @batch_udf(_HITS)
-    def find(texts: pd.Series, stretches: pd.Series) -> pd.Series:
-        return pd.Series([one(t or "", s) for t, s in zip(texts, stretches, strict=True)])
-
-    # an explode of one element keeps the two steps apart: merged into one projection, the
-    # lambdas inside the argument keep Spark from taking the function out
-    dense = density_windows(F.col(text), density, threshold=min_density)
-    rows = docs.select("*", F.explode(F.array(dense)).alias("__dense"))
-    return rows.withColumn("hits", find(F.col(text), F.col("__dense"))).drop("__dense")
+    """``docs`` plus ``hits``: dense stretches matched against the catalogue, then the places where an entry's first word
+    stands; one hit per label and text, the earliest of the first pass or else of the second.
+
+    Candidates are rows. A stretch takes the entry whose first word is among its first three words, if that scores ``threshold``, or else
+    the best one (the first of equals); a first-word place is compared with its own entry, which a join on the word finds. The
+    catalogue is read in parts, whose results are merged, so it may be of any size. ``key`` names the texts; a null or
+    empty text has no hits."""
+    entries = catalogue.select("label", F.coalesce("text", F.lit("")).alias("text"))
+    entries = entries.select("label", F.get(_words(F.col("text")), F.lit(0)).alias("head"), spelling(F.col("text")).alias("entry"))
+    heads = entries.filter("head IS NOT NULL").groupBy("head").agg(F.max("label").alias("owner"))
+
+    spans = candidate_spans(docs, key, text, density, min_density)
+    opening = F.slice(_words(F.col("piece")), 1, 3)
+    spans = spans.select(key, "turn", "start", "end", "density", "method", opening.alias("opening"), spelling(F.col("piece")).alias("spelt"))
+    # the scorer is the costly part: one long text's pieces are spread over tasks, however few bytes they are
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spans = spans.repartition(tasks, key, "turn")
+    owned = entries.join(heads.withColumnRenamed("owner", "label"), ["label", "head"], "left_semi")
+    owned = entries.join(owned.select("label", F.lit(True).alias("owns")), "label", "left")
+    found = []
+    for k, rows in enumerate(entry_slices(owned, ["label", "owns", "head", "entry"])):
+        texts = [r["entry"] for r in rows]
+        labels = [int(r["label"]) for r in rows]
+        first = {r["head"]: i for i, r in enumerate(rows) if r["owns"]}
+        spans = spans.withColumn(f"__found{k}", _best_entry(texts, labels, first, threshold)("opening", "spelt"))
+        found.append(F.when(F.col(f"__found{k}.rank").isNotNull(), F.col(f"__found{k}")))
+    kind = "array<struct<label:int,start:int,end:int,score:double,density:double,confidence:double,method:string>>"
+    if not found:
+        return docs.withColumn("hits", F.array().cast(kind))
+    hit = F.least(*found) if len(found) > 1 else found[0]
+    dense = spans.withColumn("__hit", hit).filter("__hit IS NOT NULL").withColumn("score", -F.col("__hit.worse"))
+    dense = dense.select(key, F.col("__hit.label").alias("label"), F.lit(1).alias("run"), F.col("turn").alias("at"), "start", "end", "score", "density",
+                         F.least(F.lit(1.0), F.col("score") * 0.7 + F.col("density") * 0.3).alias("confidence"), "method")
+
+    words = docs.select(key, F.explode(T.positions(F.col(text), WORD)).alias("w")).select(key, F.col("w.pos").alias("pos"), F.col("w.match").alias("head"))
+    starts = words.join(heads, "head").groupBy(key).agg(F.collect_list(F.struct("pos", "owner")).alias("__starts"))
+    places = docs.select(key, _cells(F.col(text)).alias("__cells")).join(starts, key)
+    pieces = F.transform("__starts", lambda x: x.withField("piece", _cut(F.col("__cells"), x["pos"], F.lit(150))))
+    places = places.select(key, F.explode(pieces).alias("p")).select(key, "p.*")
+    places = places.join(entries.select(F.col("label").alias("owner"), "entry"), "owner")
+
+    places = places.withColumn("spelt", spelling(F.col("piece"))).withColumn("score", batch_udf("double")(_pair_ratio)("spelt", "entry")).filter(F.col("score") >= threshold)
+    sparse = places.select(key, F.col("owner").cast("int").alias("label"), F.lit(2).alias("run"), F.col("pos").alias("at"), F.col("pos").alias("start"),
+                           (F.col("pos") + F.length("piece")).alias("end"), "score", F.lit(0.0).alias("density"),
+                           F.least(F.lit(1.0), F.col("score") * 0.6 + 0.2).alias("confidence"), F.lit("first word").alias("method"))
+    order = F.struct("run", "at", "start", "end", "score", "density", "confidence", "method")
+    hits = dense.unionByName(sparse).groupBy(key, "label").agg(F.min(order).alias("h"))
+    one = F.struct(F.col("label").cast("int").alias("label"), "h.start", "h.end", "h.score", "h.density", "h.confidence", "h.method")
+    sorted_hits = F.array_sort(F.collect_list(F.struct(F.col("h.start").alias("a"), F.col("label").alias("b"), one.alias("hit"))))
+    hits = hits.groupBy(key).agg(F.transform(sorted_hits, lambda x: x["hit"]).cast(kind).alias("hits"))
+    joined = docs.join(hits, key, "left")
+    return joined.withColumn("hits", F.coalesce("hits", F.array().cast(kind))).select(*docs.columns, "hits")
 
 
 def near_cues(hits: str = "hits", cues: str = "cues", within: int = 500) -> Column:

@@ -1,11 +1,14 @@
 """Text expressions, chunkers and the fuzzy scorer on small hand-made inputs."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from passages.functions import text as T
+from passages.functions.likeness import ratios, ratios_of_pairs
 from passages.operators import chunk as C
 from passages.operators import match as M
 
@@ -192,3 +195,76 @@ def test_two_pass_anchors(spark):
     hits = out.first()["hits"]
     assert [(h["label"], h["method"]) for h in hits][-1] == (2, "first word")
     assert {h["label"] for h in hits} == {1, 2}
+
+
+def letters(s):
+    return "".join(s.split())
+
+
+def plain_anchors(text, entries, threshold, least=0.04):
+    """Hits of one text, place by place, with densities counted letter by letter."""
+    stretches = []
+    for i in range(0, len(text) - 80, 20):
+        dense = text[i : i + 80].count("#") / 80
+        if dense >= least:
+            if stretches and i <= stretches[-1][1] + 20:
+                stretches[-1][1:] = [max(stretches[-1][1], i + 80), max(stretches[-1][2], dense)]
+            else:
+                stretches.append([i, i + 80, dense])
+    spans = []
+    for a, b, dense in stretches:
+        if b - a > 200:
+            spans += [(x, min(x + 150, len(text)), dense, "subscan") for x in range(a, b - 60, 40)]
+        else:
+            spans.append((max(0, a - 20), min(len(text), b + 40), dense, "stretch"))
+    heads = {t.split()[0]: label for label, t in entries if t.split()}
+    score = {label: (lambda piece, t=t: M.partial_ratio(letters(piece), letters(t))) for label, t in entries}
+    hits = {}
+    for a, b, dense, method in spans:
+        own = [heads[w] for w in text[a:b].split()[:3] if w in heads and score[heads[w]](text[a:b]) >= threshold]
+        best = own[0] if own else max(score, key=lambda label: (score[label](text[a:b]), -label))
+        if score[best](text[a:b]) >= threshold:
+            s = score[best](text[a:b])
+            hits.setdefault(best, (best, a, b, s, dense, min(1.0, 0.7 * s + 0.3 * dense), method))
+    for m in re.finditer(r"\S+", text):
+        label = heads.get(m.group())
+        piece = text[m.start() : m.start() + 150]
+        if label is not None and score[label](piece) >= threshold:
+            s = score[label](piece)
+            hits.setdefault(label, (label, m.start(), m.start() + len(piece), s, 0.0, min(1.0, 0.6 * s + 0.2), "first word"))
+    return sorted(hits.values(), key=lambda h: (h[1], h[0]))
+
+
+@pytest.mark.parametrize("slice_chars", [1_000_000, 30])
+def test_two_pass_anchors_place_by_place(spark, monkeypatch, slice_chars):
+    monkeypatch.setattr(M.entry_slices, "__defaults__", (slice_chars,))
+    draw = random.Random(4)
+    words = ["ka", "ba", "éla", "mo", "ta#", "##", "su", "ri"]
+    entries = [(k, " ".join(draw.choice(words) for _ in range(draw.randint(0, 30)))) for k in range(1, 9)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 250))) for _ in range(12)] + ["", " \n", None]
+    texts += [texts[0] + " " + entries[2][1] + " " + texts[1]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    catalogue = spark.createDataFrame(entries, "label int, text string")
+    out = M.two_pass_anchors(rows, catalogue, lambda s: F.regexp_count(s, F.lit("#")) / F.length(s), 0.04, 0.8)
+    got = {r["doc_id"]: [tuple(h) for h in r["hits"]] for r in out.collect()}
+    for i, text in enumerate(texts):
+        want = plain_anchors(text or "", entries, 0.8)
+        assert [(*h[:3], h[6]) for h in got[i]] == [(*h[:3], h[6]) for h in want]
+        assert [h[3:6] for h in got[i]] == [pytest.approx(h[3:6]) for h in want]
+
+
+def test_ratios_are_those_of_single_pairs():
+    draw = random.Random(2)
+    some = lambda n: ["".join(draw.choice("abcé ") for _ in range(draw.randint(0, 40))) for _ in range(n)]
+    texts, entries = some(50), [*some(30), "abc" * 60]
+    want = [[M.partial_ratio(t, e) for e in entries] for t in texts]
+    assert ratios(texts, entries) == pytest.approx(np.array(want))
+    assert ratios_of_pairs(texts[:31], entries) == pytest.approx(np.array([want[i][i] for i in range(31)]))
+    assert ratios([], entries).shape == (0, 31) and ratios(texts, []).shape == (50, 0)
+
+
+def test_matrix_takes_the_column_of_the_language(spark):
+    catalogue = spark.createDataFrame([(1, "alpha beta", "ALFA"), (2, None, "om ega")], "label int, en string, fr string")
+    items = spark.createDataFrame([(0, "the alpha beta", "en"), (1, "om ega", "fr"), (2, "alpha", None), (3, None, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["string"] for r in M.fuzzy_matrix(items, catalogue, by="lang", names=["en", "fr"], spelling=lambda s: F.regexp_replace(s, " ", "")).collect()}
+    assert got[0] == [1.0, 0.0] and got[1][1] == 1.0 and got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
