@@ -1,22 +1,23 @@
 """Phrase mining by Toivonen's method, per language.
 
 A phrase is up to ``longest`` consecutive words of one piece of a text; it is frequent if it occurs at least ``support``
-times in its language. A sample (every ``sample_parts``-th document by a hash of its key, mined level by level with
-a lowered support) proposes the phrases to expect. A full pass then counts, exactly, the proposed phrases and
-their negative border: the phrases that were not proposed although both phrases one word shorter inside them were (at
-one word, every word). A phrase of the border that turns out to be frequent is a failure of the sample; it joins the
-expected ones, and a further full pass counts what the border gained by that and no pass has counted. This ends
-when a pass has no failures. As every part of a frequent phrase is frequent, none can then be missing, whatever the sample was.
+times in its language. A sample (every ``sample_parts``-th document by a hash of its key) proposes, with a lowered support, the
+phrases to expect. A full pass then counts, exactly, the proposed phrases and their negative border: the phrases that were not
+proposed although both phrases one word shorter inside them were (at one word, every word). A phrase of the border that turns
+out to be frequent is a failure of the sample, and starts an expansion pass, which counts every phrase that holds a
+failure, has frequent words only and was not counted yet. All parts of a frequent phrase are frequent; so one that
+the full pass did not count holds a shorter one that it did count and that was not proposed, which is a failure. The
+expansion therefore closes the border, whatever the sample was; without failures there is none.
 
 Phrases meet by 64-bit hashes of their words and language (two different ones are taken for equal with a chance of 5e-20). The
-expected phrases go to the tasks as a table of bits, sized from their number and never rebuilt smaller in a run: a phrase that
-is let through by chance is only counted without need. Counts are added up in a task before they are shuffled.
+expected phrases go to the tasks as a table of bits, sized from their number: a phrase that is let through by chance is only
+counted without need. Counts are added up in a task before they are shuffled.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from passages.session import checkpoint_dir
 
 UNKNOWN = "und"
 LONGEST = 4
-FLUSH = 1 << 21
+FLUSH = 1 << 22
 LEAST_BITS, MOST_BITS = 20, 30
 
 GAP = np.zeros(256, bool)
@@ -125,30 +126,42 @@ class Pieces:
         return self.languages[self.row[i]]
 
 
-def counted(pieces: Pieces, known: Bits | None, before: Bits | None, longest: int, first: int = 1) -> list[np.ndarray]:
-    """Hashes of the phrases of the slice that are ``known`` or in its border, without those that ``before`` had so. With
-    known None only words are; first = 2 leaves words out."""
+def all_known(pieces: Pieces, known: Bits, longest: int) -> list[np.ndarray]:
+    """Hashes of the phrases of two words and more that have known words only."""
     out = []
+    h, _ = pieces.grams(1)
+    here = known.has(h)
+    for n in range(2, longest + 1):
+        h, fits = pieces.grams(n)
+        here = here[:-1] & here[1:] & fits
+        out.append(h[here])
+    return out
+
+
+def bordered(pieces: Pieces, known: Bits, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, which fit, which count) for every number of words: a phrase counts if both phrases one word shorter in it are known."""
     h, fits = pieces.grams(1)
-    if first == 1:
-        out.append(h)
-    if known is None:
-        return out
-    here, past = known.has(h), before.has(h) if before is not None else None
+    yield h, fits, fits
+    here = known.has(h)
     for n in range(2, longest + 1):
-        if not here.any():
-            break
         h, fits = pieces.grams(n)
-        wanted = here[:-1] & here[1:] & fits
-        if past is not None:
-            was = past[:-1] & past[1:] & fits
-            out.append(h[wanted & ~was])
-            past = was.copy()
-            past[was] = before.has(h[was])
-        else:
-            out.append(h[wanted])
-        here = wanted
-        here[wanted] = known.has(h[wanted])
+        here = here[:-1] & here[1:] & fits
+        yield h, fits, here.copy()
+        here[here] = known.has(h[here])
+
+
+def expanded(pieces: Pieces, known: Bits, failed: Bits, longest: int) -> list[np.ndarray]:
+    """Hashes of the phrases that hold a failed one and have known or failed words only, but for those that ``bordered`` counts."""
+    out, holds, words = [], None, None
+    for h, fits, past in bordered(pieces, known, longest):
+        fails = failed.has(h)
+        if holds is None:
+            holds, words = fails, fails | known.has(h)
+            continue
+        words = words[:-1] & words[1:] & fits
+        within = holds[:-1] | holds[1:]
+        out.append(h[words & within & ~past])
+        holds = within | (fails & fits)
     return out
 
 
@@ -162,16 +175,14 @@ def _added(pile: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(signed(keys)), pa.array(n.astype(np.int64))], ["key", "f"])
 
 
-def _pass(rows: DataFrame, known: Bits | None, before: Bits | None, longest: int, first: int, support: int) -> DataFrame:
+def _pass(rows: DataFrame, phrases: Callable[[Pieces], list[np.ndarray]], support: int) -> DataFrame:
     """(key, f) of the phrases of one pass that occur ``support`` times or more, checkpointed."""
-    shared = rows.sparkSession.sparkContext.broadcast((known, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, old = shared.value
         pile, held = [], 0
         for batch in batches:
             for part in slices(batch):
-                found = counted(Pieces(part.column("text"), part.column("lang").to_pylist()), now, old, longest, first)
+                found = phrases(Pieces(part.column("text"), part.column("lang").to_pylist()))
                 pile += found
                 held += sum(map(len, found))
                 if held >= FLUSH:
@@ -185,37 +196,33 @@ def _pass(rows: DataFrame, known: Bits | None, before: Bits | None, longest: int
 
 
 def _proposed(rows: DataFrame, longest: int, support: int, sample_parts: int) -> tuple[DataFrame, Bits]:
-    """The phrases the sample proposes, mined there level by level, and their table."""
+    """The phrases the sample proposes, and their table."""
     sample = rows.filter(F.pmod(F.col("draw"), F.lit(sample_parts)) == 0)
-    low = max(2, int(0.6 * support / sample_parts))
-    proposed = _pass(sample, None, None, longest, 1, low)
-    known = Bits(4 * proposed.count()).filled(proposed)
-    before = None
-    for n in range(2, longest + 1):
-        grown = _pass(sample, known, before, n, 2, low)
-        if grown.isEmpty():
-            break
-        proposed = proposed.unionByName(grown)
-        before, known = known, known.filled(grown)
-    return proposed.select("key"), known
+    low = max(1, min(support, max(2, int(0.6 * support / sample_parts))))
+    words = _pass(sample, lambda pieces: [pieces.grams(1)[0]], low)
+    n = words.count()
+    shared = rows.sparkSession.sparkContext.broadcast(Bits(n).filled(words))
+    longer = _pass(sample, lambda pieces: all_known(pieces, shared.value, longest), low)
+    proposed = words.unionByName(longer).select("key")
+    return proposed, Bits(n + longer.count()).filled(proposed)
 
 
-def frequent(docs: DataFrame, support: int = 30, longest: int = LONGEST, sample_parts: int = 4, key: str = "doc_id") -> tuple[DataFrame, int]:
+def frequent(docs: DataFrame, support: int = 30, longest: int = LONGEST, sample_parts: int = 8, key: str = "doc_id") -> tuple[DataFrame, int]:
     """(key, f) of every phrase of up to ``longest`` words with at least ``support`` occurrences, and the number of full passes."""
     checkpoint_dir(docs.sparkSession)
     rows = _rows(docs, key)
+    share = docs.sparkSession.sparkContext.broadcast
     with small_batches(docs.sparkSession):
-        expected, known = _proposed(rows, longest, support, sample_parts)
-        found = _pass(rows, known, None, longest, 1, support)
-        passes, failures = 1, found.join(expected, "key", "left_anti").select("key").checkpoint()
-        while not failures.isEmpty():
-            before, known = known, known.filled(failures)
-            grown = _pass(rows, known, before, longest, 2, support)
-            found = found.unionByName(grown)
-            expected = expected.unionByName(failures)
-            failures = grown.join(expected, "key", "left_anti").select("key").checkpoint()
-            passes += 1
-    return found, passes
+        expected, table = _proposed(rows, longest, support, sample_parts)
+        known = share(table)
+        found = _pass(rows, lambda pieces: [h[past] for h, _, past in bordered(pieces, known.value, longest)], support)
+        failures = found.join(expected, "key", "left_anti").select("key").checkpoint()
+        n = failures.count()
+        if not n:
+            return found, 1
+        failed = share(Bits(n).filled(failures))
+        grown = _pass(rows, lambda pieces: expanded(pieces, known.value, failed.value, longest), support)
+        return found.unionByName(grown), 2
 
 
 def named(docs: DataFrame, found: DataFrame, longest: int = LONGEST, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -226,7 +233,7 @@ def named(docs: DataFrame, found: DataFrame, longest: int = LONGEST, key: str =
     shape = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, told, totals = shared.value, np.zeros(0, np.uint64), Counter()
+        wanted, told, totals = shared.value, set(), Counter()
         for batch in batches:
             for part in slices(batch):
                 pieces = Pieces(part.column("text"), part.column("lang").to_pylist())
@@ -240,12 +247,14 @@ def named(docs: DataFrame, found: DataFrame, longest: int = LONGEST, key: str =
                     fits[fits] = wanted.has(h[fits])
                     here = fits
                     keys, at = np.unique(h[fits], return_index=True)
-                    fresh = ~np.isin(keys, told, assume_unique=True)
-                    places = np.flatnonzero(fits)[at[fresh]].tolist()
-                    out += [(k, pieces.language(i), pieces.phrase(i, n), n) for k, i in zip(signed(keys[fresh]).tolist(), places)]
-                    told = np.concatenate([told, keys[fresh]]) if len(told) < FLUSH else keys[fresh]
+                    places = np.flatnonzero(fits)[at].tolist()
+                    fresh = [(k, i) for k, i in zip(signed(keys).tolist(), places) if k not in told]
+                    out += [(k, pieces.language(i), pieces.phrase(i, n), n) for k, i in fresh]
+                    told.update(k for k, _ in fresh)
                     if not fits.any():
                         break
+                if len(told) > FLUSH:
+                    told.clear()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
         if totals:
@@ -263,7 +272,7 @@ def _part(first: Column, size: Column) -> Column:
 
 
 def collocations(
-    docs: DataFrame, support: int = 30, longest: int = LONGEST, top: int = 2000, covered_percent: int = 80, sample_parts: int = 4, key: str = "doc_id"
+    docs: DataFrame, support: int = 30, longest: int = LONGEST, top: int = 2000, covered_percent: int = 80, sample_parts: int = 8, key: str = "doc_id"
 ) -> DataFrame:
     """The best phrases of every language: lang, rank, phrase, a, l, r, n, score (long but for lang and phrase).
 
