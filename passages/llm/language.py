@@ -20,6 +20,8 @@ WIDTHS = (2, 3, 4)
 DIM = 8
 FILTERS = 12
 UNKNOWN = "und"
+#: windows in one product; a window needs 70 KB while it is worked on
+AT_ONCE = 128
 
 
 def windows_of(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +114,7 @@ class Model:
     def __init__(self, languages: list[str], network: Network):
         self.languages, self.network = languages, network
 
-    def predict(self, texts: list[bytes], at_once: int = 2048) -> np.ndarray:
+    def predict(self, texts: list[bytes], at_once: int = AT_ONCE) -> np.ndarray:
         """Probabilities of each language, from the mean log-probabilities over all windows of a text."""
         x, row = windows_of(texts)
         total = np.zeros((len(texts), len(self.languages)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from passages.llm.vocabulary import Vocabulary
 from passages.llm.words import lists, slices
 
-CACHE = 150_000
+CACHE = 40_000
 SHORT = 64
 
 
@@ -177,7 +177,7 @@ _process: dict[bytes, Encoder] = {}
 
 
 def _process_encoder(model: bytes) -> Encoder:
-    """One encoder per worker process and model, so that a reused worker keeps what it knows."""
+    """One encoder per worker process and model, so that a reused worker need not read the pieces again."""
     if model not in _process:
         _process.clear()
         _process[model] = Encoder(model)
@@ -203,6 +203,7 @@ def encode(docs: DataFrame, model: bytes, column: str = "text") -> DataFrame:
                 if None in texts:
                     ids = pa.array([None if t is None else r for t, r in zip(texts, rows)], pa.list_(pa.int32()))
                 yield part.append_column("ids", ids).append_column("lossless", pa.array(good, pa.bool_()))
+        coder.known, coder.older = {}, {}  # the worker may do something else next
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{kinds}, ids array<int>, lossless boolean")
