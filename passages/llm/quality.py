@@ -107,16 +107,17 @@ def site_posteriors(known: DataFrame, host: str, path: str) -> tuple[float, Data
 
     Sums are made before the shuffle, so a host with a third of all rows is one row per task."""
     y = F.col("label").cast("double")
-    paths = known.filter("label IS NOT NULL").groupBy(host, path).agg(F.count("*").alias("n"), F.sum(y).alias("good")).checkpoint()
-    total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+    rows = known.filter("label IS NOT NULL").select(F.col(host).alias("_host"), F.col(path).alias("_path"), y.alias("_y"))
+    paths = rows.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("_y").alias("_good")).checkpoint()
+    total = paths.agg(F.sum("_n").alias("n"), F.sum("_good").alias("good")).first()
     prior = ((total["good"] or 0) + 0.5) / ((total["n"] or 0) + 1)
-    hosts = paths.groupBy(host).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    s = _strength(hosts, "good", "n", F.lit(prior))
-    hosts = hosts.select(host, ((F.col("good") + s * prior) / (F.col("n") + s)).alias("host_posterior"))
-    joined = paths.join(hosts, paths[host].eqNullSafe(hosts[host])).drop(hosts[host])
-    t = _strength(joined, "good", "n", F.col("host_posterior"))
-    joined = joined.select(host, path, ((F.col("good") + t * F.col("host_posterior")) / (F.col("n") + t)).alias("path_posterior"))
-    return float(prior), hosts, joined
+    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_n"), F.sum("_good").alias("_good"))
+    s = _strength(hosts, "_good", "_n", F.lit(prior))
+    hosts = hosts.select("_host", ((F.col("_good") + s * prior) / (F.col("_n") + s)).alias("host_posterior"))
+    joined = paths.join(hosts.withColumnRenamed("_host", "_own"), F.col("_host").eqNullSafe(F.col("_own"))).drop("_own")
+    t = _strength(joined, "_good", "_n", F.col("host_posterior"))
+    joined = joined.select("_host", "_path", ((F.col("_good") + t * F.col("host_posterior")) / (F.col("_n") + t)).alias("path_posterior"))
+    return float(prior), hosts.toDF(host, "host_posterior"), joined.toDF(host, path, "path_posterior")
 
 
 def score(docs: DataFrame, known: DataFrame, model: Logistic | None, host: str, path: str, threshold: float = 0.3) -> DataFrame:
