@@ -9,6 +9,7 @@ go into a logistic model fitted on a bounded sample of labelled texts.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passages.llm.phrases import Bits
 from passages.llm.samples import Logistic, labelled
 from passages.llm.words import Words, slices
 
@@ -27,6 +29,7 @@ SAYING = (
 ADDRESS = "you your yours youre u ur du dich dir dein deine ihr euch sie ihnen tu te toi ton ta vous votre tú ti usted ustedes vosotros"
 NEAR = 6
 QUOTE_WORDS = 30
+LONGEST_TERM = 40
 
 
 class Lexicon:
@@ -231,7 +234,7 @@ def _term_counts(docs: DataFrame) -> DataFrame:
                 data = words.data.tobytes()
                 for i, label in enumerate(part.column("label").to_pylist()):
                     a, b = words.first[i], words.first[i + 1]
-                    seen = {data[s:e].decode("utf-8", "replace") for s, e in zip(words.start[a:b], words.end[a:b]) if e - s <= 40}
+                    seen = {data[s:e].decode("utf-8", "replace") for s, e in zip(words.start[a:b], words.end[a:b]) if e - s <= LONGEST_TERM}
                     terms = {(w, False) for w in seen} | {(w[:k], True) for w in seen for k in range(4, min(len(w), 9) + 1)}
                     total.update(terms)
                     if label:
@@ -246,13 +249,85 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def learn_lexicon(docs: DataFrame, support: int = 5, precision: float = 0.7) -> Lexicon:
+def _present(docs: DataFrame, candidates: list[tuple[str, bool]]) -> DataFrame:
+    """(doc_id, terms): the places of the candidates that occur in a text; texts without one give no row."""
+    words = {t: i for i, (t, stem) in enumerate(candidates) if not stem}
+    stems = {t: i for i, (t, stem) in enumerate(candidates) if stem}
+    shared = docs.sparkSession.sparkContext.broadcast((words, stems))
+
+    def run(batches):
+        words, stems = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                found = LetterWords(part.column("text"))
+                data = found.data.tobytes()
+                _, first, same = np.unique(found.hashes(), return_index=True, return_inverse=True)
+                terms: dict[int, set[int]] = {}
+                for k, i in enumerate(first.tolist()):
+                    s, e = found.start[i], found.end[i]
+                    if e - s <= LONGEST_TERM:
+                        w = data[s:e].decode("utf-8", "replace")
+                        own = {words[w]} if w in words else set()
+                        own.update(stems[w[:n]] for n in range(4, min(len(w), 9) + 1) if w[:n] in stems)
+                        if own:
+                            terms[k] = own
+                hit = np.zeros(len(first), bool)
+                hit[list(terms)] = True
+                at = np.flatnonzero(hit[same])
+                rows: dict[int, set[int]] = {}
+                for row, k in zip(found.rows()[at].tolist(), same[at].tolist()):
+                    rows.setdefault(row, set()).update(terms[k])
+                ids = part.column("doc_id").take(pa.array(list(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([sorted(t) for t in rows.values()], pa.list_(pa.int32()))], ["doc_id", "terms"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, and a few more: a table of bits goes to the tasks, no text is shuffled."""
+    keys = ids.select(F.xxhash64(F.col("doc_id")).alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(Bits(ids.count()).filled(keys))
+
+    def run(batches):
+        wanted = shared.value
+        for batch in batches:
+            keys = np.asarray(batch.column("key"), np.int64).view(np.uint64)
+            yield batch.filter(pa.array(wanted.has(keys))).drop_columns(["key"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.xxhash64(F.col("doc_id")).alias("key")).mapInArrow(run, f"doc_id {kind}, text string")
+
+
+def candidate_terms(docs: DataFrame, known: DataFrame, sample: DataFrame, support: int, precision: float) -> list[tuple[str, bool, int]]:
+    """(term, stem, toxic) of all terms that may qualify, and few others.
+
+    A term that qualifies is in at least support / 2 * p / (1 - p) toxic texts, and the clean texts of any sample show it at
+    most as often as all of them may. So only the toxic texts are counted here, and they alone are shuffled."""
+    toxic = known.filter("label = 1").select("doc_id", F.lit(1).alias("label"))
+    texts = _only(docs, toxic).join(toxic, "doc_id")
+    least = max(1, math.ceil(support / 2 * precision / (1 - precision)))
+    often = _term_counts(texts).filter(F.col("toxic") >= least).select("term", "stem", "toxic")
+    clean = _term_counts(sample.filter("label = 0")).select("term", "stem", F.col("n").alias("clean"))
+    both = often.join(clean, ["term", "stem"], "left").fillna(0, ["clean"])
+    may = both.filter(F.col("toxic") >= precision * (F.col("toxic") + F.col("clean") + support / 2))
+    return sorted((r["term"], r["stem"], r["toxic"]) for r in may.collect())
+
+
+def learn_lexicon(docs: DataFrame, known: DataFrame, sample: DataFrame, support: int = 5, precision: float = 0.7) -> Lexicon:
     """All terms that occur in ``support`` labelled texts and, smoothed by half as many clean ones, are toxic with ``precision``.
 
-    A beginning is kept only without a shorter one that is kept; whole words of five letters and more may be misspelt."""
-    good = _term_counts(docs).filter((F.col("n") >= support) & (F.col("toxic") >= precision * (F.col("n") + support / 2)))
-    rows = sorted(good.collect(), key=lambda r: (r["term"], r["stem"]))
-    odds = {(r["term"], r["stem"]): float(np.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5))) for r in rows}
+    ``known`` has doc_id and label, ``sample`` the label and text of some labelled rows, which only save work. Repeated
+    labels of a doc_id and repeated rows count each. A beginning is kept only without a shorter one that is kept; whole words of
+    five letters and more may be misspelt. Terms are taken in order, so ties do not matter."""
+    candidates = candidate_terms(docs, known, sample, support, precision)
+    present = _present(docs, [(t, stem) for t, stem, _ in candidates]).join(known.select("doc_id"), "doc_id")
+    counts = {r["term"]: r["n"] for r in present.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    odds: dict[tuple[str, bool], float] = {}
+    for i, (t, stem, toxic) in enumerate(candidates):
+        n = counts.get(i, 0)
+        if n >= support and toxic >= precision * (n + support / 2):
+            odds[t, stem] = float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
     words = {t: w for (t, stem), w in odds.items() if not stem and len(t) >= 5}
     stems: dict[str, float] = {}
     for (t, stem), w in sorted(odds.items(), key=lambda x: len(x[0][0])):
@@ -271,10 +346,12 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
-    """Learn the lexicon from all rows of ``labels`` (doc_id, label 0 or 1) and their texts, fit the weights on about ``sample`` of them."""
-    known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label")
-    lexicon = learn_lexicon(docs.filter("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id"))
+    """Learn the lexicon from all rows of ``labels`` (doc_id, label 0 or 1) and their texts, fit the weights on about ``sample`` of them.
+
+    Labels without a doc_id, a value or a text are left out; repeated ones count each. Empty tables give a model that scores 0."""
+    known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
     rows = labelled(docs, labels, sample)
+    lexicon = learn_lexicon(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), known, rows)
 
     def run(batches):
         for batch in batches:
