@@ -18,11 +18,18 @@ from passages.session import checkpoint_dir
 SURE = 0.3
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with its other columns under names no operator uses, and the columns that give the names back."""
+    names = {c: c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; without letters or with a score under SURE they go."""
     model = language.train(docs.filter(~language.held_out(F.col("doc_id"), 5, 0)))
-    seen = language.identify(docs.withColumnRenamed("score", "score_"), model)
-    return seen.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    rows, back = _aside(docs)
+    seen = language.identify(rows, model)
+    return seen.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*back)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +41,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages out that an earlier document has; a document left without words goes."""
-    cut = remove_repeats(docs, 13)
+    rows, back = _aside(docs)
+    cut = remove_repeats(rows, 13)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    rows = cut.filter("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = cut.filter("n_removed = 0 OR n_removed < n_words").withColumn("text", text).select(*back)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
