@@ -13,6 +13,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,19 +47,102 @@ def serialised(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.0\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+GZIP = b"\x1f\x8b"
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def fields(head: str) -> tuple[str, dict[str, str]]:
+    """The first line and the fields of a header block. A name ends at the first colon, with or without a space behind it; a
+    line that begins with white space goes on with the value before; of fields that differ in case only the last counts."""
+    first, *lines = re.split(r"\r?\n", head)
+    found: dict[str, tuple[str, str]] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t"):
+            if last is not None:
+                found[last] = (found[last][0], f"{found[last][1]} {line.strip()}".strip())
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            last = name.strip().lower()
+            found[last] = (name.strip(), value.strip())
+    return first.strip(), dict(found.values())
+
+
+def field(headers: dict[str, str], name: str, default: str = "") -> str:
+    return next((v for k, v in headers.items() if k.lower() == name.lower()), default)
+
+
+def inflated(data: bytes, kind: str = "gzip") -> bytes:
+    """All members of gzip data, or deflated data with or without its zlib header; what is broken ends it."""
+    out = []
+    while data:
+        coder = zlib.decompressobj(31 if kind == "gzip" else 15 if data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0 else -15)
+        try:
+            while data and not coder.eof:
+                out.append(coder.decompress(data, 1 << 20))
+                data = coder.unconsumed_tail
+                if not data and not coder.eof:
+                    out.append(coder.flush())
+        except zlib.error:
+            break
+        data = coder.unused_data if kind == "gzip" and coder.unused_data.startswith(GZIP) else b""
+    return b"".join(out)
+
+
+def dechunked(data: bytes) -> bytes:
+    """The body of a chunked message; data that are not in chunks come back as they are, a cut-off chunk ends it."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = re.match(rb"\s*([0-9a-fA-F]{1,15})\s*(?:;|$)", data[at:end]) if end >= 0 else None
+        if size is None:
+            return b"".join(out) if out else data
+        n = int(size[1], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record in serialised form; stops at a record that is cut off."""
+    """(headers, block) of every record in serialised form, compressed or not; stops at a record that is cut off or whose
+    length is no number."""
+    if data.startswith(GZIP):
+        data = inflated(data)
     at = 0
     while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+        end = HEAD_END.search(data, at)
+        if end is None:
             return
-        headers = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        size = int(headers.get("Content-Length", 0))
-        if end + 4 + size > len(data):
+        _, headers = fields(data[at : end.start()].decode("utf-8", "replace"))
+        length = field(headers, "Content-Length", "0")
+        if not re.fullmatch(r"[0-9]{1,15}", length) or end.end() + int(length) > len(data):
             return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        yield headers, data[end.end() : end.end() + int(length)]
+        at = end.end() + int(length)
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+
+
+def body_of(http: dict[str, str], payload: bytes) -> tuple[bytes, str]:
+    """The payload without transfer and content codings, and a coding that is not known."""
+    if "chunked" in field(http, "Transfer-Encoding").lower():
+        payload = dechunked(payload)
+    for coding in reversed(re.split(r"\s*,\s*", field(http, "Content-Encoding").strip().lower())):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            payload = inflated(payload, "deflate" if coding == "deflate" else "gzip") or payload
+        elif coding not in ("", "identity"):
+            return b"", coding
+    return payload, ""
+
+
+def decoded(http: dict[str, str], body: bytes) -> str:
+    """The page as text, in the charset its header names; UTF-8 if that is not known or not a coding of text."""
+    charset = re.search(r"""charset\s*=\s*["']?([^\s;"']+)""", field(http, "Content-Type"), re.I)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, UnicodeError, ValueError):
+        return body.decode("utf-8", "replace")
 
 
 def visible(page: str) -> tuple[str, str, list[dict[str, str]]]:
@@ -117,13 +201,13 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """(path, record) of uncompressed WARC files, one row per record; a file is one task's work."""
+    """(path, record) of WARC files, compressed (a member per record or as a whole) or not, one row per record; a file is one task's work."""
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 for headers, block in records(data.as_py()):
-                    kept = {k: v for k, v in headers.items() if k != "Content-Length"}
+                    kept = {k: v for k, v in headers.items() if k.lower() != "content-length"}
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([serialised(kept, block)], pa.binary())], ["path", "record"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
@@ -131,28 +215,27 @@ def read_warc(spark, path: str) -> DataFrame:
 
 def derived(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The metadata and the conversion record of one response."""
-    cut = block.find(b"\r\n\r\n")
-    head, payload = (block[:cut], block[cut + 4 :]) if cut >= 0 else (b"", block)
-    first, *fields = head.decode("latin-1").split("\r\n")
-    http = dict(f.split(": ", 1) for f in fields if ": " in f)
-    charset = re.search(r"charset=([\w-]+)", http.get("Content-Type", ""))
-    try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+    cut = HEAD_END.search(block)
+    head, payload = (block[: cut.start()], block[cut.end() :]) if cut and block.startswith(b"HTTP/") else (b"", block)
+    first, http = fields(head.decode("latin-1"))
+    body, unknown = body_of(http, payload)
+    page = decoded(http, body)
     title, text, links = visible(page)
-    source = headers.get("WARC-Record-ID", "")
+    source = field(headers, "WARC-Record-ID")
     found = {
-        "source": {k: v for k, v in headers.items() if k != "Content-Length"}, "http": {"status": first, "headers": http}, "html": {"title": title, "links": links}, "payload_length": len(payload),
+        "source": {k: v for k, v in headers.items() if k.lower() != "content-length"}, "http": {"status": first, "headers": http}, "html": {"title": title, "links": links}, "payload_length": len(payload),
     }
+    if unknown:
+        found["unknown_coding"] = unknown
+    digest_of_source = field(headers, "WARC-Payload-Digest")
     out = []
     for kind, content, body in (
-        ("metadata", "application/json", json.dumps(found, ensure_ascii=False, sort_keys=True).encode()),
+        ("metadata", "application/json", json.dumps(found, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")),
         ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")),
     ):
-        own = {"WARC-Type": kind, "WARC-Record-ID": record_id(source, kind), "WARC-Refers-To": source, "WARC-Date": headers.get("WARC-Date", ""), "WARC-Target-URI": headers.get("WARC-Target-URI", "")}
-        if "WARC-Payload-Digest" in headers:
-            own["WARC-Refers-To-Payload-Digest"] = headers["WARC-Payload-Digest"]
+        own = {"WARC-Type": kind, "WARC-Record-ID": record_id(source, kind), "WARC-Refers-To": source, "WARC-Date": field(headers, "WARC-Date"), "WARC-Target-URI": field(headers, "WARC-Target-URI")}
+        if digest_of_source:
+            own["WARC-Refers-To-Payload-Digest"] = digest_of_source
         own |= {"Content-Type": content, "WARC-Block-Digest": digest(body)}
         out.append((own, body))
     return out
@@ -165,14 +248,15 @@ def derivatives(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records for every response in ``rows`` (key, record): its metadata and its conversion.
 
     Columns: the key, kind, record_id, refers_to, target_uri, source_digest, block_digest, n_links, text (the body) and the
-    serialised record. Records of other types, null and cut-off records give nothing."""
+    serialised record. Records of other types, null and cut-off records and those whose length is no number give nothing, an empty
+    table an empty result. A page in a coding that is not known has no text and names the coding. Repeated rows give repeated records."""
 
     def run(batches):
         for batch in batches:
             out = []
             for name, data in zip(batch.column(key).to_pylist(), batch.column("record").to_pylist()):
                 for headers, block in records(data or b""):
-                    if headers.get("WARC-Type") != "response":
+                    if field(headers, "WARC-Type").lower() != "response":
                         continue
                     made = derived(headers, block)
                     n_links = len(json.loads(made[0][1])["html"]["links"])
