@@ -113,16 +113,18 @@ def attractors(items: DataFrame, gold: str = "gold", pred: str = "pred") -> Data
 # ---- bootstrap over groups -----------------------------------------------------------
 
 
-def replicates(per_group: DataFrame, order: str, counts: Sequence[str], n_boot: int) -> DataFrame:
-    """(rep, summed counts): each replicate draws as many groups as there are, with
+def replicates(per_group: DataFrame, order: str, counts: Sequence[str], n_boot: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rep, summed counts): each replicate draws as many groups as there are, with
     replacement. The draw of slot s in replicate r is a digest of 'r-s', so it can be
     repeated anywhere."""
-    placed = ordinal(per_group.select(order, *counts), [], [order], "__idx")
-    slots = with_row(
-        placed.select(F.col("__idx").alias("__slot")), per_group.agg(F.count(F.lit(1)).alias("__n"))
-    ).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    drawn = slots.select("rep", md5_draw(F.concat_ws("-", "rep", "__slot"), F.col("__n")).alias("__idx"))
-    return drawn.join(placed, "__idx").groupBy("rep").agg(*[F.sum(c).alias(c) for c in counts])
+    by = list(by)
+    placed = ordinal(per_group.select(*by, order, *counts), by, [order], "__idx")
+    sizes = per_group.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    slots = placed.select(*by, F.col("__idx").alias("__slot"))
+    slots = slots.join(sizes, by) if by else with_row(slots, sizes)
+    slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    drawn = slots.select(*by, "rep", md5_draw(F.concat_ws("-", "rep", "__slot"), F.col("__n")).alias("__idx"))
+    return drawn.join(placed, [*by, "__idx"]).groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def _pick(values: Column, n_boot: int) -> tuple[Column, Column]:
@@ -200,15 +202,16 @@ def rate_bootstrap(per_group: DataFrame, order: str, n_boot: int = 1000) -> Data
     )
 
 
-def recall_ci(per_group: DataFrame, order: str, n_boot: int = 1000, small: int = 20) -> DataFrame:
-    """Recall of (hits, n) with an interval over groups; ``small`` marks a thin sample."""
-    draws = replicates(per_group, order, ["hits", "n"], n_boot)
-    ci = draws.agg(F.array_sort(F.collect_list(ratio(F.col("hits"), F.col("n")))).alias("__r"))
-    point = per_group.agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+def recall_ci(per_group: DataFrame, order: str, n_boot: int = 1000, small: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """Recall of (hits, n), for every value of ``by``, with an interval over groups (null under five of them); ``few`` marks a thin sample."""
+    by = list(by)
+    draws = replicates(per_group, order, ["hits", "n"], n_boot, by)
+    ci = draws.groupBy(*by).agg(F.array_sort(F.collect_list(ratio(F.col("hits"), F.col("n")))).alias("__r"))
+    point = per_group.groupBy(*by).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
     lo, hi = _pick(F.col("__r"), n_boot)
     enough = F.col("groups") >= MIN_GROUPS_FOR_CI
-    return with_row(point, ci).select(
-        "hits", "n", ratio(F.col("hits"), F.col("n")).alias("recall"),
+    return (point.join(ci, by) if by else with_row(point, ci)).select(
+        *by, "hits", "n", ratio(F.col("hits"), F.col("n")).alias("recall"),
         F.when(enough, lo).alias("lo"), F.when(enough, hi).alias("hi"), (F.col("n") < small).alias("few"),
     )
 
@@ -274,6 +277,18 @@ def confusion(pairs: DataFrame, labels: Sequence) -> DataFrame:
     return pairs.groupBy("a").pivot("b", list(labels)).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def disagreements(pairs: DataFrame, key: Sequence[str], labels: Sequence | None = None) -> DataFrame:
+    """The items two raters labelled differently: keys, a, b, how far apart the labels stand in ``labels`` (null for one that is not among them),
+    and how often this pair of labels occurs, either way round. Items without both labels are left out."""
+    both = pairs.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(*key, "a", "b")
+    sides = F.least("a", "b").alias("__low"), F.greatest("a", "b").alias("__high")
+    kinds = both.groupBy(*sides).agg(F.count(F.lit(1)).alias("n_alike"))
+    rows = both.select("*", *sides).join(kinds, ["__low", "__high"])
+    place = F.create_map(*[F.lit(x) for i, v in enumerate(labels or ()) for x in (v, i)]) if labels else None
+    apart = F.abs(F.try_element_at(place, F.col("a")) - F.try_element_at(place, F.col("b"))) if labels else F.lit(None).cast("int")
+    return rows.select(*key, "a", "b", apart.alias("apart"), "n_alike")
+
+
 def set_overlap(items: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Items both raters labelled: identical sets and any label in common."""
     both = items.filter((F.size(a) > 0) & (F.size(b) > 0))
@@ -304,49 +319,47 @@ def error_causes(items: DataFrame, by: Sequence[str] = (), gold="gold", pred="pr
     return causes.groupBy(*by, "cause").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _near(gold: str, pred: str, k: int = 1) -> Column:
-    return F.exists(pred, lambda a: F.exists(gold, lambda b: F.abs(a - b) <= k))
+def relation(gold: str = "gold", pred: str = "pred") -> Column:
+    """How two label sets lie to each other, from their sizes, their common labels and how many predicted ones are next to a gold one."""
+    g, p, both = (F.size(F.array_distinct(gold)), F.size(F.array_distinct(pred)), common(gold, pred))
+    steps = F.transform(F.array_distinct(pred), lambda a: F.array_min(F.transform(gold, lambda b: F.abs(a - b))))
+    beside = F.size(F.filter(steps, lambda d: d == 1))
+    one_empty = F.when(p > 0, "invented").when(g > 0, "silent").otherwise("both empty")
+    meeting = F.when(both < F.least(g, p), "crossing").when(g == p, "equal").when(p > g, "wider").otherwise("narrower")
+    disjoint = F.when(beside == 0, "apart").when(beside == p, "beside").otherwise("partly beside")
+    return F.when((g == 0) | (p == 0), one_empty).otherwise(F.when(both > 0, meeting).otherwise(disjoint))
+
+
+#: what a relation is called by three reports: one that asks how far off, one that asks for any right label, one that tells extra from missed
+OUTCOMES = {
+    "both empty": ("right", "rest", "right"),
+    "equal": ("right", "found", "right"),
+    "invented": ("invented", "invented", "invented"),
+    "silent": ("silent", "silent", "silent"),
+    "wider": ("shared", "found", "too many"),
+    "narrower": ("shared", "found", "too few"),
+    "crossing": ("shared", "found", "shared"),
+    "beside": ("neighbour", "near", "neighbour"),
+    "partly beside": ("apart", "near", "neighbour"),
+    "apart": ("apart", "apart", "apart"),
+}
+
+
+def _called(report: int, gold: str, pred: str) -> Column:
+    names = F.create_map(*[F.lit(x) for name, calls in OUTCOMES.items() for x in (name, calls[report])])
+    return F.element_at(names, relation(gold, pred))
 
 
 def outcome_coarse(gold: str = "gold", pred: str = "pred") -> Column:
-    """Six classes: by sets, then by whether every predicted label is one off."""
-    one_off = F.forall(
-        pred, lambda a: F.coalesce(F.array_min(F.transform(gold, lambda b: F.abs(a - b))) == 1, F.lit(False))
-    )
-    return (
-        F.when(same(gold, pred), "correct")
-        .when(F.size(gold) == 0, "label on off")
-        .when(F.size(pred) == 0, "off on label")
-        .when(F.arrays_overlap(gold, pred), "partly right")
-        .when(one_off, "off by one")
-        .otherwise("other wrong label")
-    )
+    return _called(0, gold, pred)
 
 
 def outcome_hit(gold: str = "gold", pred: str = "pred") -> Column:
-    """Six classes that ask for one right label only."""
-    return (
-        F.when((F.size(gold) == 0) & (F.size(pred) > 0), "FALSE-LABEL")
-        .when(F.size(gold) == 0, "OK-off")
-        .when(F.size(pred) == 0, "FALSE-OFF")
-        .when(F.arrays_overlap(gold, pred), "HIT")
-        .when(_near(gold, pred), "NEAR")
-        .otherwise("WRONG")
-    )
+    return _called(1, gold, pred)
 
 
 def outcome_fine(gold: str = "gold", pred: str = "pred") -> Column:
-    """Eight classes that tell extra from missed labels."""
-    return (
-        F.when(same(gold, pred), "correct")
-        .when(F.size(gold) == 0, "false label")
-        .when(F.size(pred) == 0, "said none")
-        .when(missing(gold, pred) == 0, "extra label")
-        .when(missing(pred, gold) == 0, "missed a label")
-        .when(F.arrays_overlap(gold, pred), "partly right")
-        .when(_near(gold, pred), "one label off")
-        .otherwise("wrong label")
-    )
+    return _called(2, gold, pred)
 
 
 def outcome_transitions(items: DataFrame, a: str, b: str, by: Sequence[str] = (), gold: str = "gold") -> DataFrame:
@@ -611,13 +624,23 @@ def teacher_stats(rows: DataFrame, by: Sequence[str] = (), y: str = "y", flag: s
     return (counts.join(quality, by) if by else with_row(counts, quality)).drop("n_flag")
 
 
-def layer_report(items: DataFrame, layer: str = "layer", tier: str = "tier", out: str = "out", fallback: str = "fallback", gold: str = "gold") -> DataFrame:
-    """Per layer and tier: items decided, right, and right had the fallback decided."""
-    return items.rollup(layer, tier).agg(
-        F.count(F.lit(1)).alias("accepted"),
-        F.count_if(same(out, gold)).alias("right"),
-        F.count_if(same(fallback, gold)).alias("fallback_right"),
-    )
+def layer_report(
+    items: DataFrame, layer: str = "layer", tier: str = "tier", out: str = "out", fallback: str = "fallback", gold: str = "gold", by: Sequence[str] = ()
+) -> DataFrame:
+    """Per layer and tier, and pooled (null): items decided and their share of all items of the group, right ones, right ones had the fallback
+    decided, and strict F1 of what was decided and of the fallback on the same items. ``by`` names groups, such as the language."""
+    sides = {"": out, "fallback_": fallback}
+    counts = [c.alias(f"__{side}{n}") for side, pred in sides.items() for c, n in zip(strict_counts(gold, pred), ("tp", "fp", "fn"), strict=True)]
+    sets = [[*by, layer, tier], [*by, layer], [*by, tier], list(by)]
+    rows = items.groupingSets(sets, *by, layer, tier).agg(
+        F.count(F.lit(1)).alias("accepted"), F.count_if(same(out, gold)).alias("right"), F.count_if(same(fallback, gold)).alias("fallback_right"), *counts,
+        F.grouping(layer).cast("int").alias("all_layers"), F.grouping(tier).cast("int").alias("all_tiers"),
+    )
+    whole = rows.filter("all_layers = 1 AND all_tiers = 1").select(*by, F.col("accepted").alias("__all"))
+    rows = rows.join(whole, list(by)) if by else with_row(rows, whole)
+    f1 = {f"{side}f1": prf_columns(*[F.col(f"__{side}{n}") for n in ("tp", "fp", "fn")])["f1"] for side in sides}
+    rows = rows.withColumns({"share": ratio(F.col("accepted"), F.col("__all")), **f1})
+    return rows.select(*by, layer, tier, "all_layers", "all_tiers", "accepted", "share", "right", "fallback_right", "f1", "fallback_f1")
 
 
 def unseen_label_score(items: DataFrame, split_at: int, by: Sequence[str] = (), gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -625,18 +648,18 @@ def unseen_label_score(items: DataFrame, split_at: int, by: Sequence[str] = (),
     return prf(items.filter(F.exists(gold, lambda v: v > split_at)), by, gold, pred)
 
 
-def off_report(items: DataFrame, group: str, gold: str = "gold", pred: str = "pred", cost: str = "cost") -> DataFrame:
-    """Per group and pooled (group null): empty items that got a label, labelled items left
-    without, unanswered items (``pred`` null) and cost."""
+def off_report(items: DataFrame, group: str, gold: str = "gold", pred: str = "pred", cost: str = "cost", answered: str = "answered") -> DataFrame:
+    """Per group and pooled (group null): empty items that got a label, labelled items left without, items without an answer
+    (``answered`` false or null), answers that could not be read (answered, but ``pred`` null), and cost."""
     empty = F.size(gold) == 0
     got = F.coalesce(F.size(pred), F.lit(0)) > 0
+    came = F.coalesce(F.col(answered), F.lit(False))
     return items.rollup(group).agg(
         F.count_if(empty).alias("empty_items"),
         F.count_if(empty & got).alias("false_labels"),
         F.count_if(~empty).alias("labelled_items"),
         F.count_if(~empty & ~got).alias("missed"),
-        F.count_if(F.col(pred).isNull()).alias("unanswered"),
+        F.count_if(~came).alias("missing_answers"),
+        F.count_if(came & F.col(pred).isNull()).alias("unparsed_answers"),
         F.sum(cost).alias("cost"),
     )
-
-

@@ -210,6 +210,26 @@ def recall_ci(spark, d):
     return rounded(E.recall_ci(per, "seq", N_BOOT), "recall", "lo", "hi")
 
 
+@query(
+    "recall_ci_by",
+    f"""WITH {LB}, x AS (SELECT g.seq, 'T' || (1 + (g.unit + g.i) % 5) AS tier, g.seq % 3 AS part, (pa.l IS NOT NULL)::INT AS hit FROM g LEFT JOIN pa ON g.unit = pa.unit AND g.l = pa.l),
+        per AS (SELECT *, row_number() OVER (PARTITION BY part, tier ORDER BY seq) - 1 AS idx, count(*) OVER (PARTITION BY part, tier) AS m
+                FROM (SELECT part, tier, seq, sum(hit) AS hits, count(*) AS n FROM x GROUP BY 1, 2, 3)),
+        draws AS (SELECT part, tier, rep, ('0x' || substr(md5(rep || '-' || idx), 1, 8))::BIGINT % m AS idx FROM per, range({N_BOOT}) r(rep)),
+        s AS (SELECT part, tier, rep, sum(hits) / sum(n) AS r FROM draws JOIN per USING (part, tier, idx) GROUP BY 1, 2, 3),
+        ci AS (SELECT part, tier, list_sort(list(r)) AS rs FROM s GROUP BY 1, 2),
+        point AS (SELECT part, tier, sum(hits)::BIGINT AS hits, sum(n)::BIGINT AS n, count(*) AS groups FROM per GROUP BY 1, 2)
+        SELECT part, tier, hits, n, round(hits / n, 6) AS recall, CASE WHEN groups >= 5 THEN round(rs[{LO}], 6) END AS lo, CASE WHEN groups >= 5 THEN round(rs[{HI}], 6) END AS hi, n < 20 AS few
+        FROM point JOIN ci USING (part, tier)""",
+)
+def recall_ci_by(spark, d):
+    """Recall per part and tier, each with its interval over sequences and the mark of a thin sample."""
+    pairs = labelled(spark, d).select("seq", (F.col("seq") % 3).alias("part"), "a", F.explode("tiers").alias("g"))
+    hit = F.array_contains("a", F.col("g.label")).cast("int")
+    per = pairs.groupBy("part", F.col("g.tier").alias("tier"), "seq").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
+    return rounded(E.recall_ci(per, "seq", N_BOOT, by=["part", "tier"]), "recall", "lo", "hi")
+
+
 @query(
     "verdicts",
     f"""WITH {PER}, x AS (SELECT seq, 2 * tp_a / nullif(2 * tp_a + fp_a + fn_a, 0) - 2 * tp_b / nullif(2 * tp_b + fp_b + fn_b, 0) AS diff FROM per)
@@ -269,6 +289,15 @@ def confusion(spark, d):
     return E.confusion(rated(spark, d), range(13))
 
 
+@query(
+    "disagreements",
+    f"""WITH {RATED}, d AS (SELECT unit, ra, rb, least(ra, rb) AS lo, greatest(ra, rb) AS hi FROM rt WHERE ra <> rb)
+        SELECT unit, ra AS a, rb AS b, abs(ra - rb) AS apart, count(*) OVER (PARTITION BY lo, hi) AS n_alike FROM d""",
+)
+def disagreements(spark, d):
+    return E.disagreements(rated(spark, d), ["unit"], range(13))
+
+
 @query(
     "set_overlap",
     f"""WITH {LB} SELECT seq, count(*) AS items, count(*) FILTER (WHERE list_sort(list_distinct(a)) = list_sort(list_distinct(b))) AS identical,
@@ -290,19 +319,19 @@ def error_causes(spark, d):
     return E.error_causes(S.carry(events(spark, d)), pred="held")
 
 
-COARSE = """CASE WHEN list_sort(gold) = list_sort({p}) THEN 'correct' WHEN len(gold) = 0 THEN 'label on off' WHEN len({p}) = 0 THEN 'off on label'
-   WHEN list_has_any(gold, {p}) THEN 'partly right' WHEN len(list_filter({p}, lambda x: list_min(list_transform(gold, lambda y: abs(x - y))) = 1)) = len({p}) THEN 'off by one'
-   ELSE 'other wrong label' END"""
-HIT = """CASE WHEN len(gold) = 0 AND len({p}) > 0 THEN 'FALSE-LABEL' WHEN len(gold) = 0 THEN 'OK-off' WHEN len({p}) = 0 THEN 'FALSE-OFF'
-   WHEN list_has_any(gold, {p}) THEN 'HIT' WHEN len(list_filter({p}, lambda x: list_min(list_transform(gold, lambda y: abs(x - y))) <= 1)) > 0 THEN 'NEAR' ELSE 'WRONG' END"""
-FINE = """CASE WHEN list_sort(gold) = list_sort({p}) THEN 'correct' WHEN len(gold) = 0 THEN 'false label' WHEN len({p}) = 0 THEN 'said none'
-   WHEN list_has_all({p}, gold) THEN 'extra label' WHEN list_has_all(gold, {p}) THEN 'missed a label' WHEN list_has_any(gold, {p}) THEN 'partly right'
-   WHEN len(list_filter({p}, lambda x: list_min(list_transform(gold, lambda y: abs(x - y))) <= 1)) > 0 THEN 'one label off' ELSE 'wrong label' END"""
+RELATION = """CASE WHEN len(gold) = 0 AND len({p}) = 0 THEN 'both empty' WHEN len(gold) = 0 THEN 'invented' WHEN len({p}) = 0 THEN 'silent'
+   WHEN NOT list_has_any(gold, {p}) THEN CASE len(list_filter({p}, lambda x: list_contains(gold, x - 1) OR list_contains(gold, x + 1)))
+     WHEN 0 THEN 'apart' WHEN len({p}) THEN 'beside' ELSE 'partly beside' END
+   WHEN list_has_all(gold, {p}) AND list_has_all({p}, gold) THEN 'equal' WHEN list_has_all({p}, gold) THEN 'wider' WHEN list_has_all(gold, {p}) THEN 'narrower'
+   ELSE 'crossing' END"""
+CALLED = """calls(name, coarse, hit, fine) AS (VALUES ('both empty', 'right', 'rest', 'right'), ('equal', 'right', 'found', 'right'), ('invented', 'invented', 'invented', 'invented'),
+   ('silent', 'silent', 'silent', 'silent'), ('wider', 'shared', 'found', 'too many'), ('narrower', 'shared', 'found', 'too few'), ('crossing', 'shared', 'found', 'shared'),
+   ('beside', 'neighbour', 'near', 'neighbour'), ('partly beside', 'apart', 'near', 'neighbour'), ('apart', 'apart', 'apart', 'apart'))"""
 
 
 @query(
     "outcomes",
-    f"WITH {LB} SELECT unit, {COARSE.format(p='a')} AS coarse, {HIT.format(p='a')} AS hit, {FINE.format(p='a')} AS fine FROM lb",
+    f"WITH {LB}, {CALLED} SELECT unit, coarse, hit, fine FROM lb JOIN calls ON name = {RELATION.format(p='a')}",
 )
 def outcomes(spark, d):
     return labelled(spark, d).select(
@@ -315,7 +344,8 @@ def outcomes(spark, d):
 
 @query(
     "outcome_transitions",
-    f"WITH {LB} SELECT {FINE.format(p='a')} AS from_outcome, {FINE.format(p='b')} AS to_outcome, count(*) AS n FROM lb GROUP BY 1, 2",
+    f"""WITH {LB}, {CALLED} SELECT x.fine AS from_outcome, y.fine AS to_outcome, count(*) AS n
+        FROM lb JOIN calls x ON x.name = {RELATION.format(p='a')} JOIN calls y ON y.name = {RELATION.format(p='b')} GROUP BY 1, 2""",
 )
 def outcome_transitions(spark, d):
     return E.outcome_transitions(labelled(spark, d), "a", "b")
@@ -716,13 +746,15 @@ def unseen_label_score(spark, d):
 
 @query(
     "off_report",
-    f"""WITH {LB}, x AS (SELECT event_type AS grp, gold, CASE WHEN unit % 10 = 0 THEN NULL ELSE a END AS p, (unit % 100) / 1000 AS cost FROM lb)
+    f"""WITH {LB}, x AS (SELECT event_type AS grp, gold, CASE WHEN unit % 10 = 0 THEN NULL ELSE a END AS p, unit % 20 <> 0 AS came, (unit % 100) / 1000 AS cost FROM lb)
         SELECT grp, count(*) FILTER (WHERE len(gold) = 0) AS empty_items, count(*) FILTER (WHERE len(gold) = 0 AND len(p) > 0) AS false_labels,
           count(*) FILTER (WHERE len(gold) > 0) AS labelled_items, count(*) FILTER (WHERE len(gold) > 0 AND coalesce(len(p), 0) = 0) AS missed,
-          count(*) FILTER (WHERE p IS NULL) AS unanswered, round(sum(cost), 6) AS cost FROM x GROUP BY ROLLUP (grp)""",
+          count(*) FILTER (WHERE NOT came) AS missing_answers, count(*) FILTER (WHERE came AND p IS NULL) AS unparsed_answers, round(sum(cost), 6) AS cost
+        FROM x GROUP BY ROLLUP (grp)""",
 )
 def off_report(spark, d):
+    unit = F.col("unit")
     items = labelled(spark, d).select(
-        F.col("event_type").alias("grp"), "gold", F.when(F.col("unit") % 10 != 0, F.col("a")).alias("pred"), (F.col("unit") % 100 / 1000).alias("cost")
+        F.col("event_type").alias("grp"), "gold", F.when(unit % 10 != 0, F.col("a")).alias("pred"), (unit % 20 != 0).alias("answered"), (unit % 100 / 1000).alias("cost")
     )
     return rounded(E.off_report(items, "grp"), "cost")

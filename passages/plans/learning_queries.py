@@ -43,16 +43,26 @@ def cascade(spark, d):
     return out.select("unit", "layer", F.array_join("out", ";").alias("out"))
 
 
+def strict_sql(p):
+    return f"""sum(len(list_intersect(gold, {p}))) AS tp, sum(len(list_filter({p}, lambda x: NOT list_contains(gold, x)))) AS fp,
+          sum(len(list_filter(gold, lambda x: NOT list_contains({p}, x)))) AS fn"""
+
+
 @query(
     "layer_report",
-    f"""WITH {SY}, r AS (SELECT CASE WHEN len(anchor) > 0 THEN 'anchors' WHEN conf >= 0.9 THEN 'confident' ELSE 'fallback' END AS layer, CASE WHEN len(gold) = 0 THEN 'OFF' ELSE 'T' || (1 + unit % 5) END AS tier,
-             CASE WHEN len(anchor) > 0 THEN oc WHEN conf >= 0.9 THEN oa ELSE ob END AS r, ob FROM ok)
-        SELECT layer, tier, count(*) AS accepted, count(*) FILTER (WHERE r) AS "right", count(*) FILTER (WHERE ob) AS fallback_right FROM r GROUP BY ROLLUP (layer, tier)""",
+    f"""WITH {SY}, r AS (SELECT language, CASE WHEN len(anchor) > 0 THEN 'anchors' WHEN conf >= 0.9 THEN 'confident' ELSE 'fallback' END AS layer, CASE WHEN len(gold) = 0 THEN 'OFF' ELSE 'T' || (1 + unit % 5) END AS tier,
+             CASE WHEN len(anchor) > 0 THEN oc WHEN conf >= 0.9 THEN oa ELSE ob END AS r, ob, gold, b, CASE WHEN len(anchor) > 0 THEN anchor WHEN conf >= 0.9 THEN a ELSE b END AS p FROM ok),
+        c AS (SELECT language, layer, tier, grouping(layer)::INT AS all_layers, grouping(tier)::INT AS all_tiers, count(*) AS accepted, count(*) FILTER (WHERE r) AS "right", count(*) FILTER (WHERE ob) AS fallback_right,
+             {strict_sql('p')}, {strict_sql('b').replace('AS tp', 'AS btp').replace('AS fp', 'AS bfp').replace('AS fn', 'AS bfn')} FROM r GROUP BY GROUPING SETS ((language, layer, tier), (language, layer), (language, tier), (language))),
+        w AS (SELECT language, accepted AS n FROM c WHERE all_layers = 1 AND all_tiers = 1)
+        SELECT language, layer, tier, all_layers, all_tiers, accepted, round(accepted / n, 6) AS share, "right", fallback_right,
+          round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(2 * btp / nullif(2 * btp + bfp + bfn, 0), 0), 6) AS fallback_f1 FROM c JOIN w USING (language)""",
 )
 def layer_report(spark, d):
     out = N.override_cascade(systems(spark, d), layers(), "b")
     tier = F.when(F.size("gold") == 0, "OFF").otherwise(F.get("tiers", F.lit(0))["tier"])
-    return E.layer_report(out.withColumn("tier", tier), fallback="b")
+    rows = E.layer_report(out.withColumn("tier", tier), fallback="b", by=["language"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("share", "f1", "fallback_f1")})
 
 
 KEEP = """SELECT {by} sum(oc::INT - ob::INT) FILTER (WHERE len(anchor) > 0) AS d1, sum(oa::INT - ob::INT) FILTER (WHERE conf >= 0.9) AS d2,

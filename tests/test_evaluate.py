@@ -22,7 +22,7 @@ def test_perfect_labels_score_one(spark):
     assert (r["precision"], r["recall"], r["f1"], r["fired"], r["items"]) == (1.0, 1.0, 1.0, 2, 3)
     near = E.near_prf(df).first()
     assert near["f1"] == 1.0
-    assert {x[0] for x in df.select(E.outcome_fine()).collect()} == {"correct"}
+    assert {x[0] for x in df.select(E.outcome_fine()).collect()} == {"right"}
 
 
 def test_nothing_predicted(spark):
@@ -38,15 +38,16 @@ def test_near_counts_both_sides(spark):
 @pytest.mark.parametrize(
     ("gold", "pred", "coarse", "hit", "fine"),
     [
-        ([], [], "correct", "OK-off", "correct"),
-        ([], [1], "label on off", "FALSE-LABEL", "false label"),
-        ([1], [], "off on label", "FALSE-OFF", "said none"),
-        ([1], [1, 2], "partly right", "HIT", "extra label"),
-        ([1, 2], [1], "partly right", "HIT", "missed a label"),
-        ([1, 2], [1, 5], "partly right", "HIT", "partly right"),
-        ([4], [5], "off by one", "NEAR", "one label off"),
-        ([4], [5, 9], "other wrong label", "NEAR", "one label off"),
-        ([4], [9], "other wrong label", "WRONG", "wrong label"),
+        ([], [], "right", "rest", "right"),
+        ([], [1], "invented", "invented", "invented"),
+        ([1], [], "silent", "silent", "silent"),
+        ([1, 3], [3, 1], "right", "found", "right"),
+        ([1], [1, 2], "shared", "found", "too many"),
+        ([1, 2], [1], "shared", "found", "too few"),
+        ([1, 2], [1, 5], "shared", "found", "shared"),
+        ([4], [5], "neighbour", "near", "neighbour"),
+        ([4], [5, 9], "apart", "near", "neighbour"),
+        ([4], [9], "apart", "apart", "apart"),
     ],
 )
 def test_outcomes(spark, gold, pred, coarse, hit, fine):
