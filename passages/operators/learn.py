@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -16,31 +15,12 @@ from passages.functions.text import md5_draw
 from passages.operators import decode as D
 from passages.operators import evaluate as E
 from passages.operators import sequence as S
+from passages.operators.fits import Fit, Scorer, fit_many, probabilities
 from passages.operators.scan import BLOCK_ROWS, Running, neighbours, ordinal, running
 
 MAX_GROUPS = 200
 
 
-@dataclass(frozen=True)
-class Scorer:
-    """Logistic regression on standardised columns; applied as one SQL expression."""
-
-    columns: tuple[str, ...]
-    mean: tuple[float, ...]
-    std: tuple[float, ...]
-    weight: tuple[float, ...]
-    intercept: float
-
-    def logit(self) -> Column:
-        terms = [
-            (F.col(c) - m) / s * w for c, m, s, w in zip(self.columns, self.mean, self.std, self.weight, strict=True)
-        ]
-        return reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
-
-    def probability(self) -> Column:
-        return 1 / (1 + F.exp(-self.logit()))
-
-
 def fit_scorer(rows: DataFrame, columns: Sequence[str], y: str = "y", c: float = 1.0, weight: str | None = None) -> Scorer:
     """Standardise (population deviation) and fit with penalty 1 / C, no class weights."""
     w = F.col(weight) if weight else F.lit(1.0)
@@ -66,9 +46,9 @@ def fit_scorer(rows: DataFrame, columns: Sequence[str], y: str = "y", c: float =
 
 
 def groups_of(rows: DataFrame, group: str) -> list:
-    """The distinct groups, checked to be few: each costs a fit. Deal larger numbers of
+    """The distinct groups, checked to be few: each adds a fit to every step. Deal larger numbers of
     groups into folds first."""
-    found = [r[0] for r in rows.select(group).distinct().orderBy(group).limit(MAX_GROUPS + 1).collect()]
+    found = [r[0] for r in rows.filter(F.col(group).isNotNull()).select(group).distinct().orderBy(group).limit(MAX_GROUPS + 1).collect()]
     if len(found) > MAX_GROUPS:
         raise ValueError("too many groups for one fit each; use a fold column")
     return found
@@ -81,12 +61,11 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 def leave_one_group_out(
     rows: DataFrame, group: str, columns: Sequence[str], y: str = "y", c: float = 1.0, weight: str | None = None, name: str = "p"
 ) -> DataFrame:
-    """``rows`` plus the probability from a fit on all the other groups."""
-    parts = []
-    for g in groups_of(rows, group):
-        model = fit_scorer(rows.filter(F.col(group) != g), columns, y, c, weight)
-        parts.append(rows.filter(F.col(group) == g).withColumn(name, model.probability()))
-    return _union(parts)
+    """``rows`` plus the probability from a fit on all the other groups; all fits go through the same steps."""
+    groups = groups_of(rows, group)
+    models = fit_many(rows, columns, group, [Fit(frozenset(groups) - {g}, c) for g in groups], y, weight)
+    out = probabilities(rows, group, list(zip(groups, models)), columns, [])
+    return out.withColumn(name, F.col("__p")).select(*[x for x in rows.columns if x != name], name)
 
 
 def soft_rows(rows: DataFrame, p: str = "p") -> DataFrame:
@@ -102,22 +81,51 @@ def soft_label_fit(rows: DataFrame, columns: Sequence[str], p: str = "p", c: flo
     return fit_scorer(soft_rows(rows, p), columns, "y", c, "w")
 
 
+def _soft_loss(scored: DataFrame, p: str, by: Sequence[str]) -> DataFrame:
+    return scored.groupBy(*by).agg(E.log_loss(F.col("__p"), F.col(p)).alias("loss"))
+
+
 def choose_c(rows: DataFrame, columns: Sequence[str], p: str, group: str, cs: Sequence[float]) -> tuple[float, DataFrame]:
     """The C with the lowest mean soft log-loss over left-out groups, and the table (c, loss)."""
-    parts = []
-    for c in cs:
-        for g in groups_of(rows, group):
-            model = soft_label_fit(rows.filter(F.col(group) != g), columns, p, c)
-            loss = E.log_loss(model.probability(), F.col(p))
-            parts.append(rows.filter(F.col(group) == g).agg(loss.alias("loss")).select(F.lit(float(c)).alias("c"), "loss"))
-    table = _union(parts).groupBy("c").agg(F.avg("loss").alias("loss"))
+    groups = groups_of(rows, group)
+    asked = [(g, float(c)) for c in cs for g in groups]
+    models = fit_many(rows, columns, group, [Fit(frozenset(groups) - {g}, c) for g, c in asked], p)
+    scored = probabilities(rows.drop("__c"), group, [(g, c, m) for (g, c), m in zip(asked, models)], columns, ["__c"])
+    table = _soft_loss(scored, p, ["__c", group]).groupBy(F.col("__c").alias("c")).agg(F.avg("loss").alias("loss"))
     best = table.agg(F.min_by("c", F.struct("loss", "c"))).first()[0]
     return float(best), table
 
 
 def out_of_fold(rows: DataFrame, columns: Sequence[str], p: str, fold: str, c: float = 1.0, name: str = "oof") -> DataFrame:
     """Soft-label scores of each fold from a fit on the others, for a stacker."""
-    return leave_one_group_out(soft_rows(rows, p), fold, columns, "y", c, "w", name).filter("y = 1").drop("y", "w")
+    return leave_one_group_out(rows, fold, columns, p, c, None, name)
+
+
+def nested_out_of_fold(
+    rows: DataFrame, columns: Sequence[str], p: str, fold: str, cs: Sequence[float], name: str = "oof"
+) -> tuple[DataFrame, dict]:
+    """Out-of-fold scores where each fold's C is chosen on the other folds alone, and the C of each fold.
+
+    The fits of all folds, inner folds and values of C go through the same steps."""
+    folds = groups_of(rows, fold)
+    inner = [(k, float(c), j) for k in folds for c in cs for j in folds if j != k]
+    outer = [(k, float(c), None) for k in folds for c in cs]
+    models = fit_many(rows, columns, fold, [Fit(frozenset(folds) - {k, j}, c) for k, c, j in inner + outer], p)
+    at = {k: i for i, k in enumerate(folds)}
+    scored = probabilities(rows.drop("__k", "__c"), fold, [(j, at[k], c, m) for (k, c, j), m in zip(inner, models)], columns, ["__k", "__c"])
+    losses = _soft_loss(scored, p, ["__k", "__c", fold]).groupBy("__k", "__c").agg(F.avg("loss").alias("loss"))
+    best = {folds[r["__k"]]: r["c"] for r in losses.groupBy("__k").agg(F.min_by("__c", F.struct("loss", "__c")).alias("c")).collect()}
+    chosen = [(k, m) for (k, c, _), m in zip(outer, models[len(inner) :]) if best.get(k) == c]
+    out = probabilities(rows, fold, chosen, columns, []).withColumn(name, F.col("__p"))
+    return out.select(*[x for x in rows.columns if x != name], name), best
+
+
+def stacker(rows: DataFrame, views: dict[str, Sequence[str]], p: str, fold: str, cs: Sequence[float], name: str = "stacked", c: float = 1.0) -> DataFrame:
+    """``rows`` plus the out-of-fold score of each view (its columns, C by nested folds) and of a fit on these scores, out of fold too."""
+    out = rows
+    for view, columns in views.items():
+        out, _ = nested_out_of_fold(out, columns, p, fold, cs, view)
+    return out_of_fold(out, list(views), p, fold, c, name)
 
 
 def platt(rows: DataFrame, logit: str = "logit", y: str = "y") -> Scorer:
@@ -160,27 +168,27 @@ def restricted_counts(
 def learning_curve(
     rows: DataFrame, test: DataFrame, columns: Sequence[str], p: str, group: str, sizes: Sequence[int], draws: int, y: str = "y", c: float = 1.0
 ) -> DataFrame:
-    """(n_groups, draw, auc) of soft-label fits on growing random sets of groups."""
-    sizes_of = rows.select(group).distinct()
-    parts = []
+    """(n_groups, draw, auc) of soft-label fits on growing random sets of groups; all sets go through the same steps."""
+    groups = rows.filter(F.col(group).isNotNull()).select(group).distinct()
+    order: dict[int, list] = {}
     for draw in range(draws):
-        order = ordinal(sizes_of.withColumn("__h", md5_draw(F.concat_ws("-", F.lit(draw), group), 1 << 31)), [], ["__h", group], "__place")
-        for n in sizes:
-            train = rows.join(order.filter(F.col("__place") < n).select(group), group, "left_semi")
-            model = soft_label_fit(train, columns, p, c)
-            quality = E.auc_ap(test.select(model.probability().alias("score"), F.col(y).alias("y")))
-            parts.append(quality.select(F.lit(n).alias("n_groups"), F.lit(draw).alias("draw"), "auc"))
-    return _union(parts)
+        shuffled = groups.withColumn("__h", md5_draw(F.concat_ws("-", F.lit(draw), group), 1 << 31)).orderBy("__h", group).limit(max(sizes))
+        order[draw] = [r[group] for r in shuffled.select(group).collect()]
+    asked = [(n, draw) for draw in range(draws) for n in sizes]
+    models = fit_many(rows, columns, group, [Fit(frozenset(order[draw][:n]), c) for n, draw in asked], p)
+    named = test.withColumn("__all", F.lit(0))
+    scored = probabilities(named, "__all", [(0, n, draw, m) for (n, draw), m in zip(asked, models)], columns, ["n_groups", "draw"])
+    return E.auc_ap(scored.select("n_groups", "draw", F.col("__p").alias("score"), F.col(y).alias("y")), by=["n_groups", "draw"]).select("n_groups", "draw", "auc")
 
 
 def ablation(rows: DataFrame, group: str, columns: Sequence[str], y: str = "y", c: float = 1.0) -> DataFrame:
     """(dropped, auc, delta): the leave-one-group-out AUC without each column, against all."""
-    parts = []
-    for dropped in ["", *columns]:
-        kept = [x for x in columns if x != dropped]
-        scored = leave_one_group_out(rows, group, kept, y, c).select(F.col("p").alias("score"), F.col(y).alias("y"))
-        parts.append(E.auc_ap(scored).select(F.lit(dropped).alias("dropped"), "auc"))
-    table = _union(parts)
+    groups = groups_of(rows, group)
+    asked = [(g, dropped) for dropped in ["", *columns] for g in groups]
+    fits = [Fit(frozenset(groups) - {g}, c, tuple(x for x in columns if x != dropped)) for g, dropped in asked]
+    models = fit_many(rows, columns, group, fits, y)
+    scored = probabilities(rows.drop("dropped"), group, [(g, dropped, m) for (g, dropped), m in zip(asked, models)], columns, ["dropped"])
+    table = E.auc_ap(scored.select("dropped", F.col("__p").alias("score"), F.col(y).alias("y")), by=["dropped"]).select("dropped", "auc")
     full = table.filter("dropped = ''").select(F.col("auc").alias("__full"))
     return E.with_row(table, full).select("dropped", "auc", (F.col("auc") - F.col("__full")).alias("delta"))
 

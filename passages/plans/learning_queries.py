@@ -323,6 +323,14 @@ def out_of_fold(spark, d):
     return out.select("unit", F.round("oof", 6).alias("oof"))
 
 
+@query("stacker")
+def stacker(spark, d):
+    """Two views with C by nested folds, and a fit on their out-of-fold scores."""
+    rows = fit_rows(spark, d).drop("y").withColumn("fold", F.col("unit") % 5)
+    out = L.stacker(rows, {"wide": ["value", "hint"], "narrow": ["hour", "width"]}, "p", "fold", [1e-5, 1e-4, 1e-3, 1e-2, 0.1, 1.0])
+    return out.select("unit", "fold", *[F.round(c, 6).alias(c) for c in ("wide", "narrow", "stacked")])
+
+
 @query("platt")
 def platt(spark, d):
     rows = fit_rows(spark, d).withColumn("logit", F.ln(F.col("p") / (1 - F.col("p"))))
