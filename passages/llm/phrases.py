@@ -126,15 +126,16 @@ class Pieces:
         return self.languages[self.row[i]]
 
 
-def all_known(pieces: Pieces, known: Bits, longest: int) -> list[np.ndarray]:
-    """Hashes of the phrases of two words and more that have known words only."""
-    out = []
-    h, _ = pieces.grams(1)
-    here = known.has(h)
-    for n in range(2, longest + 1):
+def extended(pieces: Pieces, known: Bits, size: int, longest: int) -> list[np.ndarray]:
+    """Hashes of the phrases of ``size`` to ``longest`` words all of whose parts of under ``size`` words are known."""
+    out, here = [], None
+    for n in range(1, longest + 1):
         h, fits = pieces.grams(n)
-        here = here[:-1] & here[1:] & fits
-        out.append(h[here])
+        here = fits if here is None else here[:-1] & here[1:] & fits
+        if n < size:
+            here[here] = known.has(h[here])
+        else:
+            out.append(h[here])
     return out
 
 
@@ -201,10 +202,20 @@ def _proposed(rows: DataFrame, longest: int, support: int, sample_parts: int) ->
     low = max(1, min(support, max(2, int(0.6 * support / sample_parts))))
     words = _pass(sample, lambda pieces: [pieces.grams(1)[0]], low)
     n = words.count()
-    shared = rows.sparkSession.sparkContext.broadcast(Bits(n).filled(words))
-    longer = _pass(sample, lambda pieces: all_known(pieces, shared.value, longest), low)
-    proposed = words.unionByName(longer).select("key")
-    return proposed, Bits(n + longer.count()).filled(proposed)
+    table = Bits(8 * n).filled(words)
+    proposed = words.select("key")
+    # pairs first: of longer phrases only those of frequent pairs are worth counting
+    for size, most in ((2, 2), (3, longest)):
+        if size <= longest:
+            grown = _sampled(sample, table, size, most, low)
+            proposed = proposed.unionByName(grown)
+            table = table.filled(grown)
+    return proposed, table
+
+
+def _sampled(sample: DataFrame, table: Bits, size: int, longest: int, low: int) -> DataFrame:
+    known = sample.sparkSession.sparkContext.broadcast(table)
+    return _pass(sample, lambda pieces: extended(pieces, known.value, size, longest), low).select("key")
 
 
 def frequent(docs: DataFrame, support: int = 30, longest: int = LONGEST, sample_parts: int = 8, key: str = "doc_id") -> tuple[DataFrame, int]:
@@ -227,9 +238,29 @@ def frequent(docs: DataFrame, support: int = 30, longest: int = LONGEST, sample_
 
 def named(docs: DataFrame, found: DataFrame, longest: int = LONGEST, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``found`` (key, f) with the phrases themselves (lang, phrase, n_words, f), and the words of every language (lang, n):
-    one more pass over the texts. A task tells a phrase once, or once more after very many others."""
+    one more pass over the texts. Two smaller ones over a few of them come first and name what is common, so that few phrases
+    are told by more than a few tasks."""
     rows = _rows(docs, key)
-    shared = rows.sparkSession.sparkContext.broadcast(Bits(found.count()).filled(found))
+    n = found.count()
+    names, totals = None, None
+    with small_batches(docs.sparkSession):
+        for parts in (64, 8, 1):
+            missing = found if names is None else found.join(names, "key", "left_anti")
+            seen = rows if parts == 1 else rows.filter(F.pmod(F.col("draw"), F.lit(parts)) == 1)
+            told = _told(seen, Bits(n).filled(missing), longest)
+            new = told.filter("key IS NOT NULL").dropDuplicates(["key"]).join(found, "key", "left_semi")
+            if names is not None:
+                new = new.join(names, "key", "left_anti")
+            names = new if names is None else names.unionByName(new)
+            names = names.checkpoint()
+            totals = told.filter("key IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    named = names.join(found, "key")
+    return named.select("lang", "phrase", F.col("n").cast("int").alias("n_words"), "f").checkpoint(), totals
+
+
+def _told(rows: DataFrame, wanted: Bits, longest: int) -> DataFrame:
+    """(key, lang, phrase, n) of the wanted phrases in ``rows``, about once per task, and (null, lang, null, words) of each language."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
     shape = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,20 +270,14 @@ def named(docs: DataFrame, found: DataFrame, longest: int = LONGEST, key: str =
                 pieces = Pieces(part.column("text"), part.column("lang").to_pylist())
                 for lang, n in zip(pieces.languages, np.bincount(pieces.row, minlength=part.num_rows).tolist()):
                     totals[lang] += n
-                out, here = [], None
+                out = []
                 for n in range(1, longest + 1):
                     h, fits = pieces.grams(n)
-                    if here is not None:
-                        fits &= here[:-1] & here[1:]
-                    fits[fits] = wanted.has(h[fits])
-                    here = fits
-                    keys, at = np.unique(h[fits], return_index=True)
-                    places = np.flatnonzero(fits)[at].tolist()
-                    fresh = [(k, i) for k, i in zip(signed(keys).tolist(), places) if k not in told]
+                    at = np.flatnonzero(fits & wanted.has(h))
+                    keys, first = np.unique(h[at], return_index=True)
+                    fresh = [(k, i) for k, i in zip(signed(keys).tolist(), at[first].tolist()) if k not in told]
                     out += [(k, pieces.language(i), pieces.phrase(i, n), n) for k, i in fresh]
                     told.update(k for k, _ in fresh)
-                    if not fits.any():
-                        break
                 if len(told) > FLUSH:
                     told.clear()
                 if out:
@@ -260,11 +285,7 @@ def named(docs: DataFrame, found: DataFrame, longest: int = LONGEST, key: str =
         if totals:
             yield pa.RecordBatch.from_pylist([{"key": None, "lang": k, "phrase": None, "n": n} for k, n in totals.items()], schema=shape)
 
-    with small_batches(docs.sparkSession):
-        told = rows.select("text", "lang").mapInArrow(run, "key long, lang string, phrase string, n long").checkpoint()
-    names = told.filter("key IS NOT NULL").dropDuplicates(["key"]).join(found, "key")
-    totals = told.filter("key IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    return names.select("lang", "phrase", F.col("n").cast("int").alias("n_words"), "f").checkpoint(), totals
+    return rows.select("text", "lang").mapInArrow(run, "key long, lang string, phrase string, n long").checkpoint()
 
 
 def _part(first: Column, size: Column) -> Column:
