@@ -1,26 +1,38 @@
-"""Local image descriptors: edited or cropped copies of images by corners, binary tests and a consensus on the offset.
+"""Local image descriptors: cropped, resized, turned or otherwise edited copies by corners, binary tests and a consensus.
 
-Images are columns of grey values. Corners are found at several scales by the smaller eigenvalue of the structure tensor;
-around each, pairs of smoothed pixels are compared along the direction of its intensity centroid (a 128-bit string).
-Strings are joined through tables of 32-bit parts: two strings of which at least one part is equal meet, which covers
-every pair within Hamming distance 3. Meetings of one query and one image vote for the offset between them, and
-images with enough distinct corners that vote for one offset match. Equal images are one class from the start.
+Images are columns of grey values with a width and a height. Corners are found at several scales by the smaller eigenvalue of the
+structure tensor; around each, pairs of smoothed pixels are compared along the direction of its intensity centroid (a 128-bit
+string). Strings are cut into five parts and joined through ten tables, one for every two parts: strings that agree in two parts
+meet, which covers every pair within Hamming distance 3, and a meeting counts if the whole strings differ in at most ``APART``
+bits. Scales meet each other. A meeting votes for a change of size, a turn and an offset, and images in which enough distinct corners
+agree on all three match. Equal images are one class from the start.
+
+Only corners that share a key with some query leave the index side: the queries' keys go to the tasks as a table of bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passages.llm.phrases import Bits
+from passages.llm.words import mix
+from passages.session import checkpoint_dir
+
 SIDE = 64
 CORNERS = 24
 SCALES = (1, 2)
 BITS = 128
-TABLES = 4
+PARTS = (26, 26, 26, 25, 25)
+PAIRS = [(i, j) for i in range(5) for j in range(i)]
+APART = 20
+EVERY = 20
+TURNS = 12
 REACH = 6
 CELL = 3
+EDITS = ("crop", "half", "turn", "dark")
 
 
 def _tests() -> np.ndarray:
@@ -44,15 +56,20 @@ def draw_images(vectors: np.ndarray, side: int = SIDE) -> np.ndarray:
     return np.clip(np.round(128 + 45 * (scaled.astype(np.float32) @ pattern)), 0, 255).astype(np.uint8).reshape(-1, side, side)
 
 
-def edited(images: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A cropped, darker copy of each image, and the offset of the crop, which follows from the id."""
-    side = images.shape[1]
-    keep = side * 3 // 4
-    dx, dy = (ids * 7) % (side - keep + 1), (ids * 11) % (side - keep + 1)
-    out = np.empty((len(images), keep, keep), np.uint8)
-    for i, (x, y) in enumerate(zip(dx, dy)):
-        out[i] = np.round(images[i, y : y + keep, x : x + keep] * 0.85 + 8)
-    return out, np.stack([dx, dy], 1)
+def edited(image: np.ndarray, key: int, kind: str) -> np.ndarray:
+    """A copy of an image: three quarters of it at a place that follows from the key and a little darker, half its size, a quarter
+    turn, or much darker."""
+    h, w = image.shape
+    if kind == "crop":
+        a, b = h * 3 // 4, w * 3 // 4
+        y, x = (key * 11) % (h - a + 1), (key * 7) % (w - b + 1)
+        return np.round(image[y : y + a, x : x + b] * 0.85 + 8).astype(np.uint8)
+    if kind == "half":
+        even = image[: h // 2 * 2, : w // 2 * 2].astype(np.float32)
+        return np.round(even.reshape(h // 2, 2, w // 2, 2).mean((1, 3))).astype(np.uint8)
+    if kind == "turn":
+        return np.ascontiguousarray(np.rot90(image))
+    return np.round(image * 0.7 + 20).astype(np.uint8)
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -63,8 +80,10 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return s[:, k:, k:] - s[:, :-k, k:] - s[:, k:, :-k] + s[:, :-k, :-k]
 
 
-def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(image, scale, x, y, bits[4 x uint32]) of the strongest corners of each image at each scale."""
+def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(image, scale, x, y, turn, bits[BITS]) of the strongest corners of each of some images of one size, at each scale.
+
+    Places are those of the whole image in half pixels, corners of equal strength go by place."""
     out = []
     for scale in SCALES:
         a = images.astype(np.float32)
@@ -94,7 +113,8 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         grid = np.arange(-REACH, REACH + 1)
         patch = smooth[image[:, None, None], y[:, None, None] + grid[None, :, None], x[:, None, None] + grid[None, None, :]]
         angle = np.arctan2((patch * grid[None, :, None]).sum((1, 2)), (patch * grid[None, None, :]).sum((1, 2)))
-        angle = np.round(angle / (np.pi / 6)) * (np.pi / 6)
+        turn = np.round(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
+        angle = turn * (2 * np.pi / TURNS)
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
 
         def value(px, py):
@@ -103,74 +123,135 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             return patch[np.arange(len(patch))[:, None], v, u]
 
         bits = value(TESTS[:, 0], TESTS[:, 1]) < value(TESTS[:, 2], TESTS[:, 3])
-        packed = np.packbits(bits, axis=1).view(">u4").astype(np.int64)
-        out.append((image, np.full(len(image), scale), x * scale, y * scale, packed))
+        out.append((image, np.full(len(image), scale), (2 * x + 1) * scale, (2 * y + 1) * scale, turn, bits))
     if not out:
-        return tuple(np.zeros(0, int) for _ in range(4)) + (np.zeros((0, TABLES), np.int64),)
+        return tuple(np.zeros(0, int) for _ in range(5)) + (np.zeros((0, BITS), bool),)
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
-def _descriptors(rows: DataFrame, edit: bool) -> DataFrame:
-    """(id, scale, x, y, part, value): a row per corner and table."""
+def keys_of(bits: np.ndarray) -> np.ndarray:
+    """(corners, tables) keys: the table and the two parts it looks at, spread over 64 bits."""
+    parts, at = [], 0
+    for size in PARTS:
+        weights = np.uint64(1) << np.arange(size, dtype=np.uint64)
+        parts.append((bits[:, at : at + size] * weights).sum(1, dtype=np.uint64))
+        at += size
+    return np.stack([mix((np.uint64(t) << np.uint64(58)) ^ (parts[i] << np.uint64(28)) ^ parts[j] ^ np.uint64(0x9E3779B9)) for t, (i, j) in enumerate(PAIRS)], 1)
+
+
+KINDS = {"id": pa.int64(), **dict.fromkeys(("scale", "x", "y", "turn"), pa.int32()), **dict.fromkeys(("high", "low", "key"), pa.int64()), "table": pa.int32()}
+
+
+def _corners(rows: DataFrame, edit: bool, wanted: Bits | None) -> DataFrame:
+    """(id, scale, x, y, turn, high, low, key, table): a row per corner and table; with ``wanted`` only those whose key it has."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids = part.column("id").to_numpy()
-                images = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column("image")]).reshape(len(ids), SIDE, SIDE)
-                if edit:
-                    images = edited(images, ids)[0]
-                image, scale, x, y, bits = describe(images)
-                many = len(image)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids[image], TABLES)), pa.array(np.repeat(scale, TABLES).astype(np.int32)), pa.array(np.repeat(x, TABLES).astype(np.int32)),
-                        pa.array(np.repeat(y, TABLES).astype(np.int32)), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), many)), pa.array(bits.reshape(-1)),
-                    ],
-                    ["id", "scale", "x", "y", "part", "value"],
-                )
-
-    return rows.select("id", "image").mapInArrow(run, "id long, scale int, x int, y int, part int, value long")
+                by_size: dict[tuple, tuple[list, list]] = {}
+                for key, data, h, w in zip(*(batch.slice(a, 256).column(c).to_pylist() for c in ("id", "image", "height", "width"))):
+                    image = np.frombuffer(data, np.uint8).reshape(h, w)
+                    if edit:
+                        image = edited(image, key, EDITS[key // EVERY % len(EDITS)])
+                    some = by_size.setdefault(image.shape, ([], []))
+                    some[0].append(key)
+                    some[1].append(image)
+                for ids, images in by_size.values():
+                    image, scale, x, y, turn, bits = describe(np.stack(images))
+                    keys = keys_of(bits)
+                    halves = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+                    keep = np.ones(keys.shape, bool) if shared.value is None else shared.value.has(keys.ravel()).reshape(keys.shape)
+                    at, table = np.nonzero(keep)
+                    own = np.array(ids, np.int64)[image[at]]
+                    columns = [own, scale[at], x[at], y[at], turn[at], halves[at, 0], halves[at, 1], keys[at, table].view(np.int64), table]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS.values())], list(KINDS))
+
+    return rows.select("id", "image", "height", "width").mapInArrow(run, ", ".join(f"{c} {'int' if t == pa.int32() else 'long'}" for c, t in KINDS.items()))
 
 
 def rendered(vectors: DataFrame) -> DataFrame:
-    """(id, image) of (vec_id, embedding): the vectors drawn as SIDE x SIDE grey pictures; null or empty ones have none."""
+    """(id, image, width, height) of (vec_id, embedding): the vectors drawn as SIDE x SIDE grey pictures; null ones, empty ones and
+    those with a null in them give a null image."""
 
     def run(batches):
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()) if v and None not in v]
             by_size: dict[int, list] = {}
-            for i, v in rows:
-                by_size.setdefault(len(v), []).append((i, v))
-            for some in by_size.values():
-                images = draw_images(np.array([v for _, v in some], np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([x.tobytes() for x in images], pa.binary())], ["id", "image"])
-
-    return vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "id long, image binary")
-
-
-def copies(images: DataFrame, every: int = 20, votes: int = 5) -> DataFrame:
-    """Search edited copies of some images in all: (id, class_id, is_query, matches).
-
-    ``images`` has id and image (SIDE x SIDE bytes; other sizes and nulls are ignored). class_id is the smallest id with
-    the same pixels. Queries are the classes with an id divisible by ``every``; ``matches`` lists class_id and votes of the
-    images that agree with the edited copy in ``votes`` corners at one offset, [] if none and null for others."""
-    images = images.filter(F.length("image") == SIDE * SIDE).withColumn("key", F.sha2("image", 256))
-    classes = images.groupBy("key").agg(F.min("id").alias("class_id"), F.max(F.col("id") % every == 0).alias("is_query"))
-    members = images.select("id", "key").join(classes, "key")
-    firsts = images.join(classes.select(F.col("class_id").alias("id"), "is_query"), "id").select("id", "image", "is_query").distinct()
-    index = _descriptors(firsts, False)
-    asked = _descriptors(firsts.filter("is_query"), True).toDF("query", "scale", "qx", "qy", "part", "value")
-    met = asked.join(index, ["part", "value", "scale"])
-    cell = [F.floor((F.col(a) - F.col(b)) / CELL).alias(c) for a, b, c in (("x", "qx", "dx"), ("y", "qy", "dy"))]
-    met = met.groupBy("query", "id").agg(F.collect_set(F.struct(F.struct("qx", "qy", "scale").alias("corner"), *cell)).alias("met"))
+            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
+                by_size.setdefault(len(v) if v and None not in v else 0, []).append((i, v))
+            for size, some in by_size.items():
+                images = [x.tobytes() for x in draw_images(np.array([v for _, v in some], np.float32))] if size else [None] * len(some)
+                side = pa.array([SIDE if size else None] * len(some), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(images, pa.binary()), side, side], ["id", "image", "width", "height"])
+
+    rows = vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.mapInArrow(run, "id long, image binary, width int, height int")
+
+
+def _same_part(parts: list[Column], i: int) -> Column:
+    """Whether part i of two strings is equal, by the differing bits (high, low) of both."""
+    start, end = sum(PARTS[:i]), sum(PARTS[: i + 1])
+    out = F.lit(True)
+    for half, value in enumerate(parts):
+        a, b = max(start, 64 * half) - 64 * half, min(end, 64 * half + 64) - 64 * half
+        if a < b:
+            mask = ((1 << (b - a)) - 1) << (64 - b)
+            out = out & (value.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)) == 0)
+    return out
+
+
+def meetings(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Corners of queries and images that agree in two parts and differ in at most APART bits, each pair once: in the first table
+    where it meets. (query, id, corner, ratio, turn, dx, dy)"""
+    q = asked.select("key", "table", F.col("id").alias("query"), *[F.col(c).alias(f"q_{c}") for c in ("scale", "x", "y", "turn", "high", "low")])
+    differ = [F.col(f"q_{c}").bitwiseXOR(F.col(c)) for c in ("high", "low")]
+    near = F.bit_count(differ[0]) + F.bit_count(differ[1]) <= APART
+    first = F.lit(len(PAIRS))
+    for t in reversed(range(len(PAIRS))):
+        i, j = PAIRS[t]
+        first = F.when(_same_part(differ, i) & _same_part(differ, j), t).otherwise(first)
+    index = index.withColumnRenamed("key", "own").withColumnRenamed("table", "own_table")
+    met = q.join(index, (F.col("key") == F.col("own")) & (first == F.col("table")) & near)
+    ratio, turn = F.col("scale") / F.col("q_scale"), F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
+    angle = turn * (2 * np.pi / TURNS)
+    x = ratio * (F.col("q_x") * F.cos(angle) - F.col("q_y") * F.sin(angle))
+    y = ratio * (F.col("q_x") * F.sin(angle) + F.col("q_y") * F.cos(angle))
+    cell = [F.floor((F.col(a) - b) / (2 * CELL * F.greatest(ratio, F.lit(1.0)))).alias(c) for a, b, c in (("x", x, "dx"), ("y", y, "dy"))]
+    corner = F.struct("q_x", "q_y", "q_scale").alias("corner")
+    return met.select("query", "id", corner, ratio.alias("ratio"), turn.alias("turn"), *cell)
+
+
+def agreeing(met: DataFrame, votes: int) -> DataFrame:
+    """(query, id, votes): the most distinct corners of a query that agree on one change of size, turn and offset."""
+    met = met.groupBy("query", "id").agg(F.collect_set(F.struct("corner", "ratio", "turn", "dx", "dy")).alias("met"))
     met = met.filter(F.size("met") >= votes).select("query", "id", F.inline("met"))
     # the offset of a match lies in one cell or in up to four neighbours: a corner of the query counts once in every block of 2 x 2 cells
     blocks = F.array(*(F.struct((F.col("dx") - i).alias("bx"), (F.col("dy") - j).alias("by")) for i in (0, 1) for j in (0, 1)))
-    agreed = met.select("query", "id", "corner", F.inline(blocks)).groupBy("query", "id", "bx", "by").agg(F.size(F.collect_set("corner")).cast("long").alias("n"))
-    found = agreed.groupBy("query", "id").agg(F.max("n").alias("votes")).filter(F.col("votes") >= votes)
+    agreed = met.select("query", "id", "corner", "ratio", "turn", F.inline(blocks))
+    agreed = agreed.groupBy("query", "id", "ratio", "turn", "bx", "by").agg(F.size(F.collect_set("corner")).cast("long").alias("n"))
+    return agreed.groupBy("query", "id").agg(F.max("n").alias("votes")).filter(F.col("votes") >= votes)
+
+
+def copies(images: DataFrame, every: int = EVERY, votes: int = 5) -> DataFrame:
+    """Search edited copies of some images in all: (id, class_id, is_query, matches), one row per row of ``images``.
+
+    ``images`` has id, image (width x height bytes), width and height; other columns are ignored. class_id is the smallest id with the
+    same pixels and size. Queries are the classes with an id divisible by ``every``; ``matches`` lists, in the order of
+    class_id, the classes that agree with the edited copy in ``votes`` corners, [] if none and null for others. The kind of edit goes
+    by id through EDITS. A null image, or one that has not width x height bytes, is in no class (null), no query and found by none."""
+    checkpoint_dir(images.sparkSession)
+    images = images.select("id", "image", "width", "height")
+    fits = (F.length("image") == F.col("width") * F.col("height")) & (F.col("width") > 0) & F.col("id").isNotNull()
+    images = images.withColumn("pixels", F.when(F.coalesce(fits, F.lit(False)), F.sha2(F.concat(F.col("width").cast("string").cast("binary"), F.lit(b":"), F.col("image")), 256)))
+    whole = images.filter("pixels IS NOT NULL")
+    classes = whole.groupBy("pixels").agg(F.min("id").alias("class_id"), F.max(F.col("id") % every == 0).alias("is_query"))
+    firsts = whole.join(classes.select("pixels", F.col("class_id").alias("id"), "is_query"), ["pixels", "id"]).dropDuplicates(["id"])
+    asked = _corners(firsts.filter("is_query"), True, None).checkpoint()
+    wanted = Bits(asked.count()).filled(asked.select("key"))
+    found = agreeing(meetings(asked, _corners(firsts, False, wanted)), votes)
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("class_id"), "votes"))).alias("matches"))
-    out = members.join(lists, F.col("class_id") == F.col("query"), "left")
     none = F.array().cast("array<struct<class_id:bigint,votes:bigint>>")
-    return out.select("id", "class_id", "is_query", F.when(F.col("is_query"), F.coalesce("matches", none)).alias("matches"))
+    classes = classes.join(lists, F.col("class_id") == F.col("query"), "left")
+    classes = classes.select("pixels", "class_id", "is_query", F.when(F.col("is_query"), F.coalesce("matches", none)).alias("matches"))
+    out = images.select("id", "pixels").join(classes, "pixels", "left")
+    return out.select("id", "class_id", F.coalesce("is_query", F.lit(False)).alias("is_query"), "matches")

@@ -1,4 +1,4 @@
-"""The query on media columns: the embeddings drawn as pictures, edited copies of a twentieth searched in all."""
+"""The query on media columns: the embeddings drawn as pictures, cropped, halved, turned and darker copies of a twentieth searched in all."""
 
 from passages.llm.images import copies, rendered
 from passages.llm.registry import query, table
