@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from passages.functions import text as T
 from passages.functions.batch import batch_udf
+from passages.operators.intervals import interval_join
+from passages.operators.scan import BLOCK_ROWS, Running, running
 
 _SPANS = "array<struct<char_start:int,char_end:int,n_words:int>>"
 
@@ -244,24 +246,20 @@ def boundary_chunks(
     return docs.select(*keep, F.explode(chunks(text, mentions)).alias("__c")).select(*keep, "__c.*")
 
 
-def pos_to_time(points: Column, segments: Column) -> Column:
-    """Seconds at each character position: linear inside its segment; between or after the
-    segments the last end. Segments are joined by one space."""
-
-    @batch_udf("array<double>")
-    def at(ps: pd.Series, texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        def one(p, t, s, e):
-            n = np.array([len(x) for x in t], dtype=int)
-            if not len(n):
-                return np.zeros(len(p))
-            first = np.concatenate([[0], np.cumsum(np.asarray(n) + 1)[:-1]])
-            i = np.clip(np.searchsorted(first, p, side="right") - 1, 0, len(n) - 1)
-            share = (p - first[i]) / np.maximum(1, n[i])
-            return np.where((p >= first[i]) & (p < first[i] + n[i]), s[i] + share * (e[i] - s[i]), e[-1])
-
-        return pd.Series([one(*map(np.asarray, row)) for row in zip(ps, texts, starts, ends, strict=True)])
-
-    return at(points, segments["text"], segments["start"], segments["end"])
+def pos_to_time(points: DataFrame, segments: DataFrame, key: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``points`` (key, point) plus ``seconds`` at that character position of the segments (key, pos, text, start, end), which one
+    space joins: linear inside a segment; between or after the segments the last end, 0 without segments."""
+    sized = segments.select(key, "pos", F.length(F.coalesce("text", F.lit(""))).alias("__n"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    placed = running(sized, [key], "pos", [Running("__a", F.col("__n") + 1, "sum", strict=True)], block_rows)
+    placed = placed.withColumn("__a", F.coalesce("__a", F.lit(0)))
+    placed = placed.select(key, "__a", (F.col("__a") + F.col("__n")).alias("__b"), "__n", "__s", "__e")
+    once = points.select(key, "point").distinct()
+    held = interval_join(once, placed, [key], "point", "__a", "__b")
+    share = (F.col("point") - F.col("__a")) / F.col("__n")
+    held = held.select(key, "point", (F.col("__s") + share * (F.col("__e") - F.col("__s"))).alias("__held"))
+    last = segments.groupBy(key).agg(F.max_by("end", "pos").alias("__last"))
+    out = points.join(held, [key, "point"], "left").join(last, key, "left")
+    return out.withColumn("seconds", F.coalesce("__held", "__last", F.lit(0.0)).cast("double")).drop("__held", "__last")
 
 
 def density_windows(

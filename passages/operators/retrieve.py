@@ -8,7 +8,7 @@ shuffled does not grow with the items. Larger batches run in slices.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import ceil
 
 import numpy as np
@@ -90,6 +90,59 @@ def topk_cosine(
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def topk_of_labels(
+    queries: DataFrame, items: DataFrame, wanted: DataFrame, k: int, weight: str | None = None, label: str = "primary", slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """(query, label, item, sim, score, rank): the top k items of the labels each query asks for, ``wanted(query, label)``.
+
+    The labels come first, so an item is compared with the queries that want its label alone, and a task keeps k rows per query
+    and label asked for. Equal to the rows of ``topk_cosine`` by group that are wanted."""
+    asks = queries.select("query", "vector").join(wanted.select("query", F.col("label").alias("__ask")).distinct(), "query")
+    asks = asks.select(F.struct("query", "__ask").alias("query"), "vector")
+    kind = wanted.schema["label"].dataType
+    fields = [queries.schema["query"], T.StructField("label", kind), items.schema["item"], T.StructField("sim", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    found = None
+    for part in _slices(asks, slice_rows):
+        if part.empty:
+            continue
+        of: dict = {}
+        for row, vector in zip(part["query"], part["vector"]):
+            ids, vectors = of.setdefault(row["__ask"], ([], []))
+            ids.append(row["query"])
+            vectors.append(np.asarray(vector, dtype=float))
+        of = {name: (np.array(ids), np.stack(vectors)) for name, (ids, vectors) in of.items()}
+        one = items.select("item", "vector", label, *([weight] if weight else [])).mapInPandas(_best_of_labels(of, k, label, weight), T.StructType(fields))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], T.StructType([*fields, T.StructField("rank", T.IntegerType())]))
+    rank = F.row_number().over(Window.partitionBy("query", "label").orderBy(F.desc("score"), "item"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _best_of_labels(of: dict, k: int, label: str, weight: str | None) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for pdf in batches:
+            for name, rows in pdf.groupby(label, sort=False):
+                if name not in of:
+                    continue
+                ids, q = of[name]
+                sim = np.round(q @ _matrix(rows["vector"]).T, 10)
+                score = np.round(sim * rows[weight].to_numpy(dtype=float)[None, :], 10) if weight else sim
+                usable = np.ones_like(sim, dtype=bool)
+                if sim.shape[1] > k:
+                    usable = score >= np.partition(score, -k, axis=1)[:, -k][:, None]
+                i, j = np.nonzero(usable)
+                new = pd.DataFrame({"query": ids[i], "label": name, "item": rows["item"].to_numpy()[j], "sim": sim[i, j], "score": score[i, j]})
+                both = new if name not in kept else pd.concat([kept[name], new])
+                both = both.sort_values(["score", "item"], ascending=[False, True])
+                kept[name] = both.groupby("query", sort=False).head(k)
+        if kept:
+            yield pd.concat(kept.values())
+
+    return run
+
+
 def entry_matrix(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Labels and vectors of a catalogue of at most ``MAX_ENTRIES`` vectors."""
     table = entries.select("label", "vector").limit(MAX_ENTRIES + 1).toPandas().sort_values("label", kind="stable")
@@ -265,10 +318,7 @@ def hybrid_topk(queries: DataFrame, index: DataFrame, ranked: DataFrame, k: int
     items, then by cosine again. Returns (query, item, source, rank) and (query, label)."""
     top = ranked.join(covered_labels(index), "label").groupBy("query").agg(F.min_by("label", "rank").alias("label"))
     cosine = topk_cosine(queries, index, k)
-    of_label = items_by_label(queries, index, k)
-    own = of_label.join(top, (of_label["query"] == top["query"]) & (of_label["primary"] == top["label"])).select(
-        of_label["query"], "item", "rank"
-    )
+    own = topk_of_labels(queries, index, top, k, "p").select("query", "item", "rank")
     return _merge([cosine.filter(F.col("rank") <= plain), own, cosine], k), top
 
 
@@ -276,8 +326,7 @@ def split_topk(queries: DataFrame, index: DataFrame, ranked: DataFrame, n1: int
     """n1 items of the best label that has items, n2 of the next one, the rest by cosine."""
     order = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
     two = ranked.join(covered_labels(index), "label").select("query", "label", order.alias("place")).filter("place <= 2")
-    of_label = items_by_label(queries, index, max(n1, n2)).withColumnRenamed("primary", "label")
-    picked = of_label.join(two, ["query", "label"])
+    picked = topk_of_labels(queries, index, two, max(n1, n2), "p").join(two, ["query", "label"])
     first = picked.filter((F.col("place") == 1) & (F.col("rank") <= n1))
     second = picked.filter((F.col("place") == 2) & (F.col("rank") <= n2))
     return _merge([first, second, topk_cosine(queries, index, k)], k)
@@ -330,8 +379,7 @@ def route_then_search(queries: DataFrame, index: DataFrame, routes: DataFrame, k
     """Items of the routed labels by cosine, filled by plain search; and per query how many
     routed labels have no item. ``routes(query, label)``."""
     cosine = topk_cosine(queries, index, k)
-    per_label = topk_cosine(queries, index.filter(F.col("primary") != OFF), k, group="primary")
-    routed = per_label.join(routes.withColumnRenamed("label", "primary"), ["query", "primary"])
+    routed = topk_of_labels(queries, index, routes.filter(F.col("label") != OFF), k)
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
     routed = routed.withColumn("rank", order).filter(F.col("rank") <= k)
     missing = routes.join(covered_labels(index), "label", "left_anti").groupBy("query").agg(

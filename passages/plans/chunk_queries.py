@@ -117,12 +117,10 @@ def boundary_chunks_drop(spark, d):
 )
 def pos_to_time(spark, d):
     t = timed(spark, d).filter(F.size("segments") > 0)
-    total = F.length(F.array_join(F.transform("segments", lambda s: s["text"]), " "))
-    points = F.sequence(F.lit(0), F.floor((total + 499) / 500).cast("int") * 500, F.lit(500))
-    out = t.select("doc_id", F.explode(F.array(points)).alias("points"), "segments")
-    out = out.withColumn("seconds", C.pos_to_time(F.col("points"), F.col("segments")))
-    out = out.select("doc_id", F.explode(F.arrays_zip("points", "seconds")).alias("z"))
-    return out.select("doc_id", F.col("z.points").alias("point"), F.round("z.seconds", 6).alias("seconds"))
+    segments = t.select("doc_id", F.posexplode("segments").alias("pos", "s")).select("doc_id", "pos", "s.*")
+    total = t.select("doc_id", F.length(F.array_join(F.transform("segments", lambda s: s["text"]), " ")).alias("n"))
+    points = total.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") + 499) / 500).cast("int") * 500, F.lit(500))).alias("point"))
+    return C.pos_to_time(points, segments).select("doc_id", "point", F.round("seconds", 6).alias("seconds"))
 
 
 @query(

@@ -101,6 +101,21 @@ def near_cues(spark, d):
     return rows.select("doc_id", "start", F.size("cues").cast("long").alias("cues"), "section")
 
 
+@query(
+    "hits_near_cues",
+    f"""WITH {positions_sql('h', ' that ', 'hit')}, {positions_sql('ci', ' on the ', 'intro_marker')}, {positions_sql('cc', ' and ', 'closing_marker')},
+        c AS (SELECT * FROM ci UNION ALL SELECT * FROM cc),
+        n AS (SELECT h.doc_id, h.pos, count(c.pos) FILTER (WHERE abs(c.pos - h.pos) < 500) AS near, max(c.pos) FILTER (WHERE c.type = 'intro_marker' AND c.pos < h.pos) AS ip,
+                min(c.pos) FILTER (WHERE c.type = 'closing_marker' AND c.pos > h.pos) AS cp FROM h LEFT JOIN c ON c.doc_id = h.doc_id GROUP BY h.doc_id, h.pos)
+        SELECT doc_id, pos AS start, near AS cues, CASE WHEN pos - ip < 1000 THEN 'near_introduction' WHEN cp - pos < 500 THEN 'near_closing' ELSE 'explanation_body' END AS section FROM n""",
+)
+def hits_near_cues(spark, d):
+    hits = docs(spark, d).select("doc_id", F.explode(T.positions(F.col("text"), " that ")).alias("x")).select("doc_id", F.col("x.pos").alias("start"))
+    cues = docs(spark, d).select("doc_id", F.explode(T.cues(F.col("text"), {"intro_marker": (" on the ",), "closing_marker": (" and ",)})).alias("c"))
+    rows = M.hits_near_cues(hits, cues.select("doc_id", "c.pos", "c.type"), ["doc_id"])
+    return rows.select("doc_id", "start", F.size("cues").cast("long").alias("cues"), "section")
+
+
 @query(
     "vote_filter",
     """SELECT user_id AS seq, event_type AS label, count(*) AS votes FROM events GROUP BY 1, 2 HAVING count(*) >= 14""",

@@ -54,6 +54,19 @@ def test_topk_per_group_with_weight(index, queries):
             assert [got[i, g][k] for k in (1, 2, 3)] == [r[0] for r in want]
 
 
+@pytest.mark.parametrize(("slice_rows", "weight"), [(3, "p"), (4096, "p"), (4096, None)])
+def test_labels_first_gives_the_wanted_rows_of_the_search_by_group(spark, index, queries, slice_rows, weight):
+    _, _, items = index
+    _, asked = queries
+    wanted = spark.createDataFrame([(i, j % 7 - 1) for i in range(9) for j in (i, i + 2, i + 2)], "query long, label int")
+    got = R.topk_of_labels(asked, items, wanted, 3, weight, slice_rows=slice_rows)
+    every = R.topk_cosine(asked, items, 3, group="primary", weight=weight).withColumnRenamed("primary", "label")
+    want = every.join(wanted.distinct(), ["query", "label"])
+    columns = ["query", "label", "item", "rank", "score"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert R.topk_of_labels(asked, items, wanted.limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize("slice_rows", [2, 100])
 def test_vector_match_in_slices(spark, index, slice_rows):
     v, _, items = index
