@@ -45,6 +45,12 @@ def _pack(weights: list[int], target: int) -> list[tuple[int, int]]:
     return groups
 
 
+def sentence_groups(text: str | None, target: int = 100, longest: int = 200) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the passages of one trimmed text; see ``pack_sentences``."""
+    sentences = _sentence_spans(text or "", longest, target)
+    return [(sentences[a][0], sentences[b - 1][1], sum(s[2] for s in sentences[a:b])) for a, b in _pack([s[2] for s in sentences], target)]
+
+
 def pack_sentences(
     docs: DataFrame, text: str = "text", target: int = 100, longest: int = 200
 ) -> DataFrame:
@@ -54,14 +60,7 @@ def pack_sentences(
 
     @batch_udf(_SPANS)
     def spans(texts: pd.Series) -> pd.Series:
-        def one(t: str | None):
-            sentences = _sentence_spans(t or "", longest, target)
-            return [
-                (sentences[a][0], sentences[b - 1][1], sum(s[2] for s in sentences[a:b]))
-                for a, b in _pack([s[2] for s in sentences], target)
-            ]
-
-        return texts.map(one)
+        return texts.map(lambda t: sentence_groups(t, target, longest))
 
     trimmed = docs.withColumn(text, F.regexp_replace(text, r"^\s+|\s+$", ""))
     return (
@@ -85,22 +84,21 @@ def _spoken(segments: Column) -> Column:
     return F.array_join(texts, " ")
 
 
+def segment_groups(texts, target: int = 100) -> list[tuple[int, int, int, int, int]]:
+    """(first, last, start, end, words) of the passages of one list of segment texts; see ``pack_segments``."""
+    kept = [(i, t.strip()) for i, t in enumerate([] if texts is None else texts) if t and t.strip()]
+    weights = [len(t.split()) for _, t in kept]
+    starts = np.cumsum([0] + [len(t) + 1 for _, t in kept])
+    return [(kept[a][0], kept[b - 1][0], int(starts[a]), int(starts[b]) - 1, sum(weights[a:b])) for a, b in _pack(weights, target)]
+
+
 def pack_segments(docs: DataFrame, segments: str = "segments", target: int = 100) -> DataFrame:
     """The same packing over timed segments: first start, last end, offsets in the joined text.
     Blank segments do not count."""
 
     @batch_udf("array<struct<first:int,last:int,char_start:int,char_end:int,n_words:int>>")
     def groups(texts: pd.Series) -> pd.Series:
-        def one(ts) -> list[tuple]:
-            kept = [(i, t.strip()) for i, t in enumerate([] if ts is None else ts) if t and t.strip()]
-            weights = [len(t.split()) for _, t in kept]
-            starts = np.cumsum([0] + [len(t) + 1 for _, t in kept])
-            return [
-                (kept[a][0], kept[b - 1][0], int(starts[a]), int(starts[b]) - 1, sum(weights[a:b]))
-                for a, b in _pack(weights, target)
-            ]
-
-        return texts.map(one)
+        return texts.map(lambda ts: segment_groups(ts, target))
 
     rows = docs.withColumn("__groups", groups(F.col(segments)["text"]))
     out = rows.select("*", F.posexplode("__groups").alias("pos", "__g"))

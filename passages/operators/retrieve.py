@@ -207,9 +207,10 @@ def vector_match(
 # ---- text ranking --------------------------------------------------------------------
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, salts: int = 16) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, salts: int = 16, k: int | None = None) -> DataFrame:
     """(query, label, score) for the pairs that share a term; both sides have ``tokens``
-    with repeats, and a repeated query term counts again.
+    with repeats, and a repeated query term counts again. With ``k`` only the best k labels of a query, with their
+    rank; equal scores (to ten places) go by label.
 
     Query terms are counted per query first. The document side has one row per (term,
     label) and is small for a catalogue; should it be shuffled, the query rows of each
@@ -232,9 +233,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
         .agg(F.count(F.lit(1)).alias("times"))
         .withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(salts)).cast("int"))
     )
-    return asked.join(postings, ["term", "salt"]).groupBy("query", "label").agg(
-        F.sum(F.col("times") * F.col("w")).alias("score")
-    )
+    scored = asked.join(postings, ["term", "salt"]).groupBy("query", "label").agg(F.sum(F.col("times") * F.col("w")).alias("score"))
+    if k is None:
+        return scored
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 10)), "label"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def vote(queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from passages.functions import text as T
 from passages.operators import chunk as C
 from passages.operators.replies import parse_answer_lines
+from passages.operators.table_functions import register
 from passages.plans.registry import documents, query, table
 from passages.plans.text_queries import MENTIONED, WORDS_SQL
 
@@ -30,7 +31,24 @@ LINES_SQL = """l AS (SELECT doc_id, list_filter(list_transform(string_split(text
                      FROM documents)"""
 
 
-@query("pack_sentences")
+# letter by letter: a sentence is a run without [.?] and the mark behind it, a mark behind a mark belongs to none; words are runs inside a sentence
+PACKED_SQL = """WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+   ch AS (SELECT doc_id, i - 1 AS i, substr(t, i, 1) AS c FROM t, unnest(range(1, length(t) + 1)) AS r(i)),
+   cl AS (SELECT *, c IN ('.', '?') AS mark, regexp_matches(c, '\\s') AS gap, coalesce(lag(c) OVER w IN ('.', '?'), true) AS after FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+   sn AS (SELECT *, coalesce(sum((mark AND NOT after)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM cl),
+   wd AS (SELECT *, NOT coalesce(lag(i) OVER w = i - 1 AND lag(sid) OVER w = sid, false) AS first FROM sn WHERE NOT gap AND NOT (mark AND after) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+   wn AS (SELECT *, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS word FROM wd),
+   w AS (SELECT doc_id, sid, word, min(i) AS a, max(i) + 1 AS b FROM wn GROUP BY 1, 2, 3),
+   k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sid ORDER BY word) - 1 AS nth, count(*) OVER (PARTITION BY doc_id, sid) AS n FROM w),
+   sp AS (SELECT doc_id, sid, CASE WHEN n > 200 THEN nth // 100 ELSE 0 END AS part, min(a) AS a, max(b) AS b, count(*) AS n FROM k GROUP BY 1, 2, 3),
+   o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sid, part) AS i FROM sp),
+   g AS (SELECT doc_id, i, n AS total, 0 AS pos FROM o WHERE i = 1
+         UNION ALL SELECT o.doc_id, o.i, CASE WHEN g.total >= 100 THEN 0 ELSE g.total END + o.n, g.pos + (g.total >= 100)::INT FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1),
+   p AS (SELECT doc_id, pos, min(a) AS a, max(b) AS b, sum(n) AS n FROM g JOIN o USING (doc_id, i) GROUP BY 1, 2)
+   SELECT doc_id, pos::INT AS pos, a::INT AS char_start, b::INT AS char_end, n::INT AS n_words, md5(substr(t, a::INT + 1, (b - a)::INT)) AS text FROM p JOIN t USING (doc_id)"""
+
+
+@query("pack_sentences", PACKED_SQL)
 def pack_sentences(spark, d):
     out = C.pack_sentences(docs(spark, d))
     return out.select("doc_id", "pos", "char_start", "char_end", "n_words", F.md5("text").alias("text"))
@@ -47,6 +65,14 @@ def pack_sentences_cover(spark, d):
     return C.pack_sentences(docs(spark, d)).groupBy("doc_id").agg(F.sum(letters).alias("letters")).filter("letters > 0")
 
 
+@query("sentence_passages", PACKED_SQL)
+def sentence_passages(spark, d):
+    """The same through SQL: a table function with a lateral join."""
+    register(spark)
+    docs(spark, d).createOrReplaceTempView("packed_documents")
+    return spark.sql("SELECT d.doc_id, p.pos, p.char_start, p.char_end, p.n_words, md5(p.passage) AS text FROM packed_documents d, LATERAL sentence_passages(d.text, 100) p")
+
+
 @query("pack_segments")
 def pack_segments(spark, d):
     out = C.pack_segments(timed(spark, d))

@@ -225,6 +225,17 @@ def bm25(spark, d):
     return R.bm25(asked, entries).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "bm25_topk",
+    f"""WITH {BM}, q AS (SELECT conv_id * 100 + turn AS query, unnest({TOK.format('text')}) AS t FROM conversations),
+        s AS (SELECT query, label, sum(w) AS score FROM q JOIN w USING (t) GROUP BY query, label)
+        SELECT query, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 10) DESC, label) AS rank FROM s QUALIFY rank <= 3""",
+)
+def bm25_topk(spark, d):
+    asked = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query"), tokens().alias("tokens"))
+    return R.bm25(asked, benchmark(spark, d).select("label", tokens().alias("tokens")), k=3).withColumn("score", F.round("score", 6))
+
+
 TOP5 = SIM + ", t5 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) AS rank FROM sm QUALIFY rank <= 5)"
 
 

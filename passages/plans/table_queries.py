@@ -135,6 +135,13 @@ def completeness(spark, d):
     return S.completeness(table(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
+@query("write_complete", "SELECT count(*) AS total, count(*) FILTER (WHERE nullif(trim(c_mktsegment), '') IS NULL) AS missing FROM customer")
+def write_complete(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    total, missing = S.write_complete(rows, S.scratch(spark, "answers"), F.trim("c_mktsegment") != "")
+    return spark.range(1).select(F.lit(total).cast("long").alias("total"), F.lit(missing).cast("long").alias("missing"))
+
+
 @query(
     "grid_diff",
     """WITH o AS (SELECT doc_id, text, source FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text, source FROM documents WHERE doc_id % 11 <> 0),
