@@ -199,20 +199,20 @@ def detection_chunks(spark, d):
 @query(
     "span_between",
     """WITH k AS (SELECT doc_id, text, regexp_split_to_array(text, '\\s+') AS ws FROM documents),
-       w AS (SELECT doc_id, text, ws[10:12] AS a, ws[60:62] AS b FROM k WHERE len(ws) >= 62),
+       w AS (SELECT doc_id, text, ws[10:12] AS a, ws[60:62] AS b FROM k),
        p AS (SELECT doc_id, text, array_to_string(list_transform(a, lambda x: regexp_escape(x)), '.*?') AS pa,
                     array_to_string(list_transform(b, lambda x: regexp_escape(x)), '.*?') AS pb FROM w),
        s AS (SELECT *, CASE WHEN regexp_extract(text, pa) = '' THEN NULL ELSE strpos(text, regexp_extract(text, pa)) END AS start FROM p),
        r AS (SELECT *, substring(text, start + 100) AS rest FROM s WHERE start IS NOT NULL),
        e AS (SELECT doc_id, text, start, CASE WHEN regexp_extract(rest, pb) = '' THEN 2000 ELSE strpos(rest, regexp_extract(rest, pb)) - 1 + 100 END AS n FROM r)
-       SELECT doc_id, md5(regexp_replace(substring(text, start, n), '^\\s+|\\s+$', '', 'g')) AS span FROM e""",
+       SELECT d.doc_id, md5(regexp_replace(substring(e.text, start, n), '^\\s+|\\s+$', '', 'g')) AS span FROM documents d LEFT JOIN e USING (doc_id)""",
 )
 def span_between(spark, d):
-    t = docs(spark, d).withColumn("ws", F.split("text", r"\s+")).filter(F.size("ws") >= 62)
+    """A text too short for the second key reaches to its end, one too short for the first has no span."""
+    t = docs(spark, d).withColumn("ws", F.split("text", r"\s+"))
     key = F.array_join(F.slice("ws", 10, 3), " ")
     following = F.array_join(F.slice("ws", 60, 3), " ")
-    out = t.select("doc_id", F.md5(C.span_between(F.col("text"), key, following)).alias("span"))
-    return out.filter("span IS NOT NULL")
+    return t.select("doc_id", F.md5(C.span_between(F.col("text"), key, following)).alias("span"))
 
 
 REPLY_SPARK = """concat_ws('\n', '`P001|2.' || (conv_id % 80) || ';2.' || (turn + 3) || '`', 'P002\t2.' || (conv_id % 71 + 1) || ', 3.4',

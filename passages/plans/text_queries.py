@@ -202,18 +202,18 @@ def domain_density(spark, d):
                 / greatest(len(ws), 1), 6) AS past,
           round(len(list_filter(ws[2:], lambda x: regexp_matches(x, '^[A-Z]') AND NOT list_contains({STOP_SQL}, lower(x))))
                 / greatest(len(ws), 1), 6) AS capitals,
-          len(regexp_extract_all(text, '(?i)(?:once|there was|there were|one day|story|anecdote)')) AS stories,
+          len(regexp_extract_all(text, '{T.STORY}')) AS stories, len(regexp_extract_all(text, '{T.DIALOGUE}')) AS dialogue,
           (len(ws) = 0)::INT AS no_words FROM w""",
 )
 def narrative_features(spark, d):
     known = F.array(*map(F.lit, STOP))
     f = T.narrative_features(F.col("text"), known)
-    story = r"(?i)(?:once|there was|there were|one day|story|anecdote)"
     return documents(spark, d).select(
         "doc_id",
         F.round(f["past"], 6).alias("past"),
         F.round(f["capitals"], 6).alias("capitals"),
-        F.regexp_count("text", F.lit(story)).alias("stories"),
+        f["stories"].alias("stories"),
+        f["dialogue"].alias("dialogue"),
         f["no_words"].alias("no_words"),
     )
 

@@ -29,8 +29,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: str, **options) -> DataFrame:
-    """CSV with a header and a given schema; several paths or a glob are one table."""
-    reader = spark.read.schema(schema).options(header=True, multiLine=False, escape='"', **options)
+    """CSV with a header and a given schema; several paths or a glob are one table. ``multiLine=True`` is for texts with
+    line breaks in quotes, whose files are not split."""
+    reader = spark.read.schema(schema).options(**({"header": True, "multiLine": False, "escape": '"'} | options))
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
@@ -66,8 +67,8 @@ def expected_labels(column: str) -> Column:
 
 
 def read_questions(spark: SparkSession, path: str, schema: str, expected: str, layout: str = "json") -> DataFrame:
-    """Questions with their expected labels as a set, from JSON lines or CSV."""
-    rows = spark.read.schema(schema).json(path) if layout == "json" else read_table(spark, path, schema)
+    """Questions with their expected labels as a set, from JSON lines or CSV; a question may have several lines."""
+    rows = spark.read.schema(schema).json(path) if layout == "json" else read_table(spark, path, schema, multiLine=True)
     return rows.withColumn("expected", expected_labels(expected)).drop(*([expected] if expected != "expected" else []))
 
 
