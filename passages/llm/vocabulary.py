@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 SPACE = "▁"
 ESCAPED = "▁"  # stands for a literal U+2581, which only bytes can spell
 NORMAL, BYTE = 1, 6
+UNIGRAM = 1
 STRETCH = re.compile(" *[^ ]+| +")
 
 
@@ -37,22 +39,48 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def settings(model: bytes) -> tuple[int, dict, dict]:
+    """(type, trainer settings, normaliser settings) by field number; types and defaults are those of the public format."""
+    parts = {field: dict(_fields(value)) for field, value in _fields(model) if field in (2, 3) and isinstance(value, bytes)}
+    trainer, normaliser = parts.get(2, {}), parts.get(3, {})
+    return trainer.get(3, UNIGRAM), trainer, normaliser
+
+
+def _checked(normaliser: dict) -> None:
+    """Raises for a model whose text is changed before it is cut, which this encoder does not do."""
+    name = normaliser.get(1, b"").decode()
+    if name not in ("", "identity") or normaliser.get(2):
+        raise ValueError(f"the model normalises its text ({name or 'own rules'}); only identity is supported")
+    for field, wanted, what in ((3, 1, "puts no space in front"), (4, 0, "removes extra spaces"), (5, 1, "keeps spaces as they are")):
+        if normaliser.get(field, 1) != wanted:
+            raise ValueError(f"the model {what}, which is not supported")
+
+
 class Vocabulary:
     """Pieces with ids and log-probabilities; the model's space sign is a plain space here.
 
-    A merge-based model orders its pieces without probabilities; ``score`` then is Zipf's law over that order,
-    ``-ln(2 + place)``, in whole millionths so that equal paths are equal in any order of adding. A character outside the vocabulary (a literal space sign too) is spelled in bytes, each 10 below
-    the lowest piece."""
+    A unigram model has scores of its own. A merge-based model orders its pieces without probabilities; ``score`` then is Zipf's
+    law over that order, ``-ln(2 + place)``. Scores are whole millionths, so that equal paths are equal in any order of
+    adding. A character outside the vocabulary (a literal space sign too) is spelled in bytes, each 10 below
+    the lowest piece. Models without byte pieces, and those that change the text before they cut it, raise ``ValueError``."""
 
     def __init__(self, model: bytes, backward: bool = False):
+        kind, _, normaliser = settings(model)
+        _checked(normaliser)
         pieces = []
         for field, value in _fields(model):
             if field == 1:
                 entry = dict(_fields(value))
-                pieces.append((entry[1].decode().replace(SPACE, " "), entry.get(3, NORMAL)))
+                stored = struct.unpack("<f", entry[2])[0] if 2 in entry else 0.0
+                pieces.append((entry[1].decode().replace(SPACE, " "), entry.get(3, NORMAL), stored))
         normal = [i for i, p in enumerate(pieces) if p[1] == NORMAL]
+        if sum(p[1] == BYTE for p in pieces) != 256:
+            raise ValueError("the model has no pieces for single bytes")
         self.text = [p[0] for p in pieces]
-        self.score = {i: -round(1e6 * math.log(2 + place)) for place, i in enumerate(normal)}
+        if kind == UNIGRAM:
+            self.score = {i: round(1e6 * pieces[i][2]) for i in normal}
+        else:
+            self.score = {i: -round(1e6 * math.log(2 + place)) for place, i in enumerate(normal)}
         self.bytes = {int(p[0][3:5], 16): i for i, p in enumerate(pieces) if p[1] == BYTE}
         self.value = {i: b for b, i in self.bytes.items()}
         self.byte_score = min(self.score.values()) - 10_000_000
