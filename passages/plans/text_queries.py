@@ -250,8 +250,8 @@ def clean_text(spark, d):
            CASE WHEN sa >= 3600 THEN format('{}:{:02d}:{:02d}', sa // 3600, sa % 3600 // 60, sa % 60) ELSE format('{:02d}:{:02d}', sa // 60, sa % 60) END
            || ' – ' ||
            CASE WHEN sb >= 3600 THEN format('{}:{:02d}:{:02d}', sb // 3600, sb % 3600 // 60, sb % 60) ELSE format('{:02d}:{:02d}', sb // 60, sb % 60) END
-           || ' (approximate)'
-         ELSE '~' || round_even(a * 100, 0)::INT || '%–' || round_even(b * 100, 0)::INT || '% of the lecture (approximate)' END AS label,
+           || ', estimated'
+         ELSE '~' || round_even(a * 100, 0)::INT || '%–' || round_even(b * 100, 0)::INT || '% of the recording, estimated' END AS label,
          'https://example.org/watch?v=' || event_id || CASE WHEN coalesce(dur, 0) > 0 THEN '&t=' || floor(a * dur)::BIGINT || 's' ELSE '' END AS link
        FROM s""",
 )
@@ -264,7 +264,7 @@ def position_labels(spark, d):
     )
     link = T.deep_link(F.lit("https://example.org/watch?v="), F.col("event_id").cast("string"), F.col("a"), F.col("dur"))
     return e.select(
-        "event_id", T.position_label(F.col("a"), F.col("b"), F.col("dur")).alias("label"), link.alias("link")
+        "event_id", T.position_label(F.col("a"), F.col("b"), F.col("dur"), whole=" of the recording", note=", estimated").alias("label"), link.alias("link")
     )
 
 

@@ -50,14 +50,14 @@ def test_label_number(spark):
 def test_time_formats(spark):
     row = spark.range(1).select(
         T.mmss(F.lit(65.4)).alias("a"), T.mmss(F.lit(3700.0)).alias("b"),
-        T.position_label(F.lit(0.1), F.lit(0.5), F.lit(600.0)).alias("c"),
-        T.position_label(F.lit(0.1), F.lit(0.5), F.lit(None).cast("double")).alias("d"),
+        T.position_label(F.lit(0.1), F.lit(0.5), F.lit(600.0), note=", guessed").alias("c"),
+        T.position_label(F.lit(0.1), F.lit(0.5), F.lit(None).cast("double"), "at ", " of it").alias("d"),
         T.deep_link(F.lit("u/"), F.lit("x"), F.lit(0.5), F.lit(100.0)).alias("e"),
         T.deep_link(F.lit("u/"), F.lit("x"), F.lit(0.5), F.lit(None).cast("double")).alias("f"),
         T.deep_link(F.lit("u/"), F.lit(""), F.lit(0.5), F.lit(9.0)).alias("g"),
     ).first()
     assert tuple(row) == (
-        "01:05", "1:01:40", "~01:00 – 05:00 (approximate)", "~10%–50% of the lecture (approximate)", "u/x&t=50s", "u/x", "",
+        "01:05", "1:01:40", "~01:00 – 05:00, guessed", "at 10%–50% of it", "u/x&t=50s", "u/x", "",
     )
 
 
