@@ -9,18 +9,23 @@ last step only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.operators.scan import block_of, one_block
+from passages.session import checkpoint_dir
 
 BLOCK_ROWS = 20_000
+BATCH_ROWS = 20_000
+SIDE_BY_SIDE = 1_000
+LOWEST = -600.0
 NEG = -np.inf
 
 
@@ -93,7 +98,86 @@ def _transfer(emit, step, best):
     return m
 
 
-def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows):
+def _stepped(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """For sequences that lie behind each other: their order, longest first, the row each of these begins at, and how many have
+    a row t."""
+    order = np.argsort(-sizes, kind="stable")
+    begins = (np.cumsum(sizes) - sizes)[order]
+    return order, begins, np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left").tolist()
+
+
+def _folded(x: np.ndarray, step: np.ndarray, weight: np.ndarray, lowest: float) -> np.ndarray:
+    """Logsumexp of x[:, a] + step[a, b] over a, as a matrix product; ``weight`` is exp(step). Rows that reach too far down for
+    that are added up by their logs."""
+    m = x.max(1, keepdims=True)
+    m = np.where(np.isfinite(m), m, 0.0)
+    low = np.where(np.isfinite(x), x - m, 0.0).min(1) < lowest
+    with np.errstate(divide="ignore"):
+        out = np.log(np.exp(x - m) @ weight) + m
+    if low.any():
+        out[low] = _logsum(x[low][:, :, None] + step, 1)
+    return out
+
+
+def _smoothed(sizes, e, step, start, entry=None, behind=None) -> np.ndarray:
+    """Posteriors of sequences that lie behind each other, all of them a step at a time."""
+    _, begins, n = _stepped(sizes)
+    weight = np.exp(step)
+    finite = step[np.isfinite(step)]
+    lowest = LOWEST - (min(0.0, finite.min()) if len(finite) else 0.0)
+    la, lb = np.empty_like(e), np.empty_like(e)
+    before = start if entry is None else _logsum(entry[:, None] + step, 0)
+    la[begins] = row = before + e[begins]
+    for t in range(1, len(n)):
+        at = begins[: n[t]] + t
+        la[at] = row = _folded(row[: n[t]], step, weight, lowest) + e[at]
+    lb[np.cumsum(sizes) - 1] = 0.0 if behind is None else behind
+    for t in range(len(n) - 2, -1, -1):
+        at = begins[: n[t + 1]] + t
+        lb[at] = _folded(e[at + 1] + lb[at + 1], step.T, weight.T, lowest)
+    g = la + lb
+    return np.exp(g - _logsum(g, 1)[:, None])
+
+
+def _best_path(sizes, e, log_a, gamma, delta, anchors, n_labels, start, entry=None, last=None) -> np.ndarray:
+    """Best states of sequences that lie behind each other, all of them a step at a time; gamma and delta by sequence."""
+    order, begins, n = _stepped(sizes)
+    scales, kind = np.unique(gamma[order], return_inverse=True)
+    bases = np.stack([_steps(log_a, g, 0.0, None, n_labels)(0) for g in scales])
+    forward = silent = None
+    if delta.any():
+        a, b = np.indices(log_a.shape)
+        forward = ((b - a == 1) | (b - a == 2)) & (a < n_labels) & (b < n_labels)
+        forward = delta[order][:, None, None] * forward
+        silent = np.ones(e.shape)
+        for row, hit in enumerate(anchors):
+            silent[row, [v for v in hit if v < n_labels]] = 0
+
+    def step(k, at):
+        base = bases if len(bases) == 1 else bases[kind[:k]]
+        return base if forward is None else base - forward[:k] * silent[at][:, None, :]
+
+    back = np.zeros(e.shape, dtype=np.int32)
+    scores = np.empty_like(e)
+    if entry is None:
+        scores[begins] = score = start + e[begins]
+    else:
+        scores[begins] = score = (entry[None, :, None] + step(1, begins)).max(1) + e[begins]
+    for t in range(1, len(n)):
+        at = begins[: n[t]] + t
+        cand = score[: n[t], :, None] + step(n[t], at)
+        back[at] = cand.argmax(1)
+        scores[at] = score = cand.max(1) + e[at]
+    ends = np.cumsum(sizes) - 1
+    states = np.empty(len(e), dtype=np.int64)
+    states[ends] = scores[ends].argmax(1) if last is None else last
+    for t in range(len(n) - 1, 0, -1):
+        at = begins[: n[t]] + t
+        states[at - 1] = back[at, states[at]]
+    return states
+
+
+def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows, keep=(), dealt=False):
     """Rows ready to group by block, and per block of a long sequence its entry scores and
     what lies behind it."""
     keys = list(keys)
@@ -103,8 +187,11 @@ def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows):
     rows = items.select(
         *keys, "pos", block_of("pos", block_rows).alias("__block"), F.col(emit).alias("__emit"),
         number(gamma).alias("__gamma"), number(delta).alias("__delta"),
-        (F.col(anchors) if anchors else F.array().cast("array<int>")).alias("__anchors"),
+        (F.col(anchors) if anchors else F.array().cast("array<int>")).alias("__anchors"), *keep,
     )
+    if one_block(items, "pos", block_rows):
+        return rows if dealt else _dealt(rows, keys), None, None
+    rows = rows.drop(*keep)
 
     def prepare(pdf):
         pdf = pdf.sort_values("pos")
@@ -158,8 +245,6 @@ def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows):
     # has shuffle partitions, where coalescing by bytes would leave a few
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(tasks, *keys, "__block")
-    if one_block(items, "pos", block_rows):
-        return rows, None, prepare
     long_ones = rows.filter("__block > 0").select(*keys).distinct()
     mats = rows.join(long_ones, keys, "left_semi").groupBy(*keys, "__block").applyInPandas(
         transfer, T.StructType([*key_fields, block_field, T.StructField("__m", doubles)])
@@ -173,80 +258,134 @@ def _blocks(items, model, keys, emit, gamma, delta, anchors, best, block_rows):
     return rows, edges, prepare
 
 
-def _finish(rows, edges, keys, fields, fn):
-    schema = T.StructType([*fields])
+def _dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "pos")
+
+
+def dealt(items: DataFrame, keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """``items`` with whole sequences in a task, in order, written to the checkpoint folder: for work that reads them in many rounds."""
+    checkpoint_dir(items.sparkSession)
+    return _dealt(items, keys).checkpoint()
+
+
+def _begins(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """The rows a sequence begins at; nulls are a value like others."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        codes = table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_sequences(keys: Sequence[str], out: Sequence[str], name: str, kind: pa.DataType, solve: Callable) -> Callable:
+    """A task's rows in batches of whole sequences of about ``BATCH_ROWS``; ``solve(rows, sizes)`` has a batch's new column."""
+
+    def solved(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.append(begins, table.num_rows)
+        for i in range(0, len(begins), SIDE_BY_SIDE):
+            part = edges[i : i + SIDE_BY_SIDE + 1]
+            rows = table.slice(part[0], part[-1] - part[0])
+            yield from rows.select(out).append_column(name, solve(rows, np.diff(part)).cast(kind)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BATCH_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            begins = _begins(table, keys)
+            if len(begins) > 1:  # the last sequence may go on
+                yield from solved(table.slice(0, begins[-1]), begins[:-1])
+                held = table.slice(begins[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from solved(table, _begins(table, keys))
+
+    return run
+
+
+def _emitted(rows: pa.Table, model: Model) -> np.ndarray:
+    column = rows["__emit"].combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)[:, model.columns]
+
+
+def _finish(items, rows, edges, keys, keep, name, kind, solve, fn):
+    """(keys, pos, keep, name): short sequences many at a time, blocks of long ones with their edges one by one."""
+    out = [*keys, "pos", *keep]
+    added = T.StructField(name, kind)
     if edges is None:
-        return rows.groupBy(*keys, "__block").applyInPandas(lambda pdf: fn(pdf, pdf.iloc[:0]), schema)
-    return (
-        rows.groupBy(*keys, "__block").cogroup(edges.groupBy(*keys, "__block")).applyInPandas(fn, schema)
-    )
+        arrow = pa.int32() if isinstance(kind, T.IntegerType) else pa.list_(pa.float64())
+        run = _whole_sequences(keys, out, name, arrow, solve)
+        return rows.mapInArrow(run, T.StructType([*[items.schema[c] for c in out], added]))
+    schema = T.StructType([*[items.schema[c] for c in [*keys, "pos"]], added])
+    found = rows.groupBy(*keys, "__block").cogroup(edges.groupBy(*keys, "__block")).applyInPandas(fn, schema)
+    if not keep:
+        return found
+    return items.select(*out).join(found, [*keys, "pos"]).select(*out, name)
 
 
 def viterbi(
     items: DataFrame, model: Model, gamma: float | str = 1.0, delta: float | str = 0.0, emit: str = "emit",
-    anchors: str | None = None, keys: Sequence[str] = ("seq",), block_rows: int = BLOCK_ROWS,
+    anchors: str | None = None, keys: Sequence[str] = ("seq",), block_rows: int = BLOCK_ROWS, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, pos, state): the best state path; ties go to the lowest state. ``gamma``
+    """(keys, pos, keep, state): the best state path; ties go to the lowest state. ``gamma``
     scales the log transitions and ``delta`` penalises unanchored forward steps; both may
-    name a column that is constant per sequence."""
+    name a column that is constant per sequence. ``keep`` names columns that come along."""
     keys = list(keys)
-    rows, edges, prepare = _blocks(items, model, keys, emit, gamma, delta, anchors, True, block_rows)
+    rows, edges, prepare = _blocks(items, model, keys, emit, gamma, delta, anchors, True, block_rows, keep)
+    n_labels = int(model.columns.max())
+
+    def solve(rows: pa.Table, sizes: np.ndarray) -> pa.Array:
+        first = np.cumsum(sizes) - sizes
+        scale, cost = (rows[c].to_numpy()[first] for c in ("__gamma", "__delta"))
+        hits = rows["__anchors"].to_pylist() if cost.any() else None
+        path = _best_path(sizes, _emitted(rows, model), model.log_a, scale, cost, hits, n_labels, model.start)
+        return pa.array(model.out[path].astype(np.int32))
 
     def decode(pdf: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        pdf, e, step = prepare(pdf)
+        pdf, e, _ = prepare(pdf)
         entry = np.asarray(edge["__entry"].iloc[0]) if len(edge) else np.zeros(0)
-        back = np.zeros((len(e), len(model.log_a)), dtype=np.int32)
-        if len(entry):
-            cand = entry[:, None] + step(0)
-            score = cand.max(0) + e[0]
-        else:
-            score = model.start + e[0]
-        for t in range(1, len(e)):
-            cand = score[:, None] + step(t)
-            back[t] = cand.argmax(0)
-            score = cand.max(0) + e[t]
-        state = int(edge["__behind"].iloc[0][0]) if len(edge) else int(score.argmax())
-        path = [state]
-        for t in range(len(e) - 1, 0, -1):
-            path.append(int(back[t, path[-1]]))
+        path = _best_path(
+            np.array([len(e)]), e, model.log_a, pdf["__gamma"].to_numpy()[:1], pdf["__delta"].to_numpy()[:1], [list(a) for a in pdf["__anchors"]],
+            n_labels, model.start, entry if len(entry) else None, int(edge["__behind"].iloc[0][0]) if len(edge) else None,
+        )
         out = pdf[keys + ["pos"]].copy()
-        out["state"] = model.out[np.array(path[::-1])].astype(np.int32)
+        out["state"] = model.out[path].astype(np.int32)
         return out
 
-    fields = [items.schema[k] for k in keys] + [items.schema["pos"], T.StructField("state", T.IntegerType())]
-    return _finish(rows, edges, keys, fields, decode)
+    return _finish(items, rows, edges, keys, list(keep), "state", T.IntegerType(), solve, decode)
 
 
 def forward_backward(
-    items: DataFrame, model: Model, emit: str = "emit", keys: Sequence[str] = ("seq",), block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """(keys, pos, posterior): state probabilities of every item, uniform start."""
+    items: DataFrame, model: Model, emit: str = "emit", keys: Sequence[str] = ("seq",), block_rows: int = BLOCK_ROWS,
+    keep: Sequence[str] = (), dealt: bool = False,
+) -> DataFrame:
+    """(keys, pos, keep, posterior): state probabilities of every item, uniform start. ``keep`` names columns that come
+    along; ``dealt`` says that the rows lie as ``dealt`` leaves them."""
     keys = list(keys)
     n = len(model.log_a)
     uniform = Model(model.log_a, model.start - np.log(n), model.columns, model.out)
-    rows, edges, prepare = _blocks(items, uniform, keys, emit, 1.0, 0.0, None, False, block_rows)
+    rows, edges, prepare = _blocks(items, uniform, keys, emit, 1.0, 0.0, None, False, block_rows, keep, dealt)
+
+    def solve(rows: pa.Table, sizes: np.ndarray) -> pa.Array:
+        g = _smoothed(sizes, _emitted(rows, uniform), uniform.log_a, uniform.start)
+        return pa.ListArray.from_arrays(np.arange(0, g.size + 1, n, dtype=np.int32), g.ravel())
 
     def smooth(pdf: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        pdf, e, step = prepare(pdf)
+        pdf, e, _ = prepare(pdf)
         entry = np.asarray(edge["__entry"].iloc[0]) if len(edge) else np.zeros(0)
-        la, lb = np.empty_like(e), np.empty_like(e)
-        la[0] = (_logsum(entry[:, None] + step(0), 0) if len(entry) else uniform.start) + e[0]
-        for t in range(1, len(e)):
-            la[t] = _logsum(la[t - 1][:, None] + step(t), 0) + e[t]
-        lb[-1] = np.asarray(edge["__behind"].iloc[0]) if len(edge) else 0.0
-        for t in range(len(e) - 2, -1, -1):
-            lb[t] = _logsum(step(t + 1) + (e[t + 1] + lb[t + 1])[None, :], 1)
-        g = la + lb
-        g = np.exp(g - _logsum(g, 1)[:, None])
+        behind = np.asarray(edge["__behind"].iloc[0]) if len(edge) else None
+        g = _smoothed(np.array([len(e)]), e, uniform.log_a, uniform.start, entry if len(entry) else None, behind)
         out = pdf[keys + ["pos"]].copy()
         out["posterior"] = list(g)
         return out
 
-    fields = [items.schema[k] for k in keys] + [
-        items.schema["pos"],
-        T.StructField("posterior", T.ArrayType(T.DoubleType())),
-    ]
-    return _finish(rows, edges, keys, fields, smooth)
+    return _finish(items, rows, edges, keys, list(keep), "posterior", T.ArrayType(T.DoubleType()), solve, smooth)
 
 
 def decode(

@@ -340,8 +340,8 @@ def annotator_reliability(
     """How an annotator errs, without gold: shares of correct / next to it / other / none on
     labelled items, and of none / some on the others, by expectation maximisation.
 
-    Every round is a fresh plan with six numbers of the round before in it, so no lineage
-    builds up."""
+    The items are dealt to the tasks once. Every round is a fresh plan with six numbers of the
+    round before in it, so no lineage builds up."""
     off = n_labels
     model = D.Model.plain(log_a)
     state = F.coalesce(F.array_min(labels), F.lit(off))
@@ -366,20 +366,21 @@ def annotator_reliability(
 
     onehot = F.transform(F.sequence(F.lit(0), F.lit(off)), lambda s: (s == state).cast("double"))
     p_on, p_off = table(items.select(labels, onehot.alias("posterior")))
+    known = items.dropna(subset=[*keys, "pos"])
+    rows = D.dealt(known.select(*keys, "pos", labels, F.transform(F.sequence(F.lit(0), F.lit(off - 1)), buckets).alias("__buckets")), keys)
     for done in range(2, rounds + 1):
-        share = F.array(*map(F.lit, p_on))
 
-        def loglik(s: Column, share: Column = share) -> Column:
-            sides = (s > 0).cast("int") + (s < off - 1).cast("int")
-            b = buckets(s)
-            size = F.when(b == 1, sides).when(b == 2, off - 1 - sides).otherwise(F.lit(1))
-            return F.ln(F.get(share, b) / size)
+        def loglik(s: int, share: Sequence[float] = p_on) -> Column:
+            sides = (s > 0) + (s < off - 1)
+            size = [1, sides, off - 1 - sides, 1]
+            return F.get(F.array(*[F.lit(float(np.log(p / n))) if n else F.lit(None).cast("double") for p, n in zip(share, size)]), F.get("__buckets", F.lit(s)))
 
-        per_label = F.transform(F.sequence(F.lit(0), F.lit(off - 1)), lambda s: loglik(s))
         of_off = F.when(F.size(labels) == 0, float(np.log(p_off[0]))).otherwise(float(np.log(p_off[1] / n_labels)))
-        rows = items.withColumn("__emit", F.concat(per_label, F.array(of_off)))
-        post = D.forward_backward(rows, model, "__emit", keys)
-        q = items.join(post, [*keys, "pos"]).select(labels, "posterior")
+        scored = rows.withColumn("__emit", F.array(*map(loglik, range(off)), of_off))
+        post = D.forward_backward(scored, model, "__emit", keys, keep=[labels], dealt=True)
+        # what an item adds depends on its labels alone
+        sums = post.groupBy(labels).agg(F.array(*[F.sum(F.get("posterior", F.lit(s))) for s in range(off + 1)]).alias("posterior"))
+        q = sums.select(labels, "posterior")
         new_on, new_off = table(q)
         moved = max(abs(a - b) for a, b in zip([*p_on, *p_off], [*new_on, *new_off], strict=True))
         p_on, p_off = new_on, new_off

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from passages.operators import decode as D
+from passages.operators.scan import ordinal
 
 N = 4
 
@@ -101,3 +102,46 @@ def test_long_sequences_agree_with_short_blocks(spark):
     _, df = items(spark, [300, 40, 1], 10)
     whole = paths(D.viterbi(df, D.Model.plain(a)))
     assert paths(D.viterbi(df, D.Model.plain(a), block_rows=17)) == whole
+
+
+def short_items(spark, seed):
+    """Sequences known to be short, with a null and a text key and columns that come along."""
+    rnd = np.random.default_rng(seed)
+    rows = [
+        (s, lang, p, [float(x) for x in np.log(rnd.random(N + 1) + 0.01)], [int(rnd.integers(N))] if rnd.random() < 0.3 else [], float(g), f"{s}-{p}")
+        for s, lang, n, g in [(1, "a", 3, 0.5), (1, None, 5, 1.0), (2, "a", 1, 0.0), (None, "b", 4, 0.5), (2, "b", 6, 1.0)]
+        for p in range(n)
+    ]
+    df = spark.createDataFrame(rows, "seq long, lang string, p long, emit array<double>, anchors array<int>, g double, note string")
+    return rows, ordinal(df, ["seq", "lang"], ["p"])
+
+
+@pytest.mark.parametrize(("batch", "side"), [(4, 1), (7, 2), (20_000, 1_000)])
+def test_short_sequences_are_decoded_side_by_side(spark, monkeypatch, batch, side):
+    monkeypatch.setattr(D, "BATCH_ROWS", batch)
+    monkeypatch.setattr(D, "SIDE_BY_SIDE", side)
+    a = model(5)
+    rows, df = short_items(spark, 6)
+    got = D.viterbi(df, D.Model.plain(a), "g", 0.4, anchors="anchors", keys=["seq", "lang"], keep=["note"]).collect()
+    assert sorted(r["note"] for r in got) == sorted(r[-1] for r in rows)
+    smooth = D.forward_backward(df, D.Model.plain(a), keys=["seq", "lang"], keep=["note"]).collect()
+    for key in {(r[0], r[1]) for r in rows}:
+        own = [r for r in rows if (r[0], r[1]) == key]
+        emit = [np.array(r[3]) for r in own]
+        steps = [D._steps(a, r[5], 0.4, [r[4]], N)(0) for r in own]
+        found = [r["state"] for r in sorted(got, key=lambda r: r["pos"]) if (r["seq"], r["lang"]) == key]
+        assert found == best_path(emit, steps, np.zeros(N + 1))
+        weights = {}
+        for p in itertools.product(range(N + 1), repeat=len(own)):
+            weights[p] = np.exp(emit[0][p[0]] + sum(a[p[t - 1], p[t]] + emit[t][p[t]] for t in range(1, len(own))))
+        total = sum(weights.values())
+        for r in smooth:
+            if (r["seq"], r["lang"]) == key:
+                want = [sum(w for p, w in weights.items() if p[r["pos"]] == s) / total for s in range(N + 1)]
+                assert r["posterior"] == pytest.approx(want)
+
+
+def test_scores_far_apart_are_added_by_their_logs():
+    x, step = np.array([[0.0, -900.0], [-1.0, -2.0]]), np.array([[-np.inf, 0.0], [0.0, -np.inf]])
+    got = D._folded(x, step, np.exp(step), D.LOWEST)
+    assert got == pytest.approx(np.array([[-900.0, 0.0], [-2.0, -1.0]]))

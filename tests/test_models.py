@@ -12,6 +12,7 @@ from passages.operators import evaluate as E
 from passages.operators import learn as L
 from passages.operators import retrieve as R
 from passages.operators import sequence as S
+from passages.operators.scan import ordinal
 from passages.sources import tables
 from passages.streaming import streams as K
 
@@ -119,3 +120,18 @@ def test_ingest_skips_what_it_has_seen(spark):
 def test_scores_of_a_scorer_are_probabilities(rows):
     model = L.platt(rows.withColumn("logit", F.ln(F.col("p") / (1 - F.col("p")))))
     assert len(model.weight) == 1 and np.isfinite(model.weight[0])
+
+
+def test_rounds_on_an_annotator_do_not_shuffle_the_items_again(spark, monkeypatch):
+    df = sequences(spark).withColumn("labels", F.col("gold")).select("seq", "pos", "labels")
+    seen = []
+    plain = D.forward_backward
+
+    def watched(rows, *args, **options):
+        out = plain(rows, *args, **options)
+        seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(D, "forward_backward", watched)
+    L.annotator_reliability(ordinal(df.withColumnRenamed("pos", "p"), ["seq"], ["p"]).drop("p"), model_of(sequences(spark)).log_a, 3, rounds=3)
+    assert seen and not any("Exchange" in p or "Join" in p for p in seen)
