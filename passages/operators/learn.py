@@ -270,8 +270,8 @@ def grid_choose(
     raw = S.emissions(probs, p_off)
     rows = rows.withColumn("__emit", F.transform(raw, lambda e, i: F.when(i == off, e + F.col("beta")).otherwise(e)))
     by = ["setting", *keys]
-    path = D.viterbi(rows, model, "gamma", 0.0, "__emit", None, by)
-    decoded = rows.join(path, [*by, "pos"])
+    known = rows.dropna(subset=[*keys, "pos"])
+    decoded = D.viterbi(known, model, "gamma", 0.0, "__emit", None, by, keep=["gamma", "beta", probs, gold, language])
     tried = decoded.select(
         "*", F.inline(F.array(*[F.struct(F.lit(j).alias("t"), F.lit(float(t)).alias("tau")) for j, t in enumerate(taus)]))
     )

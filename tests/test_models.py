@@ -135,3 +135,12 @@ def test_rounds_on_an_annotator_do_not_shuffle_the_items_again(spark, monkeypatc
     monkeypatch.setattr(D, "forward_backward", watched)
     L.annotator_reliability(ordinal(df.withColumnRenamed("pos", "p"), ["seq"], ["p"]).drop("p"), model_of(sequences(spark)).log_a, 3, rounds=3)
     assert seen and not any("Exchange" in p or "Join" in p for p in seen)
+
+
+def test_grid_takes_the_items_along_instead_of_joining_them(spark, monkeypatch):
+    df = ordinal(sequences(spark).withColumnRenamed("pos", "p"), ["seq"], ["p"])
+    plans = []
+    plain = E.prf
+    monkeypatch.setattr(E, "prf", lambda rows, *a, **k: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), plain(rows, *a, **k))[1])
+    table, _ = L.grid_choose(df, model_of(sequences(spark)), 3, [0.5, 1.0], [-1.0], [0.5])
+    assert table.count() == 2 and len(plans) == 1 and "Join" not in plans[0]
