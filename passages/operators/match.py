@@ -18,6 +18,8 @@ from passages.operators.intervals import interval_join
 MAX_ENTRY_CHARS = 20_000_000
 PACK_BITS = 16_384
 SLICE_CHARS = 1_000_000
+USUAL_CHARS = 10_000
+PAIRS_AT_ONCE = 10_000
 
 
 # ---- shared word n-grams -------------------------------------------------------------
@@ -195,17 +197,30 @@ class Scorer:
                         best[i] = max(best[i], 2 * side.common(state, i, min(n, before + step)) / (n + before + 1))
         return best
 
-    def __call__(self, text: str | None) -> list[tuple[int, float]]:
-        out = []
-        if text:
-            for rows, pack, back in self.packs:
-                for (label, entry), bound in zip(rows, self.bounds(pack, back, text), strict=True):
-                    if bound >= self.threshold:
-                        score = partial_ratio(entry, text, self.threshold)
-                        if score >= self.threshold:
-                            out.append((label, score))
+    def likely(self, text: str | None) -> list[tuple[int, str]]:
+        """(label, entry) of the entries whose bound allows the threshold."""
+        if not text:
+            return []
+        return [row for rows, pack, back in self.packs for row, bound in zip(rows, self.bounds(pack, back, text), strict=True) if bound >= self.threshold]
+
+    def scored(self, texts: Sequence[str | None]) -> list[list[tuple[int, float]]]:
+        """Of each text the labels and scores: the pairs of all the texts that the bounds allow go through ``ratios_of_pairs`` together."""
+        pairs = [(k, label, entry) for k, t in enumerate(texts) for label, entry in self.likely(t)]
+        out: list[list[tuple[int, float]]] = [[] for _ in texts]
+        long = [len(entry) + len(texts[k]) > USUAL_CHARS for k, _, entry in pairs]
+        rare, usual = [p for p, x in zip(pairs, long) if x], [p for p, x in zip(pairs, long) if not x]
+        scores = [partial_ratio(entry, texts[k], self.threshold) for k, _, entry in rare]
+        for a in range(0, len(usual), PAIRS_AT_ONCE):
+            some = usual[a : a + PAIRS_AT_ONCE]
+            scores += ratios_of_pairs([entry for _, _, entry in some], [texts[k] for k, _, _ in some]).tolist()
+        for (k, label, _), score in zip([*rare, *usual], scores, strict=True):
+            if score >= self.threshold:
+                out[k].append((label, score))
         return out
 
+    def __call__(self, text: str | None) -> list[tuple[int, float]]:
+        return self.scored([text])[0]
+
 
 def fuzzy_candidates(
     items: DataFrame, catalogue: DataFrame, key: str, threshold: float, by: str | None = None,
@@ -229,16 +244,15 @@ def fuzzy_candidates(
         for i in range(len(spellings))
     }
 
-    def best(value: str | None, texts: Sequence[str | None]) -> list[tuple[int, float]]:
-        found: dict[int, float] = {}
-        for i, text in enumerate(texts):
-            for label, score in scorers[value, i](text) if (value, i) in scorers else ():
-                found[label] = max(score, found.get(label, 0.0))
-        return sorted(found.items())
-
     @batch_udf("array<struct<label:int,score:double>>")
     def score(value: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([best(v, t) for v, t in zip(value, texts, strict=True)])
+        found: list[dict[int, float]] = [{} for _ in texts]
+        for (own_value, i), scorer in scorers.items():
+            at = [k for k, v in enumerate(value) if v == own_value or (v is None and own_value is None)]
+            for k, scores in zip(at, scorer.scored([texts.iat[k][i] for k in at]), strict=True):
+                for label, x in scores:
+                    found[k][label] = max(x, found[k].get(label, 0.0))
+        return pd.Series([sorted(f.items()) for f in found])
 
     rows = items.select(key, own, F.array(*keyed).alias("__texts"))
     return rows.select(key, F.inline(score("__by", "__texts")))

@@ -268,3 +268,19 @@ def test_matrix_takes_the_column_of_the_language(spark):
     items = spark.createDataFrame([(0, "the alpha beta", "en"), (1, "om ega", "fr"), (2, "alpha", None), (3, None, "en")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["string"] for r in M.fuzzy_matrix(items, catalogue, by="lang", names=["en", "fr"], spelling=lambda s: F.regexp_replace(s, " ", "")).collect()}
     assert got[0] == [1.0, 0.0] and got[1][1] == 1.0 and got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("usual", [10_000, 0])
+def test_pairs_of_a_batch_are_scored_together(monkeypatch, usual):
+    monkeypatch.setattr(M, "USUAL_CHARS", usual)
+    calls = []
+    plain = M.ratios_of_pairs
+    monkeypatch.setattr(M, "ratios_of_pairs", lambda a, b: (calls.append(len(a)), plain(a, b))[1])
+    rnd = random.Random(8)
+    entries = [(i, "".join(rnd.choices("abcd", k=30))) for i in range(6)]
+    texts = ["".join(rnd.choices("abcd", k=n)) for n in (12, 30, 75)] + [entries[2][1], "", None, "zz" + entries[4][1]]
+    got = M.Scorer(entries, 0.6).scored(texts)
+    for text, found in zip(texts, got, strict=True):
+        every = {label: M.partial_ratio(entry, text) for label, entry in entries} if text else {}
+        assert dict(found) == pytest.approx({label: v for label, v in every.items() if v >= 0.6})
+    assert len(calls) == (1 if usual else 0)
