@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from passages.functions import text as T
+from passages.functions.batch import batch_udf
 from passages.functions.likeness import ratios, ratios_of_pairs
 from passages.operators import chunk as C
 from passages.operators import match as M
@@ -284,3 +286,12 @@ def test_pairs_of_a_batch_are_scored_together(monkeypatch, usual):
         every = {label: M.partial_ratio(entry, text) for label, entry in entries} if text else {}
         assert dict(found) == pytest.approx({label: v for label, v in every.items() if v >= 0.6})
     assert len(calls) == (1 if usual else 0)
+
+
+def test_functions_with_large_results_get_few_rows_at_a_time(spark):
+    seen = batch_udf("int", rows=3)(lambda s: s.map(lambda _: len(s)))
+    both = batch_udf("array<int>", rows=4)(lambda a, b: pd.Series([[x, y, len(a)] for x, y in zip(a, b, strict=True)]))
+    got = spark.range(10, numPartitions=1).select("id", seen("id").alias("n"), both("id", F.col("id") * 2).alias("b")).collect()
+    assert [r["id"] for r in got] == list(range(10)) and [r["n"] for r in got] == [3] * 9 + [1]
+    assert [r["b"] for r in got] == [[i, 2 * i, 4 if i < 8 else 2] for i in range(10)]
+    assert spark.range(0).select(seen("id")).collect() == []
