@@ -1,7 +1,7 @@
 """Many logistic fits in the same passes over the data.
 
 A fit is a set of groups, a penalty and a choice of columns. Every Newton step of all fits is one aggregation: a task adds up loss,
-gradient and curvature of each fit over its rows as matrix products, Spark adds the tasks' sums, and the driver
+gradient and curvature of each fit over its own groups' rows as matrix products, Spark adds the tasks' sums, and the driver
 solves the small systems. Jobs grow with the steps (about eight), not with folds times values times draws.
 """
 
@@ -57,7 +57,9 @@ class Fit:
 
 
 def _sums(members: np.ndarray, params: np.ndarray) -> Callable:
-    """Sums of (group, x, y, w) batches per fit: loss, gradient, upper half of the curvature, in one row of numbers each."""
+    """Sums of (group, x, y, w) batches per fit: loss, gradient, upper half of the curvature, in one row of numbers each.
+
+    The rows of a group meet only the fits it belongs to. A null anywhere leaves every fit without a loss."""
     d = params.shape[1]
     i, j = np.triu_indices(d)
 
@@ -67,15 +69,21 @@ def _sums(members: np.ndarray, params: np.ndarray) -> Callable:
             group = np.asarray(batch.column("group"))
             y, w = np.asarray(batch.column("y")), np.asarray(batch.column("w"))
             x = np.asarray(batch.column("x").flatten()).reshape(len(group), d - 1) if len(group) else np.zeros((0, d - 1))
-            for a in range(0, len(group), CHUNK):
-                part = slice(a, a + CHUNK)
-                rows = np.c_[np.ones(len(y[part])), x[part]]
-                own = members[:, group[part]].T * w[part, None]
-                z = rows @ params.T
-                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                total[:, 0] += (own * (np.logaddexp(0, z) - y[part, None] * z)).sum(0)
-                total[:, 1 : 1 + d] += (own * (p - y[part, None])).T @ rows
-                total[:, 1 + d :] += (own * p * (1 - p)).T @ (rows[:, i] * rows[:, j])
+            if not all(np.isfinite(v).all() for v in (x, y, w)):
+                total[:, 0] = np.nan
+                continue
+            order = np.argsort(group, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                fits = np.flatnonzero(members[:, group[own[0]]]) if len(own) else []
+                for a in range(0, len(own) if len(fits) else 0, CHUNK):
+                    part = own[a : a + CHUNK]
+                    rows, weight = np.c_[np.ones(len(part)), x[part]], w[part]
+                    z = rows @ params[fits].T
+                    small = np.exp(-np.abs(z))
+                    p = np.where(z >= 0, 1.0, small) / (1 + small)
+                    total[fits, 0] += weight @ (np.maximum(z, 0) + np.log1p(small) - y[part, None] * z)
+                    total[fits, 1 : 1 + d] += (weight[:, None] * (p - y[part, None])).T @ rows
+                    total[fits, 1 + d :] += (weight[:, None] * p * (1 - p)).T @ (rows[:, i] * rows[:, j])
         at = np.indices(total.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total.ravel())], ["fit", "at", "v"])
 
@@ -86,7 +94,8 @@ def fit_many(rows: DataFrame, columns: Sequence[str], group: str, fits: Sequence
     """One scorer per fit: columns standardised over the fit's rows (population deviation), penalty 1 / C on the weights.
 
     ``y`` may be a probability: a row then stands for a positive with weight y and a negative with weight 1 - y. Rows whose group
-    no fit has, a null one too, are left out."""
+    no fit has, a null one too, are left out. Equal fits are one fit."""
+    asked, fits = fits, list(dict.fromkeys(fits))
     columns, d = list(columns), len(columns) + 1
     names = sorted(set().union(*(f.groups for f in fits)))
     place = F.create_map(*[F.lit(v) for i, g in enumerate(names) for v in (g, i)])
@@ -156,7 +165,8 @@ def fit_many(rows: DataFrame, columns: Sequence[str], group: str, fits: Sequence
     for k, (m, s) in enumerate(own):
         keep = np.flatnonzero(used[k][1:])
         scorers.append(Scorer(tuple(columns[c] for c in keep), tuple(m[keep].tolist()), tuple(s[keep].tolist()), tuple(best[k][1 + keep].tolist()), float(best[k][0])))
-    return scorers
+    at = {f: k for k, f in enumerate(fits)}
+    return [scorers[at[f]] for f in asked]
 
 
 def probabilities(rows: DataFrame, key: str, scorers: Sequence[tuple], columns: Sequence[str], names: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passages.operators import fits
 from passages.operators import learn as L
 from passages.operators.fits import Fit, fit_many
 
@@ -78,3 +79,28 @@ def test_jobs_do_not_grow_with_the_fits(spark, rows):
 
     assert jobs(40) <= jobs(2) + 6
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_equal_fits_are_done_once_and_groups_meet_their_own_fits(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(i, i % 4, float(a), float(b), float(p)) for i, (a, b, p) in enumerate(rng.random((80, 3)))]
+    rows = spark.createDataFrame(data, "unit int, g int, u double, v double, p double")
+    seen, sums = [], fits._sums
+
+    def spy(members, params):
+        seen.append(len(params))
+        return sums(members, params)
+
+    monkeypatch.setattr(fits, "_sums", spy)
+    L.nested_out_of_fold(rows, ["u", "v"], "p", "g", [0.1, 1.0])[0].collect()
+    assert seen[0] == 2 * (6 + 4)  # per C: the pairs of folds left out, whichever is the outer one, and the folds
+    asked = [fits.Fit(frozenset({0, 1})), fits.Fit(frozenset({2, 3})), fits.Fit(frozenset({0, 1}))]
+    one, two, again = fits.fit_many(rows, ["u", "v"], "g", asked, "p")
+    alone = fits.fit_many(rows.filter("g > 1"), ["u", "v"], "g", [asked[1]], "p")[0]
+    assert one == again and np.allclose(two.weight, alone.weight, atol=1e-7)
+
+
+def test_a_null_leaves_no_fit_a_loss(spark):
+    rows = spark.createDataFrame([(0, 0.1, 0.2), (0, None, 0.9), (1, 0.5, 0.4), (1, 0.7, 0.6)], "g int, u double, p double")
+    found = fits.fit_many(rows, ["u"], "g", [fits.Fit(frozenset({0})), fits.Fit(frozenset({1}))], "p")
+    assert [s.weight for s in found] == [(0.0,), (0.0,)]
