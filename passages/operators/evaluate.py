@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from passages.functions.text import md5_draw
 from passages.operators.scan import BLOCK_ROWS, Running, neighbours, ordinal, running
+from passages.session import checkpoint_dir
 
 MIN_GROUPS_FOR_CI = 5
 
@@ -118,12 +119,19 @@ def replicates(per_group: DataFrame, order: str, counts: Sequence[str], n_boot:
     replacement. The draw of slot s in replicate r is a digest of 'r-s', so it can be
     repeated anywhere."""
     by = list(by)
-    placed = ordinal(per_group.select(*by, order, *counts), by, [order], "__idx")
-    sizes = per_group.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    spark = per_group.sparkSession
+    checkpoint_dir(spark)
+    placed = ordinal(per_group.select(*by, order, *counts), by, [order], "__idx").checkpoint()
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     slots = placed.select(*by, F.col("__idx").alias("__slot"))
     slots = slots.join(sizes, by) if by else with_row(slots, sizes)
+    # a slot is a few bytes but makes n_boot draws: by its size Spark would give them all to a task or two
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = slots.repartition(tasks, *by, "__slot")
     slots = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    drawn = slots.select(*by, "rep", md5_draw(F.concat_ws("-", "rep", "__slot"), F.col("__n")).alias("__idx"))
+    draw = md5_draw(F.concat_ws("-", "rep", "__slot"), F.col("__n"))
+    # never null, so that the join adds no filter that makes every digest twice
+    drawn = slots.select(*by, "rep", F.coalesce(draw, F.lit(-1)).alias("__idx"))
     return drawn.join(placed, [*by, "__idx"]).groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in counts])
 
 
@@ -205,6 +213,8 @@ def rate_bootstrap(per_group: DataFrame, order: str, n_boot: int = 1000) -> Data
 def recall_ci(per_group: DataFrame, order: str, n_boot: int = 1000, small: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Recall of (hits, n), for every value of ``by``, with an interval over groups (null under five of them); ``few`` marks a thin sample."""
     by = list(by)
+    checkpoint_dir(per_group.sparkSession)
+    per_group = per_group.checkpoint()  # the items are read once, whatever is drawn from their groups
     draws = replicates(per_group, order, ["hits", "n"], n_boot, by)
     ci = draws.groupBy(*by).agg(F.array_sort(F.collect_list(ratio(F.col("hits"), F.col("n")))).alias("__r"))
     point = per_group.groupBy(*by).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
