@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +14,7 @@ from passages.operators import annotations as A
 from passages.operators import chunk as C
 from passages.operators import match as M
 from passages.operators.sequence import spans_of_anchors
+from passages.sources.tables import spread
 
 
 def stream_carry(
@@ -58,12 +60,17 @@ def stream_carry(
     )
 
 
-def run_to_folder(stream: DataFrame, out: str, checkpoint: str, batch: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+def run_to_folder(
+    stream: DataFrame, out: str, checkpoint: str, batch: Callable[[DataFrame], DataFrame] = lambda df: df, done: Callable[[], None] = lambda: None
+) -> None:
     """Process what is there, one folder per micro-batch. A batch that is run again after a
-    failure overwrites its own folder, so nothing is written twice."""
+    failure overwrites its own folder, so nothing is written twice. ``done`` is called after each write."""
 
     def write(df: DataFrame, number: int) -> None:
-        batch(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        try:
+            batch(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            done()
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -94,10 +101,18 @@ def stream_ingest(
     """New transcripts (doc_id, text) to passages with their best catalogue label; files seen
     before are skipped by the stream's checkpoint."""
 
+    held: list[DataFrame] = []
+
     def passages(df: DataFrame) -> DataFrame:
-        cut = C.pack_sentences(df.select("doc_id", "text"), target=target)
+        cut = C.pack_sentences(spread(df.select("doc_id", "text"), "doc_id"), target=target)
         cut = cut.withColumn("passage", F.concat_ws("-", "doc_id", "pos"))
+        # used twice: the texts are read and cut once
+        held.append(cut.persist(StorageLevel.DISK_ONLY))
         label = M.best_anchor(M.ngram_match(cut, catalogue, "passage", n, threshold), "passage")
         return cut.join(label, "passage", "left")
 
-    run_to_folder(transcripts, out, checkpoint, passages)
+    def done() -> None:
+        while held:
+            held.pop().unpersist()
+
+    run_to_folder(transcripts, out, checkpoint, passages, done)

@@ -144,3 +144,30 @@ def test_grid_takes_the_items_along_instead_of_joining_them(spark, monkeypatch):
     monkeypatch.setattr(E, "prf", lambda rows, *a, **k: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), plain(rows, *a, **k))[1])
     table, _ = L.grid_choose(df, model_of(sequences(spark)), 3, [0.5, 1.0], [-1.0], [0.5])
     assert table.count() == 2 and len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_ingest_cuts_each_text_once(spark, tmp_path, monkeypatch):
+    from passages.functions.batch import batch_udf
+
+    made, cut = tmp_path / "made", K.C.pack_sentences
+
+    def counted(docs, **options):
+        @batch_udf("int")
+        def note(words):
+            with open(made, "a") as f:
+                f.write("x" * len(words))
+            return words
+
+        return cut(docs, **options).withColumn("n_words", note("n_words"))
+
+    monkeypatch.setattr(K.C, "pack_sentences", counted)
+    docs = spark.createDataFrame([(i, f"One two three four five six {i}. Seven eight nine ten eleven {i}.") for i in range(30)], "doc_id long, text string")
+    source, out, state = (str(tmp_path / n) for n in ("source", "out", "state"))
+    docs.coalesce(1).write.parquet(source)
+    catalogue = spark.createDataFrame([(7, "one two three four five six"), (8, "seven eight nine ten eleven 3")], "label int, text string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    K.stream_ingest(spark.readStream.schema(docs.schema).parquet(source), catalogue, out, state)
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 30 and sum(r["label"] == 7 for r in rows) == 30 - sum(r["label"] == 8 for r in rows)
+    assert made.stat().st_size == 30
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
