@@ -15,6 +15,7 @@ from passages.llm.words import lists, slices
 
 CACHE = 40_000
 SHORT = 64
+TOGETHER = 5_000
 
 
 class Stream:
@@ -116,6 +117,86 @@ def decode_ids(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     return b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
 
 
+class Table:
+    """The trie of the pieces as sorted edges, and the search of ``Stream`` over many short texts at once.
+
+    Every text is one window. Pieces are found for all places of all texts together, letter by letter; paths then grow by place
+    and length, so that of equal scores the longer last piece stays."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        nodes, edges = [vocabulary.forward], []
+        for at, node in enumerate(nodes):  # grows as it is read
+            for c, below in node.items():
+                if c is not None:
+                    edges.append((at << 21 | ord(c), len(nodes)))
+                    nodes.append(below)
+        self.edge, self.below = np.array(sorted(edges), np.int64).T.copy()
+        self.piece, self.worth = np.array([node.get(None, (-1, 0)) for node in nodes], np.int64).T.copy()
+
+    def matches(self, letters: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, length, piece, score) of all pieces in the texts; letters that are no piece are spelled in bytes, with piece -1."""
+        single = np.zeros(len(letters), bool)
+        found, length = [], 0
+        at, node = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+        while len(at):
+            key = node << 21 | letters[at + length]
+            edge = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            hit = self.edge[edge] == key
+            at, node, length = at[hit], self.below[edge[hit]], length + 1
+            some = np.flatnonzero(self.piece[node] >= 0)
+            found.append((at[some], np.full(len(some), length), self.piece[node[some]], self.worth[node[some]]))
+            if length == 1:
+                single[at[some]] = True
+            more = at + length < stop[at]
+            at, node = at[more], node[more]
+        rest = np.flatnonzero(~single)
+        found.append((rest, np.ones(len(rest), np.int64), np.full(len(rest), -1), self.v.byte_score * _n_bytes(letters[rest])))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def encode(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """The piece ids of each text; none may be empty."""
+        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(t) for t in texts], np.int64)
+        end, number = np.cumsum(size), np.arange(len(texts))
+        own = np.repeat(number, size)
+        place, length, piece, worth = self.matches(letters, end[own])
+        inside = place - (end - size)[own[place]]
+        order = np.argsort(inside << 21 | length, kind="stable")
+        place, length, piece, worth, inside = (a[order] for a in (place, length, piece, worth, inside))
+        # a text has a boundary more than letters
+        start = place + own[place]
+        best = np.full(len(letters) + len(texts), np.iinfo(np.int64).min)
+        back = np.zeros(len(best), np.int64)
+        best[end - size + number] = 0
+        step = np.flatnonzero(np.diff(inside << 21 | length)) + 1
+        for a, b in zip([0, *step], [*step, len(start)]):
+            to, score = start[a:b] + length[a], best[start[a:b]] + worth[a:b]
+            better = np.flatnonzero(score > best[to])
+            best[to[better]] = score[better]
+            back[to[better]] = a + better
+        passed = np.zeros(len(best), bool)
+        at = end + number
+        while len(at):
+            passed[at] = True
+            last = back[at]
+            at = start[last][inside[last] > 0]
+        last = back[passed]
+        ids, first = piece[last], place[last]
+        many = np.where(ids < 0, _n_bytes(letters[first]), 1)
+        flat = np.repeat(ids, many)
+        spelled = np.flatnonzero(ids < 0)
+        for k, to in zip(spelled, (np.cumsum(many) - many)[spelled]):
+            flat[to : to + many[k]] = self.v.spelled(chr(letters[first[k]]))
+        stops = np.cumsum(np.bincount(own[first], many, len(texts)).astype(np.int64)).tolist()
+        flat = flat.tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *stops], stops)]
+
+
+def _n_bytes(letters: np.ndarray) -> np.ndarray:
+    return 1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000).astype(np.int64)
+
+
 class Encoder:
     """Encodes stretches between sure boundaries, each distinct one once while it is remembered."""
 
@@ -123,6 +204,23 @@ class Encoder:
         self.v = Vocabulary(model)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.table = Table(self.v)
+
+    def rows(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of some texts, null ones as empty; short stretches that are not remembered are searched together."""
+        if len(self.known) >= CACHE:
+            self.known, self.older = {}, self.known
+        new = []
+        for s in dict.fromkeys(chain.from_iterable(self.v.stretches(t) for t in texts if t)):
+            if len(s) <= SHORT and s not in self.known:
+                if s in self.older:
+                    self.known[s] = self.older[s]
+                else:
+                    new.append(s)
+        for a in range(0, len(new), TOGETHER):
+            some = new[a : a + TOGETHER]
+            self.known.update(zip(some, self.table.encode(some)))
+        return [self.row(t) if t else [] for t in texts]
 
     def stretch(self, text: str) -> tuple[int, ...]:
         if len(text) > SHORT:
@@ -197,7 +295,7 @@ def encode(docs: DataFrame, model: bytes, column: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, column):
                 texts = part.column(column).to_pylist()
-                rows = [coder.row(t) if t else [] for t in texts]
+                rows = coder.rows(texts)
                 good = [None if t is None else decode_ids(r, v) == t for t, r in zip(texts, rows)]
                 ids = lists(np.fromiter(chain.from_iterable(rows), np.int32), [len(r) for r in rows], pa.int32())
                 if None in texts:

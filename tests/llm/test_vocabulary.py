@@ -66,3 +66,18 @@ def test_counts_with_a_unigram_model(spark):
     counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, model()).collect()}
     v = vocabulary.Vocabulary(model())
     assert counts == {1: len(pieces.encode_text("aba ab", v)), 2: len(pieces.encode_text("é", v))}
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_stretches_searched_together_are_those_of_the_stream(monkeypatch, kind):
+    coder = pieces.Encoder(model(kind=kind))
+    texts = [None, "", "aba", "aaaa abab  ba▁b", "é\U0001f600a b", "ab" * 40 + " ba", "\n", "bbbbaaab " * 3]
+    monkeypatch.setattr(pieces, "TOGETHER", 3)
+    monkeypatch.setattr(pieces.Encoder, "window", lambda self, text: 1 / 0)
+    assert coder.rows(texts) == [pieces.encode_text(t, coder.v) if t else [] for t in texts]
+
+
+def test_stretches_of_the_public_model_searched_together():
+    coder = pieces.Encoder(vocabulary.read(MODEL))
+    texts = ["The banana, 12345 aaaaaaaaaa!!", "Größe çà 漢字 ▁ \U0001f600", "x = [[1, 2], [3]]\n\treturn  None", "aaaa aaa aa a ======== ...."]
+    assert coder.rows(texts) == [pieces.encode_text(t, coder.v) for t in texts]
