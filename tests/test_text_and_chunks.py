@@ -295,3 +295,30 @@ def test_functions_with_large_results_get_few_rows_at_a_time(spark):
     assert [r["id"] for r in got] == list(range(10)) and [r["n"] for r in got] == [3] * 9 + [1]
     assert [r["b"] for r in got] == [[i, 2 * i, 4 if i < 8 else 2] for i in range(10)]
     assert spark.range(0).select(seen("id")).collect() == []
+
+
+def test_ratios_from_a_threshold_score_few_pairs(monkeypatch):
+    import random
+
+    from passages.functions import likeness
+
+    rnd = random.Random(7)
+    sizes = [0, 1, 7, 8, 9, 30, 62, 63, 64, 65, 100, 126, 127, 130, 200]
+    made = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.choice(sizes)))
+    for letters in ("ab", "abcdé", "abcdefghijklmnopqrst漢"):
+        entries = [made(letters) for _ in range(30)]
+        texts = [made(letters) for _ in range(30)] + ["x".join(e.split("a")) for e in entries] + ["".join(c for c in e if rnd.random() < 0.8) for e in entries]
+        want = ratios(texts, entries)
+        for threshold in (0.05, 0.4, 0.55, 0.8, 1.0):
+            got = likeness.ratios_from(texts, entries, threshold)
+            assert (np.where(got >= threshold, got, 0) == np.where(want >= threshold, want, 0)).all()
+    assert likeness.ratios_from([], entries, 0.5).shape == (0, 30) and likeness.ratios_from(texts, [], 0.5).shape == (90, 0)
+    scored = []
+    plain = likeness._strands
+    monkeypatch.setattr(likeness, "_strands", lambda a, b: (scored.append(np.broadcast_shapes(a.shape[1:], b.shape[1:])), plain(a, b))[1])
+    letters = "abcdefghijklmnopqrst"
+    entries = ["".join(rnd.choice(letters) for _ in range(150)) for _ in range(40)]
+    pieces = [entries[0][10:140], *("".join(rnd.choice(letters) for _ in range(120)) for _ in range(99))]
+    best = M._best_entry(entries, list(range(40)), {}, 0.55).func(pd.Series([[]] * 100), pd.Series(pieces))
+    assert best["label"].dropna().tolist() == [0] and best["worse"][0] == -1.0
+    assert 1 <= sum(int(np.prod(s)) for s in scored) <= 400  # of 4,000 pairs
