@@ -113,8 +113,7 @@ def encode_text(text: str, vocabulary: Vocabulary) -> list[int]:
 
 def decode_ids(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     """The text of piece ids, without the space the encoder put in front; bytes that are no UTF-8 become U+FFFD."""
-    parts = [bytes([vocabulary.value[i]]) if i in vocabulary.value else vocabulary.text[i].encode() for i in ids]
-    return b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
+    return b"".join(map(vocabulary.spelling.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 class Table:
@@ -210,8 +209,8 @@ class Encoder:
         """The ids of some texts, null ones as empty; short stretches that are not remembered are searched together."""
         if len(self.known) >= CACHE:
             self.known, self.older = {}, self.known
-        new = []
-        for s in dict.fromkeys(chain.from_iterable(self.v.stretches(t) for t in texts if t)):
+        cut, new = [self.v.stretches(t) if t else [] for t in texts], []
+        for s in dict.fromkeys(chain.from_iterable(cut)):
             if len(s) <= SHORT and s not in self.known:
                 if s in self.older:
                     self.known[s] = self.older[s]
@@ -220,7 +219,7 @@ class Encoder:
         for a in range(0, len(new), TOGETHER):
             some = new[a : a + TOGETHER]
             self.known.update(zip(some, self.table.encode(some)))
-        return [self.row(t) if t else [] for t in texts]
+        return [self.joined(c) for c in cut]
 
     def stretch(self, text: str) -> tuple[int, ...]:
         if len(text) > SHORT:
@@ -267,8 +266,13 @@ class Encoder:
         return tuple(out[::-1])
 
     def row(self, text: str) -> list[int]:
-        stretch = self.stretch
-        return list(chain.from_iterable([self.known.get(s) or stretch(s) for s in self.v.stretches(text)]))
+        return self.joined(self.v.stretches(text))
+
+    def joined(self, stretches: list[str]) -> list[int]:
+        found = list(map(self.known.get, stretches))
+        if not all(found):
+            found = [ids or self.known.get(s) or self.stretch(s) for ids, s in zip(found, stretches)]
+        return list(chain.from_iterable(found))
 
 
 _process: dict[bytes, Encoder] = {}

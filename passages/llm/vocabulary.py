@@ -83,6 +83,7 @@ class Vocabulary:
             self.score = {i: -round(1e6 * math.log(2 + place)) for place, i in enumerate(normal)}
         self.bytes = {int(p[0][3:5], 16): i for i, p in enumerate(pieces) if p[1] == BYTE}
         self.value = {i: b for b, i in self.bytes.items()}
+        self.spelling = [bytes([self.value[i]]) if i in self.value else t.encode() for i, t in enumerate(self.text)]
         self.byte_score = min(self.score.values()) - 10_000_000
         self.longest = max(len(self.text[i]) for i in normal)
         #: no piece reaches over the start of a run of spaces, so all paths meet there

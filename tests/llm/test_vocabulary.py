@@ -81,3 +81,15 @@ def test_stretches_of_the_public_model_searched_together():
     coder = pieces.Encoder(vocabulary.read(MODEL))
     texts = ["The banana, 12345 aaaaaaaaaa!!", "Größe çà 漢字 ▁ \U0001f600", "x = [[1, 2], [3]]\n\treturn  None", "aaaa aaa aa a ======== ...."]
     assert coder.rows(texts) == [pieces.encode_text(t, coder.v) for t in texts]
+
+
+def test_texts_are_cut_once_and_spelled_from_a_table(monkeypatch):
+    coder = pieces.Encoder(model())
+    cut, plain = [], coder.v.stretches
+    monkeypatch.setattr(coder.v, "stretches", lambda t: (cut.append(t), plain(t))[1])
+    texts = ["aba ab", None, "", "ü " + "ab" * 50, "ab aba"]
+    rows = coder.rows(texts)
+    assert cut == [t for t in texts if t] and rows[1] == rows[2] == []
+    assert rows == [pieces.encode_text(t, pieces.Vocabulary(model())) if t else [] for t in texts]
+    monkeypatch.setattr(coder.v, "text", None)
+    assert [pieces.decode_ids(r, coder.v) for r in rows] == [t or "" for t in texts]
