@@ -9,9 +9,11 @@ the group has qualified. All steps are exact: the bounds lose no pair that reach
   The larger shows its first ``n - ceil(t n) + extra`` tokens, the smaller puts its first ``m - ceil(2 t m / (1 + t)) +
   extra`` into the matrix, with ``extra = 1 + size // 32``. Shared tokens in either part are the first shared ones in the
   order, so the parts have at least ``need`` minus the larger unseen rest in common; ``1 + ceil(t n) // 32`` at least.
-* Groups come first: sets that share one of a few minimum hashes are compared with the smallest set of that hash, and
-  what is linked is one group. Most near copies meet here, with one comparison each.
-* The matrix then only matters between groups. A set's own group is done; another qualifies by its hits, and its
+* Classes come first: sets that share one of a few minimum hashes are compared with the smallest set of that hash, and
+  what is linked is one class. Most near copies meet here, with one comparison each.
+* Groups are families of classes: a class joins the smallest set that agrees with one of its sets in some minimum hashes, linked or
+  not. Inside a family all sets of different classes are compared in tiles of a bounded number of rows and tokens, which give links only.
+* The matrix then only matters between families. A set's own family is done; another qualifies by its hits, and its
   members are compared with the set through the tokens they share, unless their sizes rule a link out.
 """
 
@@ -35,6 +37,10 @@ PER_EXTRA = 32
 BINS = 16
 BANDS = 8
 ALIKE = 9
+KIN = 7
+TILE_ROWS = 512
+TILE_TOKENS = 1 << 20
+COLUMNS = 4096
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -267,6 +273,148 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, p
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").checkpoint()
 
 
+def _families(label: DataFrame, near: DataFrame) -> DataFrame:
+    """``label`` with the family of each class: the class of the smallest set that one of its sets is near to, and that one's in turn."""
+    of = label.select("id", "grp")
+    up = near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("a")).join(of, "id").join(of.toDF("a", "to"), "a")
+    up = up.filter("to < grp").groupBy("grp").agg(F.min("to").alias("to")).checkpoint()
+    top = up.join(up.toDF("to", "further"), "to", "left").select("grp", F.coalesce("further", "to").alias("family"))
+    return label.join(top, "grp", "left").select("id", "n", "grp", F.coalesce("family", "grp").alias("family")).checkpoint()
+
+
+def _tiles(label: DataFrame, rows: int | None = None, tokens: int | None = None) -> DataFrame:
+    """(tile, side, id, grp): the sets of each family with several classes dealt to blocks, and every two blocks side by side once.
+
+    A block has about ``rows`` sets and ``tokens`` tokens. Small classes share blocks; a large one has blocks of its own, which
+    are not compared with each other. A small block beside itself is one side."""
+    rows, tokens = rows or TILE_ROWS, tokens or TILE_TOKENS
+    classes = label.groupBy("family", "grp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    mixed = classes.groupBy("family").agg(F.count("*").alias("classes")).filter("classes > 1").select("family")
+    large = (F.col("sets") * 2 > rows) | (F.col("tokens") * 2 > tokens)
+    classes = classes.join(mixed, "family").withColumn("large", large).withColumn("own", F.when(large, F.col("grp")).otherwise(F.lit(0))).checkpoint()
+    slots = F.ceil(F.greatest(F.sum("sets") / rows, F.sum("tokens") / tokens))
+    dealt = classes.groupBy("family", "large", "own").agg(slots.alias("slots"))
+    spread = F.when(F.col("large"), F.xxhash64("id")).otherwise(F.xxhash64("grp"))
+    sets = label.join(classes.select("family", "grp", "large", "own"), ["family", "grp"]).join(dealt, ["family", "large", "own"])
+    sets = sets.select("id", "grp", "family", F.struct("large", "own", F.pmod(spread, F.col("slots")).alias("slot")).alias("block")).checkpoint()
+    blocks = sets.select("family", "block").distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("block", "other"), "family").filter("block <= other")
+    pairs = pairs.filter("NOT (block.large AND other.large AND block.own = other.own)")
+    pairs = pairs.withColumn("tile", F.monotonically_increasing_id()).checkpoint()
+    left = pairs.select("family", "block", "tile", F.lit(0).alias("side"))
+    right = pairs.filter("block < other").select("family", F.col("other").alias("block"), "tile", F.lit(1).alias("side"))
+    return sets.join(left.unionByName(right), ["family", "block"]).select("tile", "side", "id", "grp")
+
+
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of the left shares with each of the right: a product over the columns both have, a few at a time.
+
+    Columns with few entries add one to each of their pairs instead, which costs less."""
+    shape = len(left), len(right)
+    both = np.zeros(shape, np.int64)
+    tokens = [np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (left, right)]
+    common = np.intersect1d(*tokens)
+    if not len(common):
+        return both
+    entries = []
+    for x, flat in zip((left, right), tokens):
+        row = np.repeat(np.arange(len(x)), [len(t) for t in x])
+        column = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        keep = common[column] == flat
+        row, column = row[keep], column[keep]
+        order = np.argsort(column, kind="stable")
+        entries.append((row[order], column[order]))
+    (lrow, lcol), (rrow, rcol) = entries
+    start = np.searchsorted(rcol, np.arange(len(common) + 1))
+    pairs = np.bincount(lcol, minlength=len(common)) * np.diff(start)
+    rare = 100 * pairs <= shape[0] * shape[1]
+    some = np.flatnonzero(rare[lcol])
+    times = np.diff(start)[lcol[some]]
+    part = np.cumsum(times) // (1 << 20)
+    for k in np.unique(part):
+        at, n = some[part == k], times[part == k]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[lcol[at]], n)
+        both += np.bincount(np.repeat(lrow[at], n) * shape[1] + rrow[place], minlength=both.size).reshape(shape)
+    number = np.cumsum(~rare) - 1
+    for a in range(0, int((~rare).sum()), COLUMNS):
+        sides = []
+        for n, row, col in ((shape[0], lrow, lcol), (shape[1], rrow, rcol)):
+            here = ~rare[col] & (number[col] >= a) & (number[col] < a + COLUMNS)
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[row[here], number[col[here]] - a] = 1
+            sides.append(side)
+        both += (sides[0] @ sides[1].T).astype(np.int64)
+    return both
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of pairs of classes that are enough to join what all of them join."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+    for k in first.tolist():
+        x, y = root(int(a[k])), root(int(b[k]))
+        if x != y:
+            parent[x] = y
+            out.append(k)
+    return out
+
+
+def _tile_links(percent: int):
+    """Rows sorted by tile in; links (a, b) between sets of different classes out, as many as join what the tile's links join."""
+
+    def links(side, ids, grp, tokens):
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(right):
+            right = left
+        both = shared_tokens([tokens[i] for i in left], [tokens[i] for i in right])
+        n = np.array([len(t) for t in tokens], np.int64)
+        linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        x, y = np.nonzero(linked & (grp[left][:, None] != grp[right][None, :]))
+        x, y = left[x], right[y]
+        some = _forest(grp[x], grp[y])
+        a, b = ids[x[some]], ids[y[some]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        now = None
+
+        def done():
+            side, ids, grp = (np.concatenate([h[k] for h in held]) for k in range(3))
+            return links(side, ids, grp, [t for h in held for t in h[3]])
+
+        for batch in batches:
+            tile = batch.column("tile").to_numpy()
+            side, ids, grp = (batch.column(c).to_numpy() for c in ("side", "id", "grp"))
+            edges = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True]) if len(tile) else np.zeros(0, int)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held and tile[a] != now:
+                    yield done()
+                    held = []
+                now = tile[a]
+                held.append((side[a:b], ids[a:b], grp[a:b], [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens").slice(a, b - a)]))
+        if held:
+            yield done()
+
+    return run
+
+
+def _within(docs: DataFrame, table: DataFrame, label: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the classes of each family, with both sets compared whole."""
+    dealt = _tiles(label).checkpoint()
+    ids = dealt.select("id").distinct().join(table.select("id", F.col("sid").alias("s")), "id").checkpoint()
+    rows = dealt.join(_tokens_of(docs, ids, width), "id").select("tile", "side", "id", "grp", "tokens")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(percent), "a long, b long").checkpoint()
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents whose shingle sets are linked: (doc_id, n_shingles, component_id).
 
@@ -288,8 +436,12 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     kept = first.select(F.col("id").alias("doc_id"), F.col("sid").alias("s"))
     seen = _shown_tokens(docs, ranks, width, percent).join(kept, "doc_id").filter("sid = s")
     table = seen.select(F.col("doc_id").alias("id"), "n", "sid", "sig", "tokens").dropDuplicates(["id"]).checkpoint()
-    links = _verified(docs, table, _alike(table, percent), width, percent)
+    near = _near(table).checkpoint()
+    links = _verified(docs, table, _alike(near, percent), width, percent)
     label = table.select("id", "n").join(components(links).toDF("id", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id")).checkpoint()
+    label = _families(label, near)
+    links = links.unionByName(_within(docs, table, label, width, percent))
+    label = label.select("id", "n", F.col("family").alias("grp"))
     flat = table.select("id", "n", "tokens").join(label.select("id", "grp"), "id")
     flat = flat.select("id", "grp", "n", F.posexplode_outer("tokens").alias("pos", "token"))
     flat = flat.select("id", "grp", F.when(F.col("pos") < _early("n", percent), F.col("n")).otherwise(-F.col("n")).cast("int").alias("size"), "token")
@@ -320,15 +472,19 @@ def _early(n: str, percent: int):
     return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * 2 * percent / F.lit(100 + percent)) + 1 + F.floor(F.col(n) / PER_EXTRA))
 
 
-def _alike(table: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a set and the smallest one with the same minimum hash, if ALIKE of BINS hashes agree."""
+def _near(table: DataFrame) -> DataFrame:
+    """(a, m, b, n, agree): each set b and the smallest one with the same minimum hash, if KIN of BINS hashes agree."""
     bands = F.array([F.get("sig", F.lit(k * BINS // BANDS)) for k in range(BANDS)])
     keyed = table.select("id", "n", "sig", F.posexplode(bands).alias("band", "key"))
     pivots = keyed.groupBy("band", "key").agg(F.min(F.struct("id", "n", "sig")).alias("p"), F.count("*").alias("size")).filter("size > 1")
-    near = keyed.join(pivots.select("band", "key", F.col("p.id").alias("b"), F.col("p.n").alias("m"), F.col("p.sig").alias("other")), ["band", "key"])
+    near = keyed.join(pivots.select("band", "key", F.col("p.id").alias("a"), F.col("p.n").alias("m"), F.col("p.sig").alias("other")), ["band", "key"])
     agree = F.size(F.filter(F.zip_with("sig", "other", lambda x, y: x == y), lambda same: same))
-    near = near.filter("id <> b").filter(_sizes("n", "m", percent)).filter(agree >= ALIKE)
-    return near.select(F.col("b").alias("a"), F.col("id").alias("b"))
+    return near.filter("id <> a").select("a", "m", F.col("id").alias("b"), "n", agree.alias("agree")).filter(F.col("agree") >= KIN).distinct()
+
+
+def _alike(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of near sets (a, b) of which ALIKE hashes agree and whose sizes allow a link."""
+    return near.filter(_sizes("n", "m", percent)).filter(F.col("agree") >= ALIKE).select("a", "b")
 
 
 def _between(table: DataFrame, label: DataFrame, fits: DataFrame, percent: int) -> DataFrame:

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passages.llm import jaccard
 from passages.llm.decontaminate import contained_items, decontaminate
 from passages.llm.graph import components
 from passages.llm.jaccard import jaccard_classes
@@ -94,6 +96,48 @@ def test_large_group_of_near_copies(spark):
     assert got == classes(rows)
 
 
+def family(size):
+    """Texts of one family, most pairs of them just under the threshold."""
+    rnd = random.Random(6)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(size):
+        w = list(base)
+        for k in rnd.sample(range(120), 2 if i % 5 else 1):
+            w[k] = f"x{rnd.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_of_a_tile", [6, 512])
+def test_family_just_under_the_threshold(spark, monkeypatch, rows_of_a_tile):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", rows_of_a_tile)
+    rows = family(90)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(frame(spark, rows)).collect()}
+    assert got == classes(rows) and len({c for _, c in got.values()}) > 1
+
+
+def test_meetings_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
+    made, real = spark.sparkContext.accumulator(0), jaccard._meetings
+
+    def counted(batches):
+        for batch in real(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(jaccard, "_meetings", counted)
+    rows = [*family(150), (150, "one two three four five six " + family(1)[0][1][:60])]
+    jaccard_classes(frame(spark, rows)).collect()
+    assert made.value < 10 * len(rows)
+
+
+def test_shared_tokens_are_those_of_a_plain_count():
+    draw = np.random.default_rng(3)
+    some = [np.unique(draw.integers(0, 40 if i % 3 else 4000, draw.integers(0, 60))).astype(np.uint64) for i in range(50)]
+    want = [[len(np.intersect1d(x, y)) for y in some] for x in some[:30]]
+    assert jaccard.shared_tokens(some[:30], some).tolist() == want
+    assert jaccard.shared_tokens([some[0]], [some[0][:0]]).tolist() == [[0]]
+
+
 def test_repeats(spark, corpus):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(frame(spark, corpus)).collect()}
     assert got == cut(corpus)
