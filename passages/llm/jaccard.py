@@ -154,15 +154,19 @@ def _shown_tokens(docs: DataFrame, ranks: np.ndarray, width: int, percent: int)
     )
 
 
-def _meetings(batches):
-    """Rows sorted by token in; (set, other group, hits) out, added up over the tokens of a stretch of rows."""
+def _meetings(batches, percent):
+    """Rows sorted by token in; (set, other group, hits) out, added up over the tokens of a stretch of rows.
+
+    A group is met where one of its sets may be the smaller one of a link: no larger than the set, and ``percent`` of it at least."""
 
     def count(token, sid, group, size):
-        # the matrix: groups by token, with the smallest set that shows the token early
+        # the matrix: groups by token, with the smallest and the largest set that shows the token early
         early = np.flatnonzero(size > 0)
         early = early[np.lexsort((size[early], group[early], token[early]))]
-        at = early[np.flatnonzero(np.r_[True, (token[early][1:] != token[early][:-1]) | (group[early][1:] != group[early][:-1])])] if len(early) else early
+        first = np.flatnonzero(np.r_[True, (token[early][1:] != token[early][:-1]) | (group[early][1:] != group[early][:-1])]) if len(early) else early
+        at = early[first]
         cell_token, cell_group, cell_low = token[at], group[at], size[at]
+        cell_high = np.maximum.reduceat(size[early], first) if len(early) else cell_low
         cell_first = np.searchsorted(cell_token, token, "left")
         cells = np.searchsorted(cell_token, token, "right") - cell_first
         out, rows = [], 0
@@ -170,7 +174,8 @@ def _meetings(batches):
         for k in range(int(cells.max(initial=0))):
             some = np.flatnonzero(cells > k)
             cell = cell_first[some] + k
-            keep = (cell_group[cell] != group[some]) & (cell_low[cell] <= np.abs(size[some]))
+            n = np.abs(size[some]).astype(np.int64)
+            keep = (cell_group[cell] != group[some]) & (cell_low[cell] <= n) & (cell_high[cell].astype(np.int64) * 100 >= percent * n)
             out.append(np.stack([sid[some[keep]], cell_group[cell[keep]]]))
             rows += keep.sum()
             if rows > 1 << 20:
@@ -445,7 +450,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     flat = table.select("id", "n", "tokens").join(label.select("id", "grp"), "id")
     flat = flat.select("id", "grp", "n", F.posexplode_outer("tokens").alias("pos", "token"))
     flat = flat.select("id", "grp", F.when(F.col("pos") < _early("n", percent), F.col("n")).otherwise(-F.col("n")).cast("int").alias("size"), "token")
-    hits = flat.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings, "id long, grp long, hits long")
+    hits = flat.repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: _meetings(batches, percent), "id long, grp long, hits long")
     need = F.ceil(F.col("n") * percent / F.lit(100))
     met = hits.groupBy("id", "grp").agg(F.sum("hits").alias("hits")).join(label.select("id", "n"), "id")
     fits = met.filter(F.col("hits") >= 1 + F.floor(need / PER_EXTRA)).select("id", "n", "grp").checkpoint()

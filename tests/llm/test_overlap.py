@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,8 +120,8 @@ def test_family_just_under_the_threshold(spark, monkeypatch, rows_of_a_tile):
 def test_meetings_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
     made, real = spark.sparkContext.accumulator(0), jaccard._meetings
 
-    def counted(batches):
-        for batch in real(batches):
+    def counted(batches, percent):
+        for batch in real(batches, percent):
             made.add(batch.num_rows)
             yield batch
 
@@ -130,6 +131,14 @@ def test_meetings_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
     assert made.value < 10 * len(rows)
 
 
+def test_a_group_is_met_only_where_sizes_allow_a_link():
+    """Sets of 100, 79, 80 and 101 tokens, each a group of its own, show one token; a last group has sets of 50 and 100."""
+    rows = [(7, 1, 1, 100), (7, 2, 2, 79), (7, 3, 3, 80), (7, 4, 4, 101), (7, 5, 5, 50), (7, 6, 5, 100)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+    made = [tuple(r.values()) for b in jaccard._meetings([pa.RecordBatch.from_arrays(columns, ["token", "id", "grp", "size"])], 80) for r in b.to_pylist()]
+    assert sorted(made) == [(1, 3, 1), (1, 5, 1), (2, 5, 1), (3, 2, 1), (3, 5, 1), (4, 1, 1), (4, 5, 1), (6, 1, 1), (6, 3, 1)]
+
+
 def test_shared_tokens_are_those_of_a_plain_count():
     draw = np.random.default_rng(3)
     some = [np.unique(draw.integers(0, 40 if i % 3 else 4000, draw.integers(0, 60))).astype(np.uint64) for i in range(50)]
