@@ -25,6 +25,7 @@ from passages.session import checkpoint_dir
 BLOCK_ROWS = 20_000
 BATCH_ROWS = 20_000
 SIDE_BY_SIDE = 1_000
+PACK_ROWS = 100_000
 LOWEST = -600.0
 NEG = -np.inf
 
@@ -139,6 +140,41 @@ def _smoothed(sizes, e, step, start, entry=None, behind=None) -> np.ndarray:
     return np.exp(g - _logsum(g, 1)[:, None])
 
 
+def _expected(sizes, codes, kinds, scores, step, start) -> np.ndarray:
+    """Posteriors of a pack's sequences, summed by the values that ``kinds`` has for an item and a state. ``scores`` has the emission of a
+    value in a state. The rows of a step lie together, longest sequence first, so a step is one product of matrices; its rows are kept in
+    proportion, not as logs, where no state can fall too far behind the others for that."""
+    e = scores[kinds, np.arange(kinds.shape[1])]
+    behind = np.append(np.searchsorted(-sizes, -np.arange(sizes[0]), "left"), 0)  # how many have a row t
+    ends = np.cumsum(behind)
+    spread = (np.ptp(e, 1).max() if np.isfinite(e).all() else np.inf) + (np.ptp(step) if np.isfinite(step).all() else np.inf)
+    if not spread < -LOWEST / 2:
+        first = np.cumsum(sizes) - sizes
+        rows = np.concatenate([first[:n] + t for t, n in enumerate(behind[:-1])])
+        turned = np.empty_like(codes)
+        turned[rows] = codes
+        g = _smoothed(sizes, e[turned], step, start)
+        return np.bincount(kinds[turned].ravel(), g.ravel(), len(scores))
+    weight, w = np.exp(step - step.max()), np.exp(e - e.max(1, keepdims=True))
+    share = np.take(w, codes, 0)
+    g = np.empty_like(share)
+    row = share[: ends[0]] * np.exp(start - start.max())
+    g[: ends[0]] = row = row / row.sum(1, keepdims=True)
+    for t in range(1, int(sizes[0])):
+        row = np.matmul(row[: behind[t]], weight)
+        row *= share[ends[t - 1] : ends[t]]
+        row /= row.sum(1, keepdims=True)
+        g[ends[t - 1] : ends[t]] = row
+    for t in range(int(sizes[0]) - 2, -1, -1):
+        n = behind[t + 1]
+        share[ends[t] : ends[t] + behind[t + 2]] *= row[: behind[t + 2]]
+        row = np.matmul(share[ends[t] : ends[t + 1]], weight.T)
+        row /= row.sum(1, keepdims=True)
+        g[ends[t] - behind[t] : ends[t] - behind[t] + n] *= row
+    g /= g.sum(1, keepdims=True)
+    return np.bincount(np.take(kinds, codes, 0).ravel(), g.ravel(), len(scores))
+
+
 def _best_path(sizes, e, log_a, gamma, delta, anchors, n_labels, start, entry=None, last=None) -> np.ndarray:
     """Best states of sequences that lie behind each other, all of them a step at a time; gamma and delta by sequence."""
     order, begins, n = _stepped(sizes)
@@ -269,6 +305,29 @@ def dealt(items: DataFrame, keys: Sequence[str] = ("seq",)) -> DataFrame:
     return _dealt(items, keys).checkpoint()
 
 
+def packed(items: DataFrame, kind: str, keys: Sequence[str] = ("seq",), pack_rows: int = PACK_ROWS) -> DataFrame:
+    """(sizes, codes, kinds): ``items`` as packs of whole sequences, on the checkpoint folder, for work that reads them in many rounds and
+    needs sums only. ``kind`` is a binary column, a byte per state; an item is a number that says which of its pack's different kinds it has."""
+    keys = list(keys)
+    checkpoint_dir(items.sparkSession)
+
+    def pack(table: pa.Table, begins: np.ndarray) -> list[bytes]:
+        sizes = np.diff(np.append(begins, table.num_rows))
+        order, first, n = _stepped(sizes)
+        found = table[kind].combine_chunks().dictionary_encode()
+        codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        codes = codes[np.concatenate([first[:k] + t for t, k in enumerate(n)])]
+        return [sizes[order].astype(np.int64).tobytes(), codes.tobytes(), b"".join(found.dictionary.to_pylist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _in_whole_sequences(batches, keys, pack_rows):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in pack(table, begins)], ["sizes", "codes", "kinds"])
+
+    rows = _dealt(items.select(*keys, "pos", kind), keys)
+    packs = rows.mapInArrow(run, "sizes binary, codes binary, kinds binary").checkpoint()
+    return packs.coalesce(items.sparkSession.sparkContext.defaultParallelism)
+
+
 def _begins(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """The rows a sequence begins at; nulls are a value like others."""
     new = np.zeros(table.num_rows, dtype=bool)
@@ -279,6 +338,25 @@ def _begins(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _in_whole_sequences(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A task's rows in tables of whole sequences of about ``most`` rows, with the rows a sequence begins at."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        begins = _begins(table, keys)
+        if len(begins) > 1:  # the last sequence may go on
+            yield table.slice(0, begins[-1]), begins[:-1]
+            held = table.slice(begins[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _begins(table, keys)
+
+
 def _whole_sequences(keys: Sequence[str], out: Sequence[str], name: str, kind: pa.DataType, solve: Callable) -> Callable:
     """A task's rows in batches of whole sequences of about ``BATCH_ROWS``; ``solve(rows, sizes)`` has a batch's new column."""
 
@@ -290,21 +368,8 @@ def _whole_sequences(keys: Sequence[str], out: Sequence[str], name: str, kind: p
             yield from rows.select(out).append_column(name, solve(rows, np.diff(part)).cast(kind)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < BATCH_ROWS:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            begins = _begins(table, keys)
-            if len(begins) > 1:  # the last sequence may go on
-                yield from solved(table.slice(0, begins[-1]), begins[:-1])
-                held = table.slice(begins[-1]).to_batches()
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from solved(table, _begins(table, keys))
+        for table, begins in _in_whole_sequences(batches, keys, BATCH_ROWS):
+            yield from solved(table, begins)
 
     return run
 
@@ -363,13 +428,25 @@ def viterbi(
 
 def forward_backward(
     items: DataFrame, model: Model, emit: str = "emit", keys: Sequence[str] = ("seq",), block_rows: int = BLOCK_ROWS,
-    keep: Sequence[str] = (), dealt: bool = False,
+    keep: Sequence[str] = (), dealt: bool = False, scores: np.ndarray | None = None,
 ) -> DataFrame:
     """(keys, pos, keep, posterior): state probabilities of every item, uniform start. ``keep`` names columns that come
-    along; ``dealt`` says that the rows lie as ``dealt`` leaves them."""
+    along; ``dealt`` says that the rows lie as ``dealt`` leaves them. With ``scores``, the emission of every value of a kind in every
+    state, ``items`` are what ``packed`` makes, and the result is (sums) per task: the posteriors summed by value."""
     keys = list(keys)
     n = len(model.log_a)
     uniform = Model(model.log_a, model.start - np.log(n), model.columns, model.out)
+    if scores is not None:
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(scores))
+            for batch in batches:
+                for sizes, codes, kinds in zip(*(batch[c] for c in ("sizes", "codes", "kinds")), strict=True):
+                    of = [np.frombuffer(x.as_buffer(), t) for x, t in ((sizes, np.int64), (codes, np.int32), (kinds, np.uint8))]
+                    total += _expected(*of[:2], of[2].reshape(-1, n), scores, uniform.log_a, uniform.start)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
+
+        return items.select("sizes", "codes", "kinds").mapInArrow(summed, "sums array<double>")
     rows, edges, prepare = _blocks(items, uniform, keys, emit, 1.0, 0.0, None, False, block_rows, keep, dealt)
 
     def solve(rows: pa.Table, sizes: np.ndarray) -> pa.Array:

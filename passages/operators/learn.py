@@ -16,7 +16,7 @@ from passages.operators import decode as D
 from passages.operators import evaluate as E
 from passages.operators import sequence as S
 from passages.operators.fits import Fit, Scorer, fit_many, probabilities
-from passages.operators.scan import BLOCK_ROWS, Running, neighbours, ordinal, running
+from passages.operators.scan import BLOCK_ROWS, Running, neighbours, one_block, ordinal, running
 
 MAX_GROUPS = 200
 
@@ -335,14 +335,14 @@ def target_grid(items: DataFrame, n_labels: int, gold: str = "gold") -> DataFram
 
 def annotator_reliability(
     items: DataFrame, log_a: np.ndarray, n_labels: int, labels: str = "labels", keys: Sequence[str] = ("seq",),
-    rounds: int = 200, tol: float = 1e-6,
+    rounds: int = 200, tol: float = 1e-6, block_rows: int = D.BLOCK_ROWS,
 ) -> tuple[list[float], list[float], int]:
     """How an annotator errs, without gold: shares of correct / next to it / other / none on
     labelled items, and of none / some on the others, by expectation maximisation.
 
-    The items are dealt to the tasks once. Every round is a fresh plan with six numbers of the
-    round before in it, so no lineage builds up."""
-    off = n_labels
+    The items are dealt to the tasks once, as packs that hold a number per item; those of sequences longer than a block as rows. Every
+    round is a fresh plan with six numbers of the round before in it, so no lineage builds up."""
+    off, keys = n_labels, list(keys)
     model = D.Model.plain(log_a)
     state = F.coalesce(F.array_min(labels), F.lit(off))
 
@@ -351,7 +351,11 @@ def annotator_reliability(
         has = lambda v: F.array_contains(labels, v)
         return F.when(F.size(labels) == 0, 3).when(has(x), 0).when(has(x - 1) | has(x + 1), 1).otherwise(2)
 
-    def table(q: DataFrame) -> tuple[list[float], list[float]]:
+    def shares(sums: Sequence[float]) -> tuple[list[float], list[float]]:
+        on, none = [1 + x for x in sums[:4]], [1 + x for x in sums[4:6]]
+        return [x / sum(on) for x in on], [x / sum(none) for x in none]
+
+    def table(q: DataFrame) -> list[float]:
         """``q`` has (labels, posterior)."""
         cells = q.select(labels, F.posexplode("posterior").alias("s", "w"))
         b = F.when(F.col("s") < off, buckets(F.col("s")))
@@ -360,28 +364,47 @@ def annotator_reliability(
             F.sum(F.when((F.col("s") == off) & (F.size(labels) == 0), F.col("w")).otherwise(0.0)).alias("off0"),
             F.sum(F.when((F.col("s") == off) & (F.size(labels) > 0), F.col("w")).otherwise(0.0)).alias("off1"),
         ).first()
-        on = [1 + (r[f"on{i}"] or 0.0) for i in range(4)]
-        none = [1 + (r["off0"] or 0.0), 1 + (r["off1"] or 0.0)]
-        return [x / sum(on) for x in on], [x / sum(none) for x in none]
+        return [r[c] or 0.0 for c in ("on0", "on1", "on2", "on3", "off0", "off1")]
 
-    onehot = F.transform(F.sequence(F.lit(0), F.lit(off)), lambda s: (s == state).cast("double"))
-    p_on, p_off = table(items.select(labels, onehot.alias("posterior")))
-    known = items.dropna(subset=[*keys, "pos"])
-    rows = D.dealt(known.select(*keys, "pos", labels, F.transform(F.sequence(F.lit(0), F.lit(off - 1)), buckets).alias("__buckets")), keys)
-    for done in range(2, rounds + 1):
+    def loglik(s: int, share: Sequence[float]) -> list[float | None]:
+        """Of an item of each bucket of state s."""
+        sides = (s > 0) + (s < off - 1)
+        size = [1, sides, off - 1 - sides, 1]
+        return [float(np.log(p / n)) if n else None for p, n in zip(share, size)]
 
-        def loglik(s: int, share: Sequence[float] = p_on) -> Column:
-            sides = (s > 0) + (s < off - 1)
-            size = [1, sides, off - 1 - sides, 1]
-            return F.get(F.array(*[F.lit(float(np.log(p / n))) if n else F.lit(None).cast("double") for p, n in zip(share, size)]), F.get("__buckets", F.lit(s)))
+    def of_packs(packs: DataFrame) -> list[float]:
+        scores = np.full((7, off + 1), np.nan)
+        scores[:4, :off] = np.array([loglik(s, p_on) for s in range(off)], float).reshape(-1, 4).T
+        scores[4:, off] = np.log(p_off[0]), np.log(p_off[1] / n_labels), np.log(p_off[1] / n_labels)
+        return np.sum([r["sums"] for r in D.forward_backward(packs, model, keys=keys, scores=scores).collect()] or np.zeros((1, 7)), 0).tolist()
 
+    def of_rows(rows: DataFrame) -> list[float]:
         of_off = F.when(F.size(labels) == 0, float(np.log(p_off[0]))).otherwise(float(np.log(p_off[1] / n_labels)))
-        scored = rows.withColumn("__emit", F.array(*map(loglik, range(off)), of_off))
-        post = D.forward_backward(scored, model, "__emit", keys, keep=[labels], dealt=True)
+        emitted = [F.get(F.array(*[F.lit(x).cast("double") for x in loglik(s, p_on)]), F.get("__buckets", F.lit(s))) for s in range(off)]
+        post = D.forward_backward(rows.withColumn("__emit", F.array(*emitted, of_off)), model, "__emit", keys, block_rows, [labels], True)
         # what an item adds depends on its labels alone
         sums = post.groupBy(labels).agg(F.array(*[F.sum(F.get("posterior", F.lit(s))) for s in range(off + 1)]).alias("posterior"))
-        q = sums.select(labels, "posterior")
-        new_on, new_off = table(q)
+        return table(sums.select(labels, "posterior"))
+
+    onehot = F.transform(F.sequence(F.lit(0), F.lit(off)), lambda s: (s == state).cast("double"))
+    p_on, p_off = shares(table(items.select(labels, onehot.alias("posterior"))))
+    known = items.dropna(subset=[*keys, "pos"])
+    known = known.select(*keys, "pos", labels, F.transform(F.sequence(F.lit(0), F.lit(off - 1)), buckets).alias("__buckets"))
+    parts = []
+    if one_block(items, "pos", block_rows):
+        short = known
+    else:
+        long = known.groupBy(*keys).agg(F.max("pos").alias("__last")).filter(F.col("__last") >= block_rows).select(*keys)
+        rows = D.dealt(known.join(long, keys, "left_semi"), keys)
+        parts += [] if rows.isEmpty() else [(of_rows, rows)]
+        short = known.join(long, keys, "left_anti")
+    # the values of an item and a state: the bucket, and for the off state 4 without labels, 5 with labels, 6 for no list of labels
+    of_off = F.when(F.size(labels) == 0, 4).when(F.size(labels) > 0, 5).otherwise(6)
+    values = F.transform(F.concat("__buckets", F.array(of_off)), lambda v: F.format_string("%02d", v))
+    short = short.select(*keys, "pos", F.unhex(F.array_join(values, "")).alias("__kind"))
+    parts.append((of_packs, D.packed(short, "__kind", keys)))
+    for done in range(2, rounds + 1):
+        new_on, new_off = shares(np.sum([of(part)[:6] for of, part in parts], 0).tolist())
         moved = max(abs(a - b) for a, b in zip([*p_on, *p_off], [*new_on, *new_off], strict=True))
         p_on, p_off = new_on, new_off
         if moved < tol:

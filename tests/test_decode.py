@@ -145,3 +145,24 @@ def test_scores_far_apart_are_added_by_their_logs():
     x, step = np.array([[0.0, -900.0], [-1.0, -2.0]]), np.array([[-np.inf, 0.0], [0.0, -np.inf]])
     got = D._folded(x, step, np.exp(step), D.LOWEST)
     assert got == pytest.approx(np.array([[-900.0, 0.0], [-2.0, -1.0]]))
+
+
+@pytest.mark.parametrize("low", [-4.0, -500.0, -np.inf])
+def test_sums_of_a_pack_are_those_of_its_posteriors(low):
+    rng = np.random.default_rng(2)
+    sizes, log_a = np.array([7, 4, 4, 1]), np.log(rng.dirichlet(np.ones(3), 3))
+    log_a[0, 1] = low
+    kinds = np.array([[0, 1, 3], [1, 2, 3], [2, 2, 4]], np.uint8)
+    scores = rng.normal(size=(5, 3))
+    scores[2, 1] = max(low, -900.0)
+    codes = rng.integers(0, 3, sizes.sum())
+    first, last = np.cumsum(sizes) - sizes, sizes.max()
+    rows = np.concatenate([first[sizes > t] + t for t in range(last)])
+    start = np.full(3, -np.log(3))
+    got = D._expected(sizes, codes[rows].astype(np.int32), kinds, scores, log_a, start)
+    want = np.zeros(5)
+    for a, n in zip(first, sizes, strict=True):
+        of = kinds[codes[a : a + n]]
+        g = D._smoothed(np.array([n]), scores[of, np.arange(3)], log_a, start)
+        np.add.at(want, of, g)
+    assert got == pytest.approx(want) and got.sum() == pytest.approx(sizes.sum())

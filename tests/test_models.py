@@ -89,6 +89,52 @@ def test_a_faithful_annotator_is_found_reliable(spark):
     assert p_on[0] == max(p_on) and p_off[0] > 0.5 and 2 <= rounds <= 5
 
 
+def reliability(data, log_a, n, rounds):
+    """The shares after so many rounds, from {sequence: lists of labels}, item by item."""
+    start = lambda labels: np.eye(n + 1)[n if not labels else min(labels)]
+    post = {s: [start(x) for x in items] for s, items in data.items()}
+    bucket = lambda x, v: 3 if x == [] else 2 if x is None else 0 if v in x else 1 if v - 1 in x or v + 1 in x else 2
+    for r in range(rounds):
+        if r:
+            logs = []
+            for v in range(n):
+                sides = (v > 0) + (v < n - 1)
+                logs.append([np.log(p / k) if k else np.nan for p, k in zip(on, [1, sides, n - 1 - sides, 1], strict=True)])
+            for s, items in data.items():
+                e = np.array([[logs[v][bucket(x, v)] for v in range(n)] + [np.log(off[0]) if x == [] else np.log(off[1] / n)] for x in items])
+                a, w = np.exp(log_a), np.exp(e)
+                f, b = [w[0] / (n + 1)], [np.ones(n + 1)]
+                for t in range(1, len(items)):
+                    f.append(f[-1] @ a * w[t])
+                    b.insert(0, a @ (w[-t] * b[0]))
+                post[s] = [x * y / (x @ y) for x, y in zip(f, b, strict=True)]
+        on, off = np.ones(4), np.ones(2)
+        for s, items in data.items():
+            for x, p in zip(items, post[s], strict=True):
+                for v in range(n):
+                    on[bucket(x, v)] += p[v]
+                if x is not None:
+                    off[int(len(x) > 0)] += p[n]
+        on, off = on / on.sum(), off / off.sum()
+    return on, off
+
+
+@pytest.mark.parametrize("block", [5, 100])
+def test_annotators_are_summed_up_from_packs(spark, monkeypatch, block):
+    rnd = random.Random(5)
+    kinds = [[], [0], [1], [3], [0, 2], [3, 1], None]
+    data = {s: [rnd.choice(kinds) for _ in range(n)] for s, n in enumerate([1, 3, 4, 4, 9, 14, 2, 1])}
+    df = spark.createDataFrame([(s, p, x) for s, items in data.items() for p, x in enumerate(items)], "seq long, pos long, labels array<int>")
+    log_a = np.log(np.random.default_rng(1).dirichlet(np.ones(5), 5))
+    asked = []
+    plain = D.forward_backward
+    monkeypatch.setattr(D, "forward_backward", lambda rows, *a, **k: (asked.append(rows.columns), plain(rows, *a, **k))[1])
+    p_on, p_off, _ = L.annotator_reliability(df, log_a, 4, rounds=4, tol=0.0, block_rows=block)
+    on, off = reliability(data, log_a, 4, 4)
+    assert [*p_on, *p_off] == pytest.approx([*on, *off], abs=1e-9)
+    assert asked.count(["sizes", "codes", "kinds"]) == 3 and len(asked) == (6 if block == 5 else 3)
+
+
 def test_segments_are_packed_with_their_times(spark):
     segments = [(float(i), i + 0.5, " " if i == 2 else " ".join(["w"] * 30)) for i in range(6)]
     df = spark.createDataFrame([(0, segments)], "doc_id long, segments array<struct<start:double,end:double,text:string>>")
