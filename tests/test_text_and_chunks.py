@@ -322,3 +322,45 @@ def test_ratios_from_a_threshold_score_few_pairs(monkeypatch):
     best = M._best_entry(entries, list(range(40)), {}, 0.55).func(pd.Series([[]] * 100), pd.Series(pieces))
     assert best["label"].dropna().tolist() == [0] and best["worse"][0] == -1.0
     assert 1 <= sum(int(np.prod(s)) for s in scored) <= 400  # of 4,000 pairs
+
+
+@pytest.mark.parametrize("settings", [{}, {"STATES": 40, "LETTERS": 300, "SIDE_BY_SIDE": 3}, {"SHARES": (2,), "TRIED": 4}, {"SHARES": (9,), "TRIED": 4, "FEW": 0}, {"USUAL": 0.1}])
+def test_pairs_that_reach_a_threshold_are_all_met(monkeypatch, settings):
+    from passages.functions import likeness
+
+    for name, value in settings.items():
+        monkeypatch.setattr(likeness, name, value)
+    rnd = random.Random(11)
+    sizes = [1, 2, 5, 62, 63, 64, 65, 90, 126, 127, 128, 129, 190, 191, 300]
+    letters = "abcdefgh é"
+    entries = ["".join(rnd.choices(letters, k=n)) for n in sizes * 2] + ["", "aaaa" * 20]
+    texts = ["".join(rnd.choices(letters, k=n)) for n in sizes] + ["", "zzz"]
+    for e in entries[:30]:
+        cut = rnd.randrange(len(e) + 1)
+        worse = "".join("漢" if rnd.random() < 0.25 else c for c in e)
+        texts += [worse, "".join(rnd.choices(letters, k=rnd.randrange(150))) + worse + "x" * rnd.randrange(40), worse[cut:] + "yx" * 40, "yx" * 40 + worse[:cut]]
+    want = ratios(texts, entries)
+    for threshold in (0.3, 0.55, 0.65, 0.9):
+        met = set(zip(*(x.tolist() for x in likeness.may_reach(texts, entries, threshold)), strict=True))
+        assert {(i, j) for i, j in zip(*np.nonzero(want >= threshold), strict=True) if texts[i]} <= met
+    assert 0 < len(met) < 0.2 * want.size
+    assert [len(x) for x in likeness.may_reach(texts, entries, 0.0)] == [(len(texts) - 1) * (len(entries) - 1)] * 2
+
+
+def test_texts_of_a_batch_are_bounded_together_and_spread_over_tasks(spark, monkeypatch):
+    from passages.functions import likeness
+
+    steps = []
+    plain = likeness._step
+    monkeypatch.setattr(likeness, "_step", lambda s, u, x: (steps.append(s.size), plain(s, u, x)))
+    rnd = random.Random(12)
+    entries = [(i, "".join(rnd.choices("abcdefghijklmnopqrst ", k=150))) for i in range(20)]
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrst ", k=400)) for _ in range(400)]
+    texts[7] = texts[7][:200] + entries[3][1] + texts[7][200:]
+    found = M.Scorer(entries, 0.65).scored(texts)
+    assert [(k, f) for k, f in enumerate(found) if f] == [(7, [(3, 1.0)])]
+    assert sum(steps) > 1_000 * len(steps)  # many pairs move on at once
+    items = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = M.fuzzy_candidates(items, spark.createDataFrame(entries, "label int, text string"), "doc_id", 0.65)
+    assert [tuple(r) for r in out.collect()] == [(7, 3, 1.0)]
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
