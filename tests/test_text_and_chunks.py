@@ -364,3 +364,18 @@ def test_texts_of_a_batch_are_bounded_together_and_spread_over_tasks(spark, monk
     out = M.fuzzy_candidates(items, spark.createDataFrame(entries, "label int, text string"), "doc_id", 0.65)
     assert [tuple(r) for r in out.collect()] == [(7, 3, 1.0)]
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_windows_of_entries_are_looked_at_by_themselves(monkeypatch):
+    from passages.functions import likeness
+
+    listed = []
+    plain = likeness._in_cells
+    monkeypatch.setattr(likeness, "_in_cells", lambda masks, short, *rest: (listed.append(len(short)), plain(masks, short, *rest))[1])
+    rnd = random.Random(13)
+    made = lambda n: "".join(rnd.choices("eationsrhldcu", range(26, 0, -2), k=n))
+    entries, pieces = [made(rnd.randint(140, 300)) for _ in range(40)], [made(125) for _ in range(300)]
+    pieces[5] = entries[7][-125:]
+    found = likeness.ratios_from(pieces, entries, 0.54)
+    assert found[5, 7] == 1.0 and (found >= 0.54).sum() == (ratios(pieces, entries) >= 0.54).sum()
+    assert sum(listed) < 0.5 * found.size
