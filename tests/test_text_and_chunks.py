@@ -324,7 +324,7 @@ def test_ratios_from_a_threshold_score_few_pairs(monkeypatch):
     assert 1 <= sum(int(np.prod(s)) for s in scored) <= 400  # of 4,000 pairs
 
 
-@pytest.mark.parametrize("settings", [{}, {"STATES": 40, "LETTERS": 300, "SIDE_BY_SIDE": 3}, {"SHARES": (2,), "TRIED": 4}, {"SHARES": (9,), "TRIED": 4, "FEW": 0}, {"USUAL": 0.1}])
+@pytest.mark.parametrize("settings", [{}, {"STATES": 400, "LETTERS": 2_000, "SIDE_BY_SIDE": 7}, {"SHARES": (2,), "TRIED": 4}, {"SHARES": (9,), "TRIED": 4, "FEW": 0}, {"USUAL": 0.1}])
 def test_pairs_that_reach_a_threshold_are_all_met(monkeypatch, settings):
     from passages.functions import likeness
 
