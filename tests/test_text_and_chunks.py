@@ -379,3 +379,13 @@ def test_few_windows_of_entries_are_looked_at_by_themselves(monkeypatch):
     found = likeness.ratios_from(pieces, entries, 0.54)
     assert found[5, 7] == 1.0 and (found >= 0.54).sum() == (ratios(pieces, entries) >= 0.54).sum()
     assert sum(listed) < 0.5 * found.size
+
+
+def test_places_in_texts_leave_a_few_texts_at_a_time(spark, monkeypatch):
+    asked = []
+    plain = T.batch_udf
+    monkeypatch.setattr(T, "batch_udf", lambda kind, rows=None: (asked.append(rows), plain(kind, rows))[1])
+    texts = ["ab cd " * (i % 4) for i in range(450)] + [None]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1).select("doc_id", T.positions(F.col("text"), r"\S+").alias("p")).collect()
+    assert {r["doc_id"]: [tuple(x) for x in r["p"]] for r in got} == {i: [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S+", t or "")] for i, t in enumerate(texts)}
+    assert len(asked) == 1 and asked[0] <= 1_000  # a batch of 10,000 long texts has millions of places
